@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, ngram_join, pii, quality, token_counts, token_store
+from . import byte_bpe, decontaminate, language_id, ngram_join, pii, quality, token_counts, token_store, url_filter, warc
 from .shared import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Texts of more tokens are over the limit.
 TOKEN_LIMIT = 1024
 END_ID = 2
+#: Payloads of fewer bytes are never revisits.
+LEAST_PAYLOAD = 0
+URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +48,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(tables(spark, sf_dir, "pages"), LEAST_PAYLOAD).drop("target")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(tables(spark, sf_dir, "pages"), [url_filter.parse_rule(r) for r in URL_RULES])
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
