@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accuracy, consistency  # noqa: F401
+from . import accuracy, audits, consistency  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
