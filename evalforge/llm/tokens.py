@@ -57,35 +57,42 @@ def split(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes]
     return pieces, first[lead], marks
 
 
+class _Places(dict):
+    """The place of each piece; an unknown one gets the next place and is noted in `new`."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        place = self[piece] = len(self)
+        self.new.append(piece)
+        return place
+
+
 class PieceCache:
     """Ids of pieces seen so far, encoded once each; emptied when it holds too many, so memory stays bounded."""
 
-    LIMIT = 250_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         self.path = path
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.places = _Places()
         self.flat, self.at, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def look(self, pieces: list[bytes]) -> np.ndarray:
         """The place of each piece in the cache."""
-        if len(self.known) > self.LIMIT:
+        if len(self.places) > self.LIMIT:
             self.clear()
-        get = self.known.get
-        where = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        gap = np.flatnonzero(where < 0)
-        if len(gap):
-            new = list(dict.fromkeys(pieces[k] for k in gap))
+        where = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        if new := self.places.new:
             ids, n = encode_pieces(self.path, new)
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new))))
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
             self.length = np.concatenate([self.length, n])
             self.flat = np.concatenate([self.flat, ids])
-            where[gap] = np.fromiter((self.known[pieces[k]] for k in gap), np.int64, len(gap))
+            new.clear()
         return where
 
     def ids(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
