@@ -159,7 +159,7 @@ def feasibility_gate(spark, sf):
     return c.select(enough.alias("enough_pairs"), complete.alias("complete"), F.when(enough & complete, "FEASIBLE").otherwise("NOT_FEASIBLE").alias("verdict"))
 
 
-@query("WITH k AS (SELECT o_orderkey, o_custkey % 7 AS k FROM orders WHERE o_orderkey < 500), m AS (SELECT regexp_extract(url, '/([0-9]+)', 1) AS uuid FROM pages), c AS (SELECT uuid, count(*) AS n FROM m WHERE uuid <> '' GROUP BY ALL) SELECT CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS status, count(*) AS n_keys FROM (SELECT o_orderkey, n FROM orders LEFT JOIN c ON uuid = CAST(o_orderkey AS VARCHAR)) GROUP BY ALL")
+@query("WITH m AS (SELECT regexp_extract(url, '/([0-9]+)', 1) AS uuid FROM pages), c AS (SELECT uuid, count(*) AS n FROM m WHERE uuid <> '' GROUP BY ALL) SELECT CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS status, count(*) AS n_keys FROM (SELECT o_orderkey, n FROM orders LEFT JOIN c ON uuid = CAST(o_orderkey AS VARCHAR)) GROUP BY ALL")
 def unique_binding(spark, sf):
     found = A.table(spark, sf, "pages").select(F.regexp_extract("url", "/([0-9]+)", 1).alias("uuid")).filter("uuid <> ''").groupBy("uuid").agg(F.count("*").alias("n"))
     keys = A.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("uuid"))
