@@ -68,7 +68,8 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 def grams(text: Column) -> Column:
     """Every character of the padded text with the ORDER characters before it, in linear time for long texts."""
     chars = F.regexp_extract_all(F.concat(F.lit(_PAD * ORDER), text, F.lit(_END)), F.lit("(?s)."), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.size(chars) - (ORDER + 1)), lambda k: F.concat(*(F.get(chars, k + j) for j in range(ORDER + 1))))
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - (ORDER + 1)), lambda k: F.concat(*(F.get(c, k + j) for j in range(ORDER + 1))))
+    return F.get(F.transform(F.array(chars), cut), F.lit(0))  # bound once: an expression inside a lambda is worked out anew for each element
 
 
 def gram_ratios(counts: DataFrame, totals: dict[str, int]) -> DataFrame:
