@@ -37,14 +37,14 @@ _NL = "\r\n"
 
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of a binary column's SHA-1: 32 digits of five bits, each cut from two hex digits."""
-    hexed = F.sha1(payload)
 
-    def digit(k: Column) -> Column:
+    def digit(hexed: Column, k: Column) -> Column:
         two = F.conv(F.rpad(F.substring(hexed, k * 5 / 4 + 1, F.lit(2)), 2, "0"), 16, 10).cast("int")
         value = F.pmod(F.floor(two / F.pow(F.lit(2), 3 - F.pmod(k * 5, F.lit(4)))), F.lit(32)).cast("int")
         return F.substring(F.lit(_ALPHABET), value + 1, F.lit(1))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
+    spelled = lambda hexed: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: digit(hexed, k)), "")
+    return F.get(F.transform(F.array(F.sha1(payload)), spelled), F.lit(0))  # the digest is bound once
 
 
 def _headers(*pairs: tuple[str, Column | str]) -> Column:
