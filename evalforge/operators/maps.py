@@ -58,7 +58,9 @@ def cycles(samples: DataFrame, name: str, clip: str, salt: str) -> DataFrame:
     # the least number missing from the ruled-out ones: they are 0, 1, ... up to it
     places = ranked(clash, ["rotation"], F.floor(F.col("rotation") / 4096), "place")
     taken = places.filter("rotation = place").agg(F.coalesce(F.max("rotation") + 1, F.lit(0)).alias("rotation"))
-    turned = right.join(F.broadcast(taken)).withColumn("k", F.pmod(F.col("k") - F.col("rotation"), F.col("half")))
+    none = F.raise_error(F.lit("every rotation pairs samples of one clip; another salt would be another map"))
+    turn = F.when(F.col("rotation") < F.col("half"), F.col("rotation")).otherwise(none.cast("long"))
+    turned = right.join(F.broadcast(taken)).withColumn("k", F.pmod(F.col("k") - turn, F.col("half")))
     pairs = left.select("k", F.col("sample_ix").alias("a"), F.col(name).alias("na")).join(turned.select("k", F.col("sample_ix").alias("b"), F.col(name).alias("nb")), "k")
     key = F.sha2(F.concat(F.lit(f"{salt}|cycle|"), F.least("na", "nb"), F.lit("|"), F.greatest("na", "nb")), 256)
     pairs = cut(pairs)
