@@ -28,7 +28,7 @@ from . import words
 from .fm_index import FMIndex
 from .shared import chunks, small_batches, take
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items")
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one chunk holds; a single longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes up to which a measured table is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
