@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import chunks, materialise, small_batches, take
+from .shared import chunks, materialise, most_frequent, small_batches, take
 
 TOP, TOP_BYTES = 1 << 17, 32
 #: Distinct pre-tokens that a task holds before it passes on what it has counted.
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = piece_table(docs, path)
     short = table.filter(F.length("piece") <= TOP_BYTES)
-    top = short.orderBy(F.desc("n"), "piece").limit(TOP).select("piece", "n_pieces").toArrow()
+    top = most_frequent(short, "n", TOP).select("piece", "n_pieces").toArrow()
     shared = spark.sparkContext.broadcast((top["piece"].to_pylist(), top["n_pieces"].to_pylist()))
     rows = docs.mapInArrow(_frequencies(path, shared), "row long, doc_id long, piece binary, f long, n_bytes long, n_tokens long")
     joined = rows.join(table.select("piece", "n_pieces"), "piece", "left")
