@@ -26,10 +26,10 @@ def detections(spark, sf):
     return A.table(spark, sf, "supplier").select(k.alias("did"), left.alias("dl"), top.alias("dt"), (left + 40).alias("dr"), (top + 30).alias("db"))
 
 
-@query(f"WITH {BOX_SQL} SELECT id, (r - l) * (b - t) AS area, greatest(0, least(r, 700) - greatest(l, 300)) * greatest(0, least(b, 500) - greatest(t, 100)) AS shared, round((l + r) / 2.0::DOUBLE / 1280, 6) AS cx, round((t + b) / 2.0::DOUBLE / 720, 6) AS cy, greatest(l - 8, 0) AS el, least(r + 8, 1280) AS er FROM box")
+@query(f"WITH {BOX_SQL} SELECT id, (r - l) * (b - t) AS area, greatest(0, least(r, 700) - greatest(l, 300)) * greatest(0, least(b, 500) - greatest(t, 100)) AS shared, round((l + r) / 2.0::DOUBLE / 1280, 9) AS cx, round((t + b) / 2.0::DOUBLE / 720, 9) AS cy, greatest(l - 8, 0) AS el, least(r + 8, 1280) AS er FROM box")
 def box_geometry(spark, sf):
     zone = boxes(spark, sf).select("id", *(F.col(c).alias(f"x{c}") for c in "ltrb"), F.lit(300).alias("yl"), F.lit(100).alias("yt"), F.lit(700).alias("yr"), F.lit(500).alias("yb"))
-    mid = lambda a, b, n: F.round((F.col(a) + F.col(b)) / 2.0 / n, 6)
+    mid = lambda a, b, n: F.round((F.col(a) + F.col(b)) / 2.0 / n, 9)
     return zone.select("id", G.area(*(F.col(f"x{c}") for c in "ltrb")).alias("area"), G.intersection("x", "y").alias("shared"), mid("xl", "xr", FRAME_W).alias("cx"), mid("xt", "xb", FRAME_H).alias("cy"), F.greatest(F.col("xl") - 8, F.lit(0)).alias("el"), F.least(F.col("xr") + 8, F.lit(FRAME_W)).alias("er"))
 
 

@@ -61,17 +61,13 @@ def draw_hash(slot: Column, rep: Column) -> Column:
 
 def cluster_draws(clusters: DataFrame, key: str, reps: int, spark: SparkSession) -> DataFrame:
     """rep, key, weight: how often each cluster is drawn in each replicate; a draw takes as many as there are."""
-    named = clusters.select(key).distinct().withColumn("position", F.dense_rank().over(_ordered(key)) - 1)
-    n = named.agg(F.count("*").alias("n"))
-    slots = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"), "n").withColumn("rep", F.explode(F.array(*(F.lit(r).cast("long") for r in range(reps)))))
-    drawn = slots.select("rep", (draw_hash(F.col("slot"), F.col("rep")) % F.col("n")).alias("position")).groupBy("rep", "position").agg(F.count("*").alias("weight"))
-    return drawn.join(named, "position").select("rep", key, "weight")
-
+    from ..operators.maps import ranked
 
-def _ordered(key: str):
-    from pyspark.sql import Window as W
-
-    return W.orderBy(key)
+    named = ranked(clusters.select(key).distinct(), [key], F.floor(F.col(key) / 4096), "position")
+    n = clusters.select(key).distinct().count()
+    slots = spark.range(n).select(F.col("id").alias("slot"), F.explode(F.array(*(F.lit(r).cast("long") for r in range(reps)))).alias("rep"))
+    drawn = slots.select("rep", (draw_hash(F.col("slot"), F.col("rep")) % n).alias("position")).groupBy("rep", "position").agg(F.count("*").alias("weight"))
+    return drawn.join(named, "position").select("rep", key, "weight")
 
 
 def seed_draws(spark: SparkSession, reps: int, seeds: Sequence[int] = SEEDS) -> DataFrame:
