@@ -16,7 +16,7 @@ def first_seen(rows: DataFrame, keys: list[str], at: str, late: str = "1 hour")
 
 
 def windowed(rows: DataFrame, at: str, length: str, late: str, keys: list[str]) -> DataFrame:
-    """Counts by event-time window; not part of the reference, which has no event time."""
+    """Counts by event-time window."""
     return rows.withWatermark(at, late).groupBy(F.window(at, length), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
