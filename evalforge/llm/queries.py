@@ -68,5 +68,20 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+  b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+  own AS (SELECT item, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k, w FROM b WHERE len(w) > 0),
+  wins AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM own), lens AS (SELECT DISTINCT n FROM wins),
+  places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, lens WHERE len(w) >= n),
+  hits AS (SELECT r, k, p.n, item FROM (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM places) p JOIN wins USING (n, s)),
+  items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS i FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+  hit_words AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(i, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN items USING (r) LEFT JOIN hit_words USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can say on whole tables; tests hold the others against brute force."""
+    return {"op1_decontaminate": DECONTAMINATE_SQL}
