@@ -68,6 +68,22 @@ def test_families_of_near_copies_over_many_blocks(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == len({r.component_id for r in got})
 
 
+def test_a_long_path_of_random_ids_is_one_component(spark):
+    ids = np.unique(np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 3000))
+    np.random.default_rng(4).shuffle(ids)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids[:-1], ids[1:])], "a long, b long")
+    got = ngram_join.connected(edges, "path").collect()
+    assert len(got) == 3000 and {r.label for r in got} == {int(ids.min())}
+
+
+def test_a_chain_of_drifting_texts(spark):
+    words = [f"w{k}" for k in range(4 * 1500 + 44)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 44])) for k in range(1500)]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert key(got, "doc_id", "n_shingles", "component_id") == text_rows(brute_components(rows))
+    assert {r.component_id for r in got} == {0}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10_000))
 def test_signature_tree_equals_all_pairs(seed):
