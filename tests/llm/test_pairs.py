@@ -84,6 +84,14 @@ def test_a_chain_of_drifting_texts(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_rows_of_one_id_or_none_keep_their_own_texts(spark):
+    drift = lambda name, k: " ".join(f"{name}{w}" for w in range(4 * k, 4 * k + 44))
+    rows = [(1, drift("a", 0)), (1, drift("b", 0)), (2, drift("a", 1)), (3, drift("b", 1)), (4, drift("c", 0)), (None, drift("c", 1)), (None, drift("c", 1)), (5, drift("c", 2)), (None, drift("d", 0)), (None, drift("d", 1)), (None, "")]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert key(got, "doc_id", "n_shingles", "component_id") == text_rows(brute_components(rows))
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10_000))
 def test_signature_tree_equals_all_pairs(seed):
