@@ -23,18 +23,40 @@ def interval(rows: DataFrame, keys: list[str], value: str, level: float = 0.95)
     return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), q(tail).alias("low"), q(1 - tail).alias("high"), F.count("*").alias("n_reps"))
 
 
+#: Draws that are made and counted at once. A position may come in several rows, whose weights add up.
+DRAWS = 1 << 20
+
+
+def _drawn(n: int, seed: int):
+    """(rep, position, weight): the draws of default_rng([seed, rep]), made in parts that continue one another."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f["rep"]:
+                rng = np.random.default_rng([seed, int(r)])
+                for at in range(0, n, DRAWS):
+                    position, weight = np.unique(rng.integers(0, n, min(DRAWS, n - at)), return_counts=True)
+                    yield pd.DataFrame({"rep": int(r), "position": position, "weight": weight})
+
+    return run
+
+
 def vectorised(stats: DataFrame, cluster: str, keys: list[str], columns: list[str], reps: int, seed: int, limit: int = 64 << 20) -> DataFrame:
     """(rep, keys, columns): many replicates as products of a (reps x clusters) weight matrix, in blocks of replicates.
 
     The statistics, one row a cluster and key, are what every task needs: they are measured, and beyond `limit` bytes
-    the draws are made by a relational plan instead (hash draws), which broadcasts nothing."""
+    the same draws are joined with them instead, which broadcasts nothing. So the size decides the plan only."""
     spark = stats.sparkSession
     n = stats.select(cluster).distinct().count()
     rows = stats.count()
     if rows * (len(columns) + len(keys) + 1) * 8 > limit:
-        from ..sources.adapters import cluster_draws
+        from .maps import ranked
 
-        return weighted(stats, cluster_draws(stats, cluster, reps, spark), cluster, keys, columns)
+        named = ranked(stats.select(cluster).distinct(), [cluster], F.floor(F.col(cluster) / 4096), "position")
+        drawn = spark.range(0, reps, 1, min(reps, 256)).select(F.col("id").alias("rep")).mapInPandas(_drawn(n, seed), "rep long, position long, weight long")
+        sums = weighted(stats, drawn.join(named, "position").select("rep", cluster, "weight"), cluster, keys, columns)
+        grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(stats.select(*keys).distinct())
+        return grid.join(sums, ["rep", *keys], "left").select("rep", *keys, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
     table = stats.select(cluster, *keys, *columns).toPandas()
     clusters = np.sort(table[cluster].unique())
     cells = table[keys].drop_duplicates().sort_values(keys).reset_index(drop=True)

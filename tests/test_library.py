@@ -133,6 +133,18 @@ def test_vectorised_bootstrap_equals_the_loop(spark):
         assert got[rep] == (sum(k % 3 + 1 for k in draw), sum(k % 2 for k in draw))
 
 
+def test_the_size_of_a_bootstrap_decides_only_its_plan(spark):
+    from evalforge.operators import resample
+
+    stats = spark.createDataFrame([(k * 977, k % 2, k % 3 + 1, k % 5) for k in range(41)] + [(977, 2, 1, 1)], "c long, m int, n long, wrong long")
+    small, large = (resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 30, 3, limit) for limit in (64 << 20, 0))
+    assert small.columns == large.columns and sorted(small.collect()) == sorted(large.collect())
+    for n in (7, 41, 100_003):
+        rng = np.random.default_rng([3, 1])
+        parts = [rng.integers(0, n, k) for k in (1, 12, 37, 5)]
+        assert (np.concatenate(parts) == np.random.default_rng([3, 1]).integers(0, n, 55)).all()
+
+
 def test_temperature_has_no_slope(spark):
     t = catalog.queries()["temperature_fit"](spark, SF).collect()
     assert len(t) == 2 and all(0.05 <= r.temperature <= 20 for r in t)
