@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
 #: What follows an apostrophe in the pattern (fixed values).
@@ -85,25 +86,24 @@ class Splitter:
             after = after[after < n]
             start[after] = True
 
-    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """All pre-tokens of a chunk as bytes, and the first of each text (one more at the end)."""
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes where pre-tokens of a chunk start (one more at the end), and the first of each text (one more)."""
         if not len(data):
-            return [], np.zeros(len(offsets), np.int64)
+            return np.zeros(1, np.int32), np.zeros(len(offsets), np.int64)
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         cut = np.searchsorted(lead, offsets)
         nonempty = np.unique(cut[:-1][cut[1:] > cut[:-1]])
-        at = self.starts(codes, nonempty)
-        byte_at = lead[at]
-        marked = np.full(len(data) + len(byte_at), 0xFF, np.uint8)  # no byte of UTF-8
-        place = np.zeros(len(data), np.int32 if len(marked) < 2**31 else np.int64)
-        place[byte_at] = 1
-        np.cumsum(place, out=place)
-        place += np.arange(len(data), dtype=place.dtype)
-        marked[place] = data
-        out = marked.tobytes().split(b"\xff")
-        del out[0]
-        return out, np.searchsorted(byte_at, offsets)
+        byte_at = lead[self.starts(codes, nonempty)]
+        return np.append(byte_at, len(data)).astype(np.int32 if len(data) < 2**31 else np.int64), np.searchsorted(byte_at, offsets)
+
+    def coded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The code of each pre-token of a chunk, the different ones by code, and the first of each text (one more)."""
+        at, first = self.cuts(data, offsets)
+        kind = pa.BinaryArray if at.dtype == np.int32 else pa.LargeBinaryArray
+        held = kind.from_buffers(pa.binary() if at.dtype == np.int32 else pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+        found = held.dictionary_encode()
+        return found.indices.to_numpy(zero_copy_only=False), found.dictionary, first
 
 
 def special_cuts(data: np.ndarray, offsets: np.ndarray, special: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:

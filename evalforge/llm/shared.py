@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one chunk holds; a single longer text is a chunk of its own.
@@ -21,12 +21,15 @@ _scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local session gets a
+    temporary one and any other is an error: executors would write where nobody else can read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="evalforge-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -63,6 +66,12 @@ def small_batches(spark: SparkSession) -> None:
         pass
 
 
+def partitions(df: DataFrame) -> int:
+    """How many partitions a shuffle of all of df gets: as many as its scan has, which grow with its bytes, or the
+    session's number where that is greater."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,15 +105,16 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
-    """The rows of the greatest counts, at most `limit` of them, without sorting: counts are grouped in steps of a
-    twelfth (a few hundred groups at most), and whole groups are taken while they fit."""
+def most_frequent(df: DataFrame, count: str, limit: int, size: Column | None = None) -> DataFrame:
+    """The rows of the greatest counts, of at most `limit` rows or units of size together, without sorting: counts are
+    grouped in steps of a twelfth (a few hundred groups at most), and whole groups are taken while they fit."""
     step = F.floor(F.log2(count) * 8).cast("int")
+    held = F.count("*") if size is None else F.sum(size)
     left, least = limit, None
-    for r in df.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        if r["count"] > left:
+    for r in df.groupBy(step.alias("step")).agg(held.alias("held")).orderBy(F.desc("step")).collect():
+        if r["held"] > left:
             break
-        left, least = left - r["count"], r["step"]
+        left, least = left - r["held"], r["step"]
     return df.limit(0) if least is None else df.filter(step >= least)
 
 

@@ -2,8 +2,8 @@
 
 1. Each task counts its pre-tokens; the counts meet by pre-token (partial sums, so a frequent one is a row a task).
 2. Every distinct pre-token is encoded once; the table (piece, pieces in it, frequency) goes to the shared folder.
-3. Documents are split again. The TOP most frequent pre-tokens of at most TOP_BYTES bytes are a bounded table that
-   every task holds (TOP * TOP_BYTES bytes at most), so hot keys never reach the shuffle; the rest are rows
+3. Documents are split again. The most frequent pre-tokens, TOP_BYTES bytes of them with what a table row costs, are a
+   bounded table that every task holds, so hot keys never reach the shuffle, however long; the rest are rows
    (document, piece, frequency), joined with the table by shuffle and summed.
 
 Defined results: null or empty text: 0 bytes, 0 tokens. Repeated rows: a row each, also for null doc_ids. Special
@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 from collections import Counter
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .shared import chunks, materialise, most_frequent, small_batches, take
 
-TOP, TOP_BYTES = 1 << 17, 32
+TOP_BYTES, ROW_BYTES = 16 << 20, 100
 #: Distinct pre-tokens that a task holds before it passes on what it has counted.
 HELD = 300_000
 
@@ -39,7 +40,9 @@ def _count(path: str):
             held.clear()
 
         for _, data, offsets in chunks(batches):
-            held.update(tokens.split(path, data, offsets)[0])
+            found = tokens.split(path, data, offsets)
+            for piece, n in zip(found.distinct.to_numpy(zero_copy_only=False).tolist(), np.bincount(found.codes, minlength=len(found.distinct)).tolist()):
+                held[piece] += n
             if len(held) > HELD:
                 yield from out()
         yield from out()
@@ -75,14 +78,17 @@ def _frequencies(path: str, shared):
         top = _top(shared.id if hasattr(shared, "id") else id(shared), shared).get
         task, row = TaskContext.get().partitionId() << 36, 0
         for batch, data, offsets in chunks(batches):
-            pieces, first, marks = tokens.split(path, data, offsets)
-            n = np.fromiter((top(p, -1) for p in pieces), np.int64, len(pieces))
+            found = tokens.split(path, data, offsets)
+            first, pieces = found.first, found.distinct.to_numpy(zero_copy_only=False).tolist()
+            known = np.fromiter(map(top, pieces, repeat(-1)), np.int64, len(pieces))
+            n = known[found.codes]
             sums = np.concatenate([[0], np.cumsum(np.maximum(n, 0))])
             base = sums[first[1:]] - sums[first[:-1]]
-            for k, _, _ in marks:
+            for k, _, _ in found.marks:
                 base[k] += 1
             gap = np.flatnonzero(n < 0)
-            rest = Counter(zip((np.searchsorted(first, gap, "right") - 1).tolist(), [pieces[k] for k in gap]))
+            of = np.searchsorted(first, gap, "right") - 1
+            rest, times = np.unique(of * len(pieces) + found.codes[gap], return_counts=True)
             own = np.arange(row, row + batch.num_rows) + task
             row += batch.num_rows
             docs = take(batch, "doc_id")
@@ -90,12 +96,10 @@ def _frequencies(path: str, shared):
                 [pa.array(own), docs, pa.array([b"\xff" + struct.pack(">q", u) for u in own.tolist()], pa.binary()), pa.array(np.zeros(len(own), np.int64)), pa.array(np.diff(offsets)), pa.array(base)],
                 ["row", "doc_id", "piece", "f", "n_bytes", "n_tokens"],
             )
-            if rest:
-                at = np.fromiter((k for k, _ in rest), np.int64, len(rest))
+            if len(rest):
+                at, code = np.divmod(rest, len(pieces))
                 zero = pa.array(np.zeros(len(rest), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[at]), docs.take(pa.array(at)), pa.array([p for _, p in rest], pa.binary()), pa.array(list(rest.values()), pa.int64()), zero, zero], ["row", "doc_id", "piece", "f", "n_bytes", "n_tokens"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), docs.take(pa.array(at)), found.distinct.take(pa.array(code)), pa.array(times), zero, zero], ["row", "doc_id", "piece", "f", "n_bytes", "n_tokens"])
 
     return run
 
@@ -106,8 +110,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = piece_table(docs, path)
-    short = table.filter(F.length("piece") <= TOP_BYTES)
-    top = most_frequent(short, "n", TOP).select("piece", "n_pieces").toArrow()
+    top = most_frequent(table, "n", TOP_BYTES, F.length("piece") + ROW_BYTES).select("piece", "n_pieces").toArrow()
     shared = spark.sparkContext.broadcast((top["piece"].to_pylist(), top["n_pieces"].to_pylist()))
     rows = docs.mapInArrow(_frequencies(path, shared), "row long, doc_id long, piece binary, f long, n_bytes long, n_tokens long")
     joined = rows.join(table.select("piece", "n_pieces"), "piece", "left")

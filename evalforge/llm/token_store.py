@@ -7,7 +7,7 @@ ids of its file; the files' own starts are a running sum over one total a file.
 Files: `part` (the file's place in the order), `doc_id`, `local_start`, `n_tokens`, `ids` array<int>.
 
 Defined results: null or empty text: the end id alone. Null doc_ids come first; repeated doc_ids stand in the order
-of their texts. An empty table gives no rows. Extra columns are ignored.
+of a hash of their texts. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import chunks, new_path, small_batches, take
+from .shared import chunks, new_path, partitions, small_batches, take
 
 SCHEMA = "part long, doc_id long, local_start long, n_tokens long, ids array<int>"
 ORC = {
@@ -43,13 +43,14 @@ def _cache(path: str) -> tokens.PieceCache:
 
 def encode_chunk(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a chunk, with the end id after each, and where each text's ids start (one more at the end)."""
-    pieces, first, marks = tokens.split(path, data, offsets)
+    pieces = tokens.split(path, data, offsets)
     cache = _cache(path)
     ids, ends = cache.ids(cache.look(pieces))
-    starts = np.concatenate([[0], ends])[first]
-    extra_at = [np.concatenate([[0], ends])[p] for _, p, _ in marks]
-    extra_of = [k for k, _, _ in marks]
-    extra_id = [i for _, _, i in marks]
+    edges = np.concatenate([[0], ends])
+    starts = edges[pieces.first]
+    extra_at = [edges[p] for _, p, _ in pieces.marks]
+    extra_of = [k for k, _, _ in pieces.marks]
+    extra_id = [i for _, _, i in pieces.marks]
     if end_id is not None:  # inserted after what stands at the same place
         extra_at += starts[1:].tolist()
         extra_of += range(len(offsets) - 1)
@@ -64,7 +65,7 @@ def encode_chunk(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int |
 def _encode(path: str, end_id: int):
     def run(batches):
         part, total = TaskContext.get().partitionId(), 0
-        for batch, data, offsets in chunks(batches, limit=1 << 20):
+        for batch, data, offsets in chunks(batches):
             ids, starts = encode_chunk(path, data, offsets, end_id)
             n = np.diff(starts)
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
@@ -79,9 +80,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**ORC).orc(path)
+    order = ["doc_id", "hash", "place"]  # the last two deal rows of one id, or of none, over several ranges
+    placed = docs.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**ORC).orc(path)
 
 
 def _crc(batches):
