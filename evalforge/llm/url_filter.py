@@ -3,14 +3,16 @@
 The models are smoothed variable-order Markov models of accepted and of rejected URLs (those that the rules allow and
 block), orders 0 to ORDER: a character's chance at each order is its count after the context plus WEIGHT times its
 chance at the order below, over the context's count plus WEIGHT; below order 0 all of 256 are alike. A URL's score is
-the mean over its characters (host and path, padded) of the difference of log chances. The cut is calibrated on all
-URLs that rules decide: the one with the best balanced accuracy over BINS bins of scores.
+the mean over its characters (host and path, padded) of the difference of log chances. Of the URLs that rules decide,
+parts 0 to 6 of PARTS by a hash of host and path make the models; parts 7 and 8 calibrate the cut, the one with the best
+balanced accuracy over BINS bins of scores (half way in the gap below the bin); part 9 takes no part and is there to be
+measured on.
 
 Everything is counted by distinct (host, path), and chances are worked out once for each distinct gram of the corpus,
 then joined with the URLs' grams.
 
 Defined results: null URLs and those without "://" have an empty host and path, fit no rule and are blocked: there is
-nothing to fetch. Where rules decide no URL on either side, the model has no say and allows. Repeated rows: a row
+nothing to fetch. Where the calibrating parts lack URLs of either side, the model has no say and allows. Repeated rows: a row
 each. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 ORDER, WEIGHT, BINS, SPAN = 3, 4.0, 400, 4.0
+PARTS, CALIBRATING = 10, (7, 8)
 ALLOW, BLOCK = "allow", "block"
 _PAD, _END = "\u0002", "\u0003"
 
@@ -65,6 +68,11 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def part_of(host: Column, path: Column) -> Column:
+    """Which of PARTS parts a host and path belong to."""
+    return F.pmod(F.xxhash64(host, F.lit("part"), path), F.lit(PARTS))
+
+
 def grams(text: Column) -> Column:
     """Every character of the padded text with the ORDER characters before it, in linear time for long texts."""
     chars = F.regexp_extract_all(F.concat(F.lit(_PAD * ORDER), text, F.lit(_END)), F.lit("(?s)."), F.lit(0))
@@ -91,34 +99,38 @@ def gram_ratios(counts: DataFrame, totals: dict[str, int]) -> DataFrame:
 
 
 def scores(urls: DataFrame) -> DataFrame:
-    """(key, verdict, score) of distinct (key, host, path, verdict), verdict being a rule's or null."""
-    rows = urls.select("key", "verdict", F.explode(grams(F.concat("host", "path"))).alias("gram"))
-    is_ = lambda k: F.sum((F.col("verdict") == k).cast("long"))
+    """(key, verdict, part, score) of distinct (key, host, path, verdict), verdict being a rule's or null."""
+    rows = urls.select("key", "verdict", part_of(F.col("host"), F.col("path")).alias("part"), F.explode(grams(F.concat("host", "path"))).alias("gram"))
+    is_ = lambda k: F.sum(((F.col("verdict") == k) & (F.col("part") < CALIBRATING[0])).cast("long"))
     counts = materialise(rows.groupBy("gram").agg(*(F.coalesce(is_(k), F.lit(0)).alias(k) for k in (ALLOW, BLOCK))), "grams")
     total = counts.agg(F.sum(ALLOW), F.sum(BLOCK)).first()
     ratios = materialise(gram_ratios(counts, {ALLOW: total[0] or 0, BLOCK: total[1] or 0}), "ratios")
-    return rows.join(ratios, "gram").groupBy("key").agg(F.max("verdict").alias("verdict"), F.round(F.sum("ratio") / F.count("*"), 9).alias("score"))
+    return rows.join(ratios, "gram").groupBy("key").agg(F.max("verdict").alias("verdict"), F.max("part").alias("part"), F.round(F.sum("ratio") / F.count("*"), 9).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float | None:
-    """The score from which URLs are allowed; None where rules don't decide on both sides."""
+    """The score from which URLs are allowed; None where the calibrating parts lack URLs of either side."""
     at = F.least(F.greatest(F.floor((F.col("score") + SPAN) * (BINS / (2 * SPAN))), F.lit(0)), F.lit(BINS))
-    bins = scored.filter("verdict is not null").groupBy(at.alias("bin")).agg(*(F.sum((F.col("verdict") == k).cast("long")).alias(k) for k in (ALLOW, BLOCK)))
-    below, all_ = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    right = F.coalesce(F.sum(BLOCK).over(below), F.lit(0)) / F.sum(BLOCK).over(all_) - F.coalesce(F.sum(ALLOW).over(below), F.lit(0)) / F.sum(ALLOW).over(all_)
-    best = bins.select("bin", right.alias("gain")).agg(F.max_by("bin", F.struct("gain", -F.col("bin"))).alias("bin"), F.max("gain").alias("gain")).first()  # of at most BINS + 1 rows
-    return None if best["gain"] is None else best["bin"] * 2 * SPAN / BINS - SPAN
+    own = scored.filter(F.col("verdict").isNotNull() & F.col("part").isin(*CALIBRATING))
+    bins = own.groupBy(at.alias("bin")).agg(*(F.sum((F.col("verdict") == k).cast("long")).alias(k) for k in (ALLOW, BLOCK)))
+    order, all_ = W.orderBy("bin"), W.partitionBy()  # of at most BINS + 1 rows
+    below = order.rowsBetween(W.unboundedPreceding, -1)
+    share = lambda k: F.try_divide(F.coalesce(F.sum(k).over(below), F.lit(0)), F.sum(k).over(all_))
+    right = share(BLOCK) - share(ALLOW)  # null where a side has none
+    edge = (F.coalesce(F.lag("bin").over(order) + 1, F.col("bin")) + F.col("bin")) / 2
+    best = bins.select("bin", edge.alias("edge"), right.alias("gain")).agg(F.max_by("edge", F.struct("gain", -F.col("bin"))).alias("edge"), F.max("gain").alias("gain")).first()
+    return None if best["gain"] is None else best["edge"] * 2 * SPAN / BINS - SPAN
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every row of pages (page_id, url)."""
+    """page_id, host, path, rule, verdict, score and cut of every row of pages (page_id, url)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     host, path = F.col("host"), F.col("path")
-    named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("key", F.xxhash64("host", F.lit("\n"), "path"))
+    named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("key", F.unhex(F.md5(F.concat("host", F.lit("\n"), "path").cast("binary"))))
     ruled = named.withColumn("by", rule_of(host, path, rules))
-    distinct = named.filter("host <> '' or path <> ''").groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"))
+    distinct = named.filter("host <> '' or path <> ''").dropDuplicates(["host", "path"])
     scored = materialise(scores(distinct.withColumn("verdict", rule_of(host, path, rules)["verdict"])), "urls")
     cut = calibrate(scored)
     allowed = F.lit(True) if cut is None else F.col("score") >= cut
     model = F.when(F.col("score").isNull(), F.lit(BLOCK)).when(allowed, F.lit(ALLOW)).otherwise(F.lit(BLOCK))
-    return ruled.join(scored.select("key", "score"), "key", "left").select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", model).alias("verdict"), "score")
+    return ruled.join(scored.select("key", "score"), "key", "left").select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", model).alias("verdict"), "score", F.lit(cut).cast("double").alias("cut"))
