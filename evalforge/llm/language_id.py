@@ -3,7 +3,7 @@ for each pair of languages of the family.
 
 A text's features are its byte trigrams, hashed to DIMENSION bins (letters case-folded in ASCII, other ASCII as one
 space), square-rooted and scaled to length one; whole texts count. The machines (squared hinge, L2) are fitted on the
-driver on a bounded sample: at most SAMPLE texts a language, those with the smallest hash of doc_id. The model is
+driver on a bounded sample: at most SAMPLE different texts a language, those with the smallest hash of id and text. The model is
 DIMENSION weights for each family and pair of languages.
 
 The score is the softmax of the family margins times the mean logistic of the winning language's margins.
@@ -157,9 +157,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id").distinct()
-    found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").mapInArrow(_features, "lang string, x binary").filter("x is not null").toArrow()
+    # rows under a share of the hash range that leaves half as many again as are wanted, so few meet to be ranked
+    key = F.xxhash64("doc_id", "text")
+    share = F.least(F.lit(1.0), (1.5 * sample + 100) / F.col("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language, of which the model has a machine a pair
+    some = rows.withColumn("key", key).join(F.broadcast(counts), "lang").filter(F.abs(F.col("key") / 2.0**63) <= share)
+    once = some.dropDuplicates(["lang", "key"])  # a row that repeats counts once
+    ranked = once.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("key"))).filter(F.col("k") <= sample)
+    found = ranked.select("lang", "text").mapInArrow(_features, "lang string, x binary").filter("x is not null").toArrow()
     if not found.num_rows:
         return None
     lang = np.array(found["lang"].to_pylist(), object)
