@@ -6,8 +6,9 @@ whole texts of one task (a longer text alone is a shard). Windows are found by w
 occurrences by sampled suffix positions; hits are held against the words themselves (the alphabet is by hash), and
 their spans are merged.
 
-The benchmark is measured first and searched in blocks of up to BLOCK_BYTES, each of which is broadcast; a block is a
-narrow stage of its own that adds to what the stages before it found, so any number of blocks needs no shuffle.
+The benchmark is searched in blocks of up to BLOCK_BYTES, each of which is broadcast; a block is a narrow stage of its
+own that adds to what the stages before it found, so any number of blocks needs no shuffle. After CHAINED of them what
+is found is written, so neither the driver nor a task holds more than so many at once.
 
 Defined results: null or empty texts have no words and are never contaminated; an item without words has no window;
 an item of fewer words than `window` is one window. Repeated rows are judged each. Extra columns are kept, those
@@ -16,6 +17,7 @@ named like a result (n_words, n_hit, n_items, items_sha256, contaminated, hits,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,10 +28,12 @@ from pyspark.sql import types as T
 
 from . import words
 from .fm_index import FMIndex
-from .shared import chunks, small_batches, take
+from .shared import chunks, materialise, small_batches, take
 
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
+#: Blocks that are searched in one job; what they found is written before the next ones.
+CHAINED = 4
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items")
 
 
@@ -185,17 +189,18 @@ def _stage(shared, text: str, names: list[str], first: bool):
     return run
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The items in blocks of up to `limit` bytes of text. The query set, streamed to the driver."""
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of up to `limit` bytes of text, one empty block if there are none. The driver holds one."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t"))
-    out, held, size = [], [], 0
+    held, size, n = [], 0, 0
     for i, t in rows.toLocalIterator():
         held.append((i, t))
         size += len(t or "")
         if size > limit:
-            out.append(held)
-            held, size = [], 0
-    return [*out, held] if held or not out else out
+            yield held
+            held, size, n = [], 0, n + 1
+    if held or not n:
+        yield held
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -209,6 +214,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     base = docs.schema.fields
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
     for k, block in enumerate(blocks(benchmark)):
+        if k and k % CHAINED == 0:
+            docs = materialise(docs, "hits")
         shared = spark.sparkContext.broadcast((block, window))
         docs = docs.mapInArrow(_stage(shared, text, carried, k == 0), T.StructType([*base, *added]))
     n_hit = F.aggregate(F.transform("hits", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
