@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evalforge.llm import ngram_join, url_filter, warc
 
@@ -181,14 +182,41 @@ def ruled(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def test_url_rules_and_ratio(spark):
-    rows = [(k, u, "clash") for k, u in enumerate(URLS)]
+def generated(n):
+    rng = np.random.default_rng(8)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(4, 9)))
+    out = []
+    for _ in range(n):
+        out += [f"http://{word('abcde')}.net/{word('abcdefgh')}?q=1", f"https://{word('stuvw')}.org/fr/{word('stuvwxyz')}", f"http://{word('abcdestuvw')}.com/{word('abcdestuvw')}#x"]
+    return out
+
+
+def brute_cut(scored):
+    """The cut from (verdict, part, score) of the distinct URLs that rules decide."""
+    own = [(v, min(max(math.floor((s + 4) * 50), 0), 400)) for v, part, s in scored if part in url_filter.CALIBRATING]
+    bins = sorted({b for _, b in own})
+    n = Counter(v for v, _ in own)
+    if len(n) < 2:
+        return None
+    gain = lambda b: sum(x < b for v, x in own if v == "block") / n["block"] - sum(x < b for v, x in own if v == "allow") / n["allow"]
+    best = max(bins, key=lambda b: (round(gain(b), 12), -b))
+    at = bins.index(best)
+    return ((bins[at - 1] + 1 if at else best) + best) / 2 * 8 / 400 - 4
+
+
+@pytest.mark.parametrize("more", [0, 150])
+def test_url_rules_ratio_and_verdict(spark, more):
+    urls = URLS + generated(more)
+    rows = [(k, u, "clash") for k, u in enumerate(urls)]
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string"), RULES).collect()}
-    assert len(got) == len(URLS)
+    assert len(got) == len(urls)
+    distinct = sorted({parsed(u) for u in urls} - {("", "")})
+    parts = spark.createDataFrame(distinct, "host string, path string").withColumn("part", url_filter.part_of(F.col("host"), F.col("path"))).collect()
+    part = {(r.host, r.path): r.part for r in parts}
     grams = lambda h, p: (lambda s: [s[k : k + 4] for k in range(len(s) - 3)])("\2\2\2" + h + p + "\3")
     seen = {k: Counter() for k in ("allow", "block")}
-    for h, p in {parsed(u) for u in URLS} - {("", "")}:
-        if v := ruled(h, p)[1]:
+    for h, p in distinct:
+        if (v := ruled(h, p)[1]) and part[h, p] < 7:
             for g in grams(h, p):
                 for o in range(4):
                     seen[v][g[3 - o :]] += 1
@@ -200,16 +228,22 @@ def test_url_rules_and_ratio(spark):
             out = (seen[v][g[3 - o :]] + 4 * out) / (seen[v][f"c{o}{g[3 - o : 3]}"] + 4)
         return out
 
-    for k, u in enumerate(URLS):
+    score = {(h, p): sum(math.log(chance("allow", g)) - math.log(chance("block", g)) for g in grams(h, p)) / len(grams(h, p)) for h, p in distinct}
+    decided = [(ruled(*u)[1], part[u], score[u]) for u in distinct if ruled(*u)[1]]
+    cut = brute_cut(decided)
+    for k, u in enumerate(urls):
         h, p = parsed(u)
         rule, verdict = ruled(h, p)
         assert (got[k].host, got[k].path, got[k].rule) == (h, p, rule)
-        assert got[k].verdict == verdict or verdict is None and got[k].verdict in ("allow", "block")
-        if h or p:
-            mean = sum(math.log(chance("allow", g)) - math.log(chance("block", g)) for g in grams(h, p)) / len(grams(h, p))
-            assert got[k].score == pytest.approx(mean, abs=1e-6)
-        else:
+        if not h and not p:
             assert got[k].score is None and got[k].verdict == "block"
+            continue
+        assert got[k].score == pytest.approx(score[h, p], abs=1e-6)
+        assert got[k].cut == (None if cut is None else pytest.approx(cut))
+        assert got[k].verdict == (verdict or ("allow" if cut is None or got[k].score >= cut else "block"))
+    if more:  # the part that neither made the models nor the cut
+        held = [(v, s >= cut) for v, x, s in decided if x == 9]
+        assert len(held) > 20 and all(ok == (v == "allow") for v, ok in held)
 
 
 def test_urls_without_rules_or_rows(spark):

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evalforge.llm import byte_bpe, decontaminate, language_id, pii, quality, token_counts, token_store
+from evalforge.llm import byte_bpe, decontaminate, language_id, pii, quality, token_counts, token_store, tokens
 from evalforge.llm.fm_index import FMIndex
 from evalforge.llm.pretoken import Splitter, library_classes
 
@@ -35,8 +35,17 @@ def library_ids(text):
 @given(st.text(alphabet=st.sampled_from(list("ab's trevmld \n\t12!?é\u00a0\u3000漢²½\"'😀")), max_size=40))
 def test_splitter_agrees_with_the_pattern(text):
     data = np.frombuffer(text.encode(), np.uint8)
-    found, _ = Splitter(library_classes(LIB)).pieces(data, np.array([0, len(data)]))
-    assert [p.decode() for p in found] == regex.findall(P.PATTERN, text)
+    codes, distinct, _ = Splitter(library_classes(LIB)).coded(data, np.array([0, len(data)]))
+    assert [distinct[int(c)].as_py().decode() for c in codes] == regex.findall(P.PATTERN, text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab's tz \n12!?é\u00a0\u2003\u3000漢²\"'😀")), max_size=40), max_size=8))
+def test_pieces_are_encoded_as_each_would_be(texts):
+    pieces = [p.encode() for t in texts for p in regex.findall(P.PATTERN, t)]
+    ids, n = tokens.encode_pieces(JSON, pieces)
+    assert np.split(ids, np.cumsum(n)[:-1]) if pieces else not len(ids)
+    assert [i.tolist() for i in np.split(ids, np.cumsum(n)[:-1])][: len(pieces)] == [library_ids(p.decode()) for p in pieces]
 
 
 def test_token_counts(docs, rows, empty):
@@ -47,7 +56,7 @@ def test_token_counts(docs, rows, empty):
 
 
 def test_token_counts_beyond_the_table_of_frequent_pieces(docs, rows, monkeypatch):
-    monkeypatch.setattr(token_counts, "TOP", 5)
+    monkeypatch.setattr(token_counts, "TOP_BYTES", 600)
     got = token_counts.token_counts(docs, JSON).collect()
     assert sum(r.n_tokens for r in got) == sum(len(library_ids(t)) for _, t, *_ in rows)
 
@@ -92,7 +101,23 @@ def test_token_store(docs, rows, empty, spark, tmp_path):
     token_store.write(docs, path, JSON, 2)
     found = token_store.lookup(spark, path, [10])
     assert [r.ids for r in found.collect()] == [[*library_ids("one two three"), 2]]
-    assert "PushedFilters: [In(doc_id, [10])" in found._jdf.queryExecution().toString() or "doc_id" in found._jdf.queryExecution().toString()
+
+
+def scanned(df):
+    """How many rows the scan of a query reads."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_lookups_prune_by_row_index_and_bloom_filter(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = spark.range(0, 12_000, 1, 1).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    token_store.write(rows, path, JSON, 2)
+    assert scanned(token_store.read(spark, path)) == 12_000
+    one = token_store.lookup(spark, path, [6_000])
+    assert len(one.collect()) == 1 and 0 < scanned(one) <= 1000  # one row group of one file
+    assert scanned(token_store.lookup(spark, path, [6_001])) <= scanned(one)
+    assert sum(scanned(token_store.lookup(spark, path, [k])) == 0 for k in range(6_001, 6_101, 2)) >= 45  # between stored ids: Bloom filter
 
 
 # -- personal data --------------------------------------------------------------------------------------------------
@@ -159,7 +184,7 @@ def brute_statistics(text):
         if WORD.search(line):
             dup += line in seen
             seen.add(line)
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), sum(a == b for a, b in zip(words, words[1:]))
 
 
 @settings(max_examples=200, deadline=None)
@@ -186,13 +211,39 @@ def test_judge(spark, docs, rows, empty):
     assert quality.judge(empty, labels).count() == 0
 
 
-def test_forest_finds_outliers_and_the_threshold_keeps_the_good():
+def plain_path(f, x, at, level=0):
+    """The path length of one row by going down one tree."""
+    if f.feature[at] < 0:
+        return f.depth[at]
+    return plain_path(f, x, f.child[at] + int(x[f.feature[at]] > f.split[at]))
+
+
+def test_forest_finds_outliers_and_scores_by_mean_path_length():
     x = np.random.default_rng(1).normal(0, 1, (500, 3))
     f = quality.Forest.grow(x)
     assert f.score(np.array([[9.0, 9, 9]]))[0] > f.score(x).max() - 0.1 > f.score(np.zeros((1, 3)))[0]
-    good, bad = np.zeros(10, int), np.zeros(10, int)
-    good[2], good[8], bad[7] = 995, 5, 50
-    assert quality.threshold(good, bad) == pytest.approx(0.3) and quality.threshold(good, bad * 0) == 1.0
+    for row, got in zip(x[:20], f.score(x[:20])):
+        assert got == pytest.approx(2 ** (-np.mean([plain_path(f, row, r) for r in f.roots]) / f.scale))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=60), st.lists(st.integers(0, 9), max_size=60))
+def test_threshold_gains_most(good, bad):
+    got = quality.threshold(np.bincount(good, minlength=10), np.bincount(bad, minlength=10))
+    gain = lambda c: sum(b / 10 >= c for b in bad) / len(bad) - quality.GOOD_WEIGHT * sum(g / 10 >= c for g in good) / len(good)
+    if good and bad:
+        assert gain(got) == pytest.approx(max(gain(c / 10) for c in range(11)))
+    else:
+        assert got == 1.0
+
+
+def test_verdicts_on_labelled_rows_that_took_no_part(spark):
+    """Of rows whose labels are hidden: bad ones that pass the base rules are out, good ones stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    hidden = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    got = quality.judge(docs, labels.filter(~hidden)).join(labels.filter(hidden), "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")), F.count("*"))
+    kept = {q: (share, n) for q, share, n in got.collect()}
+    assert kept[0][1] > 50 and kept[0][0] <= 0.05 and kept[1][0] >= 0.98
 
 
 # -- language ID ------------------------------------------------------------------------------------------------------
