@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.adapters import PRIME, cluster_draws
 
 def weighted(stats: DataFrame, draws: DataFrame, cluster: str, keys: list[str], columns: list[str]) -> DataFrame:
     """Sums of the statistics by (rep, keys), each cluster as often as it was drawn. For some dozens of replicates."""
@@ -23,60 +22,55 @@ def interval(rows: DataFrame, keys: list[str], value: str, level: float = 0.95)
     return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), q(tail).alias("low"), q(1 - tail).alias("high"), F.count("*").alias("n_reps"))
 
 
-#: Draws that are made and counted at once. A position may come in several rows, whose weights add up.
-DRAWS = 1 << 20
+#: Replicates whose weights a task holds at once, in draws.
+DRAWS = 1 << 22
+
+
+def draws(n: int, rep: np.ndarray) -> np.ndarray:
+    """Positions drawn in each of these replicates, n of n: the same numbers as `adapters.draw_hash`."""
+    x = (np.arange(n, dtype=np.int64)[None, :] * 1103 + rep[:, None] * 7919 + 17) % PRIME
+    return x * x % PRIME * 48271 % PRIME % n
+
 
+def weights(n: int, rep: np.ndarray) -> np.ndarray:
+    """How often each of n positions is drawn in each replicate."""
+    at = draws(n, rep) + np.arange(len(rep))[:, None] * n
+    return np.bincount(at.ravel(), minlength=n * len(rep)).reshape(len(rep), n)
 
-def _drawn(n: int, seed: int):
-    """(rep, position, weight): the draws of default_rng([seed, rep]), made in parts that continue one another."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f["rep"]:
-                rng = np.random.default_rng([seed, int(r)])
-                for at in range(0, n, DRAWS):
-                    position, weight = np.unique(rng.integers(0, n, min(DRAWS, n - at)), return_counts=True)
-                    yield pd.DataFrame({"rep": int(r), "position": position, "weight": weight})
+def _cell(columns: list[str], keys: list[str], reps: int):
+    """Sums of one cell's statistics over all replicates, blocks of replicates at a time, as a matrix product."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        n = int(frame["_n"].iloc[0])
+        table = np.zeros((n, len(columns)))
+        table[frame["_position"].to_numpy()] = frame[columns].to_numpy(float)
+        step = max(1, DRAWS // n)
+        sums = np.concatenate([weights(n, np.arange(a, min(reps, a + step))) @ table for a in range(0, reps, step)])
+        out = pd.DataFrame({"rep": np.arange(reps), **{k: frame[k].iloc[0] for k in keys}})
+        out[columns] = sums
+        return out
 
     return run
 
 
-def vectorised(stats: DataFrame, cluster: str, keys: list[str], columns: list[str], reps: int, seed: int, limit: int = 64 << 20) -> DataFrame:
-    """(rep, keys, columns): many replicates as products of a (reps x clusters) weight matrix, in blocks of replicates.
+def vectorised(stats: DataFrame, cluster: str, keys: list[str], columns: list[str], reps: int, limit: int = 256 << 20) -> DataFrame:
+    """(rep, keys, columns): sums of the statistics over the clusters of each replicate's draw, one row a cluster and key.
 
-    The statistics, one row a cluster and key, are what every task needs: they are measured, and beyond `limit` bytes
-    the same draws are joined with them instead, which broadcasts nothing. So the size decides the plan only."""
-    spark = stats.sparkSession
-    n = stats.select(cluster).distinct().count()
-    rows = stats.count()
-    if rows * (len(columns) + len(keys) + 1) * 8 > limit:
-        from .maps import ranked
-
-        named = ranked(stats.select(cluster).distinct(), [cluster], F.floor(F.col(cluster) / 4096), "position")
-        drawn = spark.range(0, reps, 1, min(reps, 256)).select(F.col("id").alias("rep")).mapInPandas(_drawn(n, seed), "rep long, position long, weight long")
-        sums = weighted(stats, drawn.join(named, "position").select("rep", cluster, "weight"), cluster, keys, columns)
-        grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(stats.select(*keys).distinct())
-        return grid.join(sums, ["rep", *keys], "left").select("rep", *keys, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
-    table = stats.select(cluster, *keys, *columns).toPandas()
-    clusters = np.sort(table[cluster].unique())
-    cells = table[keys].drop_duplicates().sort_values(keys).reset_index(drop=True)
-    cube = np.zeros((n, len(cells) * len(columns)))
-    at = table.merge(cells.reset_index(names="_cell"), on=keys)
-    row = np.searchsorted(clusters, at[cluster])
-    for j, c in enumerate(columns):
-        cube[row, at["_cell"] * len(columns) + j] = at[c]
-    shared = spark.sparkContext.broadcast(cube)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f["rep"]:
-                rng = np.random.default_rng([seed, int(r)])
-                weight = np.bincount(rng.integers(0, n, n), minlength=n)
-                out = cells.copy()
-                out.insert(0, "rep", int(r))
-                out[columns] = (weight @ shared.value).reshape(len(cells), len(columns))
-                yield out
+    A draw takes as many clusters, with replacement, as there are; all keys share it. Where a cell's table (a row a
+    cluster) is measured to have at most `limit` bytes, each cell is a task that makes the draws itself and multiplies, so
+    nothing is broadcast; beyond it the same draws are joined with the statistics. The size decides the plan only."""
+    from .graph import cut
+    from .maps import ranked
 
+    spark = stats.sparkSession
+    named = cut(ranked(stats.select(cluster).distinct(), [cluster], F.floor(F.col(cluster) / 4096), "_position"))
+    n = named.count()
     kinds = {f.name: f.dataType.simpleString() for f in stats.schema.fields}
-    schema = ", ".join(["rep long", *(f"{k} {kinds[k]}" for k in keys), *(f"{c} double" for c in columns)])
-    return spark.range(reps).withColumnRenamed("id", "rep").repartition(8).mapInPandas(run, schema)
+    if n * len(columns) * 8 <= limit:
+        schema = ", ".join(["rep long", *(f"{k} {kinds[k]}" for k in keys), *(f"{c} double" for c in columns)])
+        placed = stats.join(named, cluster).select(*keys, "_position", F.lit(n).alias("_n"), *columns)
+        return placed.groupBy(*keys).applyInPandas(_cell(columns, keys, reps), schema)
+    sums = weighted(stats, cluster_draws(stats, cluster, reps, spark), cluster, keys, columns)
+    grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(F.broadcast(stats.select(*keys).distinct()))  # a row a replicate and cell
+    return grid.join(sums, ["rep", *keys], "left").select("rep", *keys, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))

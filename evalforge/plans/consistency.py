@@ -10,6 +10,8 @@ from ..operators import consistency as C
 from ..operators import curves as V
 from ..operators import metrics as M
 from ..operators import ranking as R
+from ..operators import resample as B
+from ..operators.graph import cut
 from ..sources import adapter_sql as S
 from ..sources import adapters as A
 from .accuracy import BINS_SQL, CURVE, CURVE_SQL, F1, KEYS
@@ -19,13 +21,14 @@ CELL = ["seed", "model", "family", "level"]
 SEEDS = A.SEEDS
 
 
-def perturbed(spark, sf, head="action", seeds=(43,), levels=(0, 2, 4)) -> DataFrame:
-    rows = M.predicted(A.actions(spark, sf, seeds=seeds, families=A.FAMILIES, levels=levels, head=head))
-    return C.against_clean(rows, KEYS)
+def perturbed(spark, sf, head="action", seeds=(43,), levels=A.LEVELS, models=A.MODELS) -> DataFrame:
+    """Perturbed rows with pred and, as `clean`, the clean prediction of the same seed, model and sample."""
+    rows = A.actions(spark, sf, seeds=seeds, models=models, families=A.FAMILIES, levels=[v for v in levels if v], head=head, clean=True)
+    return M.predicted(rows).withColumn("clean", E.hard(F.col("clean_logit")))
 
 
-def pairs_sql(head="action", seeds=(43,), levels=(0, 2, 4), name="pred") -> str:
-    pred = S.pred(seeds=seeds, families=A.FAMILIES, levels=levels, head=head, name=name)
+def pairs_sql(head="action", seeds=(43,), levels=A.LEVELS, name="pred", models=A.MODELS) -> str:
+    pred = S.pred(seeds=seeds, models=models, families=A.FAMILIES, levels=levels, head=head, name=name)
     return f"""{pred}, {name}_pair AS (SELECT a.seed, a.model, a.family, a.level, a.sample_ix, a.cluster_key, max(CASE WHEN (a.z >= 0) <> (c.z >= 0) THEN 1 ELSE 0 END) AS flip,
       sum(CASE WHEN a.z >= 0 AND c.z >= 0 THEN 1 ELSE 0 END) AS common, sum(CASE WHEN a.z >= 0 OR c.z >= 0 THEN 1 ELSE 0 END) AS joint
       FROM {name} a JOIN {name} c ON c.level = 0 AND c.family = 0 AND a.level > 0 AND a.seed = c.seed AND a.model = c.model AND a.sample_ix = c.sample_ix AND a.class_ix = c.class_ix GROUP BY ALL)"""
@@ -33,12 +36,14 @@ def pairs_sql(head="action", seeds=(43,), levels=(0, 2, 4), name="pred") -> str:
 
 @query(S.with_(S.SAMPLES, pairs_sql()) + "SELECT seed, model, family, level, round(avg(flip), 6) AS flip_rate FROM pred_pair GROUP BY ALL")
 def action_flip_rate(spark, sf):
-    return C.flips(perturbed(spark, sf), CELL).withColumn("flip_rate", E.r6(F.col("flip_rate")))
+    """As stored predictions have it: clean rows and perturbed ones are tables, paired by a join."""
+    rows = M.predicted(A.actions(spark, sf, families=A.FAMILIES, levels=A.LEVELS))
+    return C.flips(C.against_clean(rows, KEYS), CELL).withColumn("flip_rate", E.r6(F.col("flip_rate")))
 
 
-@query(S.with_(S.SAMPLES, pairs_sql("rationale", levels=(0, 4))) + "SELECT seed, model, family, level, round(avg(CASE WHEN joint = 0 THEN 1 ELSE common / CAST(joint AS DOUBLE) END), 6) AS jaccard FROM pred_pair GROUP BY ALL")
+@query(S.with_(S.SAMPLES, pairs_sql("rationale")) + "SELECT seed, model, family, level, round(avg(CASE WHEN joint = 0 THEN 1 ELSE common / CAST(joint AS DOUBLE) END), 6) AS jaccard FROM pred_pair GROUP BY ALL")
 def rationale_jaccard(spark, sf):
-    rows = C.overlaps(perturbed(spark, sf, "rationale", levels=(0, 4)))
+    rows = C.overlaps(perturbed(spark, sf, "rationale"))
     return C.jaccard_parts(rows, CELL).select(*CELL, E.r6(F.col("jaccard")).alias("jaccard"))
 
 
@@ -48,39 +53,92 @@ def jaccard_components(spark, sf):
     return C.jaccard_parts(C.overlaps(perturbed(spark, sf)), CELL).select(*CELL, *(E.r6(F.col(c)).alias(c) for c in ("jaccard", "empty_share", "jaccard_nonempty")))
 
 
-# -- five-seed bundle: one row a seed, model and metric ---------------------------------------------------------------
+# -- the study's bundle: 41 metrics a seed ------------------------------------------------------------------------------
+
+#: Model 0 predicts actions, model 1 actions and rationales; perturbations are taken at level 4 (fixed values).
+MODELS = ("action", "joint")
+KINDS = ("brightness", "blur", "noise")
+TEMPERATURES = (1.5, 1.25)
+_SAFETY = ("aurc", "unsafe_acceptance_rate_90", "ece_calibrated", "ece_uncalibrated")
+#: Derived metrics: name, less what, from what.
+DELTAS = [(f"delta_{m}::joint-action", f"{m}::joint", f"{m}::action") for m in ("action_macro_f1", *_SAFETY)]
+DELTAS += [(f"advantage_action_flip_rate_{k}::action-joint", f"action_flip_rate_{k}::action", f"action_flip_rate_{k}::joint") for k in (*KINDS, "mean_three")]
+
+
+def _long(wide: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(seed, metric, estimate) from columns of wide; a row of wide is a seed and what the name says."""
+    return wide.select("seed", F.inline(F.array(*(F.struct(F.expr(n).alias("metric"), F.col(c).cast("double").alias("estimate")) for c, n in names.items()))))
 
 
 def bundle(spark, sf, seeds=(43,)) -> DataFrame:
-    """seed, model, metric, estimate: action F1, selective risk, calibration, flips, rationale overlap."""
-    rows = M.scored(A.actions(spark, sf, seeds=seeds))
-    a = M.macro_f1(M.confusion(rows, KEYS), KEYS, "action_macro_f1")
-    s = R.selective(R.risk_curve(rows, KEYS), KEYS).select(*KEYS, "aurc_stable", "uar90", "error_rate")
-    e = M.ece(M.ece_bins(rows, KEYS), KEYS)
-    c = C.flips(perturbed(spark, sf, seeds=seeds, levels=(0, 4)), KEYS)
-    wide = a.join(s, KEYS).join(e, KEYS).join(c, KEYS)
-    names = ["action_macro_f1", "aurc_stable", "uar90", "error_rate", "ece", "flip_rate"]
-    return wide.select(*KEYS, F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("estimate")) for n in names))))
+    """seed, metric, estimate: F1 of actions and rationales, selective risk and calibration error, flips and rationale
+    overlap under each perturbation, and the models' differences."""
+    hot, model = A.actions(spark, sf, seeds=seeds), f"element_at(array{MODELS}, model + 1)"
+    kind = f"element_at(array{KINDS}, family + 1)"
+    top = F.array_max("logit")
+    rows = M.predicted(hot).withColumn("error", E.any_mismatch(F.col("pred"), F.col("target")))
+    risks = rows.select(*KEYS, "sample_ix", "error", E.sigmoid(top).alias("raw"), E.sigmoid(top / F.element_at(F.array(*map(F.lit, TEMPERATURES)), F.col("model") + 1)).alias("conf"))
+    risks = cut(risks)  # read three times: risk curve, two calibrations
+    counts = cut(M.confusion(rows, KEYS))
+    f1 = M.macro_f1(counts, KEYS).join(M.micro_f1(counts, KEYS), KEYS)
+    selective = R.selective(R.risk_curve(risks, KEYS), KEYS)
+    ece = M.ece(M.ece_bins(risks, KEYS), KEYS).withColumnRenamed("ece", "calibrated").join(M.ece(M.ece_bins(risks.withColumn("conf", F.col("raw")), KEYS), KEYS), KEYS)
+    flips = C.flips(perturbed(spark, sf, seeds=seeds, levels=(4,)), CELL)
+    clean = cut(M.confusion(M.predicted(A.actions(spark, sf, seeds=seeds, models=(1,), head="rationale")), KEYS))
+    why = M.macro_f1(clean, KEYS).join(M.micro_f1(clean, KEYS), KEYS)
+    overlap = C.jaccard_parts(C.overlaps(perturbed(spark, sf, "rationale", seeds, (4,), (1,))), CELL)
+    parts = [
+        _long(f1, {"macro_f1": f"concat('action_macro_f1::', {model})", "micro_f1": f"concat('action_micro_f1::', {model})"}),
+        _long(selective, {"aurc_stable": f"concat('aurc::', {model})", "uar90": f"concat('unsafe_acceptance_rate_90::', {model})"}),
+        _long(ece, {"calibrated": f"concat('ece_calibrated::', {model})", "ece": f"concat('ece_uncalibrated::', {model})"}),
+        _long(flips, {"flip_rate": f"concat('action_flip_rate_', {kind}, '::', {model})"}),
+        _long(why, {"macro_f1": "'rationale_macro_f1::joint'", "micro_f1": "'rationale_micro_f1::joint'"}),
+        _long(overlap, {c: f"concat('rationale_jaccard_', {kind}, '_{n}::joint')" for c, n in (("jaccard", "unconditional"), ("empty_share", "empty_empty_fraction"), ("jaccard_nonempty", "union_nonempty_conditional"))}),
+    ]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.union(p)
+    m = cut(long.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("metric", "estimate"))).alias("m")))  # 29 entries a seed
+    mean = lambda names: sum(F.col("m")[n] for n in names) / len(names)
+    threes = {f"action_flip_rate_mean_three::{x}": mean([f"action_flip_rate_{k}::{x}" for k in KINDS]) for x in MODELS}
+    threes["rationale_jaccard_mean_three::joint"] = mean([f"rationale_jaccard_{k}_unconditional::joint" for k in KINDS])
+    m = m.withColumn("m", F.map_concat("m", F.create_map(*(x for n, v in threes.items() for x in (F.lit(n), v)))))
+    m = m.withColumn("m", F.map_concat("m", F.create_map(*(x for n, a, b in DELTAS for x in (F.lit(n), F.col("m")[a] - F.col("m")[b])))))
+    return m.select("seed", F.explode("m").alias("metric", "estimate"))
 
 
 def bundle_sql(seeds=(43,)) -> str:
-    pred = S.pred(seeds=seeds)
+    model, kind = "CASE model WHEN 0 THEN 'action' ELSE 'joint' END", "CASE family WHEN 0 THEN 'brightness' WHEN 1 THEN 'blur' ELSE 'noise' END"
+    at = lambda n: f"max(CASE WHEN metric = '{n}' THEN estimate END)"
+    three = lambda n, names: f"SELECT seed, '{n}' AS metric, ({' + '.join(map(at, names))}) / 3 AS estimate FROM base GROUP BY seed"
+    threes = [three(f"action_flip_rate_mean_three::{x}", [f"action_flip_rate_{k}::{x}" for k in KINDS]) for x in MODELS]
+    threes.append(three("rationale_jaccard_mean_three::joint", [f"rationale_jaccard_{k}_unconditional::joint" for k in KINDS]))
+    deltas = " UNION ALL ".join(f"SELECT seed, '{n}', {at(a)} - {at(b)} FROM more GROUP BY seed" for n, a, b in DELTAS)
+    tally = lambda name, src: f"{name} AS (SELECT seed, model, class_ix, sum(CASE WHEN t = 1 AND z >= 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN t = 0 AND z >= 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN t = 1 AND z < 0 THEN 1 ELSE 0 END) AS fn FROM {src} GROUP BY ALL)"
+    micro = "coalesce(2.0::DOUBLE * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0)"
+    per = f"""per AS (SELECT seed, model, sample_ix, max(CASE WHEN (z >= 0) <> (t = 1) THEN 1 ELSE 0 END) AS e, 1 / (1 + exp(-max(z))) AS raw, 1 / (1 + exp(-max(z) / CASE model WHEN 0 THEN {TEMPERATURES[0]}::DOUBLE ELSE {TEMPERATURES[1]}::DOUBLE END)) AS conf FROM pred GROUP BY seed, model, sample_ix)"""
+    raw_bins = BINS_SQL.replace("bins AS", "raw_bins AS").replace("edges AS", "raw_edges AS").replace("JOIN edges", "JOIN raw_edges").replace("conf", "raw").replace("mean_raw", "mean_conf")
+    cal = "sum(abs(accuracy - mean_conf) * n) / sum(n)"
+    j = "CASE WHEN joint = 0 THEN 1 ELSE common / CAST(joint AS DOUBLE) END"
     return (
-        S.with_(S.SAMPLES, pred, S.PER)
-        + f""", {CURVE_SQL}, {BINS_SQL}, counts AS (SELECT seed, model, class_ix, sum(CASE WHEN t = 1 AND z >= 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN t = 0 AND z >= 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN t = 1 AND z < 0 THEN 1 ELSE 0 END) AS fn FROM pred GROUP BY ALL),
-  {pairs_sql(seeds=seeds, levels=(0, 4), name="pert")},
-  bundle AS (SELECT seed, model, 'action_macro_f1' AS metric, avg({F1}) AS estimate FROM counts GROUP BY ALL
-  UNION ALL SELECT seed, model, 'aurc_stable', avg(risk) FROM curve GROUP BY ALL
-  UNION ALL SELECT seed, model, 'uar90', max(CASE WHEN rn = greatest(1, ceil(0.9::DOUBLE * n)) THEN risk END) FROM curve GROUP BY ALL
-  UNION ALL SELECT seed, model, 'error_rate', avg(e) FROM per GROUP BY ALL
-  UNION ALL SELECT seed, model, 'ece', sum(abs(accuracy - mean_conf) * n) / sum(n) FROM bins GROUP BY ALL
-  UNION ALL SELECT seed, model, 'flip_rate', avg(flip) FROM pert_pair GROUP BY ALL)"""
+        S.with_(S.SAMPLES, S.pred(seeds=seeds), per, CURVE_SQL, BINS_SQL, raw_bins, tally("counts", "pred"), pairs_sql(seeds=seeds, levels=(0, 4), name="pert"), S.pred(seeds=seeds, models=(1,), head="rationale", name="why"), tally("why_counts", "why"), pairs_sql("rationale", seeds, (0, 4), "over", (1,)))
+        + f""", base AS (SELECT seed, 'action_macro_f1::' || {model} AS metric, avg({F1}) AS estimate FROM counts GROUP BY ALL
+  UNION ALL SELECT seed, 'action_micro_f1::' || {model}, {micro} FROM counts GROUP BY ALL
+  UNION ALL SELECT seed, 'aurc::' || {model}, avg(risk) FROM curve GROUP BY ALL
+  UNION ALL SELECT seed, 'unsafe_acceptance_rate_90::' || {model}, max(CASE WHEN rn = greatest(1, ceil(0.9::DOUBLE * n)) THEN risk END) FROM curve GROUP BY ALL
+  UNION ALL SELECT seed, 'ece_calibrated::' || {model}, {cal} FROM bins GROUP BY ALL UNION ALL SELECT seed, 'ece_uncalibrated::' || {model}, {cal} FROM raw_bins GROUP BY ALL
+  UNION ALL SELECT seed, 'action_flip_rate_' || {kind} || '::' || {model}, avg(flip) FROM pert_pair GROUP BY ALL
+  UNION ALL SELECT seed, 'rationale_macro_f1::joint', avg({F1}) FROM why_counts GROUP BY ALL UNION ALL SELECT seed, 'rationale_micro_f1::joint', {micro} FROM why_counts GROUP BY ALL
+  UNION ALL SELECT seed, 'rationale_jaccard_' || {kind} || '_unconditional::joint', avg({j}) FROM over_pair GROUP BY ALL
+  UNION ALL SELECT seed, 'rationale_jaccard_' || {kind} || '_empty_empty_fraction::joint', avg(CASE WHEN joint = 0 THEN 1 ELSE 0 END) FROM over_pair GROUP BY ALL
+  UNION ALL SELECT seed, 'rationale_jaccard_' || {kind} || '_union_nonempty_conditional::joint', coalesce(avg(CASE WHEN joint > 0 THEN {j} END), 1) FROM over_pair GROUP BY ALL),
+  more AS (FROM base UNION ALL {" UNION ALL ".join(threes)}), bundle AS (FROM more UNION ALL {deltas})"""
     )
 
 
-@query(bundle_sql() + " SELECT seed, model, metric, round(estimate, 6) AS estimate FROM bundle")
+@query(bundle_sql() + " SELECT metric, round(estimate, 6) AS estimate FROM bundle")
 def rq1_metrics(spark, sf):
-    return bundle(spark, sf).withColumn("estimate", E.r6(F.col("estimate")))
+    return bundle(spark, sf).select("metric", E.r6(F.col("estimate")).alias("estimate"))
 
 
 FIVE = bundle_sql(SEEDS)
@@ -90,43 +148,87 @@ def five(spark, sf) -> DataFrame:
     return bundle(spark, sf, SEEDS)
 
 
-@query(FIVE + " SELECT model, metric, round(avg(estimate), 6) AS mean, round(stddev_samp(estimate), 6) AS sd, count(*) AS n FROM bundle GROUP BY ALL")
+@query(FIVE + " SELECT metric, round(avg(estimate), 6) AS mean, round(stddev_samp(estimate), 6) AS sd, count(*) AS n FROM bundle GROUP BY ALL")
 def seed_summary(spark, sf):
-    return five(spark, sf).groupBy("model", "metric").agg(E.r6(F.avg("estimate")).alias("mean"), E.r6(F.stddev_samp("estimate")).alias("sd"), F.count("*").alias("n"))
-
-
-def deltas(rows: DataFrame) -> DataFrame:
-    """The second model less the first by seed and metric."""
-    at = lambda m: F.max(F.when(F.col("model") == m, F.col("estimate")))
-    return rows.groupBy("seed", "metric").agg((at(1) - at(0)).alias("delta"))
-
+    return five(spark, sf).groupBy("metric").agg(E.r6(F.avg("estimate")).alias("mean"), E.r6(F.stddev_samp("estimate")).alias("sd"), F.count("*").alias("n"))
 
-DELTAS = ", deltas AS (SELECT seed, metric, max(CASE WHEN model = 1 THEN estimate END) - max(CASE WHEN model = 0 THEN estimate END) AS delta FROM bundle GROUP BY ALL)"
 
-
-@query(FIVE + DELTAS + " SELECT metric, round(avg(delta), 6) AS mean_delta, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high FROM deltas GROUP BY ALL")
+@query(FIVE + """, s AS (SELECT metric, seed, estimate - lag(estimate) OVER (PARTITION BY metric ORDER BY seed) AS step FROM bundle), g AS (SELECT *, CASE WHEN step > 1e-12 THEN 1 WHEN step < -1e-12 THEN -1 END AS sg FROM s),
+  l AS (SELECT metric, sg, lag(sg) OVER (PARTITION BY metric ORDER BY seed) AS before FROM g WHERE sg IS NOT NULL) SELECT metric, CAST(coalesce(sum(CASE WHEN sg <> before THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_crossings FROM l GROUP BY ALL""")
+def contrast_stability(spark, sf):
+    rows = V.steps(five(spark, sf), ["metric"], "seed", "estimate")
+    return V.crossings(rows, ["metric"], "seed", "step")
+
+
+# -- contrasts: the seed -> image bootstrap of the models' differences -------------------------------------------------
+
+REPS = 2000
+#: Sums by cluster: true and false positives and false negatives by label, samples, flips under each perturbation.
+SUMS = [f"{k}{c}" for k in ("tp", "fp", "fn") for c in range(A.ACTIONS)]
+FLIPS = [f"flips_{k}" for k in KINDS]
+CONTRASTS = ["delta_action_macro_f1", *(f"advantage_action_flip_rate_{k}" for k in (*KINDS, "mean_three"))]
+#: Draws are made anew for every drawn seed: replicate 5 r + slot.
+CLUSTERS_SQL = "clusters AS (SELECT cluster_key, dense_rank() OVER (ORDER BY cluster_key) - 1 AS position FROM (SELECT DISTINCT cluster_key FROM samples))"
+_WIDE_SQL = ", ".join(f"sum(CASE WHEN class_ix = {c} AND {w} THEN 1 ELSE 0 END) AS {k}{c}" for k, w in (("tp", "t = 1 AND z >= 0"), ("fp", "t = 0 AND z >= 0"), ("fn", "t = 1 AND z < 0")) for c in range(A.ACTIONS))
+_MACRO_SQL = "(" + " + ".join(f"coalesce(2.0::DOUBLE * tp{c} / nullif(2 * tp{c} + fp{c} + fn{c}, 0), 0)" for c in range(A.ACTIONS)) + f") / {A.ACTIONS}"
+_DIFF = lambda v, a, b: f"max(CASE WHEN model = {a} THEN {v} END) - max(CASE WHEN model = {b} THEN {v} END)"
+_CONTRAST_ROWS = " UNION ALL ".join(f"SELECT rep, slot, '{n}' AS contrast, {e} AS v FROM m GROUP BY ALL" for n, e in zip(CONTRASTS, [_DIFF("macro", 1, 0), *(_DIFF(f"{f} / n", 0, 1) for f in FLIPS), _DIFF(f"({' + '.join(FLIPS)}) / n / 3", 0, 1)]))
+CONTRAST_SQL = (
+    S.with_(S.SAMPLES, S.pred(seeds=SEEDS), pairs_sql(seeds=SEEDS, levels=(0, 4), name="pert"), CLUSTERS_SQL, S.draws("SELECT count(*) FROM clusters", 5 * REPS), S.seed_slots(REPS))
+    + f""", a AS (SELECT seed, model, cluster_key, {_WIDE_SQL} FROM pred GROUP BY ALL), b AS (SELECT seed, model, cluster_key, count(*) / 3 AS n, {", ".join(f"sum(CASE WHEN family = {k} THEN flip ELSE 0 END) AS {f}" for k, f in enumerate(FLIPS))} FROM pert_pair GROUP BY ALL),
+  st AS (FROM a JOIN b USING (seed, model, cluster_key)), m AS (SELECT rep, slot, model, {_MACRO_SQL} AS macro, n, {", ".join(FLIPS)} FROM (SELECT s.rep, s.slot, st.model, {", ".join(f"CAST(sum(weight * {c}) AS DOUBLE) AS {c}" for c in [*SUMS, "n", *FLIPS])}
+    FROM drawn d JOIN slots s ON d.rep = s.rep * 5 + s.slot JOIN clusters USING (position) JOIN st ON st.cluster_key = clusters.cluster_key AND st.seed = s.seed GROUP BY ALL)), c AS ({_CONTRAST_ROWS}), con AS (SELECT contrast, rep, avg(v) AS v FROM c GROUP BY ALL)"""
+)
+
+
+def contrast_draws(spark, sf) -> DataFrame:
+    """contrast, rep, v: the models' differences, averaged over each replicate's five drawn seeds, each with clusters of
+    its own draw."""
+    rows = M.predicted(A.actions(spark, sf, seeds=SEEDS))
+    is_ = lambda c, t, p: F.sum(((F.get("target", F.lit(c)) == t) & (F.get("pred", F.lit(c)) == p)).cast("long"))
+    sums = [is_(c, t, p).alias(f"{k}{c}") for k, t, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0)) for c in range(A.ACTIONS)]
+    flip = E.any_mismatch(F.col("pred"), F.col("clean"))
+    flips = perturbed(spark, sf, seeds=SEEDS, levels=(4,)).groupBy(*KEYS, "cluster_key").agg(*(F.sum(F.when(F.col("family") == k, flip).otherwise(0)).alias(f) for k, f in enumerate(FLIPS)))
+    stats = rows.groupBy(*KEYS, "cluster_key").agg(*sums, F.count("*").alias("n")).join(flips, [*KEYS, "cluster_key"])
+    out = B.vectorised(stats, "cluster_key", KEYS, [*SUMS, "n", *FLIPS], 5 * REPS).withColumn("slot", F.col("rep") % 5).withColumn("rep", F.floor(F.col("rep") / 5))
+    out = out.join(F.broadcast(A.seed_slots(spark, REPS)), ["rep", "slot", "seed"])
+    macro = sum(E.f1(*(F.col(f"{k}{c}") for k in ("tp", "fp", "fn"))) for c in range(A.ACTIONS)) / A.ACTIONS
+    at = lambda v, m: F.max(F.when(F.col("model") == m, v))
+    rate = {k: F.col(f) / F.col("n") for k, f in zip(KINDS, FLIPS)}
+    values = [at(macro, 1) - at(macro, 0), *(at(r, 0) - at(r, 1) for r in rate.values()), at(sum(rate.values()) / 3, 0) - at(sum(rate.values()) / 3, 1)]
+    wide = out.groupBy("rep", "slot").agg(*(v.alias(n) for n, v in zip(CONTRASTS, values)))
+    long = wide.select("rep", F.inline(F.array(*(F.struct(F.lit(n).alias("contrast"), F.col(n).alias("v")) for n in CONTRASTS))))
+    return long.groupBy("contrast", "rep").agg(F.avg("v").alias("v"))
+
+
+@query(CONTRAST_SQL + " SELECT contrast, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS n_reps FROM con GROUP BY ALL")
 def paired_contrasts(spark, sf):
-    q = lambda p: E.r6(F.percentile("delta", F.lit(p)))
-    return deltas(five(spark, sf)).groupBy("metric").agg(E.r6(F.avg("delta")).alias("mean_delta"), q(0.025).alias("low"), q(0.975).alias("high"))
+    return B.interval(contrast_draws(spark, sf), ["contrast"], "v")
 
 
-@query(FIVE + DELTAS + " SELECT metric, round(avg(CASE WHEN delta > 0 THEN 1 ELSE 0 END), 6) AS share_positive, round(avg(CASE WHEN delta < 0 THEN 1 ELSE 0 END), 6) AS share_negative FROM deltas GROUP BY ALL")
+@query(CONTRAST_SQL + " SELECT contrast, round(avg(CASE WHEN v > 0 THEN 1 ELSE 0 END), 6) AS share_positive, round(avg(CASE WHEN v < 0 THEN 1 ELSE 0 END), 6) AS share_negative FROM con GROUP BY ALL")
 def contrast_sign_mass(spark, sf):
     share = lambda c: E.r6(F.avg(c.cast("double")))
-    return deltas(five(spark, sf)).groupBy("metric").agg(share(F.col("delta") > 0).alias("share_positive"), share(F.col("delta") < 0).alias("share_negative"))
+    return contrast_draws(spark, sf).groupBy("contrast").agg(share(F.col("v") > 0).alias("share_positive"), share(F.col("v") < 0).alias("share_negative"))
 
 
-@query(FIVE + DELTAS + """, m AS (SELECT metric, avg(delta) AS d, min(delta) AS lo, max(delta) AS hi FROM deltas GROUP BY ALL) SELECT metric, abs(d) <= 0.02 AS equivalent, metric = 'flip_rate' AND hi < 0 AS flip_supported, lo > 0 AS all_positive FROM m""")
-def rq1_decisions(spark, sf):
-    m = deltas(five(spark, sf)).groupBy("metric").agg(F.avg("delta").alias("d"), F.min("delta").alias("lo"), F.max("delta").alias("hi"))
-    return m.select("metric", (F.abs("d") <= 0.02).alias("equivalent"), ((F.col("metric") == "flip_rate") & (F.col("hi") < 0)).alias("flip_supported"), (F.col("lo") > 0).alias("all_positive"))
+_FLIP3 = "advantage_action_flip_rate_mean_three::action-joint"
+_GUARDS = ", ".join(f"'advantage_action_flip_rate_{k}::action-joint'" for k in KINDS)
 
 
-@query(FIVE + """, s AS (SELECT model, seed, metric, estimate - lag(estimate) OVER (PARTITION BY model, metric ORDER BY seed) AS step FROM bundle), g AS (SELECT *, CASE WHEN step > 1e-12 THEN 1 WHEN step < -1e-12 THEN -1 END AS sg FROM s),
-  l AS (SELECT model, metric, sg, lag(sg) OVER (PARTITION BY model, metric ORDER BY seed) AS before FROM g WHERE sg IS NOT NULL) SELECT model, metric, CAST(coalesce(sum(CASE WHEN sg <> before THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_crossings FROM l GROUP BY ALL""")
-def contrast_stability(spark, sf):
-    rows = V.steps(five(spark, sf), ["model", "metric"], "seed", "estimate")
-    return V.crossings(rows, ["model", "metric"], "seed", "step")
+@query("WITH q AS (" + CONTRAST_SQL + " SELECT quantile_cont(v, 0.025) >= -0.03 AND quantile_cont(v, 0.975) <= 0.03 AS action_equivalent FROM con WHERE contrast = 'delta_action_macro_f1'), f AS (" + FIVE
+       + f""" SELECT avg(CASE WHEN metric = '{_FLIP3}' THEN estimate END) >= 0.01 AND count(*) FILTER (metric = '{_FLIP3}' AND estimate > 0) >= 4 AND (SELECT min(x) >= -0.01 FROM (SELECT avg(estimate) AS x FROM bundle WHERE metric IN ({_GUARDS}) GROUP BY metric)) AS flip_supported FROM bundle)
+  SELECT action_equivalent, flip_supported FROM q, f""")
+def rq1_decisions(spark, sf):
+    """Equivalence: the interval of the macro-F1 difference lies within 0.03. Flip support: a mean advantage of 0.01 or
+    more, positive for four of five seeds, and no perturbation below -0.01."""
+    draws = contrast_draws(spark, sf).filter("contrast = 'delta_action_macro_f1'")
+    q = draws.agg(((F.percentile("v", F.lit(0.025)) >= -0.03) & (F.percentile("v", F.lit(0.975)) <= 0.03)).alias("action_equivalent"))
+    rows = five(spark, sf)
+    mean = F.avg(F.when(F.col("metric") == _FLIP3, F.col("estimate")))
+    seeds = F.count_if((F.col("metric") == _FLIP3) & (F.col("estimate") > 0))
+    guards = [F.avg(F.when(F.col("metric") == f"advantage_action_flip_rate_{k}::action-joint", F.col("estimate"))) >= -0.01 for k in KINDS]
+    return q.join(F.broadcast(rows.agg(((mean >= 0.01) & (seeds >= 4) & guards[0] & guards[1] & guards[2]).alias("flip_supported"))))
 
 
 CROSS_SQL = CURVE + """, d AS (SELECT seed, rn, max(CASE WHEN model = 1 THEN risk END) - max(CASE WHEN model = 0 THEN risk END) AS diff FROM curve GROUP BY ALL), s AS (SELECT seed, rn, CASE WHEN diff > 1e-12 THEN 1 ELSE -1 END AS sg FROM d WHERE abs(diff) > 1e-12),
@@ -151,15 +253,15 @@ def curve_crossings(spark, sf):
 # -- dose-response over families and levels -----------------------------------------------------------------------------
 
 
-def dose(spark, sf, seeds=(43, 44)) -> DataFrame:
-    """seed, model, family, level, error_rate and flip_rate at all levels; flips are 0 at the clean one."""
-    rows = M.predicted(A.actions(spark, sf, seeds=seeds, families=A.FAMILIES, levels=A.LEVELS))
-    errors = rows.groupBy(*CELL).agg(F.avg(E.any_mismatch(F.col("pred"), F.col("target")).cast("double")).alias("error_rate"))
-    flips = C.flips(C.against_clean(rows, KEYS), CELL)
-    return errors.join(flips, CELL, "left").withColumn("flip_rate", F.coalesce("flip_rate", F.lit(0.0)))
+def dose(spark, sf, seeds=SEEDS) -> DataFrame:
+    """seed, model, family, level, error_rate and flip_rate at all levels; flips are 0 at the clean one. A row a cell, made
+    in one pass and written, as all that follow read it several times."""
+    rows = M.predicted(A.actions(spark, sf, seeds=seeds, families=A.FAMILIES, levels=A.LEVELS, clean=True)).withColumn("clean", E.hard(F.col("clean_logit")))
+    rate = lambda a, b: F.avg(E.any_mismatch(F.col(a), F.col(b)).cast("double"))
+    return cut(rows.groupBy(*CELL).agg(rate("pred", "target").alias("error_rate"), rate("pred", "clean").alias("flip_rate")))
 
 
-def dose_sql(seeds=(43, 44)) -> str:
+def dose_sql(seeds=SEEDS) -> str:
     return S.with_(S.SAMPLES, pairs_sql(seeds=seeds, levels=A.LEVELS)) + """, err AS (SELECT seed, model, family, level, avg(e) AS error_rate FROM (SELECT seed, model, family, level, sample_ix, max(CASE WHEN (z >= 0) <> (t = 1) THEN 1 ELSE 0 END) AS e FROM pred GROUP BY ALL) GROUP BY ALL),
   flip AS (SELECT seed, model, family, level, avg(flip) AS flip_rate FROM pred_pair GROUP BY ALL), dose AS (SELECT err.*, coalesce(flip_rate, 0) AS flip_rate FROM err LEFT JOIN flip USING (seed, model, family, level))"""
 
@@ -179,88 +281,205 @@ def bottleneck(spark, sf):
     return V.bottleneck(dose(spark, sf), CURVE_KEYS, "level", "flip_rate").withColumn("bottleneck", E.r6(F.col("bottleneck")))
 
 
-@query(DOSE + STEP_SQL + ", b AS (SELECT seed, model, family, min(step) AS bottleneck FROM st GROUP BY ALL) SELECT model, family, round(avg(bottleneck), 6) AS bottleneck FROM b GROUP BY ALL")
-def axis_bottlenecks(spark, sf):
-    per = V.bottleneck(dose(spark, sf), CURVE_KEYS, "level", "flip_rate")  # by seed first, then the mean
-    return per.groupBy("model", "family").agg(E.r6(F.avg("bottleneck")).alias("bottleneck"))
-
-
 @query(DOSE + MEAN_SQL + " SELECT model, family, bool_and(step >= 0) AS no_reversal FROM ms GROUP BY ALL")
 def mean_curve_no_reversal(spark, sf):
     return V.no_reversal(mean_dose(dose(spark, sf)), ["model", "family"], "level", "flip_rate")
 
 
-END_SQL = ", ends AS (SELECT seed, model, family, max(CASE WHEN level = 4 THEN flip_rate END) - max(CASE WHEN level = 0 THEN flip_rate END) AS effect FROM dose GROUP BY ALL)"
+# -- the four axes: A action F1, R rationale F1, S selective risk, C1 flips ------------------------------------------------
+
+#: The sign in which each axis answers a perturbation: F1 falls, risk and flips rise.
+SIGNS = {"A": -1.0, "R": -1.0, "S": 1.0, "C1": 1.0}
+#: The least endpoint effect that counts in practice, by axis (parameters of the gate).
+PRACTICAL = {"A": 0.01, "R": 0.005, "S": 0.005, "C1": 0.05}
+
+
+def axes(spark, sf, seeds=SEEDS) -> DataFrame:
+    """axis, seed, model, family, level, value of every cell: A macro-F1 of actions, R macro-F1 of rationales (model 1),
+    S tie-averaged AURC, C1 flip rate. The clean level is worked out once a seed and model and stands in each family."""
+
+    def cells(build) -> DataFrame:
+        clean = build(families=(0,), levels=(0,)).drop("family").withColumn("family", F.explode(F.array(*map(F.lit, A.FAMILIES))))
+        return clean.select(*CELL, "value").union(build(families=A.FAMILIES, levels=A.LEVELS[1:]).select(*CELL, "value"))
+
+    def actions(families, levels):
+        return M.macro_f1(M.confusion(M.predicted(A.actions(spark, sf, seeds=seeds, families=families, levels=levels)), CELL), CELL, "value")
+
+    def reasons(families, levels):
+        return M.macro_f1(M.confusion(M.predicted(A.actions(spark, sf, seeds, (1,), families, levels, "rationale")), CELL), CELL, "value")
+
+    def risk(families, levels):
+        rows = M.predicted(A.actions(spark, sf, seeds=seeds, families=families, levels=levels)).withColumn("error", E.any_mismatch(F.col("pred"), F.col("target")))
+        return R.aurc_tie_averaged(rows.withColumn("conf", E.sigmoid(F.array_max("logit"))), CELL, name="value")
+
+    flips = dose(spark, sf, seeds).select(*CELL, F.col("flip_rate").alias("value"))
+    parts = [x.select(F.lit(n).alias("axis"), *CELL, "value") for n, x in (("A", cells(actions)), ("R", cells(reasons)), ("S", cells(risk)), ("C1", flips))]
+    return cut(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))
+
 
+_AXIS_PER = """per AS (SELECT seed, model, family, level, sample_ix, max(CASE WHEN (z >= 0) <> (t = 1) THEN 1 ELSE 0 END) AS e, 1 / (1 + exp(-least(greatest(max(z), -50), 50))) AS conf FROM pred WHERE level > 0 OR family = 0 GROUP BY ALL)"""
+_G = "seed, model, family, level"
+_AXIS_TIE = f"""g AS (SELECT {_G}, conf, count(*) AS n, sum(e) AS z FROM per GROUP BY ALL), gp AS (SELECT *, coalesce(sum(n) OVER w, 0) AS before, coalesce(sum(z) OVER w, 0) AS wrong FROM g WINDOW w AS (PARTITION BY {_G} ORDER BY conf DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  risk AS (SELECT {_G}, n, wrong, z, before, unnest(range(CAST(before + 1 AS BIGINT), CAST(before + n + 1 AS BIGINT))) AS k FROM gp), aurc AS (SELECT {_G}, avg((wrong + z / CAST(n AS DOUBLE) * (k - before)) / k) AS value FROM risk GROUP BY ALL)"""
+_TALLY = "SELECT {g}, class_ix, sum(CASE WHEN t = 1 AND z >= 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN t = 0 AND z >= 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN t = 1 AND z < 0 THEN 1 ELSE 0 END) AS fn FROM {src} GROUP BY ALL"
+AXES_SQL = DOSE + f""", {S.pred(SEEDS, (1,), A.FAMILIES, A.LEVELS, "rationale", "why")}, {_AXIS_PER}, {_AXIS_TIE},
+  axes AS (SELECT 'A' AS axis, {_G}, avg({F1}) AS value FROM ({_TALLY.format(g=_G, src="pred")}) GROUP BY ALL UNION ALL SELECT 'R', {_G}, avg({F1}) FROM ({_TALLY.format(g=_G, src="why")}) GROUP BY ALL
+  UNION ALL SELECT 'S', seed, model, f.family, level, value FROM aurc JOIN (VALUES (0), (1), (2)) AS f(family) ON aurc.level = 0 OR aurc.family = f.family UNION ALL SELECT 'C1', {_G}, flip_rate FROM dose)"""
+_SIGN_SQL = "CASE WHEN axis IN ('A', 'R') THEN -1 ELSE 1 END"
+AXIS_STEP_SQL = f", ast AS (SELECT *, {_SIGN_SQL} * (value - lag(value) OVER (PARTITION BY axis, {_G.replace(', level', '')} ORDER BY level)) AS step FROM axes), ab AS (SELECT axis, seed, family, min(step) AS bottleneck FROM ast GROUP BY ALL)"
+AXIS_KEYS = ["axis", "seed", "model", "family"]
 
-@query(DOSE + END_SQL + " SELECT seed, model, family, round(effect, 6) AS effect FROM ends")
+
+def signed(rows: DataFrame) -> DataFrame:
+    """axes with a value that rises where the axis answers as expected."""
+    sign = F.create_map(*(F.lit(x) for kv in SIGNS.items() for x in kv))[F.col("axis")]
+    return rows.withColumn("value", sign * F.col("value"))
+
+
+def axis_bottleneck(rows: DataFrame) -> DataFrame:
+    """axis, seed, family, bottleneck: the least step of the axis's curves, both models' where it has two."""
+    return V.bottleneck(signed(rows), AXIS_KEYS, "level", "value").groupBy("axis", "seed", "family").agg(F.min("bottleneck").alias("bottleneck"))
+
+
+@query(AXES_SQL + AXIS_STEP_SQL + " SELECT axis, family, round(avg(bottleneck), 6) AS bottleneck FROM ab GROUP BY ALL")
+def axis_bottlenecks(spark, sf):
+    per = axis_bottleneck(axes(spark, sf))  # by seed first, then the mean
+    return per.groupBy("axis", "family").agg(E.r6(F.avg("bottleneck")).alias("bottleneck"))
+
+
+END_SQL = f", ends AS (SELECT axis, seed, model, family, {_SIGN_SQL} * (max(CASE WHEN level = 4 THEN value END) - max(CASE WHEN level = 0 THEN value END)) AS effect FROM axes GROUP BY axis, seed, model, family)"
+_PRACTICAL_SQL = "CASE axis " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRACTICAL.items()) + " END"
+
+
+def axis_ends(rows: DataFrame) -> DataFrame:
+    return V.endpoints(signed(rows), AXIS_KEYS, "level", "value", 0, 4)
+
+
+@query(AXES_SQL + END_SQL + " SELECT axis, seed, model, family, round(effect, 6) AS effect FROM ends")
 def endpoint_effects(spark, sf):
-    return V.endpoints(dose(spark, sf), CURVE_KEYS, "level", "flip_rate", 0, 4).withColumn("effect", E.r6(F.col("effect")))
+    return axis_ends(axes(spark, sf)).withColumn("effect", E.r6(F.col("effect")))
 
 
-#: The least effect that counts in practice, by family (fixed values).
-PRACTICAL = {0: 0.05, 1: 0.4, 2: 0.9}
+def practical(ends: DataFrame) -> DataFrame:
+    """axis, model, family, effect (mean over seeds), passed."""
+    least = F.create_map(*(F.lit(x) for kv in PRACTICAL.items() for x in kv))[F.col("axis")]
+    return ends.groupBy("axis", "model", "family").agg(F.avg("effect").alias("effect")).withColumn("passed", F.col("effect") >= least)
 
 
-@query(DOSE + END_SQL + ", m AS (SELECT model, family, avg(effect) AS effect FROM ends GROUP BY ALL) SELECT model, family, round(effect, 6) AS effect, effect >= CASE family WHEN 0 THEN 0.05 WHEN 1 THEN 0.4 ELSE 0.9 END AS passed FROM m")
+@query(AXES_SQL + END_SQL + f", m AS (SELECT axis, model, family, avg(effect) AS effect FROM ends GROUP BY ALL) SELECT axis, model, family, round(effect, 6) AS effect, effect >= {_PRACTICAL_SQL} AS passed FROM m")
 def practical_gate(spark, sf):
-    m = V.endpoints(dose(spark, sf), CURVE_KEYS, "level", "flip_rate", 0, 4).groupBy("model", "family").agg(F.avg("effect").alias("effect"))
-    least = F.create_map(*(F.lit(x) for kv in PRACTICAL.items() for x in kv))[F.col("family")]
-    return m.select("model", "family", E.r6(F.col("effect")).alias("effect"), (F.col("effect") >= least).alias("passed"))
+    return practical(axis_ends(axes(spark, sf))).withColumn("effect", E.r6(F.col("effect")))
+
+
+# -- the bootstrap of flip curves, which bounds the gates' bottlenecks ----------------------------------------------------
+
+#: Twelve gates share an error of 0.05.
+BONFERRONI = 0.05 / 12
+_AT = lambda v: f"max(CASE WHEN level = {v} THEN v END)"
+CORRUPTION_SQL = (
+    S.with_(S.SAMPLES, pairs_sql(seeds=SEEDS), CLUSTERS_SQL, S.draws("SELECT count(*) FROM clusters", REPS), S.seed_draws(REPS))
+    + f""", fs AS (SELECT seed, model, family, cluster_key, count(*) / 4 AS n, {", ".join(f"sum(CASE WHEN level = {v} THEN flip ELSE 0 END) AS f{v}" for v in A.LEVELS[1:])} FROM pred_pair GROUP BY ALL),
+  bs AS (SELECT rep, seed, model, family, {", ".join(f"CAST(sum(weight * f{v}) AS DOUBLE) / sum(weight * n) AS v{v}" for v in A.LEVELS[1:])} FROM fs JOIN clusters USING (cluster_key) JOIN drawn USING (position) GROUP BY ALL),
+  cb AS (SELECT rep, family, sum(b * times) / sum(times) AS v FROM (SELECT rep, seed, family, min(least(v1, v2 - v1, v3 - v2, v4 - v3)) AS b FROM bs GROUP BY ALL) JOIN seeds USING (rep, seed) GROUP BY ALL)"""
+)
+
+
+def corruption_draws(spark, sf) -> DataFrame:
+    """rep, family, v: bottlenecks of flip curves over both models and all four steps, by seed before seeds are averaged;
+    clusters and seeds are shared by all families."""
+    flip = E.any_mismatch(F.col("pred"), F.col("clean"))
+    keys = [*KEYS, "family"]
+    columns = [f"f{v}" for v in A.LEVELS[1:]]
+    stats = perturbed(spark, sf, seeds=SEEDS).groupBy(*keys, "cluster_key").agg((F.count("*") / 4).cast("long").alias("n"), *(F.sum(F.when(F.col("level") == v, flip).otherwise(0)).alias(f"f{v}") for v in A.LEVELS[1:]))
+    rows = B.vectorised(stats, "cluster_key", keys, ["n", *columns], REPS)
+    rate = [F.lit(0.0), *(F.col(c) / F.col("n") for c in columns)]
+    least = rows.groupBy("rep", "seed", "family").agg(F.min(F.least(*(b - a for a, b in zip(rate[:-1], rate[1:])))).alias("b"))
+    mean = least.join(F.broadcast(A.seed_draws(spark, REPS)), ["rep", "seed"])
+    return mean.groupBy("rep", "family").agg((F.sum(F.col("b") * F.col("times")) / F.sum("times")).alias("v"))
 
 
-GATE_SQL = DOSE + STEP_SQL + MEAN_SQL + END_SQL + """, b AS (SELECT seed, model, family, min(step) AS b FROM st GROUP BY ALL), g AS (SELECT model, family, avg(b) AS mean_bottleneck, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS n_positive, count(*) AS n FROM b GROUP BY ALL),
-  r AS (SELECT model, family, bool_and(step >= 0) AS no_reversal FROM ms GROUP BY ALL), f AS (SELECT model, family, avg(effect) AS effect FROM ends GROUP BY ALL)"""
+@query(CORRUPTION_SQL + f" SELECT family, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round(quantile_cont(v, {BONFERRONI!r}), 6) AS bonferroni_low, count(*) AS n_reps FROM cb GROUP BY ALL")
+def bootstrap_corruption(spark, sf):
+    rows = cut(corruption_draws(spark, sf))
+    low = rows.groupBy("family").agg(E.r6(F.percentile("v", F.lit(BONFERRONI))).alias("bonferroni_low"))
+    return B.interval(rows, ["family"], "v").join(low, "family")
 
 
-def gate_parts(spark, sf) -> DataFrame:
-    rows = dose(spark, sf)
-    b = V.bottleneck(rows, CURVE_KEYS, "level", "flip_rate").groupBy("model", "family").agg(F.avg("bottleneck").alias("mean_bottleneck"), F.sum((F.col("bottleneck") > 0).cast("long")).alias("n_positive"), F.count("*").alias("n"))
-    r = V.no_reversal(mean_dose(rows), ["model", "family"], "level", "flip_rate")
-    f = V.endpoints(rows, CURVE_KEYS, "level", "flip_rate", 0, 4).groupBy("model", "family").agg(F.avg("effect").alias("effect"))
-    return b.join(r, ["model", "family"]).join(f, ["model", "family"])
+def gate_conditions(rows: DataFrame) -> DataFrame:
+    """axis, family and the gate's point conditions, from axes: four of five seeds, the mean, no reversal of a mean curve,
+    every endpoint."""
+    b = axis_bottleneck(rows).groupBy("axis", "family").agg((F.count_if(F.col("bottleneck") > 0) >= 4).alias("enough_seeds"), (F.avg("bottleneck") > 0).alias("mean_positive"))
+    mean = signed(rows).groupBy("axis", "model", "family", "level").agg(F.avg("value").alias("value"))
+    r = V.no_reversal(mean, ["axis", "model", "family"], "level", "value").groupBy("axis", "family").agg(F.every("no_reversal").alias("no_reversal"))
+    e = practical(axis_ends(rows)).groupBy("axis", "family").agg(F.every("passed").alias("practical"))
+    return b.join(r, ["axis", "family"]).join(e, ["axis", "family"])
 
 
-@query(GATE_SQL + " SELECT model, family, mean_bottleneck > 0 AS mean_positive, n_positive >= 0.8::DOUBLE * n AS enough_seeds, no_reversal, effect >= 0.05::DOUBLE AS practical, mean_bottleneck > 0 AND n_positive >= 0.8::DOUBLE * n AND no_reversal AND effect >= 0.05::DOUBLE AS passed FROM g JOIN r USING (model, family) JOIN f USING (model, family)")
+CONDITIONS_SQL = AXES_SQL + AXIS_STEP_SQL + END_SQL + f""", c1 AS (SELECT axis, family, count(*) FILTER (bottleneck > 0) >= 4 AS enough_seeds, avg(bottleneck) > 0 AS mean_positive FROM ab GROUP BY ALL),
+  mc AS (SELECT axis, model, family, level, {_SIGN_SQL} * avg(value) AS v FROM axes GROUP BY axis, model, family, level), c2 AS (SELECT axis, family, bool_and(coalesce(step >= 0, true)) AS no_reversal FROM (SELECT axis, family, v - lag(v) OVER (PARTITION BY axis, model, family ORDER BY level) AS step FROM mc) GROUP BY ALL),
+  c3 AS (SELECT axis, family, bool_and(effect >= {_PRACTICAL_SQL}) AS practical FROM (SELECT axis, model, family, avg(effect) AS effect FROM ends GROUP BY ALL) GROUP BY axis, family), cond AS (FROM c1 JOIN c2 USING (axis, family) JOIN c3 USING (axis, family))"""
+
+
+@query("WITH lo AS (" + CORRUPTION_SQL + f" SELECT family, quantile_cont(v, {BONFERRONI!r}) > 0 AS interval_positive FROM cb GROUP BY ALL), co AS (" + CONDITIONS_SQL
+       + " SELECT * FROM cond WHERE axis = 'C1') SELECT family, enough_seeds, mean_positive, interval_positive, no_reversal, practical, enough_seeds AND mean_positive AND interval_positive AND no_reversal AND practical AS passed FROM co JOIN lo USING (family)")
 def corruption_gate(spark, sf):
-    c = {"mean_positive": F.col("mean_bottleneck") > 0, "enough_seeds": F.col("n_positive") >= 0.8 * F.col("n"), "no_reversal": F.col("no_reversal"), "practical": F.col("effect") >= 0.05}
-    every = c["mean_positive"] & c["enough_seeds"] & c["no_reversal"] & c["practical"]
-    return gate_parts(spark, sf).select("model", "family", *(v.alias(k) for k, v in c.items()), every.alias("passed"))
+    """The five conditions of the flip axis in each family, the bootstrap's bound with its share of the error among them."""
+    low = corruption_draws(spark, sf).groupBy("family").agg((F.percentile("v", F.lit(BONFERRONI)) > 0).alias("interval_positive"))
+    flips = dose(spark, sf).select(F.lit("C1").alias("axis"), *CELL, F.col("flip_rate").alias("value"))
+    out = gate_conditions(flips).join(low, "family")
+    names = ["enough_seeds", "mean_positive", "interval_positive", "no_reversal", "practical"]
+    every = F.col(names[0])
+    for n in names[1:]:
+        every = every & F.col(n)
+    return out.select("family", *names, every.alias("passed"))
 
 
-@query(GATE_SQL + " SELECT model, bool_and(n_positive = n) AS all_seeds, bool_and(no_reversal) AS no_reversal, min(mean_bottleneck) > 0 AS positive, CASE WHEN bool_and(n_positive = n AND no_reversal) THEN 'PASS' WHEN bool_or(n_positive = n AND no_reversal) THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM g JOIN r USING (model, family) GROUP BY ALL")
-def graded_gate(spark, sf):
-    ok = (F.col("n_positive") == F.col("n")) & F.col("no_reversal")
-    verdict = F.when(F.every(ok), "PASS").when(F.some(ok), "PARTIAL").otherwise("FAIL")
-    return gate_parts(spark, sf).groupBy("model").agg(F.every(F.col("n_positive") == F.col("n")).alias("all_seeds"), F.every("no_reversal").alias("no_reversal"), (F.min("mean_bottleneck") > 0).alias("positive"), verdict.alias("verdict"))
+@query(CONDITIONS_SQL + " SELECT axis, family, enough_seeds, mean_positive, no_reversal, practical, enough_seeds AND mean_positive AND no_reversal AND practical AS points_passed FROM cond")
+def axis_gates(spark, sf):
+    """The point conditions of all twelve gates; `corruption_gate` adds the bootstrap's for the flip axis."""
+    names = ["enough_seeds", "mean_positive", "no_reversal", "practical"]
+    return gate_conditions(axes(spark, sf)).select("axis", "family", *names, (F.col(names[0]) & F.col(names[1]) & F.col(names[2]) & F.col(names[3])).alias("points_passed"))
 
 
 # -- paired axis differences between the models -----------------------------------------------------------------------
 
-
-D_SQL = DOSE + """, d AS (SELECT seed, family, level, max(CASE WHEN model = 1 THEN error_rate END) - max(CASE WHEN model = 0 THEN error_rate END) AS d_a, max(CASE WHEN model = 0 THEN flip_rate END) - max(CASE WHEN model = 1 THEN flip_rate END) AS d_c1 FROM dose GROUP BY ALL)"""
+_V = lambda a, m: f"max(CASE WHEN axis = '{a}' AND model = {m} THEN value - base END)"
+D_SQL = AXES_SQL + f""", ba AS (SELECT a.*, b.value AS base FROM axes a JOIN axes b ON b.level = 0 AND a.axis = b.axis AND a.seed = b.seed AND a.model = b.model AND a.family = b.family WHERE a.level > 0),
+  d AS (SELECT seed, family, level, {_V('A', 1)} - {_V('A', 0)} AS d_a, {_V('R', 1)} AS d_r, {_V('S', 0)} - {_V('S', 1)} AS d_s, {_V('C1', 0)} - {_V('C1', 1)} AS d_c1 FROM ba GROUP BY ALL)"""
+D_AXES = ("d_a", "d_r", "d_s", "d_c1")
 
 
 def d_cells(rows: DataFrame) -> DataFrame:
-    at = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
-    return rows.groupBy("seed", "family", "level").agg((at(1, "error_rate") - at(0, "error_rate")).alias("d_a"), (at(0, "flip_rate") - at(1, "flip_rate")).alias("d_c1"))
+    """seed, family, level > 0 and the four differences, each of changes against the clean level: greater is better for
+    the second model."""
+    base = rows.filter("level = 0").select("axis", *KEYS, "family", F.col("value").alias("base"))
+    moved = rows.filter("level > 0").join(F.broadcast(base), ["axis", *KEYS, "family"]).withColumn("v", F.col("value") - F.col("base"))
+    at = lambda a, m: F.max(F.when((F.col("axis") == a) & (F.col("model") == m), F.col("v")))
+    return moved.groupBy("seed", "family", "level").agg((at("A", 1) - at("A", 0)).alias("d_a"), at("R", 1).alias("d_r"), (at("S", 0) - at("S", 1)).alias("d_s"), (at("C1", 0) - at("C1", 1)).alias("d_c1"))
 
 
-@query(D_SQL + " SELECT seed, family, level, round(d_a, 6) AS d_a, round(d_c1, 6) AS d_c1 FROM d")
+@query(D_SQL + " SELECT seed, family, level, " + ", ".join(f"round({d}, 6) AS {d}" for d in D_AXES) + " FROM d")
 def d_axis_cells(spark, sf):
-    return d_cells(dose(spark, sf)).select("seed", "family", "level", E.r6(F.col("d_a")).alias("d_a"), E.r6(F.col("d_c1")).alias("d_c1"))
+    return d_cells(axes(spark, sf)).select("seed", "family", "level", *(E.r6(F.col(d)).alias(d) for d in D_AXES))
 
 
-@query(D_SQL + " SELECT round(avg(d_a), 6) AS d_a, round(avg(d_c1), 6) AS d_c1, count(*) AS n FROM d WHERE level > 0")
+@query(D_SQL + " SELECT " + ", ".join(f"round(avg({d}), 6) AS {d}" for d in D_AXES) + ", count(*) AS n FROM d")
 def d_axis_points(spark, sf):
-    return d_cells(dose(spark, sf)).filter("level > 0").agg(E.r6(F.avg("d_a")).alias("d_a"), E.r6(F.avg("d_c1")).alias("d_c1"), F.count("*").alias("n"))
+    return d_cells(axes(spark, sf)).agg(*(E.r6(F.avg(d)).alias(d) for d in D_AXES), F.count("*").alias("n"))
+
+
+@query(D_SQL + """, s AS (SELECT seed, avg(d_c1) AS c FROM d GROUP BY ALL), f AS (SELECT family, avg(d_c1) AS c FROM d GROUP BY ALL)
+  SELECT avg(d_c1) >= 0.01 AS point, (SELECT count(*) FILTER (c > 0) >= 4 FROM s) AS enough_seeds, (SELECT bool_and(c >= -0.01) FROM f) AS families, avg(d_a) > -0.01 AS a_held, avg(d_r) > -0.01 AS r_held, avg(d_s) > -0.01 AS s_held FROM d""")
+def d_axis_conditions(spark, sf):
+    """The point conditions of the four-axis gate; `round12_gate` takes the bootstrap's bounds instead of the last three."""
+    return d_conditions(d_cells(axes(spark, sf))).join(F.broadcast(d_cells(axes(spark, sf)).agg(*((F.avg(f"d_{x}") > -0.01).alias(f"{x}_held") for x in "ars"))))
 
 
-@query(D_SQL + ", s AS (SELECT seed, avg(d_a) AS a, avg(d_c1) AS c FROM d WHERE level > 0 GROUP BY ALL) SELECT CASE WHEN min(c) > 0 AND avg(a) <= 0 THEN 'PASS' WHEN avg(c) > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict, min(c) > 0 AS every_seed, avg(a) <= 0 AS no_cost FROM s")
-def round12_gate(spark, sf):
-    s = d_cells(dose(spark, sf)).filter("level > 0").groupBy("seed").agg(F.avg("d_a").alias("a"), F.avg("d_c1").alias("c"))
-    every, cost = F.min("c") > 0, F.avg("a") <= 0
-    return s.agg(F.when(every & cost, "PASS").when(F.avg("c") > 0, "PARTIAL").otherwise("FAIL").alias("verdict"), every.alias("every_seed"), cost.alias("no_cost"))
+def d_conditions(cells: DataFrame) -> DataFrame:
+    """One row: the mean flip difference is 0.01 or more, positive for four of five seeds, and no family is below -0.01."""
+    s = cells.groupBy("seed").agg(F.avg("d_c1").alias("c")).agg((F.count_if(F.col("c") > 0) >= 4).alias("enough_seeds"))
+    f = cells.groupBy("family").agg(F.avg("d_c1").alias("c")).agg(F.every(F.col("c") >= -0.01).alias("families"))
+    return cells.agg((F.avg("d_c1") >= 0.01).alias("point")).join(F.broadcast(s)).join(F.broadcast(f))
 
 
 @query("SELECT seed, model, family, level FROM (VALUES (43), (44), (45), (46), (47)) AS s(seed), (VALUES (0), (1)) AS m(model), (VALUES (0), (1), (2)) AS f(family), (VALUES (0), (1), (2), (3), (4)) AS l(level)")

@@ -31,12 +31,19 @@ PER = """per AS (SELECT seed, model, family, level, sample_ix, cluster_key, max(
       max(1 / (1 + exp(-z))) AS conf FROM pred GROUP BY ALL)"""
 
 
-def draws(n: str, reps: int) -> str:
-    """CTE drawn(rep, position, weight) for a scalar subquery n."""
-    return f"""drawn AS (SELECT rep, ((((slot * 1103 + rep * 7919 + 17) * (slot * 1103 + rep * 7919 + 17)) % 2147483647) * 48271 % 2147483647) % n AS position, count(*) AS weight
-      FROM (SELECT r.rep, unnest(range(n)) AS slot, n FROM ({n}) AS q(n), range({reps}) AS r(rep)) GROUP BY ALL)"""
+def draw(slot: str, rep: str) -> str:
+    x = f"(({slot} * 1103 + {rep} * 7919 + 17) % 2147483647)"
+    return f"({x} * {x} % 2147483647 * 48271 % 2147483647)"
+
+
+def draws(n: str, reps: int, name: str = "drawn") -> str:
+    """CTE name(rep, position, weight) for a scalar subquery n."""
+    return f"""{name} AS (SELECT rep, {draw("slot", "rep")} % n AS position, count(*) AS weight FROM (SELECT r.rep, unnest(range(n)) AS slot, n FROM ({n}) AS q(n), range({reps}) AS r(rep)) GROUP BY ALL)"""
+
+
+def seed_slots(reps: int) -> str:
+    return f"""slots AS (SELECT rep, slot, 43 + {draw("slot", "rep")} % 5 AS seed FROM range({reps}) AS r(rep), range(5) AS s(slot))"""
 
 
 def seed_draws(reps: int) -> str:
-    return f"""seeds AS (SELECT rep, 43 + ((((slot * 1103 + rep * 7919 + 17) * (slot * 1103 + rep * 7919 + 17)) % 2147483647) * 48271 % 2147483647) % 5 AS seed, count(*) AS times
-      FROM range({reps}) AS r(rep), range(5) AS s(slot) GROUP BY ALL)"""
+    return f"""{seed_slots(reps)}, seeds AS (SELECT rep, seed, count(*) AS times FROM slots GROUP BY ALL)"""

@@ -29,10 +29,11 @@ def _product(seeds: Sequence[int], models: Sequence[int], families: Sequence[int
     return F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(c, ("seed", "model", "family", "level")))) for c in cells))
 
 
-def _logits(labels: int, target: Column, offset: int = 0) -> Column:
-    """Logits of all labels of a sample in its cell; level 0 is the same in every family."""
+def _logits(labels: int, target: Column, offset: int = 0, clean: bool = False) -> Column:
+    """Logits of all labels of a sample in its cell; level 0 is the same in every family, and is what `clean` gives."""
     shift = F.when(F.col("level") > 0, F.col("family") * F.lit(32452843).cast("long") + F.col("level") * F.lit(49979687).cast("long")).otherwise(F.lit(0).cast("long"))
-    base = F.col("sample_ix") * 7919 + F.col("seed") * F.lit(1299709).cast("long") + F.col("model") * F.lit(15485863).cast("long") + shift
+    base = F.col("sample_ix") * 7919 + F.col("seed") * F.lit(1299709).cast("long") + F.col("model") * F.lit(15485863).cast("long")
+    base = base if clean else base + shift
     one = lambda c: (F.when(F.get(target, F.lit(c)) == 1, 300).otherwise(-300) + (base + (c + offset) * 104729) % 1201 - 600).cast("double") / 250
     return F.array(*(one(c) for c in range(labels)))
 
@@ -46,17 +47,28 @@ def rationale_target() -> Column:
     return F.array(*(((F.col("sample_ix") * 31 + c * 17) % 100 < 12).cast("int") for c in range(RATIONALES)))
 
 
-def actions(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (43,), models: Sequence[int] = MODELS, families: Sequence[int] = (0,), levels: Sequence[int] = (0,), head: str = "action") -> DataFrame:
-    """seed, model, family, level, sample_ix, cluster_key, digit, target array<int>, logit array<double>."""
-    rows = samples(spark, sf_dir).withColumn("target", action_target() if head == "action" else rationale_target())
+def actions(
+    spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (43,), models: Sequence[int] = MODELS, families: Sequence[int] = (0,), levels: Sequence[int] = (0,), head: str = "action", clean: bool = False, rows: DataFrame | None = None
+) -> DataFrame:
+    """seed, model, family, level, sample_ix, cluster_key, digit, target array<int>, logit array<double>.
+
+    With `clean`, also clean_logit: what the same seed and model say of the unperturbed sample, beside it from the start,
+    so that comparing with it needs no join. `rows` are other samples than all."""
+    rows = samples(spark, sf_dir) if rows is None else rows
+    rows = rows.withColumn("target", action_target() if head == "action" else rationale_target())
     rows = rows.withColumn("cell", F.explode(_product(seeds, models, families, levels))).select("sample_ix", "cluster_key", "digit", "target", "cell.*")
     labels, offset = (ACTIONS, 0) if head == "action" else (RATIONALES, 100)
-    return rows.withColumn("logit", _logits(labels, F.col("target"), offset))
+    out = rows.withColumn("logit", _logits(labels, F.col("target"), offset))
+    return out.withColumn("clean_logit", _logits(labels, F.col("target"), offset, True)) if clean else out
+
+
+#: Draws are squares modulo this prime, so any engine makes the same ones.
+PRIME = 2147483647
 
 
 def draw_hash(slot: Column, rep: Column) -> Column:
-    x = slot * 1103 + rep * 7919 + 17
-    return ((x * x) % 2147483647) * 48271 % 2147483647
+    x = (slot * 1103 + rep * 7919 + 17) % PRIME
+    return x * x % PRIME * 48271 % PRIME
 
 
 def cluster_draws(clusters: DataFrame, key: str, reps: int, spark: SparkSession) -> DataFrame:
@@ -65,13 +77,18 @@ def cluster_draws(clusters: DataFrame, key: str, reps: int, spark: SparkSession)
 
     named = ranked(clusters.select(key).distinct(), [key], F.floor(F.col(key) / 4096), "position")
     n = clusters.select(key).distinct().count()
-    slots = spark.range(n).select(F.col("id").alias("slot"), F.explode(F.array(*(F.lit(r).cast("long") for r in range(reps)))).alias("rep"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
     drawn = slots.select("rep", (draw_hash(F.col("slot"), F.col("rep")) % n).alias("position")).groupBy("rep", "position").agg(F.count("*").alias("weight"))
     return drawn.join(named, "position").select("rep", key, "weight")
 
 
-def seed_draws(spark: SparkSession, reps: int, seeds: Sequence[int] = SEEDS) -> DataFrame:
-    """rep, seed, times: five seed positions a replicate, counted."""
+def seed_slots(spark: SparkSession, reps: int, seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """rep, slot, seed: five seeds a replicate, drawn with replacement."""
     slots = spark.range(reps * 5).select((F.col("id") % 5).alias("slot"), F.floor(F.col("id") / 5).cast("long").alias("rep"))
     at = (draw_hash(F.col("slot"), F.col("rep")) % 5).cast("int")
-    return slots.select("rep", F.element_at(F.array(*map(F.lit, seeds)), at + 1).alias("seed")).groupBy("rep", "seed").agg(F.count("*").alias("times"))
+    return slots.select("rep", "slot", F.element_at(F.array(*map(F.lit, seeds)), at + 1).alias("seed"))
+
+
+def seed_draws(spark: SparkSession, reps: int, seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """rep, seed, times: five seed positions a replicate, counted."""
+    return seed_slots(spark, reps, seeds).groupBy("rep", "seed").agg(F.count("*").alias("times"))

@@ -24,7 +24,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A query of each kind; the driver compares all of them.
 CHOSEN = """confusion_counts micro_f1 ece risk_coverage_curve selective_bundle aurc_tie_averaged aurc_weighted threshold_grid causal_evidence_gap jaccard_components rq1_metrics bottleneck corruption_gate
-manifest_validation exclusion_flow cross_modal_join clip_membership partition_cover alignment_audit graded_source_maps connected_components bootstrap_clip bootstrap_stratified box_overlap_antijoin aligned_window_edge
+manifest_validation exclusion_flow cross_modal_join clip_membership partition_cover alignment_audit graded_source_maps connected_components bootstrap_clip bootstrap_stratified bootstrap_component paired_contrasts d_axis_cells box_overlap_antijoin aligned_window_edge
 stratified_sample rule_prevalence kendall_tau_b hash_split""".split()
 
 
@@ -51,7 +51,66 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"bootstrap_vectorised", "temperature_fit"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"d_axis_bootstrap", "round12_gate", "temperature_fit"}
+
+
+def plain_aurc(conf, wrong):
+    """The mean risk over coverages; samples of one confidence count as their mean."""
+    order = sorted(zip(conf, wrong), key=lambda x: -x[0])
+    risks, done, lost = [], 0, 0.0
+    for _, tie in itertools.groupby(order, key=lambda x: x[0]):
+        tie = [w for _, w in tie]
+        risks += [(lost + k * sum(tie) / len(tie)) / (done + k) for k in range(1, len(tie) + 1)]
+        done, lost = done + len(tie), lost + sum(tie)
+    return sum(risks) / len(risks)
+
+
+def plain_f1(target, pred):
+    out = []
+    for t, p in zip(zip(*target), zip(*pred)):
+        both = sum(a and b for a, b in zip(t, p))
+        out.append(2 * both / (sum(t) + sum(p)) if sum(t) + sum(p) else 0.0)
+    return sum(out) / len(out)
+
+
+def test_axis_draws_equal_plain_loops(spark):
+    from evalforge.plans import inference
+    from evalforge.sources import adapters as A
+
+    reps = 2
+    got = {(r.axis, r.model, r.family, r.level, r.rep): r.value for r in inference.axis_draws(spark, SF, (43,), reps).collect()}
+    rows = {h: A.actions(spark, SF, (43,), A.MODELS, A.FAMILIES, (0, 3), h, clean=True).toPandas() for h in ("action", "rationale")}
+    clusters = sorted(rows["action"].cluster_key.unique())
+    n = len(clusters)
+    for rep in range(reps):
+        drawn = [clusters[((x := (k * 1103 + rep * 7919 + 17) % A.PRIME) * x % A.PRIME) * 48271 % A.PRIME % n] for k in range(n)]
+        for (model, family, level), own in rows["action"].groupby(["model", "family", "level"]):
+            if level == 0 and family:
+                continue
+            by = dict(list(own.groupby("cluster_key")))
+            picked = pd.concat([by[c] for c in drawn])
+            pred = [[int(z >= 0) for z in v] for v in picked.logit]
+            clean = [[int(z >= 0) for z in v] for v in picked.clean_logit]
+            wrong = [int(p != list(t)) for p, t in zip(pred, picked.target)]
+            conf = [1 / (1 + math.exp(-max(z))) for z in picked.logit]
+            assert got["A", model, family, level, rep] == pytest.approx(plain_f1(picked.target, pred))
+            assert got["C1", model, family, level, rep] == pytest.approx(sum(p != c for p, c in zip(pred, clean)) / len(pred))
+            assert got["S", model, family, level, rep] == pytest.approx(plain_aurc(conf, wrong))
+        for (family, level), own in rows["rationale"].query("model == 1").groupby(["family", "level"]):
+            if level == 0 and family:
+                continue
+            by = dict(list(own.groupby("cluster_key")))
+            picked = pd.concat([by[c] for c in drawn])
+            assert got["R", 1, family, level, rep] == pytest.approx(plain_f1(picked.target, [[int(z >= 0) for z in v] for v in picked.logit]))
+
+
+@pytest.mark.parametrize(("change", "want"), [({}, "PASS"), ({"d_c1": 0.0}, "FAIL"), ({"enough_seeds": False}, "FAIL"), ({"point": False}, "FAIL"), ({"families": False}, "FAIL"), ({"d_s": -0.01}, "PARTIAL"), ({"d_a": -0.02}, "PARTIAL"), ({"d_r": -0.02}, "PARTIAL")])
+def test_four_axis_verdict(spark, change, want):
+    from evalforge.plans import inference
+
+    held = {"point": True, "enough_seeds": True, "families": True, "d_a": 0.0, "d_r": 0.0, "d_s": 0.0, "d_c1": 0.001} | change
+    frame = lambda names, kind: spark.createDataFrame([tuple(held[n] for n in names)], ", ".join(f"{n} {kind}" for n in names))
+    assert inference.d_verdict(frame(["point", "enough_seeds", "families"], "boolean"), frame(["d_a", "d_r", "d_s", "d_c1"], "double")).first().verdict == want
 
 
 def test_weighted_ties_against_all_orders(spark):
@@ -126,10 +185,10 @@ def test_rules_that_are_none(spark, rule):
 def test_vectorised_bootstrap_equals_the_loop(spark):
     from evalforge.operators import resample
 
-    stats = spark.createDataFrame([(k, 1, k % 3 + 1, k % 2) for k in range(20)], "c long, m int, n long, wrong long")
-    got = {r.rep: (r.n, r.wrong) for r in resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 10, 3).collect()}
+    stats = spark.createDataFrame([(k * 3, 1, k % 3 + 1, k % 2) for k in range(20)], "c long, m int, n long, wrong long")
+    got = {r.rep: (r.n, r.wrong) for r in resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 10).collect()}
     for rep in range(10):
-        draw = np.random.default_rng([3, rep]).integers(0, 20, 20)
+        draw = [((x := (k * 1103 + rep * 7919 + 17) % 2147483647) * x % 2147483647) * 48271 % 2147483647 % 20 for k in range(20)]
         assert got[rep] == (sum(k % 3 + 1 for k in draw), sum(k % 2 for k in draw))
 
 
@@ -137,12 +196,8 @@ def test_the_size_of_a_bootstrap_decides_only_its_plan(spark):
     from evalforge.operators import resample
 
     stats = spark.createDataFrame([(k * 977, k % 2, k % 3 + 1, k % 5) for k in range(41)] + [(977, 2, 1, 1)], "c long, m int, n long, wrong long")
-    small, large = (resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 30, 3, limit) for limit in (64 << 20, 0))
+    small, large = (resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 30, limit) for limit in (64 << 20, 0))
     assert small.columns == large.columns and sorted(small.collect()) == sorted(large.collect())
-    for n in (7, 41, 100_003):
-        rng = np.random.default_rng([3, 1])
-        parts = [rng.integers(0, n, k) for k in (1, 12, 37, 5)]
-        assert (np.concatenate(parts) == np.random.default_rng([3, 1]).integers(0, n, 55)).all()
 
 
 def test_temperature_has_no_slope(spark):
