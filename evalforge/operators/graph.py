@@ -1,36 +1,42 @@
-"""Connected components of undirected edges: least labels, with a jump to the label's label each round."""
+"""Connected components of undirected edges: least labels, whole trees hooked on in a round, with a jump each round."""
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 60
-
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; one is set only where there is none."""
+    """Cut the lineage in the folder of spark.checkpoint.dir. Where that is unset a local session gets a temporary one, and
+    any other is an error: executors would write where nobody else can read."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="evalforge-"))
     return df.checkpoint()
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, component (its least node) from edges (a, b); nodes (node) adds those without edges."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    both = cut(both)
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(MAX_ROUNDS):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = cut(step.join(jump, "to", "left").select("node", "label", F.least("to", F.coalesce("far", "to")).alias("to")))
-        if new.filter("label <> to").isEmpty():
+    """node, component (its least node) from edges (a, b); nodes (node) adds those without edges.
+
+    A round gives the least label near a node to the node and to its label, then every node takes its label's label.
+    Labels only fall, and rounds go on until none does."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    for _ in itertools.count():
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        own = F.struct("node", "label", F.least("label", "near").alias("next"))
+        hook = F.struct(F.col("label").alias("node"), F.lit(None).cast(labels.schema["label"].dataType).alias("label"), F.col("near").alias("next"))
+        told = labels.join(near, "node").select(F.inline(F.array(own, hook)))
+        step = cut(told.groupBy("node").agg(F.max("label").alias("label"), F.min("next").alias("next")))
+        if step.filter("label <> next").isEmpty():
             break
-        labels = new.select("node", F.col("to").alias("label"))
+        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        labels = cut(step.join(jump, "next").select("node", F.col("far").alias("label")))
     out = labels.withColumnRenamed("label", "component")
     if nodes is not None:
         out = nodes.select("node").distinct().join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

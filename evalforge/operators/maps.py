@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,59 +23,90 @@ def gather(df: DataFrame, srcmap: DataFrame, keys: list[str], columns: list[str]
     return rest.join(srcmap, rest["sample_ix"] == srcmap["dst_ix"]).drop("dst_ix").join(taken, [*keys, "src_ix"])
 
 
-def ranked(df: DataFrame, order: list[str], slice_of: Column, name: str = "rk") -> DataFrame:
-    """df with its place (from 0) in the order, without sorting it in one task: slice_of must rise with the order."""
+def ranked(df: DataFrame, order: list[str], slice_of: Column, name: str = "rk", keys: Sequence[str] = ()) -> DataFrame:
+    """df with its place (from 0) in the order of its keys, without sorting it in one task: slice_of must rise with the
+    order."""
     part = df.withColumn("_s", slice_of)
-    before = part.groupBy("_s").agg(F.count("*").alias("_k")).select("_s", F.coalesce(F.sum("_k").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    inside = F.row_number().over(W.partitionBy("_s").orderBy(*order))
-    return part.withColumn("_r", inside).join(F.broadcast(before), "_s").withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_s", "_r", "_b")
+    before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)  # a row a slice
+    base = part.groupBy(*keys, "_s").agg(F.count("*").alias("_k")).select(*keys, "_s", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_b"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_s").orderBy(*order))
+    return part.withColumn("_r", inside).join(F.broadcast(base), [*keys, "_s"]).withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_s", "_r", "_b")
 
 
-def salted(df: DataFrame, name: str, salt: str) -> DataFrame:
+def salted(df: DataFrame, name: str, salt: str | Column, keys: Sequence[str] = ()) -> DataFrame:
     """df with h, the SHA-256 of salt and name, and rk, its place by (h, name, sample_ix)."""
-    hashed = df.withColumn("h", F.sha2(F.concat(F.lit(f"{salt}|"), F.col(name)), 256))
-    return ranked(hashed, ["h", name, "sample_ix"], F.substring("h", 1, 3))
+    hashed = df.withColumn("h", F.sha2(F.concat(_salt(salt), F.lit("|"), F.col(name)), 256))
+    return ranked(hashed, ["h", name, "sample_ix"], F.substring("h", 1, 3), keys=keys)
+
+
+def _salt(salt: str | Column) -> Column:
+    return F.lit(salt) if isinstance(salt, str) else salt
 
 
-def triplet(order: DataFrame, clip: str = "clip") -> DataFrame:
+def triplet(order: DataFrame, clip: str = "clip", keys: Sequence[str] = ()) -> DataFrame:
     """The last rows of the order that have three different clips, last first: slot 0, 1, 2."""
-    last = order.groupBy(clip).agg(F.max_by(F.struct("sample_ix", "rk"), "rk").alias("x")).orderBy(F.desc("x.rk")).limit(3)
-    return last.select(F.col("x.sample_ix").alias("sample_ix"), F.col("x.rk").alias("rk"), clip).withColumn("slot", F.row_number().over(W.orderBy(F.desc("rk"))) - 1)
+    last = order.groupBy(*keys, clip).agg(F.max_by(F.struct("sample_ix", "rk"), "rk").alias("x")).select(*keys, clip, "x.*")
+    slot = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("rk")))
+    return last.withColumn("slot", slot).filter("slot <= 3").withColumn("slot", F.col("slot") - 1)
+
+
+#: Samples of a clip in one map; their pairs are what a rotation is ruled out by.
+CLIP_MAX = 1000
 
 
-def cycles(samples: DataFrame, name: str, clip: str, salt: str) -> DataFrame:
-    """pair_rank, slot, sample_ix of clip-safe cycles: pairs of the halves of a salted order, the second half rotated by
-    the least step that leaves no pair in one clip, and one triplet, which has the greatest pair_rank.
+def _beside(df: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """df with the columns of few, which has a row for each of the keys (one row, if there are none)."""
+    return df.join(F.broadcast(few), list(keys), how) if keys else df.join(F.broadcast(few))
+
+
+def cycles(samples: DataFrame, name: str, clip: str, salt: str | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, pair_rank, slot, sample_ix of clip-safe cycles: pairs of the halves of a salted order, the second half rotated
+    by the least step that leaves no pair in one clip, and one triplet, which has the greatest pair_rank. `keys` make a map
+    each, of samples and a salt (a column) of its own.
 
     A rotation is ruled out by the (left, right) places of equal clips, so what is compared are rows of one clip, and
-    the least one that isn't ruled out is found among 0..rows-of-a-conflict. The number of samples must be odd."""
-    order = cut(salted(samples, name, salt).select("sample_ix", "rk", name, clip))
-    three = triplet(order, clip)
-    rest = ranked(order.join(F.broadcast(three.select("sample_ix")), "sample_ix", "left_anti").withColumnRenamed("rk", "rk0"), ["rk0"], F.floor(F.col("rk0") / 4096), "k")
+    the least one that isn't ruled out is found among 0..rows-of-a-conflict. The number of samples must be odd, and a clip
+    have at most CLIP_MAX of them."""
+    keys = list(keys)
+    if keys:
+        samples = samples.withColumn("_salt", salt)
+        salt = F.col("_salt")
+    order = cut(salted(samples, name, salt, keys).select(*keys, *(["_salt"] if keys else []), "sample_ix", "rk", name, clip))
+    most = order.groupBy(*keys, clip).count().agg(F.max("count")).first()[0]
+    if most and most > CLIP_MAX:
+        raise ValueError(f"a clip has {most} samples, more than {CLIP_MAX}")
+    three = triplet(order, clip, keys)
+    rest = ranked(order.join(F.broadcast(three.select(*keys, "sample_ix")), [*keys, "sample_ix"], "left_anti").withColumnRenamed("rk", "rk0"), ["rk0"], F.floor(F.col("rk0") / 4096), "k", keys)
     rest = cut(rest)
-    sized = rest.join(F.broadcast(rest.agg((F.count("*") / 2).cast("long").alias("half"))))
+    sized = _beside(rest, rest.groupBy(*keys).agg((F.count("*") / 2).cast("long").alias("half")), keys)
     left = sized.filter("k < half")
     right = sized.filter("k >= half").withColumn("k", F.col("k") - F.col("half"))
-    clash = left.select(clip, F.col("k").alias("l")).join(right.select(clip, F.col("k").alias("r"), "half"), clip).select(F.pmod(F.col("r") - F.col("l"), F.col("half")).alias("rotation")).distinct()
+    clash = left.select(*keys, clip, F.col("k").alias("l")).join(right.select(*keys, clip, F.col("k").alias("r"), "half"), [*keys, clip]).select(*keys, F.pmod(F.col("r") - F.col("l"), F.col("half")).alias("rotation")).distinct()
     # the least number missing from the ruled-out ones: they are 0, 1, ... up to it
-    places = ranked(clash, ["rotation"], F.floor(F.col("rotation") / 4096), "place")
-    taken = places.filter("rotation = place").agg(F.coalesce(F.max("rotation") + 1, F.lit(0)).alias("rotation"))
+    places = ranked(clash, ["rotation"], F.floor(F.col("rotation") / 4096), "place", keys)
+    taken = places.filter("rotation = place").groupBy(*keys).agg((F.max("rotation") + 1).alias("rotation"))
     none = F.raise_error(F.lit("every rotation pairs samples of one clip; another salt would be another map"))
-    turn = F.when(F.col("rotation") < F.col("half"), F.col("rotation")).otherwise(none.cast("long"))
-    turned = right.join(F.broadcast(taken)).withColumn("k", F.pmod(F.col("k") - turn, F.col("half")))
-    pairs = left.select("k", F.col("sample_ix").alias("a"), F.col(name).alias("na")).join(turned.select("k", F.col("sample_ix").alias("b"), F.col(name).alias("nb")), "k")
-    key = F.sha2(F.concat(F.lit(f"{salt}|cycle|"), F.least("na", "nb"), F.lit("|"), F.greatest("na", "nb")), 256)
+    free = F.coalesce("rotation", F.lit(0))  # no row where nothing is ruled out
+    turn = F.when(free < F.col("half"), free).otherwise(none.cast("long"))
+    turned = _beside(right, taken, keys, "left").withColumn("k", F.pmod(F.col("k") - turn, F.col("half")))
+    pairs = left.select(*keys, "k", F.col("sample_ix").alias("a"), F.col(name).alias("na")).join(turned.select(*keys, *(["_salt"] if keys else []), "k", F.col("sample_ix").alias("b"), F.col(name).alias("nb")), [*keys, "k"])
+    key = F.sha2(F.concat(_salt(salt), F.lit("|cycle|"), F.least("na", "nb"), F.lit("|"), F.greatest("na", "nb")), 256)
     pairs = cut(pairs)
-    ranks = ranked(pairs.withColumn("h", key), ["h", "a", "b"], F.substring("h", 1, 3), "pair_rank")
-    long = ranks.select("pair_rank", F.posexplode(F.array("a", "b")).alias("slot", "sample_ix"))
-    last = three.join(F.broadcast(rest.agg((F.count("*") / 2).cast("long").alias("pair_rank")))).select("pair_rank", F.col("slot").cast("int"), "sample_ix")
+    ranks = ranked(pairs.withColumn("h", key), ["h", "a", "b"], F.substring("h", 1, 3), "pair_rank", keys)
+    long = ranks.select(*keys, "pair_rank", F.posexplode(F.array("a", "b")).alias("slot", "sample_ix"))
+    last = _beside(three, rest.groupBy(*keys).agg((F.count("*") / 2).cast("long").alias("pair_rank")), keys).select(*keys, "pair_rank", F.col("slot").cast("int"), "sample_ix")
     return long.union(last)
 
 
-def graded(cycle_rows: DataFrame, n: int, severities: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """q_ix, dst_ix, src_ix: at each severity the first floor(q n / 2 + 0.5) pairs are exchanged; at 1 all cycles turn."""
-    size = W.partitionBy("pair_rank")
+#: The shares of samples that a graded map moves (fixed values).
+SEVERITIES = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def graded(cycle_rows: DataFrame, n: int, severities: tuple[float, ...] = SEVERITIES, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, q_ix, dst_ix, src_ix: at each severity the first floor(q n / 2 + 0.5) pairs are exchanged; at 1 all cycles
+    turn."""
+    size = W.partitionBy(*keys, "pair_rank")
     turned = cycle_rows.withColumn("next", F.coalesce(F.lead("sample_ix").over(size.orderBy("slot")), F.first("sample_ix").over(size.orderBy("slot"))))
     active = F.array(*(F.lit(n if q == 1.0 else int(q * n / 2 + 0.5)).cast("long") for q in severities))
-    rows = turned.select("pair_rank", "sample_ix", "next", F.posexplode(active).alias("q_ix", "active"))
-    return rows.select("q_ix", F.col("sample_ix").alias("dst_ix"), F.when(F.col("pair_rank") < F.col("active"), F.col("next")).otherwise(F.col("sample_ix")).alias("src_ix"))
+    rows = turned.select(*keys, "pair_rank", "sample_ix", "next", F.posexplode(active).alias("q_ix", "active"))
+    return rows.select(*keys, "q_ix", F.col("sample_ix").alias("dst_ix"), F.when(F.col("pair_rank") < F.col("active"), F.col("next")).otherwise(F.col("sample_ix")).alias("src_ix"))

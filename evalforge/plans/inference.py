@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -60,10 +61,7 @@ CONTROLS_SQL = CLEAN + f""", ix AS (SELECT sample_ix, row_number() OVER (ORDER B
 def controls(spark, sf) -> DataFrame:
     """control, seed, model, f1 with predictions perfect, as they are, and moved by row, by label and by both."""
     rows = clean(spark, sf).select(*KEYS, "sample_ix", "target", "pred")
-    places = P.ranked(A.samples(spark, sf).select("sample_ix"), ["sample_ix"], F.floor(F.col("sample_ix") / 65536), "pos")
-    n = A.samples(spark, sf).count()
-    moved = places.select(F.col("sample_ix").alias("dst_ix"), F.pmod(F.col("pos") + 13, F.lit(n)).alias("pos")).join(places.select("pos", F.col("sample_ix").alias("src_ix")), "pos").select("dst_ix", "src_ix")
-    by_row = P.gather(rows, moved, KEYS, ["pred"])
+    by_row = P.gather(rows, moved(spark, sf), KEYS, ["pred"])
     kinds = {"perfect": rows.withColumn("pred", F.col("target")), "original": rows, "row": by_row, "class": shifted(rows), "both": shifted(by_row)}
     out = None
     for k, df in kinds.items():
@@ -118,23 +116,45 @@ def random_order_control(spark, sf):
     return R.aurc_tie_averaged(rows, KEYS).withColumn("aurc", E.r6(F.col("aurc")))
 
 
-@query(S.with_(S.SAMPLES, pairs_sql(levels=(0, 4))) + """, j AS (SELECT seed, model, family, level, round(avg(CASE WHEN joint = 0 THEN 1 ELSE common / CAST(joint AS DOUBLE) END), 6) AS jaccard, round(avg(flip), 6) AS flip_rate FROM pred_pair GROUP BY ALL)
-  SELECT 'identity' AS pairing, seed, model, family, level, 1.0::DOUBLE AS jaccard, 0.0::DOUBLE AS flip_rate FROM j UNION ALL SELECT 'correct', * FROM j""")
+#: Places of samples in the order of sample_ix, and the sample WRONG places on, cyclically.
+WRONG = 13
+MOVED_SQL = f"ix AS (SELECT sample_ix, row_number() OVER (ORDER BY sample_ix) - 1 AS pos, count(*) OVER () AS n FROM samples), mv AS (SELECT d.sample_ix AS dst, s.sample_ix AS src FROM ix d JOIN ix s ON s.pos = (d.pos + {WRONG}) % d.n)"
+
+
+def moved(spark, sf, offset: int = WRONG) -> DataFrame:
+    """(dst_ix, src_ix): every sample with that `offset` places on, the last with the first; a permutation."""
+    places = G.cut(P.ranked(A.samples(spark, sf).select("sample_ix"), ["sample_ix"], F.floor(F.col("sample_ix") / 65536), "pos"))
+    n = places.count()
+    return places.select(F.col("sample_ix").alias("dst_ix"), F.pmod(F.col("pos") + offset, F.lit(n)).alias("pos")).join(places.select("pos", F.col("sample_ix").alias("src_ix")), "pos").select("dst_ix", "src_ix")
+
+
+_J = "CASE WHEN joint = 0 THEN 1 ELSE common / CAST(joint AS DOUBLE) END"
+_PAIR = "max(CASE WHEN (a.z >= 0) <> (c.z >= 0) THEN 1 ELSE 0 END) AS flip, sum(CASE WHEN a.z >= 0 AND c.z >= 0 THEN 1 ELSE 0 END) AS common, sum(CASE WHEN a.z >= 0 OR c.z >= 0 THEN 1 ELSE 0 END) AS joint"
+
+
+@query(S.with_(S.SAMPLES, pairs_sql(levels=(0, 4)), MOVED_SQL) + f""", wrong AS (SELECT c.seed, c.model, a.family, a.level, c.sample_ix, {_PAIR} FROM pred c JOIN mv ON dst = c.sample_ix JOIN pred a ON a.sample_ix = src AND a.seed = c.seed AND a.model = c.model AND a.class_ix = c.class_ix AND a.level = 4 WHERE c.level = 0 AND c.family = 0 GROUP BY ALL),
+  same AS (SELECT c.seed, c.model, a.family, a.level, c.sample_ix, {_PAIR} FROM pred c JOIN pred a ON a.sample_ix = c.sample_ix AND a.seed = c.seed AND a.model = c.model AND a.class_ix = c.class_ix AND a.level = 4 AND a.family = c.family JOIN pred x ON x.sample_ix = a.sample_ix AND x.seed = a.seed AND x.model = a.model AND x.family = a.family AND x.level = a.level AND x.class_ix = a.class_ix WHERE c.level = 4 GROUP BY ALL),
+  every AS (SELECT 'identity' AS pairing, seed, model, family, level, flip, common, joint FROM same UNION ALL SELECT 'correct', seed, model, family, level, flip, common, joint FROM pred_pair UNION ALL SELECT 'wrong', seed, model, family, level, flip, common, joint FROM wrong)
+  SELECT pairing, seed, model, family, level, round(avg({_J}), 6) AS jaccard, round(avg(flip), 6) AS flip_rate FROM every GROUP BY ALL""")
 def pairing_controls(spark, sf):
-    rows = perturbed(spark, sf, levels=(0, 4))
+    """Perturbed predictions against themselves, against the clean ones of the same sample, and against those of another:
+    a measure of consistency must tell the last two apart."""
+    rows = perturbed(spark, sf, levels=(4,)).drop("clean_logit", "logit")
+    other = P.gather(rows.drop("clean"), moved(spark, sf), CELL, ["pred"]).select(*CELL, F.col("src_ix").alias("at"), "sample_ix", "pred")
+    wrong = rows.select(*CELL, "sample_ix", "clean").join(other.drop("at"), [*CELL, "sample_ix"])
     out = None
-    for name, df in (("identity", rows.withColumn("clean", F.col("pred"))), ("correct", rows)):
+    for name, df in (("identity", rows.withColumn("clean", F.col("pred"))), ("correct", rows), ("wrong", wrong)):
         o = C.overlaps(df)
         one = C.jaccard_parts(o, CELL).join(C.flips(o, CELL), CELL).select(F.lit(name).alias("pairing"), *CELL, E.r6(F.col("jaccard")).alias("jaccard"), E.r6(F.col("flip_rate")).alias("flip_rate"))
         out = one if out is None else out.union(one)
     return out
 
 
-@query(CLEAN + f", q AS (SELECT p.seed, p.model, p.class_ix, q.t, p.z FROM pred p JOIN (SELECT *, sample_ix AS s2 FROM pred) q ON q.s2 = p.sample_ix + 1 AND q.seed = p.seed AND q.model = p.model AND q.class_ix = p.class_ix) SELECT seed, model, round(f1, 6) AS macro_f1 FROM ({control_sql(src='q')})")
+@query(S.with_(S.SAMPLES, S.pred(), MOVED_SQL.replace(f"+ {WRONG}", "+ 1")) + f", q AS (SELECT p.seed, p.model, p.class_ix, q.t, p.z FROM pred p JOIN mv ON dst = p.sample_ix JOIN pred q ON q.sample_ix = src AND q.seed = p.seed AND q.model = p.model AND q.class_ix = p.class_ix) SELECT seed, model, round(f1, 6) AS macro_f1 FROM ({control_sql(src='q')})")
 def permutation_control(spark, sf):
+    """Labels of the next sample, the last sample's of the first: every sample keeps its prediction and gets other labels."""
     rows = clean(spark, sf).select(*KEYS, "sample_ix", "target", "pred")
-    src = rows.select(F.col("sample_ix").alias("dst_ix")).distinct().withColumn("src_ix", F.col("dst_ix") + 1)
-    return M.macro_f1(M.confusion(P.gather(rows, src, KEYS, ["target"]), KEYS), KEYS).withColumn("macro_f1", E.r6(F.col("macro_f1")))
+    return M.macro_f1(M.confusion(P.gather(rows, moved(spark, sf, 1), KEYS, ["target"]), KEYS), KEYS).withColumn("macro_f1", E.r6(F.col("macro_f1")))
 
 
 # -- maps ---------------------------------------------------------------------------------------------------------------
@@ -152,6 +172,8 @@ GRADED_SQL = MAP_SQL + """, nx AS (SELECT *, coalesce(lead(sample_ix) OVER (PART
 
 
 def odd_names(spark, sf) -> tuple[DataFrame, int]:
+    """The first order of each image name, and how many. A map is pairs and one triplet, so it takes an odd number: of an
+    even number of names the one with the greatest order is left out."""
     uniq = named(spark, sf).groupBy("name", "clip").agg(F.min("o_orderkey").alias("sample_ix"))
     n, last = uniq.agg(F.count("*"), F.max("sample_ix")).first()
     return (uniq.filter(F.col("sample_ix") != last), n - 1) if n % 2 == 0 else (uniq, n)
@@ -182,19 +204,71 @@ def graded_source_maps(spark, sf):
     return P.graded(*cycle_rows(spark, sf))
 
 
-@query(f"WITH {GRADED_SQL} SELECT CAST(q_ix AS INTEGER) AS q_ix, count(*) AS n, count(DISTINCT src_ix) = count(*) AS bijective, CAST(sum(CASE WHEN src_ix = dst_ix THEN 1 ELSE 0 END) AS BIGINT) AS n_fixed, CAST(sum(CASE WHEN src_ix <> dst_ix AND a.clip = b.clip THEN 1 ELSE 0 END) AS BIGINT) AS n_same_clip FROM maps JOIN odd a ON a.sample_ix = dst_ix JOIN odd b ON b.sample_ix = src_ix GROUP BY ALL")
+_STEPS_SQL = "SELECT *, coalesce(lag(src_ix) OVER (PARTITION BY {k}dst_ix ORDER BY q_ix), dst_ix) AS was FROM maps"
+_HELD = "count(*) FILTER (was <> dst_ix AND src_ix <> was) = 0"
+
+
+@query(f"WITH {GRADED_SQL}, st AS ({_STEPS_SQL.format(k='')}) SELECT CAST(q_ix AS INTEGER) AS q_ix, count(*) AS n, count(DISTINCT src_ix) = count(*) AS bijective, CAST(sum(CASE WHEN src_ix = dst_ix THEN 1 ELSE 0 END) AS BIGINT) AS n_fixed, CAST(sum(CASE WHEN src_ix <> dst_ix AND a.clip = b.clip THEN 1 ELSE 0 END) AS BIGINT) AS n_same_clip, CAST(sum(CASE WHEN src_ix <> dst_ix AND a.name = b.name THEN 1 ELSE 0 END) AS BIGINT) AS n_same_name, {_HELD} AS nested FROM st JOIN odd a ON a.sample_ix = dst_ix JOIN odd b ON b.sample_ix = src_ix GROUP BY ALL")
 def map_invariants(spark, sf):
-    clips = odd_names(spark, sf)[0].select("sample_ix", "clip")
-    rows = graded_source_maps(spark, sf).join(clips.select(F.col("sample_ix").alias("dst_ix"), F.col("clip").alias("a")), "dst_ix").join(clips.select(F.col("sample_ix").alias("src_ix"), F.col("clip").alias("b")), "src_ix")
-    moved = F.col("src_ix") != F.col("dst_ix")
-    return rows.groupBy("q_ix").agg(F.count("*").alias("n"), (F.countDistinct("src_ix") == F.count("*")).alias("bijective"), F.sum((~moved).cast("long")).alias("n_fixed"), F.sum((moved & (F.col("a") == F.col("b"))).cast("long")).alias("n_same_clip"))
+    """Whether each severity's map is a permutation, leaves clips and names, and moves on what the one before it moved."""
+    return invariants(stepped(graded_source_maps(spark, sf), []), odd_names(spark, sf)[0], ["q_ix"])
+
 
+def stepped(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """maps with `was`, the source at the severity before; at first each sample's own."""
+    before = W.partitionBy(*keys, "dst_ix").orderBy("q_ix")
+    return maps.withColumn("was", F.coalesce(F.lag("src_ix").over(before), F.col("dst_ix")))
 
-@query(f"WITH {GRADED_SQL} SELECT CAST(q_ix AS INTEGER) AS q_ix, round(avg(CASE WHEN substr(a.o_orderpriority, 1, 1) = substr(b.o_orderpriority, 1, 1) THEN 1 ELSE 0 END), 6) AS agreement FROM maps JOIN orders a ON a.o_orderkey = dst_ix JOIN orders b ON b.o_orderkey = src_ix GROUP BY ALL")
+
+def invariants(maps: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    side = lambda ix, x: names.select(F.col("sample_ix").alias(ix), F.col("clip").alias(f"clip_{x}"), F.col("name").alias(f"name_{x}"))
+    rows = maps.join(side("dst_ix", "a"), "dst_ix").join(side("src_ix", "b"), "src_ix")
+    moves = F.col("src_ix") != F.col("dst_ix")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), (F.countDistinct("src_ix") == F.count("*")).alias("bijective"), F.count_if(~moves).alias("n_fixed"), F.count_if(moves & (F.col("clip_a") == F.col("clip_b"))).alias("n_same_clip"),
+        F.count_if(moves & (F.col("name_a") == F.col("name_b"))).alias("n_same_name"), (F.count_if((F.col("was") != F.col("dst_ix")) & (F.col("src_ix") != F.col("was"))) == 0).alias("nested"),
+    )
+
+
+ODD_SAMPLES = "samples AS (SELECT o_orderkey AS sample_ix, o_custkey AS cluster_key, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS digit FROM orders JOIN odd ON o_orderkey = sample_ix)"
+_SAME = "seed = p.seed AND {x}.model = p.model AND {x}.class_ix = p.class_ix"
+GRADED_CURVES_SQL = f"""WITH {GRADED_SQL}, {ODD_SAMPLES}, {S.pred()}, {S.pred(models=(1,), head="rationale", name="why")}, {S.pred(families=A.FAMILIES, levels=(4,), name="hit")}, {S.pred(models=(1,), families=A.FAMILIES, levels=(4,), head="rationale", name="why_hit")}, {S.PER},
+  ga AS (SELECT q_ix, p.seed, p.model, p.class_ix, s.t, p.z FROM pred p JOIN maps ON dst_ix = p.sample_ix JOIN pred s ON s.sample_ix = src_ix AND s.{_SAME.format(x='s')}), gr AS (SELECT q_ix, p.seed, p.model, p.class_ix, s.t, p.z FROM why p JOIN maps ON dst_ix = p.sample_ix JOIN why s ON s.sample_ix = src_ix AND s.{_SAME.format(x='s')}),
+  gt AS (SELECT q_ix, d.model, s.conf, count(*) AS n, sum(d.e) AS z FROM per d JOIN maps ON dst_ix = d.sample_ix JOIN per s ON s.sample_ix = src_ix AND s.model = d.model GROUP BY ALL), gp AS (SELECT *, coalesce(sum(n) OVER w, 0) AS before, coalesce(sum(z) OVER w, 0) AS wrong FROM gt WINDOW w AS (PARTITION BY q_ix, model ORDER BY conf DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  gs AS (SELECT q_ix, model, avg((wrong + z / CAST(n AS DOUBLE) * (k - before)) / k) AS value FROM (SELECT *, unnest(range(CAST(before + 1 AS BIGINT), CAST(before + n + 1 AS BIGINT))) AS k FROM gp) GROUP BY ALL),
+  gc AS (SELECT q_ix, p.model, s.family, p.sample_ix, max(CASE WHEN (p.z >= 0) <> (s.z >= 0) THEN 1 ELSE 0 END) AS flip FROM pred p JOIN maps ON dst_ix = p.sample_ix JOIN hit s ON s.sample_ix = src_ix AND s.{_SAME.format(x='s')} GROUP BY ALL),
+  gj AS (SELECT q_ix, s.family, p.sample_ix, sum(CASE WHEN p.z >= 0 AND s.z >= 0 THEN 1 ELSE 0 END) AS common, sum(CASE WHEN p.z >= 0 OR s.z >= 0 THEN 1 ELSE 0 END) AS joint FROM why p JOIN maps ON dst_ix = p.sample_ix JOIN why_hit s ON s.sample_ix = src_ix AND s.{_SAME.format(x='s')} GROUP BY ALL),
+  curves AS (SELECT 'A' AS axis, model AS part, q_ix, f1 AS value FROM ({control_sql(src='ga').replace('seed, model', 'q_ix, model')}) UNION ALL SELECT 'R', model, q_ix, f1 FROM ({control_sql(src='gr').replace('seed, model', 'q_ix, model')}) UNION ALL SELECT 'S', model, q_ix, value FROM gs
+  UNION ALL SELECT 'C1', model, q_ix, avg(flip) FROM gc GROUP BY ALL UNION ALL SELECT 'C1', 2, q_ix, avg({_J}) FROM gj GROUP BY ALL)"""
+
+
+@query(GRADED_CURVES_SQL + " SELECT axis, CAST(part AS INTEGER) AS part, CAST(q_ix AS INTEGER) AS q_ix, round(value, 6) AS value FROM curves")
 def graded_curves(spark, sf):
-    digits = all_orders(spark, sf)[0].select("sample_ix", "digit")
-    rows = graded_source_maps(spark, sf).join(digits.select(F.col("sample_ix").alias("dst_ix"), F.col("digit").alias("a")), "dst_ix").join(digits.select(F.col("sample_ix").alias("src_ix"), F.col("digit").alias("b")), "src_ix")
-    return rows.groupBy("q_ix").agg(E.r6(F.avg((F.col("a") == F.col("b")).cast("double"))).alias("agreement"))
+    """axis, part, q_ix, value: how the four axes answer as more samples get another's labels (A, R), confidence (S) or
+    perturbed prediction (C1; part 2 is the rationales' overlap). Parts 0 and 1 are the models."""
+    maps = G.cut(graded_source_maps(spark, sf))
+    rows = all_orders(spark, sf)[0].join(odd_names(spark, sf)[0].select("sample_ix"), "sample_ix")
+    of = lambda **k: A.actions(spark, sf, rows=rows, **k)
+    keys = ["model", "q_ix"]
+
+    def paired(own, its, columns):
+        taken = its.select("model", "family", F.col("sample_ix").alias("src_ix"), *(F.col(c).alias(f"its_{c}") for c in columns))
+        return own.join(maps, own["sample_ix"] == maps["dst_ix"]).drop("dst_ix").join(taken, ["model", "src_ix"] if "family" not in own.columns else ["model", "family", "src_ix"])
+
+    acts = M.predicted(of()).withColumn("error", E.any_mismatch(F.col("pred"), F.col("target"))).withColumn("conf", F.array_max(E.probabilities(F.col("logit"))))
+    why = M.predicted(of(models=(1,), head="rationale"))
+    hit = M.predicted(of(families=A.FAMILIES, levels=(4,)))
+    why_hit = M.predicted(of(models=(1,), families=A.FAMILIES, levels=(4,), head="rationale"))
+    f1 = lambda df: M.macro_f1(M.confusion(paired(df, df, ["target"]).withColumn("target", F.col("its_target")), keys), keys, "value")
+    risk = R.aurc_tie_averaged(paired(acts, acts, ["conf"]).withColumn("conf", F.col("its_conf")), keys, name="value")
+    flips = paired(acts.drop("family"), hit, ["pred"]).groupBy(*keys).agg(F.avg(E.any_mismatch(F.col("pred"), F.col("its_pred")).cast("double")).alias("value"))
+    both = paired(why.drop("family"), why_hit, ["pred"]).withColumn("clean", F.col("pred")).withColumn("pred", F.col("its_pred"))
+    overlap = C.jaccard_parts(C.overlaps(both), keys).select(F.lit(2).alias("model"), "q_ix", F.col("jaccard").alias("value"))
+    out = None
+    for axis, df in (("A", f1(acts)), ("R", f1(why)), ("S", risk), ("C1", flips), ("C1", overlap)):
+        one = df.select(F.lit(axis).alias("axis"), F.col("model").alias("part"), "q_ix", E.r6(F.col("value")).alias("value"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 # -- components ---------------------------------------------------------------------------------------------------------
