@@ -233,7 +233,9 @@ def test_files(spark, tmp_path):
     assert files.jsonl(spark, str(tmp_path / "m.jsonl")).count() == 2
     with pytest.raises(ValueError, match="rationales"):
         files.require_schema(spark.createDataFrame([("a", [1])], "file_name string, actions array<int>"), files.MANIFEST)
-    out = files.canonical_json(spark.createDataFrame([(1.5, "x"), (float("nan"), "y")], "b double, a string")).collect()
+    with pytest.raises(Exception, match="no word for"):
+        files.canonical_json(spark.createDataFrame([(float("nan"), "y")], "b double, a string")).collect()
+    out = files.canonical_json(spark.createDataFrame([(1.5, "x"), (float("nan"), "y")], "b double, a string"), strict=False).collect()
     assert [r.json for r in out] == ['{"a":"x","b":1.5}', None]
     assert [tuple(r) for r in files.byte_ranges(spark, 10, 4).collect()] == [(0, 0, 3), (1, 4, 7), (2, 8, 9)]
     plan = spark.createDataFrame([(0, 4, "a"), (1, 4, "b"), (2, 2, "c")], "ix long, bytes long, sha256 string")
@@ -241,21 +243,196 @@ def test_files(spark, tmp_path):
     assert {r.ix: r.status for r in files.verify_chunks(plan, found).collect()} == {0: "ok", 1: "size", 2: "missing", 3: "extra"}
 
 
-def test_pixels(spark):
-    rng = np.random.default_rng(1)
-    img = rng.integers(0, 256, (48, 64)).astype(np.uint8)
-    same, other = X.ssim(img.astype(float), img.astype(float)), X.ssim(img.astype(float), X.corrupt(img, "noise", 4, "n"))
-    assert same == pytest.approx(1) and other < same
-    assert (X.corrupt(img, "noise", 2, "n") == X.corrupt(img, "noise", 2, "n")).all() and (X.corrupt(img, "blur", 0, "n") == img).all()
-    assert X.letterbox(img).shape == (144, 256) and X.resize(np.ones((3, 3)), 7, 5).max() == pytest.approx(1)
+def tar_bytes(names, kind=tarfile.USTAR_FORMAT, **headers) -> bytes:
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w", format=kind, **headers) as tar:
+        for name, body in names:
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+    return raw.getvalue()
+
+
+def test_strict_archives(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    names = [("a/one.txt", b"one"), ("b" * 99, b""), ("d/" * 60 + "deep.txt", b"x" * 5000)]
+    plain = tar_bytes(names)
+    read = lambda raw, **k: list(archives.strict_members(io.BytesIO(raw), "t", **k))
+    want = [("t", k, n, "file", len(b), hashlib.sha256(b).hexdigest().upper(), []) for k, (n, b) in enumerate(names)]
+    assert read(plain) == want == read(gzip.compress(plain)) == [m[:6] + ([],) for m in archives.members(io.BytesIO(plain), "t")]
+    long = "e/" * 200 + "ü.txt"
+    pax = tar_bytes([(long, b"y")], tarfile.PAX_FORMAT, pax_headers={"comment": "c"})
+    ((_, _, path, _, size, _, flags),) = read(pax)
+    key = hashlib.sha256(b"comment").hexdigest().upper()
+    assert (path, size, flags) == (long, 1, ["PATH_OVERRIDE", f"GLOBAL_KEY_SHA256:{key}"])
+    assert archives.pax_records(b"9 a=b=c\n\n"[:8].replace(b"9", b"8")) == {"a": "b=c"}
+    zipped = gzip.compress(plain)
+    broken = [plain[:700], plain[:-9000], plain + b"x", zipped + b"x", zipped[:-4], zipped[:-8] + b"0000" + zipped[-4:], gzip.compress(plain) * 2, plain[:148] + b"0000000\0" + plain[156:], tar_bytes(names, tarfile.GNU_FORMAT), tar_bytes([("x", b"")], tarfile.PAX_FORMAT, pax_headers={"linkpath": "y"})]
+    for raw in broken:
+        with pytest.raises(ValueError):
+            read(raw)
+    for caps in ({"max_members": 2}, {"max_bytes": 4000}):
+        with pytest.raises(ValueError):
+            read(plain, **caps)
+    (tmp_path / "t.tar.gz").write_bytes(zipped)
+    spark.dataSource.register(archives.TarSource)
+    for where in (f"{tmp_path}/t.tar.gz", f"file://{tmp_path}/t.tar.gz"):
+        assert spark.read.format("tar_members").options(paths=where, strict="true").load().count() == 3
+    stored = spark.read.format("binaryFile").load(f"{tmp_path}/t.tar.gz")
+    assert archives.from_binary(stored, strict=True).select("path").distinct().count() == 3
+    one = hashlib.sha256(b"one").hexdigest()
+    assert archives.member_content(stored, "a/one.txt", one).first().content == b"one" and archives.member_content(stored, "none", one).count() == 0
+    with pytest.raises(Exception, match="other bytes"):
+        archives.member_content(stored, "a/one.txt", "0" * 64).collect()
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    import hashlib
+    import json
+
+    (tmp_path / "l.csv").write_text("uuid,split,label\na,train,1\nb,test,0\n")
+    (tmp_path / "r.csv").write_text("uuid,split,label\na,train,1\na,test,0\n")
+    schema = spark.createDataFrame([], "uuid string, split string, label int").schema
+    read = lambda f: files.csv_label_blind(spark, f"{tmp_path}/{f}", schema, ["uuid", "split"], "split")
+    rows, whole = read("l.csv")
+    assert sorted(map(tuple, rows.collect())) == [("a", "train"), ("b", "test")] and rows.columns == ["uuid", "split"]
+    raw = (tmp_path / "l.csv").read_bytes()
+    assert tuple(whole.first())[1:] == (len(raw), hashlib.sha256(raw).hexdigest().upper())
+    with pytest.raises(Exception, match="several splits"):
+        read("r.csv")[0].collect()
+    assert files.read_expected(spark, f"{tmp_path}/l.csv", len(raw), hashlib.sha256(raw).hexdigest()).first().content == raw
+    with pytest.raises(Exception, match="expected bytes"):
+        files.read_expected(spark, f"{tmp_path}/l.csv", len(raw) + 1, hashlib.sha256(raw).hexdigest()).collect()
+
+    lines = spark.createDataFrame([("p", b"one\n\nt\xffo\ntail"), ("q", b"x\n"), ("r", b"")], "path string, content binary")
+    got = {(r.path, r.ix): (bytes(r.line), r.complete) for r in files.segments(lines, 5).collect()}
+    assert got == {("p", 0): (b"one\n", True), ("p", 1): (b"\n", True), ("p", 2): (b"t\xffo\n", True), ("p", 3): (b"tail", False), ("q", 0): (b"x\n", True)}
+    with pytest.raises(Exception, match="too long"):
+        files.segments(lines, 3).collect()
+
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.jpg").write_bytes(b"A")
+    named = spark.createDataFrame([("a.jpg", 1), ("b.jpg", 2)], "file_name string, k int")
+    assert {r.file_name: r.content for r in files.images(spark, named, f"{tmp_path}/img").collect()} == {"a.jpg": b"A", "b.jpg": None}
+
+    ids = spark.range(25).withColumnRenamed("id", "k")
+    dealt = files.batches(ids, "k", 10, 7).collect()
+    assert sorted((r.batch, r.place) for r in dealt) == [(k // 10, k % 10) for k in range(25)] and [r.k for r in sorted(dealt, key=lambda r: (r.batch, r.place))] != list(range(25))
+    chosen = [r.k for r in files.sampled(ids, "k", 5, "s").collect()]
+    assert chosen == sorted(sorted(range(25), key=lambda k: hashlib.sha256(f"s|{k}".encode()).hexdigest())[:5])
+    assert [r.k for r in files.first_records(ids, ["k"], 3).collect()] == [0, 1, 2]
+    pack = files.audit_pack(ids.withColumn("s", F.col("k") % 2), ["s"], "k", 3, "s", ["seen"]).collect()
+    for s in (0, 1):
+        assert sorted(r.k for r in pack if r.s == s) == sorted(sorted(range(s, 25, 2), key=lambda k: hashlib.sha256(f"s|{k}".encode()).hexdigest())[:3])
+
+    tidy = spark.createDataFrame([("point", "A", 1, 0.1, None, None), ("check", None, None, None, "c", True), ("point", "A", 0, 1e-9, None, None)], "record_type string, axis string, index int, value double, check_name string, passed boolean")
+    files.write_tidy_csv(tidy, f"{tmp_path}/tidy")
+    text = "".join(f.read_text() for f in sorted((tmp_path / "tidy").glob("*.csv")))
+    assert text.splitlines() == ["record_type,axis,index,value,check_name,passed", "check,,,,c,true", "point,A,0,1.0E-9,,", "point,A,1,0.1,,"]
+    events = spark.createDataFrame([(1, "stop"), (0, "start")], "sequence int, event string")
+    files.write_event_log(events, f"{tmp_path}/log")
+    said = "".join(f.read_text() for f in sorted((tmp_path / "log").glob("*.json")))
+    assert [json.loads(x) for x in said.splitlines()] == [{"sequence": 0, "event": "start"}, {"sequence": 1, "event": "stop"}]
+    with pytest.raises(ValueError):
+        files.write_event_log(events.filter("sequence = 1"), f"{tmp_path}/log2")
+
+    a, b = "A" * 64, "B" * 64
+    flags = {"": True, "PATH_OVERRIDE|SIZE_OVERRIDE": True, "SIZE_OVERRIDE|PATH_OVERRIDE": False, f"GLOBAL_KEY_SHA256:{a}|EXTENDED_KEY_SHA256:{a}": True, f"GLOBAL_KEY_SHA256:{b}|GLOBAL_KEY_SHA256:{a}": False, f"GLOBAL_KEY_SHA256:{a}|GLOBAL_KEY_SHA256:{a}": False, "OTHER": False, f"EXTENDED_KEY_SHA256:{a.lower()}": False}
+    got = spark.createDataFrame([(f,) for f in flags], "f string").select("f", files.pax_flags_ok(F.col("f")).alias("ok")).collect()
+    assert {r.f: r.ok for r in got} == flags
+
+
+def test_command_line(spark, tmp_path):
+    from evalforge import run
+
+    assert run.main(["expected_grid", SF, "--out", f"{tmp_path}/grid"]) == 0 and spark.read.parquet(f"{tmp_path}/grid").count() == 150
+    with pytest.raises(SystemExit):
+        run.main(["no_such_query", SF])
+
+
+def test_frames_and_hashes(spark):
+    assert X.letterbox(np.full((3, 5), 7, np.uint8)).shape == (144, 256)
+    box = X.letterbox(np.full((10, 10), 200, np.uint8))  # 144 x 144 in the middle
+    assert (box[:, 56:200] == 200).all() and not box[:, :56].any() and not box[:, 200:].any()
+    assert X.letterbox(np.full((2, 255), 9, np.uint8), 5, 100)[2, 50] == 9  # 2 * 100 / 255 + 0.5 is one row
+    assert X.resize(np.array([[0.0, 4.0]]), 1, 4)[0].tolist() == [0.0, 1.0, 3.0, 4.0]
+    # a horizontal ramp has no vertical frequencies: only bits of the first row can be set, and odd ones alternate in sign
+    ramp = np.tile(np.arange(32.0), (32, 1))
+    bits = f"{X.phash64(ramp[:, ::-1]):064b}"
+    assert bits[0] == "0" and bits[1] == "1" and "1" not in bits[8:]
+    assert X.phash64(np.full((32, 32), 90.0)) == 0
+    img = np.random.default_rng(1).integers(0, 256, (48, 64)).astype(np.uint8)
     df = spark.createDataFrame([(img.tobytes(), 48, 64)], "c binary, h int, w int")
-    assert df.select(X.phash_udf("c", "h", "w").alias("p")).first().p == X.phash64(img)
+    assert df.select(X.phash_udf("c", "h", "w").alias("p")).first().p == X.phash64(X.letterbox(img)) >= 0
     import hashlib
     import hmac
 
     assert df.select(X.hmac_sha256(b"k")(F.lit("v")).alias("m")).first().m == hmac.new(b"k", b"v", hashlib.sha256).hexdigest().upper()
 
 
+def test_similarity_of_frames():
+    flat, other = np.full((20, 20), 100, np.uint8), np.full((20, 20), 50, np.uint8)
+    c1 = (0.01 * 255) ** 2
+    assert X.ssim(flat, flat) == 1 and X.ssim(flat, other) == pytest.approx((2 * 100 * 50 + c1) / (100**2 + 50**2 + c1))  # no variance: means alone
+    img = np.random.default_rng(2).integers(0, 256, (16, 24)).astype(np.uint8)
+    taps = np.exp(-((np.arange(11) - 5) ** 2) / 4.5)
+    taps /= taps.sum()
+
+    def mean(x, i, j):  # the window of one pixel, mirrored at the borders
+        at = lambda k, n: -k if k < 0 else 2 * (n - 1) - k if k >= n else k
+        return sum(taps[p] * taps[q] * x[at(i + p - 5, 16)][at(j + q - 5, 24)] for p in range(11) for q in range(11))
+
+    a, b = img.astype(float), img[:, ::-1].astype(float)
+    c2, total = (0.03 * 255) ** 2, 0.0
+    for i in range(16):
+        for j in range(24):
+            ma, mb = mean(a, i, j), mean(b, i, j)
+            va, vb, cov = mean(a * a, i, j) - ma**2, mean(b * b, i, j) - mb**2, mean(a * b, i, j) - ma * mb
+            total += (2 * ma * mb + c1) * (2 * cov + c2) / ((ma**2 + mb**2 + c1) * (va + vb + c2))
+    assert X.ssim(img, img[:, ::-1]) == pytest.approx(total / (16 * 24))
+
+
+def test_corruptions(spark):
+    img = np.array([[[0, 100, 250], [10, 11, 12]]], np.uint8)
+    assert X.corrupt(img, "brightness", 4, "n").tolist() == [[[0, 130, 255], [13, 14, 15]]]
+    field = X.noise_field("a.jpg", img.shape)
+    for level in (1, 4):  # one field, scaled
+        assert (X.corrupt(img, "noise", level, "a.jpg") == np.clip(img + field * X.NOISE[level], 0, 255).astype(np.uint8)).all()
+    assert (X.noise_field("b.jpg", img.shape) != field).any()
+    dot = np.zeros((21, 21), np.uint8)
+    dot[10, 10] = 255
+    out = X.gaussian_blur(np.full((9, 9), 77), 2.0)
+    assert (out == 77).all()
+    wide = [float((X.gaussian_blur(dot * 1.0, r)[10] * (np.arange(21) - 10) ** 2).sum() / X.gaussian_blur(dot * 1.0, r)[10].sum()) for r in (1.0, 2.0)]
+    assert wide[0] < wide[1] and wide[1] == pytest.approx(4, rel=0.35)  # the variance is the radius squared, but for rounding
+    assert (X.corrupt(img, "blur", 0, "n") == img).all()
+    with pytest.raises(ValueError):
+        X.corrupt(img, "fog", 1, "n")
+    flat = np.full((4, 5), 100, np.uint8)
+    images = spark.createDataFrame([("a", flat.tobytes(), 4, 5)], "name string, content binary, height int, width int")
+    got = {r.level: bytes(r.content) for r in X.perturbed_images(images, "brightness").collect()}
+    assert got == {v: X.corrupt(flat, "brightness", v, "a").tobytes() for v in (1, 2, 3, 4)}
+
+
+def test_colours_and_blobs(spark):
+    rgb = np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 0], [128, 128, 128], [255, 0, 8]]], np.uint8)
+    assert X.hsv(rgb)[0].tolist() == [[0, 255, 255], [60, 255, 255], [120, 255, 255], [30, 255, 255], [0, 0, 128], [179, 255, 255]]
+    assert X.colour_mask(X.hsv(rgb), "red")[0].tolist() == [True, False, False, False, False, True]
+    assert X.colour_mask(X.hsv(rgb), "green")[0].tolist() == [False, True, False, False, False, False]
+    mask = np.zeros((5, 6), bool)
+    mask[0, 0] = mask[1, 1] = mask[2, 0] = mask[4, 5] = True  # three that touch by corners, one alone
+    assert X.blob_features(mask) == {"pixels": 4, "share": 4 / 30, "height": 7 / 16, "largest": 3, "largest_share": 0.1, "fill": 0.5}
+    assert X.blob_features(np.zeros((2, 2), bool))["height"] == -1.0
+    lit = np.zeros((10, 4, 3), np.uint8)
+    lit[:3, :, 0] = 255
+    scores = X.lamp_scores(X.hsv(lit))
+    assert scores["red"] == pytest.approx(12 * 1.5 / 40) and scores["green"] == 0
+    row = spark.createDataFrame([(rgb.tobytes(), 1, 6, "red")], "c binary, h int, w int, s string").select(X.blob_udf("c", "h", "w", "s").alias("b")).first().b
+    assert (row.pixels, row.largest, row.fill) == (2, 1, 1.0)
+
+
 def test_stream_of_members(spark, tmp_path):
     rows = spark.range(10).select((F.col("id") % 4).alias("k"), F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("at"))
     rows.write.parquet(f"{tmp_path}/in")
