@@ -562,3 +562,139 @@ def temperature_fit(spark, sf):
     return spark.createDataFrame([(*k, round(1 / b, 6)) for k, b in sorted(beta.items())], "seed int, model int, temperature double")
 
 
+# -- twenty maps: components of each, draws for every occurrence ---------------------------------------------------------
+
+MAPS, MIN_POSITIVE = 20, 18
+#: All names once a map, with the map's salt.
+_M = "PARTITION BY map_id"
+MAPS_SQL = f"""{CLIP_SQL}, uniq AS (SELECT min(o_orderkey) AS sample_ix, name, clip FROM named GROUP BY ALL), odd AS (SELECT * FROM uniq WHERE sample_ix <> CASE WHEN (SELECT count(*) FROM uniq) % 2 = 0 THEN (SELECT max(sample_ix) FROM uniq) ELSE -1 END),
+  salts AS (SELECT CAST(range AS INTEGER) AS map_id, printf('evalforge-map-%02d', range) AS salt FROM range({MAPS})), ord AS (SELECT *, row_number() OVER ({_M} ORDER BY sha256(salt || '|' || name), name, sample_ix) - 1 AS rk FROM odd, salts),
+  last AS (SELECT * FROM ord QUALIFY row_number() OVER (PARTITION BY map_id, clip ORDER BY rk DESC) = 1), tri AS (SELECT *, row_number() OVER ({_M} ORDER BY rk DESC) - 1 AS slot FROM last QUALIFY slot < 3),
+  rest AS (SELECT *, row_number() OVER ({_M} ORDER BY rk) - 1 AS k, count(*) OVER ({_M}) // 2 AS half FROM ord ANTI JOIN tri USING (map_id, sample_ix)), l AS (SELECT * FROM rest WHERE k < half), r AS (SELECT * REPLACE (k - half AS k) FROM rest WHERE k >= half),
+  bad AS (SELECT DISTINCT map_id, (r.k - l.k + l.half) % l.half AS rot FROM l JOIN r USING (map_id, clip)), halves AS (SELECT DISTINCT map_id, half FROM rest), rot AS (SELECT map_id, min(x) AS x FROM (SELECT map_id, unnest(range(half)) AS x FROM halves) a ANTI JOIN bad b ON a.map_id = b.map_id AND a.x = b.rot GROUP BY ALL),
+  pr AS (SELECT l.map_id, l.sample_ix AS a, r.sample_ix AS b, sha256(l.salt || '|cycle|' || least(l.name, r.name) || '|' || greatest(l.name, r.name)) AS h FROM l JOIN rot USING (map_id) JOIN r ON r.map_id = l.map_id AND r.k = (l.k + rot.x) % l.half), pk AS (SELECT *, row_number() OVER ({_M} ORDER BY h, a, b) - 1 AS pair_rank, count(*) OVER ({_M}) AS n_pairs FROM pr),
+  cyc AS (SELECT map_id, pair_rank, 0 AS slot, a AS sample_ix FROM pk UNION ALL SELECT map_id, pair_rank, 1, b FROM pk UNION ALL SELECT map_id, half, slot, sample_ix FROM tri JOIN halves USING (map_id)),
+  nx AS (SELECT *, coalesce(lead(sample_ix) OVER (PARTITION BY map_id, pair_rank ORDER BY slot), first(sample_ix) OVER (PARTITION BY map_id, pair_rank ORDER BY slot)) AS next FROM cyc),
+  maps AS (SELECT map_id, q_ix, sample_ix AS dst_ix, CASE WHEN q_ix = 4 OR pair_rank < floor(q_ix * 0.25::DOUBLE * (SELECT count(*) FROM odd) / 2 + 0.5::DOUBLE) THEN next ELSE sample_ix END AS src_ix FROM nx, range(5) AS q(q_ix))"""
+
+
+def map_stack(spark, sf) -> tuple[DataFrame, int]:
+    """(map_id, q_ix, dst_ix, src_ix) of MAPS graded maps, a salt each, made together; and how many samples a map has."""
+    rows, n = odd_names(spark, sf)
+    ids = rows.withColumn("map_id", F.explode(F.sequence(F.lit(0), F.lit(MAPS - 1))))
+    cycles = P.cycles(ids, "name", "clip", F.format_string("evalforge-map-%02d", F.col("map_id")), ["map_id"])
+    return G.cut(P.graded(cycles, n, keys=["map_id"])), n
+
+
+@query(f"WITH {MAPS_SQL}, st AS ({_STEPS_SQL.format(k='map_id, ')}), c AS (SELECT map_id, q_ix, count(*) AS n, count(DISTINCT src_ix) = count(*) AS bijective, count(*) FILTER (src_ix = dst_ix) AS n_fixed, count(*) FILTER (src_ix <> dst_ix AND a.clip = b.clip) AS n_same_clip, count(*) FILTER (src_ix <> dst_ix AND a.name = b.name) AS n_same_name, {_HELD} AS nested FROM st JOIN odd a ON a.sample_ix = dst_ix JOIN odd b ON b.sample_ix = src_ix GROUP BY ALL)"
+       + " SELECT map_id, CAST(q_ix AS INTEGER) AS q_ix, n, bijective, n_fixed, n_same_clip, n_same_name, nested, (SELECT count(DISTINCT p) FROM (SELECT map_id, sum((dst_ix * 7919 + src_ix * 104729) % 2147483647 * (dst_ix % 1009 + 1)) AS p FROM maps WHERE q_ix = 4 GROUP BY ALL)) AS n_different FROM c")
+def map_stack_invariants(spark, sf):
+    """The invariants of every map and severity, and how many different full maps there are, by a fingerprint."""
+    maps, _ = map_stack(spark, sf)
+    prints = maps.filter("q_ix = 4").groupBy("map_id").agg(F.sum((F.col("dst_ix") * 7919 + F.col("src_ix") * 104729) % 2147483647 * (F.col("dst_ix") % 1009 + 1)).alias("p")).agg(F.countDistinct("p").alias("n_different"))
+    return invariants(stepped(maps, ["map_id"]), odd_names(spark, sf)[0], ["map_id", "q_ix"]).join(F.broadcast(prints))
+
+
+#: Clips of a map that a full move ties, and the exact-set errors of their samples' predictions against the source's labels.
+_E = [f"e{q}" for q in range(5)]
+MULTI_SQL = f"""WITH RECURSIVE {MAPS_SQL}, {ODD_SAMPLES}, {S.pred(seeds=A.SEEDS)},
+  ce AS (SELECT DISTINCT map_id, a.clip AS a, b.clip AS b FROM maps JOIN odd a ON a.sample_ix = dst_ix JOIN odd b ON b.sample_ix = src_ix WHERE q_ix = 4), both_ AS (SELECT map_id, a, b FROM ce UNION SELECT map_id, b, a FROM ce),
+  reach AS (SELECT DISTINCT map_id, a AS node, a AS root FROM both_ UNION SELECT r.map_id, b.b, r.root FROM reach r JOIN both_ b ON b.map_id = r.map_id AND b.a = r.node WHERE r.root < b.b), comp AS (SELECT map_id, node, min(root) AS component FROM reach GROUP BY ALL),
+  pos AS (SELECT map_id, component, row_number() OVER ({_M} ORDER BY component) - 1 AS position, count(*) OVER ({_M}) AS n_comp FROM (SELECT DISTINCT map_id, component FROM comp)),
+  se AS (SELECT map_id, q_ix, p.seed, p.model, p.sample_ix, max(CASE WHEN (p.z >= 0) <> (s.t = 1) THEN 1 ELSE 0 END) AS e FROM pred p JOIN maps ON dst_ix = p.sample_ix JOIN pred s ON s.sample_ix = src_ix AND s.seed = p.seed AND s.model = p.model AND s.class_ix = p.class_ix GROUP BY ALL),
+  ms AS (SELECT se.map_id, component, seed, model, CAST(count(*) / 5 AS BIGINT) AS n, {", ".join(f"sum(CASE WHEN q_ix = {q} THEN e ELSE 0 END) AS e{q}" for q in range(5))} FROM se JOIN odd USING (sample_ix) JOIN comp ON comp.map_id = se.map_id AND comp.node = odd.clip GROUP BY ALL)"""
+_LEAST = "min(least(" + ", ".join(f"e{q + 1} - e{q}" for q in range(4)) + ") / CAST(n AS DOUBLE))"
+POINT_SQL = f", mp AS (SELECT map_id, avg(b) AS b FROM (SELECT map_id, seed, {_LEAST} AS b FROM (SELECT map_id, seed, model, sum(n) AS n, {', '.join(f'sum({e}) AS {e}' for e in _E)} FROM ms GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"
+MAP_DRAWS_SQL = f""", occ AS (SELECT rep, occ, CAST({S.draw("(occ + 101)", "rep")} % {MAPS} AS INTEGER) AS map_id FROM range({REPS}) AS r(rep), range({MAPS}) AS o(occ)), {S.seed_draws(REPS)},
+  od AS (SELECT rep, occ, map_id, {S.draw("slot", f"(rep * {MAPS} + occ)")} % n_comp AS position, count(*) AS weight FROM (SELECT rep, occ, map_id, n_comp, unnest(range(n_comp)) AS slot FROM occ JOIN (SELECT DISTINCT map_id, n_comp FROM pos) USING (map_id)) GROUP BY ALL),
+  wide AS (SELECT map_id, position, {", ".join(f"sum(CASE WHEN seed = {s} AND model = {m} THEN {c} ELSE 0 END) AS {c}_{s}_{m}" for s in A.SEEDS for m in A.MODELS for c in ["n", *_E])} FROM ms JOIN pos USING (map_id, component) GROUP BY ALL),
+  ow AS (SELECT rep, occ, {", ".join(f"sum(weight * {c}_{s}_{m}) AS {c}_{s}_{m}" for s in A.SEEDS for m in A.MODELS for c in ["n", *_E])} FROM od JOIN wide USING (map_id, position) GROUP BY ALL),
+  ob AS ({" UNION ALL ".join(f"SELECT rep, occ, {s} AS seed, least({', '.join(f'(e{q + 1}_{s}_{m} - e{q}_{s}_{m}) / CAST(n_{s}_{m} AS DOUBLE)' for m in A.MODELS for q in range(4))}) AS b FROM ow" for s in A.SEEDS)}),
+  mb AS (SELECT rep, avg(v) AS v FROM (SELECT rep, occ, sum(b * times) / sum(times) AS v FROM ob JOIN seeds USING (rep, seed) GROUP BY ALL) GROUP BY ALL)"""
+
+
+def multimap_stats(spark, sf) -> DataFrame:
+    """map_id, position, n_comp, seed, model, n, e0..e4: samples and errors at each severity, by a map's components."""
+    maps, _ = map_stack(spark, sf)
+    names = odd_names(spark, sf)[0]
+    clip = lambda ix, c: names.select(F.col("sample_ix").alias(ix), F.col("clip").alias(c))
+    ends = maps.filter("q_ix = 4").join(clip("dst_ix", "a"), "dst_ix").join(clip("src_ix", "b"), "src_ix")
+    node = lambda c: F.format_string("%02d|%s", F.col("map_id"), F.col(c))
+    found = G.components(ends.select(node("a").alias("a"), node("b").alias("b")), ends.select(F.explode(F.array(node("a"), node("b"))).alias("node")))
+    named = found.select(F.substring("node", 1, 2).cast("int").alias("map_id"), F.expr("substring(node, 4)").alias("clip"), "component")
+    parts = named.select("map_id", "component").distinct()
+    # places of a map's components by slices of a first character or two of the clip's number
+    pos = P.ranked(parts, ["component"], F.expr("substring(component, 5, 2)"), "position", ["map_id"])
+    pos = G.cut(pos.join(F.broadcast(parts.groupBy("map_id").agg(F.count("*").alias("n_comp"))), "map_id"))
+    rows = all_orders(spark, sf)[0].join(names.select("sample_ix", "clip"), "sample_ix")
+    acts = M.predicted(A.actions(spark, sf, seeds=A.SEEDS, rows=rows))
+    preds = acts.groupBy("sample_ix").agg(F.collect_list(F.struct("seed", "model", "pred")).alias("own"), F.first("target").alias("target"))  # ten entries a sample
+    moved_ = maps.join(preds.select(F.col("sample_ix").alias("dst_ix"), "own"), "dst_ix").join(preds.select(F.col("sample_ix").alias("src_ix"), "target"), "src_ix")
+    each = moved_.select("map_id", "q_ix", "dst_ix", "target", F.inline("own")).withColumn("e", E.any_mismatch(F.col("pred"), F.col("target")))
+    placed = each.join(clip("dst_ix", "clip"), "dst_ix").join(named, ["map_id", "clip"]).join(pos, ["map_id", "component"])
+    return G.cut(placed.groupBy("map_id", "position", "n_comp", *KEYS).agg((F.count("*") / 5).cast("long").alias("n"), *(F.sum(F.when(F.col("q_ix") == q, F.col("e")).otherwise(0)).alias(e) for q, e in enumerate(_E))))
+
+
+def map_points(stats: DataFrame) -> DataFrame:
+    """map_id, b: the least step of both models' curves, by seed before seeds are averaged."""
+    sums = stats.groupBy("map_id", *KEYS).agg(*(F.sum(c).alias(c) for c in ("n", *_E)))
+    step = F.least(*(F.col(b) - F.col(a) for a, b in zip(_E[:-1], _E[1:]))) / F.col("n")
+    return sums.groupBy("map_id", "seed").agg(F.min(step).alias("b")).groupBy("map_id").agg(F.avg("b").alias("b"))
+
+
+def _occurrences(reps: int):
+    """(rep, occ, seed, b): a map's bottleneck in each of its occurrences, over components drawn for that occurrence."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators.resample import DRAWS, weights
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        own, n = int(f["map_id"].iloc[0]), int(f["n_comp"].iloc[0])
+        rep, occ = np.divmod(np.arange(reps * MAPS), MAPS)
+        x = ((occ + 101) * 1103 + rep * 7919 + 17) % A.PRIME
+        chosen = np.flatnonzero(x * x % A.PRIME * 48271 % A.PRIME % MAPS == own)
+        cells = sorted(set(zip(f["seed"], f["model"])))
+        table = np.zeros((n, len(cells), 6))
+        at = {c: k for k, c in enumerate(cells)}
+        table[f["position"], [at[c] for c in zip(f["seed"], f["model"])]] = f[["n", *_E]]
+        out, step = [], max(1, DRAWS // n)
+        for a in range(0, len(chosen), step):
+            part = chosen[a : a + step]
+            sums = (weights(n, part) @ table.reshape(n, -1)).reshape(len(part), len(cells), 6)
+            least = (np.diff(sums[:, :, 1:], axis=2).min(2)) / sums[:, :, 0]
+            for s in sorted({c[0] for c in cells}):
+                b = least[:, [k for c, k in at.items() if c[0] == s]].min(1)
+                out.append(pd.DataFrame({"rep": rep[part], "occ": occ[part], "seed": s, "b": b}))
+        return pd.concat(out) if out else pd.DataFrame({"rep": [], "occ": [], "seed": [], "b": []})
+
+    return run
+
+
+def multimap_draws(stats: DataFrame, reps: int = REPS) -> DataFrame:
+    """rep, v: maps are drawn with replacement, components anew for every occurrence, seeds once a replicate. A task is a
+    map with its components' sums."""
+    each = stats.groupBy("map_id").applyInPandas(_occurrences(reps), "rep long, occ long, seed int, b double")
+    drawn = each.join(F.broadcast(A.seed_draws(stats.sparkSession, reps)), ["rep", "seed"])
+    by = drawn.groupBy("rep", "occ").agg((F.sum(F.col("b") * F.col("times")) / F.sum("times")).alias("v"))
+    return by.groupBy("rep").agg(F.avg("v").alias("v"))
+
+
+@query(MULTI_SQL + MAP_DRAWS_SQL + f" SELECT {CI} FROM mb")
+def bootstrap_multimap(spark, sf):
+    """The interval of the mean bottleneck of error curves over maps, seeds and components."""
+    return B.interval(multimap_draws(multimap_stats(spark, sf)).withColumn("one", F.lit(1)), ["one"], "v").drop("one")
+
+
+@query(MULTI_SQL + POINT_SQL + MAP_DRAWS_SQL + f""", gc AS (SELECT model, {", ".join(f"sum({e}) AS {e}" for e in _E)} FROM ms GROUP BY ALL), g AS (SELECT count(*) FILTER (b > 0) >= {MIN_POSITIVE} AS enough_maps, avg(b) > 0 AS mean_positive FROM mp), i AS (SELECT quantile_cont(v, 0.025) > 0 AS interval_positive FROM mb), c AS (SELECT bool_and({" AND ".join(f"e{q + 1} >= e{q}" for q in range(4))}) AS no_reversal FROM gc)
+  SELECT enough_maps, mean_positive, interval_positive, no_reversal, enough_maps AND mean_positive AND interval_positive AND no_reversal AS passed FROM g, i, c""")
+def multimap_gate(spark, sf):
+    """Eighteen of twenty maps with a positive bottleneck, a positive mean, a positive bound, and no reversal of the grand
+    mean curves."""
+    stats = multimap_stats(spark, sf)
+    g = map_points(stats).agg((F.count_if(F.col("b") > 0) >= MIN_POSITIVE).alias("enough_maps"), (F.avg("b") > 0).alias("mean_positive"))
+    i = multimap_draws(stats).agg((F.percentile("v", F.lit(0.025)) > 0).alias("interval_positive"))
+    c = stats.groupBy("model").agg(*(F.sum(e).alias(e) for e in _E))
+    rises = F.every((F.col("e1") >= F.col("e0")) & (F.col("e2") >= F.col("e1")) & (F.col("e3") >= F.col("e2")) & (F.col("e4") >= F.col("e3")))
+    out = g.join(F.broadcast(i)).join(F.broadcast(c.agg(rises.alias("no_reversal"))))
+    return out.withColumn("passed", F.col("enough_maps") & F.col("mean_positive") & F.col("interval_positive") & F.col("no_reversal"))
