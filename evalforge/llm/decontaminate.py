@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,7 +157,7 @@ def _patterns(key: int, shared) -> Patterns:
     return Patterns(*shared.value)
 
 
-def _stage(shared, text: str, names: list[str], first: bool):
+def _stage(shared, text: str, names: list[str], first: bool, cut: bool):
     def search(patterns: Patterns, batch, data, offsets):
         shard = Shard(data, offsets)
         at, which = shard.find(patterns)
@@ -178,6 +179,12 @@ def _stage(shared, text: str, names: list[str], first: bool):
             spans[d] = merged(np.asarray(spans[d], np.int64).reshape(-1, 2)).ravel().tolist()
             items[d] = sorted(items[d])
         columns = [take(batch, n) for n in names]
+        own = [d for d in range(shard.n) if spans[d]]
+        if cut and own:
+            at = names.index(text)
+            mask = np.zeros(shard.n, bool)
+            mask[own] = True
+            columns[at] = pc.replace_with_mask(columns[at], pa.array(mask), pa.array([cut_text(columns[at][d].as_py(), spans[d]) for d in own], columns[at].type))
         n_words = pa.array(np.diff(shard.first), pa.int64())
         return pa.RecordBatch.from_arrays([*columns, n_words, pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "n_words", "hits", "items"])
 
@@ -203,9 +210,9 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
         yield held
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
     """docs (or its columns `keep`) with n_words, hits (word spans start, end, ...; merged), items and what follows
-    from them: n_hit, n_items, items_sha256, contaminated."""
+    from them: n_hit, n_items, items_sha256, contaminated. With `cut` the spans are cut out of the texts."""
     spark = docs.sparkSession
     small_batches(spark)
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in RESULTS]
@@ -213,11 +220,15 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     docs = docs.select(*carried).withColumn(text, F.col(text).cast("string"))
     base = docs.schema.fields
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
-    for k, block in enumerate(blocks(benchmark)):
+    todo = blocks(benchmark)
+    block, k = next(todo), 0
+    while block is not None:
+        after = next(todo, None)
         if k and k % CHAINED == 0:
             docs = materialise(docs, "hits")
         shared = spark.sparkContext.broadcast((block, window))
-        docs = docs.mapInArrow(_stage(shared, text, carried, k == 0), T.StructType([*base, *added]))
+        docs = docs.mapInArrow(_stage(shared, text, carried, k == 0, cut and after is None), T.StructType([*base, *added]))
+        block, k = after, k + 1
     n_hit = F.aggregate(F.transform("hits", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return docs.select(
         *keep,
@@ -233,10 +244,6 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """docs with the merged removal spans cut out of their texts; other rows as they are."""
-    found = find(docs, benchmark, window, text)
-
-    @F.pandas_udf("string")
-    def cut(t, hits):  # noqa: ANN001, ANN202
-        return t.combine(hits, lambda a, h: cut_text(a, list(h)) if a is not None and len(h) else a)
-
-    return found.withColumn(text, F.when(F.col("contaminated"), cut(F.col(text), F.col("hits"))).otherwise(F.col(text))).select(*docs.columns)
+    own = [f"own_{k}" for k in range(len(docs.columns))]  # columns named like a result are kept too
+    found = find(docs.toDF(*own), benchmark, window, own[docs.columns.index(text)], cut=True)
+    return found.select(*own).toDF(*docs.columns)

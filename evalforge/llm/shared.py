@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives back what a batch took, where the default pool keeps it for the worker
+
 #: Bytes of text that one chunk holds; a single longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 #: Bytes up to which a measured table is broadcast; larger ones are joined by shuffle.
@@ -59,9 +61,9 @@ def release(spark: SparkSession) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what Arrow hands to Python at once, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     except Exception:  # a Spark that doesn't know the setting  # noqa: BLE001
         pass
 

@@ -330,10 +330,15 @@ def test_decontaminate(spark, docs, rows, empty, monkeypatch):
     assert decontaminate.find(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
-def test_remove_cuts_the_passages_and_nothing_else(spark, docs, rows):
+def test_remove_cuts_the_passages_and_nothing_else(spark, docs, rows, monkeypatch):
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     out = decontaminate.remove(docs, bench)
     assert out.columns == docs.columns
+    small = decontaminate.blocks
+    monkeypatch.setattr(decontaminate, "blocks", lambda b: small(b, 50))  # an item a block: the text is cut after the last
+    more = spark.createDataFrame([(k, f"{k} words that no text has") for k in range(2, 8)] + [(1, PASSAGE)], "item_id long, text string")
+    assert sorted(map(str, decontaminate.remove(docs, more.orderBy("item_id")).collect())) == sorted(map(str, out.collect()))
+    assert {r.hits for r in out.collect()} == {"hits"} and out.schema["hits"] == docs.schema["hits"]
     by = {r.doc_id: r.text for r in out.collect()}
     for i, t, *_ in rows:
         if i in (5, 6):
