@@ -2,7 +2,7 @@
 
 No order is made over a whole cell at once. Equal confidences are summed first where ties are averaged; where each
 row needs its place, rows are dealt by (cell, slice of the confidence range), ordered there, and set off by the
-slices before, of which a cell has SLICES at most.
+slices before, of which a cell has OCTAVES * (PARTS + 1) at most.
 """
 
 from __future__ import annotations
@@ -11,12 +11,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICES = 1024
+#: Slices of an octave of the distance from 1, and the octaves that are told apart.
+PARTS, OCTAVES = 256, 50
 
 
 def _slice(conf: str = "conf"):
-    """Smaller for greater confidences in [0, 1]; others go to the outermost slices."""
-    return F.least(F.greatest(F.floor((1 - F.col(conf)) * SLICES), F.lit(0)), F.lit(SLICES - 1)).cast("int")
+    """Smaller for greater confidences in [0, 1]. Each halving of the distance from 1 has as many slices, so confidences
+    that pile up near 1 are cut as finely as others."""
+    far = F.least(F.greatest(1 - F.col(conf), F.lit(2.0**-OCTAVES)), F.lit(1.0))
+    octave = F.floor(-F.log2(far))
+    return ((OCTAVES - octave) * (PARTS + 1) + F.floor((far * F.pow(F.lit(2.0), octave + 1) - 1) * PARTS)).cast("int")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], slices: int = 1024) -> DataFrame:
+    """keys, n and, for each name: share, the exact quantile of a column by linear interpolation; nulls don't count.
+
+    Equal values are summed first; the others are placed by slices of each key's range, so no task orders a whole key."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    span = counted.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
+    at = F.least(F.coalesce(F.floor((F.col(value) - F.col("_lo")) * slices / width), F.lit(0)), F.lit(slices - 1))
+    part = counted.join(F.broadcast(span), keys).withColumn("_s", at) if keys else counted.join(F.broadcast(span)).withColumn("_s", at)
+    sums = part.groupBy(*keys, "_s").agg(F.sum("_n").alias("_k"))
+    before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(*keys, "_s", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_b"), F.sum("_k").over(W.partitionBy(*keys)).alias("_all"))
+    inside = W.partitionBy(*keys, "_s").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    rows = part.withColumn("_i", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(base, [*keys, "_s"])
+    first, last = F.col("_b") + F.col("_i"), F.col("_b") + F.col("_i") + F.col("_n")
+    out = {}
+    for name, share in shares.items():
+        place = share * (F.col("_all") - 1)
+        for end, ix in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            out[f"_{name}_{end}"] = F.max(F.when((first <= ix) & (ix < last), F.col(value)))
+    found = rows.groupBy(*keys, "_all").agg(*(v.alias(n) for n, v in out.items()))
+    mixed = lambda n, s: F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * (s * (F.col("_all") - 1) - F.floor(s * (F.col("_all") - 1)))
+    return found.select(*keys, F.col("_all").alias("n"), *(mixed(n, s).alias(n) for n, s in shares.items()))
 
 
 def tie_groups(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:

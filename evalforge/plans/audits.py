@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import audit as Q
+from ..operators import ranking as R
 from ..sources import adapters as A
 from .registry import query
 
@@ -253,13 +254,17 @@ def repository_index_summary(spark, sf):
 def numeric_summary(spark, sf):
     ok = F.col("value").isNull() | (~F.isnan("value") & (F.abs("value") < float("inf")))
     r = lambda c: F.round(c, 6)
-    return A.table(spark, sf, "events").filter(ok).groupBy("event_type").agg(F.count("value").alias("n"), r(F.min("value")).alias("low"), r(F.percentile("value", F.lit(0.5))).alias("mid"), r(F.avg("value")).alias("mean"), r(F.max("value")).alias("high"))
+    rows = A.table(spark, sf, "events").filter(ok)
+    mid = R.quantiles(rows, ["event_type"], "value", {"mid": 0.5}).select("event_type", r("mid").alias("mid"))
+    sums = rows.groupBy("event_type").agg(F.count("value").alias("n"), r(F.min("value")).alias("low"), r(F.avg("value")).alias("mean"), r(F.max("value")).alias("high"))
+    return sums.join(mid, "event_type", "left")
 
 
 @query("SELECT l_returnflag, min(l_quantity) AS low, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.95) AS p95, max(l_quantity) AS high FROM lineitem GROUP BY ALL")
 def distribution_summary(spark, sf):
-    q = F.percentile("l_quantity", F.array(F.lit(0.5), F.lit(0.95)))
-    return A.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("low"), q[0].alias("p50"), q[1].alias("p95"), F.max("l_quantity").alias("high"))
+    rows = A.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("l_quantity"))
+    ends = A.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    return ends.join(R.quantiles(rows, ["l_returnflag"], "l_quantity", {"p50": 0.5, "p95": 0.95}).drop("n"), "l_returnflag")
 
 
 @query("""WITH s AS (SELECT l_returnflag AS stratum, round(avg(CASE WHEN l_discount <= 0.08 THEN 1.0::DOUBLE ELSE 0 END), 6) AS visible, round(avg(CASE WHEN l_tax <= 0.06 THEN 1.0::DOUBLE ELSE 0 END), 6) AS preserved FROM lineitem GROUP BY ALL)

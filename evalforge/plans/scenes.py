@@ -157,9 +157,20 @@ def aligned_window_edge(spark, sf):
     return best.select("user_id", F.col("x.s").cast("long").alias("start_pair"), F.col("x.e").cast("long").alias("end_pair"), (-F.col("x.n")).cast("long").alias("pair_count"), F.round("x.mh", 6).alias("median_hamming"), F.round(-F.col("x.ms"), 6).alias("median_ssim"))
 
 
-@query("WITH " + PAIRS_SQL.rstrip(", ") + ", h AS (SELECT user_id, count(*) AS n, bool_and(hamming <= 7) AS near, median(hamming) AS mh, median(ssim) AS ms FROM pairs WHERE k < 3 GROUP BY ALL) SELECT user_id, n = 3 AND near AND mh <= 4 AND ms >= 0.92::DOUBLE AS matched FROM h")
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), t AS (SELECT user_id, event_id, k - (n - 3) AS i FROM e WHERE k >= n - 3 AND n >= 3), h AS (SELECT user_id, event_id, k AS i FROM e WHERE k < 3),
+  p AS (SELECT t.user_id, (t.event_id * 7919 + h.event_id * 31) % 9 AS hamming, 0.9::DOUBLE + ((t.event_id * 31 + h.event_id * 17) % 100) / 1000.0::DOUBLE AS ssim FROM t JOIN h ON h.user_id = t.user_id + 1 AND h.i = t.i)
+  SELECT user_id, count(*) = 3 AND bool_and(hamming <= 7) AND median(hamming) <= 4 AND median(ssim) >= 0.92::DOUBLE AS matched FROM p GROUP BY ALL""")
 def boundary_edge(spark, sf):
-    h = frame_pairs(spark, sf).filter("k < 3").groupBy("user_id").agg(F.count("*").alias("n"), F.every(F.col("hamming") <= 7).alias("near"), F.percentile("hamming", F.lit(0.5)).alias("mh"), F.percentile("ssim", F.lit(0.5)).alias("ms"))
+    """Whether a series goes on in the next one: the last three frames of the one against the first three of the other,
+    pair by pair. All three are near, and their medians are close."""
+    rows = A.table(spark, sf, "events").select("user_id", "event_id", "ts")
+    place = lambda *o: F.row_number().over(W.partitionBy("user_id").orderBy(*o)) - 1
+    head = rows.withColumn("i", place("ts", "event_id")).filter("i < 3").select((F.col("user_id") - 1).alias("user_id"), "i", F.col("event_id").alias("head"))
+    last = rows.withColumn("j", place(F.desc("ts"), F.desc("event_id"))).filter("j < 3").select("user_id", (2 - F.col("j")).alias("i"), F.col("event_id").alias("tail"))
+    whole = last.groupBy("user_id").count().filter("count = 3").select("user_id")
+    pairs = last.join(whole, "user_id", "left_semi").join(head, ["user_id", "i"])
+    pairs = pairs.select("user_id", ((F.col("tail") * 7919 + F.col("head") * 31) % 9).alias("hamming"), (0.9 + (F.col("tail") * 31 + F.col("head") * 17) % 100 / 1000.0).alias("ssim"))
+    h = pairs.groupBy("user_id").agg(F.count("*").alias("n"), F.every(F.col("hamming") <= 7).alias("near"), F.percentile("hamming", F.lit(0.5)).alias("mh"), F.percentile("ssim", F.lit(0.5)).alias("ms"))  # three values each
     return h.select("user_id", ((F.col("n") == 3) & F.col("near") & (F.col("mh") <= 4) & (F.col("ms") >= 0.92)).alias("matched"))
 
 
@@ -270,6 +281,124 @@ query(_auc_sql(False), "deletion_auc")(_auc(False))
 query(_auc_sql(True), "insertion_auc")(_auc(True))
 
 
+#: The rules whose mean is the scalar that attributions explain.
+ACTION_RULES = ("and", "or_xor", "majority", "parity")
+_SCALAR_SQL = "(" + " + ".join(RULE_SQL[k] for k in ACTION_RULES) + f") / {len(ACTION_RULES)}.0::DOUBLE"
+ATTRIBUTION_SQL = f"WITH {ROWS_SQL}, f AS (SELECT row, {_SCALAR_SQL} AS f FROM r), g AS (SELECT a.row, j.j, a.f - b.f AS g FROM f a, range({O.BITS}) AS j(j) JOIN f b ON b.row = xor(a.row, CAST(1 << j.j AS BIGINT)))"
+
+
+def attributions(spark):
+    """row, f and g: the mean of ACTION_RULES at each assignment, and by how much it exceeds that with each bit flipped."""
+    scalar = lambda row: sum(O.compile_rule(RULES[k], row) for k in ACTION_RULES) / float(len(ACTION_RULES))
+    row = F.col("row")
+    return O.rows(spark).select("row", scalar(row).alias("f"), F.array(*(scalar(row) - scalar(row.bitwiseXOR(F.lit(1 << j).cast("long"))) for j in range(O.BITS))).alias("g"))
+
+
+@query(ATTRIBUTION_SQL + f", d AS (SELECT g.row, m.row AS mask, sum(CASE WHEN (m.row >> j) & 1 = 1 THEN g ELSE 0 END) AS dot FROM g, r m GROUP BY ALL) SELECT round(avg((dot - (a.f - b.f)) ** 2), 6) AS infidelity FROM d JOIN f a ON a.row = d.row JOIN f b ON b.row = xor(d.row, d.mask)")
+def infidelity(spark, sf):
+    """How far the sum of the flipped bits' attributions is from the change they make, squared, over all masks."""
+    t = attributions(spark)
+    f = t.agg(  # the scalar by assignment: a fixed table of 1,024 values
+        F.transform(F.array_sort(F.collect_list(F.struct("row", "f"))), lambda x: x["f"]).alias("all"))
+    masks = t.join(F.broadcast(f)).withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << O.BITS) - 1).cast("long"))))
+    dot = sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << j).cast("long")) != 0, F.col("g")[j]).otherwise(0.0) for j in range(O.BITS))
+    other = F.get("all", F.col("row").bitwiseXOR(F.col("mask")).cast("int"))
+    return masks.agg(F.round(F.avg(F.pow(dot - (F.col("f") - other), F.lit(2))), 6).alias("infidelity"))
+
+
+@query(ATTRIBUTION_SQL + f", s AS (SELECT a.row, n.j AS neighbour, max(abs(a.g - b.g)) AS d FROM g a, range({O.BITS}) AS n(j) JOIN g b ON b.row = xor(a.row, CAST(1 << n.j AS BIGINT)) AND b.j = a.j GROUP BY ALL) SELECT round(avg(d), 6) AS max_sensitivity FROM (SELECT row, max(d) AS d FROM s GROUP BY ALL)")
+def max_sensitivity(spark, sf):
+    """The greatest change of any attribution as one bit flips, averaged over all assignments."""
+    t = attributions(spark)
+    near = t.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(O.BITS - 1)))).withColumn("other", F.col("row").bitwiseXOR(F.get(F.array(*(F.lit(1 << j).cast("long") for j in range(O.BITS))), F.col("bit"))))
+    both = near.join(F.broadcast(t.select(F.col("row").alias("other"), F.col("g").alias("h"))), "other")  # 1,024 rows
+    change = F.array_max(F.zip_with("g", "h", lambda a, b: F.abs(a - b)))
+    return both.groupBy("row").agg(F.max(change).alias("d")).agg(F.round(F.avg("d"), 6).alias("max_sensitivity"))
+
+
+# -- worlds x metrics x manipulations: validity of metrics ------------------------------------------------------------------
+
+AXES = ("A", "R", "S", "C1")
+#: A metric's value: it rises with quality, most along its own axis; the rest is noise by world.
+CELLS_SQL = "cells AS (SELECT w.world, m.metric, x.axis, d.dose, (4 - dose) / 4.0::DOUBLE AS quality, CAST((4 - dose) * (CASE WHEN metric = axis THEN 25 ELSE 4 END) + (world * 7919 + axis * 104729 + metric * 1299709 + dose * 15485863) % 61 AS DOUBLE) / 100 AS value FROM range(32) AS w(world), range(4) AS m(metric), range(4) AS x(axis), range(5) AS d(dose))"
+
+
+def validity_cells(spark):
+    """world, metric, axis (the manipulated one), dose, quality = 1 - dose / 4, value."""
+    rows = spark.range(WORLDS).withColumnRenamed("id", "world")
+    for name, n in (("metric", 4), ("axis", 4), ("dose", 5)):
+        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    own = F.when(F.col("metric") == F.col("axis"), 25).otherwise(4)
+    noise = (F.col("world") * 7919 + F.col("axis") * 104729 + F.col("metric") * 1299709 + F.col("dose") * 15485863) % 61
+    return rows.select("world", "metric", "axis", "dose", ((4 - F.col("dose")) / 4.0).alias("quality"), (((4 - F.col("dose")) * own + noise).cast("double") / 100).alias("value"))
+
+
+@query(f"WITH {CELLS_SQL} SELECT metric, axis, round(covar_samp(value, quality) / var_samp(quality) / stddev_samp(value), 6) AS slope FROM cells GROUP BY ALL")
+def standardized_slope(spark, sf):
+    """The slope of a metric by quality, in standard deviations of the metric."""
+    return validity_cells(spark).groupBy("metric", "axis").agg(F.round(F.covar_samp("value", "quality") / F.var_samp("quality") / F.stddev_samp("value"), 6).alias("slope"))
+
+
+@query(f"WITH {CELLS_SQL}, p AS (SELECT a.world, a.metric, a.axis, sign(a.value - b.value) AS sx, sign(a.quality - b.quality) AS sy FROM cells a JOIN cells b ON a.world = b.world AND a.metric = b.metric AND a.axis = b.axis AND a.dose < b.dose), t AS (SELECT world, metric, axis, coalesce(sum(sx * sy) / sqrt(nullif(sum(abs(sx)) * sum(abs(sy)), 0)), 0) AS tau FROM p GROUP BY ALL),"
+       + " m AS (SELECT metric, axis, avg(tau) AS tau FROM t GROUP BY ALL) SELECT metric, round(max(CASE WHEN metric = axis THEN tau END) - max(CASE WHEN metric <> axis THEN abs(tau) END), 6) AS gap FROM m GROUP BY ALL")
+def mtmm_gap(spark, sf):
+    """Tau-b of a metric with the quality it should follow, less the greatest with any other; in a world of equal values
+    it is 0. Pairs are those of a world's five doses."""
+    rows = validity_cells(spark)
+    other = rows.select("world", "metric", "axis", F.col("dose").alias("d2"), F.col("quality").alias("q2"), F.col("value").alias("v2"))
+    pairs = rows.join(other, ["world", "metric", "axis"]).filter("dose < d2")
+    sx, sy = F.signum(F.col("value") - F.col("v2")), F.signum(F.col("quality") - F.col("q2"))
+    t = pairs.groupBy("world", "metric", "axis").agg(F.coalesce(F.sum(sx * sy) / F.sqrt(F.nullif(F.sum(F.abs(sx)) * F.sum(F.abs(sy)), F.lit(0.0))), F.lit(0.0)).alias("tau"))
+    m = t.groupBy("metric", "axis").agg(F.avg("tau").alias("tau"))
+    return m.groupBy("metric").agg(F.round(F.max(F.when(F.col("metric") == F.col("axis"), F.col("tau"))) - F.max(F.when(F.col("metric") != F.col("axis"), F.abs("tau"))), 6).alias("gap"))
+
+
+def _fold(columns: list[str]):
+    """(world, y, predicted) of a fold's held-out world: least squares with an intercept on the others, standardised by
+    them; a column that is constant there counts as 0."""
+    import numpy as np
+    import pandas as pd
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        held = (f["world"] == f["fold"]).to_numpy()
+        x, y = f[columns].to_numpy(float), f["y"].to_numpy(float)
+        scale = lambda v: np.where(v[~held].std(0) > 0, v[~held].std(0), np.inf)
+        z, t = (x - x[~held].mean(0)) / scale(x), (y - y[~held].mean()) / scale(y)
+        design = np.column_stack([np.ones(len(z)), z])
+        weights = np.linalg.lstsq(design[~held], t[~held], rcond=None)[0]
+        return pd.DataFrame({"world": f["world"][held], "y": t[held], "predicted": design[held] @ weights})
+
+    return run
+
+
+def held_out_r2(rows, columns: list[str]):
+    """One row r2: of predictions for each world from all others; it may be negative. Rows: world, y and the columns; a
+    fold is a task that has them all, which are as many as worlds have cells."""
+    worlds = rows.select(F.col("world").alias("fold")).distinct()
+    out = rows.join(F.broadcast(worlds)).groupBy("fold").applyInPandas(_fold(columns), "world long, y double, predicted double")
+    mean = out.agg(F.avg("y").alias("m"))
+    return out.join(F.broadcast(mean)).agg((1 - F.sum(F.pow(F.col("y") - F.col("predicted"), F.lit(2))) / F.sum(F.pow(F.col("y") - F.col("m"), F.lit(2)))).alias("r2"))
+
+
+BASELINES, AUGMENTED = [f"b{k}" for k in range(5)], [f"m{k}" for k in range(4)]
+
+
+def validity_rows(spark):
+    """world, axis, dose, y (quality), five baselines and the four metrics of each cell."""
+    wide = validity_cells(spark).groupBy("world", "axis", "dose", F.col("quality").alias("y")).agg(*(F.max(F.when(F.col("metric") == k, F.col("value"))).alias(f"m{k}") for k in range(4)))
+    base = lambda k: (((4 - F.col("dose")) * k + (F.col("world") * 31 + F.col("axis") * 17 + F.col("dose") * 1009 * (k + 1)) % 23).cast("double") / 10).alias(f"b{k}")
+    return wide.select("world", "axis", "dose", "y", *(base(k) for k in range(5)), *AUGMENTED)
+
+
+@query()
+def leave_one_world_out(spark, sf):
+    """R2 of quality by the baselines, with the metrics as well, and the gain; each world is predicted from all others."""
+    rows = validity_rows(spark)
+    a, b = held_out_r2(rows, BASELINES).withColumnRenamed("r2", "baseline"), held_out_r2(rows, [*BASELINES, *AUGMENTED]).withColumnRenamed("r2", "augmented")
+    both = a.join(F.broadcast(b))  # a row each
+    return both.select(F.round("baseline", 6).alias("baseline"), F.round("augmented", 6).alias("augmented"), F.round(F.col("augmented") - F.col("baseline"), 6).alias("gain"))
+
+
 @query("WITH p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, CAST(floor(value) AS BIGINT) % 40 AS x, event_id % 13 AS y FROM events), c AS (SELECT a.event_type, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM p a JOIN p b ON a.event_type = b.event_type AND a.k < b.k), s AS (SELECT event_type, sum(sx * sy) AS num, sum(abs(sx)) AS nx, sum(abs(sy)) AS ny FROM c GROUP BY ALL) SELECT event_type, round(num / sqrt(CAST(nullif(nx * ny, 0) AS DOUBLE)), 6) AS tau_b FROM s")
 def kendall_tau_b(spark, sf):
     """Tau-b of two ordered columns. Pairs are made of distinct (x, y) cells with their counts, of which there are as

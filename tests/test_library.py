@@ -51,7 +51,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"d_axis_bootstrap", "round12_gate", "temperature_fit"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"d_axis_bootstrap", "leave_one_world_out", "round12_gate", "temperature_fit"}
 
 
 def plain_aurc(conf, wrong):
@@ -104,6 +104,37 @@ def test_axis_draws_equal_plain_loops(spark):
             assert got["R", 1, family, level, rep] == pytest.approx(plain_f1(picked.target, [[int(z >= 0) for z in v] for v in picked.logit]))
 
 
+def test_worlds_left_out_one_by_one(spark):
+    from evalforge.plans import scenes
+
+    rows = scenes.validity_rows(spark).toPandas()
+    got = scenes.leave_one_world_out(spark, SF).first()
+    for columns, want in ((scenes.BASELINES, got.baseline), ([*scenes.BASELINES, *scenes.AUGMENTED], got.augmented)):
+        y, p = [], []
+        for world in range(32):
+            train, held = rows[rows.world != world], rows[rows.world == world]
+            sd = train[columns].std(ddof=0).replace(0, np.inf)
+            x = [np.column_stack([np.ones(len(d)), (d[columns] - train[columns].mean()) / sd]) for d in (train, held)]
+            t = [(d.y - train.y.mean()) / train.y.std(ddof=0) for d in (train, held)]
+            p += list(x[1] @ (np.linalg.pinv(x[0]) @ t[0]))
+            y += list(t[1])
+        y, p = np.array(y), np.array(p)
+        assert want == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=2e-6)
+    assert got.gain == pytest.approx(got.augmented - got.baseline, abs=2e-6)
+
+
+def test_quantiles_and_slices(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.exponential(1, 300), np.full(100, 0.25), [1e9]])
+    rows = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 3.0), ("b", None), ("c", None)], "k string, v double")
+    got = {r.k: r for r in ranking.quantiles(rows, ["k"], "v", {"p10": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    assert got["a"].n == 401 and [got["a"].p10, got["a"].mid, got["a"].top] == pytest.approx(np.quantile(values, [0.1, 0.5, 1.0]))
+    assert (got["b"].n, got["b"].mid) == (1, 3.0) and "c" not in got
+    conf = sorted([*(1 - 2.0 ** -rng.uniform(0, 60, 300)), *rng.random(300), 0.0, 1.0, 0.5, 0.75, np.nextafter(0.5, 0), np.nextafter(0.5, 1)])
+    slices = [r.s for r in spark.createDataFrame([(k, float(c)) for k, c in enumerate(conf)], "k int, conf double").withColumn("s", ranking._slice()).orderBy("k").collect()]
+    assert slices == sorted(slices, reverse=True) and len(set(slices)) > 300
+
+
 @pytest.mark.parametrize(("change", "want"), [({}, "PASS"), ({"d_c1": 0.0}, "FAIL"), ({"enough_seeds": False}, "FAIL"), ({"point": False}, "FAIL"), ({"families": False}, "FAIL"), ({"d_s": -0.01}, "PARTIAL"), ({"d_a": -0.02}, "PARTIAL"), ({"d_r": -0.02}, "PARTIAL")])
 def test_four_axis_verdict(spark, change, want):
     from evalforge.plans import inference
