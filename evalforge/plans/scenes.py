@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -140,21 +143,44 @@ def frame_pairs(spark, sf):
 def aligned_window_edge(spark, sf):
     """The longest, then best, stretch of six or more consecutive pairs in each user's series.
 
-    Runs are islands without gaps or far pairs; windows are ends within a run, so what is joined is a run with itself."""
+    Runs are islands without gaps or far pairs; a task looks for the best window of a run, so no window becomes a row."""
     near = frame_pairs(spark, sf).withColumn("island", F.sum("gap").over(W.partitionBy("user_id").orderBy("k"))).filter("hamming <= 7")
     runs = near.withColumn("run", F.col("k") - F.row_number().over(W.partitionBy("user_id", "island").orderBy("k")))
-    whole = runs.groupBy("user_id", "island", "run").agg(F.sort_array(F.collect_list(F.struct("k", "hamming", "ssim"))).alias("p")).filter("size(p) >= 6")
-    spans = whole.select("user_id", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 6)).alias("i")).select("user_id", "p", "i", F.explode(F.sequence(F.col("i") + 6, F.size("p"))).alias("j"))
-    part = spans.withColumn("w", F.slice("p", F.col("i") + 1, F.col("j") - F.col("i")))
-
-    def median(field):
-        s = F.sort_array(F.transform("w", lambda x: x[field].cast("double")))
-        n = F.size(s)
-        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
-
-    rows = part.select("user_id", F.get("p", F.col("i"))["k"].alias("s"), (F.get("p", F.col("j") - 1)["k"] + 1).alias("e"), median("hamming").alias("mh"), median("ssim").alias("ms"))
-    best = rows.filter("mh <= 4 and ms >= 0.92D").groupBy("user_id").agg(F.min(F.struct((F.col("s") - F.col("e")).alias("n"), "mh", (-F.col("ms")).alias("ms"), "s", "e")).alias("x"))
-    return best.select("user_id", F.col("x.s").cast("long").alias("start_pair"), F.col("x.e").cast("long").alias("end_pair"), (-F.col("x.n")).cast("long").alias("pair_count"), F.round("x.mh", 6).alias("median_hamming"), F.round(-F.col("x.ms"), 6).alias("median_ssim"))
+    found = runs.select("user_id", "island", "run", "k", "hamming", "ssim").groupBy("user_id", "island", "run").applyInPandas(_window_of_run, "user_id long, n long, mh double, ms double, s long, e long")
+    best = found.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "mh", (-F.col("ms")).alias("ms"), "s", "e")).alias("x"))
+    return best.select("user_id", F.col("x.s").alias("start_pair"), F.col("x.e").alias("end_pair"), (-F.col("x.n")).alias("pair_count"), F.round("x.mh", 6).alias("median_hamming"), F.round(-F.col("x.ms"), 6).alias("median_ssim"))
+
+
+def best_window(hamming: list[float], ssim: list[float], least: int = 6) -> tuple[int, int, float, float] | None:
+    """(start, length, median hamming, median ssim) of the longest stretch of `least` or more pairs whose medians are at most
+    4 and at least 0.92; of equal ones the nearest, then the most alike, then the first. Lengths are tried from the
+    longest, a window slides by one pair, and its values are kept sorted."""
+    middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2.0
+    for length in range(len(hamming), least - 1, -1):
+        h, v = sorted(hamming[:length]), sorted(ssim[:length])
+        fits = []
+        for at in range(len(hamming) - length + 1):
+            if at:
+                for held, values in ((h, hamming), (v, ssim)):
+                    del held[bisect_left(held, values[at - 1])]
+                    insort(held, values[at + length - 1])
+            if middle(h) <= 4 and middle(v) >= 0.92:
+                fits.append((middle(h), -middle(v), at))
+        if fits:
+            mh, ms, at = min(fits)
+            return at, length, mh, -ms
+    return None
+
+
+def _window_of_run(f: pd.DataFrame) -> pd.DataFrame:
+    f = f.sort_values("k")
+    best = best_window(f["hamming"].tolist(), f["ssim"].tolist())
+    names = ["user_id", "n", "mh", "ms", "s", "e"]
+    if best is None:
+        return pd.DataFrame({n: [] for n in names})
+    at, length, mh, ms = best
+    first = int(f["k"].iloc[at])
+    return pd.DataFrame([(f["user_id"].iloc[0], length, mh, ms, first, first + length)], columns=names)
 
 
 @query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), t AS (SELECT user_id, event_id, k - (n - 3) AS i FROM e WHERE k >= n - 3 AND n >= 3), h AS (SELECT user_id, event_id, k AS i FROM e WHERE k < 3),
