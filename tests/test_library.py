@@ -479,4 +479,4 @@ def test_entry_without_the_corpus_operators(spark, monkeypatch):
 
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith("evalforge.llm") else real(n, *a))
-    assert set(__spark_entry__.queries()) == set(catalog.queries()) and __spark_entry__.entry(spark).count() == 12
+    assert set(__spark_entry__.queries()) == set(catalog.queries()) and __spark_entry__.entry(spark).count() == 41
