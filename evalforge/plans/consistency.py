@@ -472,7 +472,8 @@ def d_axis_points(spark, sf):
   SELECT avg(d_c1) >= 0.01 AS point, (SELECT count(*) FILTER (c > 0) >= 4 FROM s) AS enough_seeds, (SELECT bool_and(c >= -0.01) FROM f) AS families, avg(d_a) > -0.01 AS a_held, avg(d_r) > -0.01 AS r_held, avg(d_s) > -0.01 AS s_held FROM d""")
 def d_axis_conditions(spark, sf):
     """The point conditions of the four-axis gate; `round12_gate` takes the bootstrap's bounds instead of the last three."""
-    return d_conditions(d_cells(axes(spark, sf))).join(F.broadcast(d_cells(axes(spark, sf)).agg(*((F.avg(f"d_{x}") > -0.01).alias(f"{x}_held") for x in "ars"))))
+    cells = cut(d_cells(axes(spark, sf)))  # sixty rows, read four times
+    return d_conditions(cells).join(F.broadcast(cells.agg(*((F.avg(f"d_{x}") > -0.01).alias(f"{x}_held") for x in "ars"))))
 
 
 def d_conditions(cells: DataFrame) -> DataFrame:

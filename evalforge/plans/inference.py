@@ -530,7 +530,7 @@ def round12_gate(spark, sf):
     """PASS where the flip difference meets its four conditions and no other axis falls behind, PARTIAL where only the
     former, else FAIL."""
     low = d_draws(spark, sf).agg(*(F.percentile(d, F.lit(LOWER)).alias(d) for d in D_AXES))
-    return d_verdict(d_conditions(d_cells(axes(spark, sf))), low)
+    return d_verdict(d_conditions(G.cut(d_cells(axes(spark, sf)))), low)
 
 
 def d_verdict(points: DataFrame, low: DataFrame) -> DataFrame:
