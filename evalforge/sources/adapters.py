@@ -5,7 +5,7 @@ A cell is (seed, model, family, level). Everything is integer arithmetic on keys
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,22 +29,32 @@ def _product(seeds: Sequence[int], models: Sequence[int], families: Sequence[int
     return F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(c, ("seed", "model", "family", "level")))) for c in cells))
 
 
-def _logits(labels: int, target: Column, offset: int = 0, clean: bool = False) -> Column:
+def _logits(labels: int, hit: Callable[[int], Column], offset: int = 0, clean: bool = False) -> Column:
     """Logits of all labels of a sample in its cell; level 0 is the same in every family, and is what `clean` gives."""
     shift = F.when(F.col("level") > 0, F.col("family") * F.lit(32452843).cast("long") + F.col("level") * F.lit(49979687).cast("long")).otherwise(F.lit(0).cast("long"))
     base = F.col("sample_ix") * 7919 + F.col("seed") * F.lit(1299709).cast("long") + F.col("model") * F.lit(15485863).cast("long")
     base = base if clean else base + shift
-    one = lambda c: (F.when(F.get(target, F.lit(c)) == 1, 300).otherwise(-300) + (base + (c + offset) * 104729) % 1201 - 600).cast("double") / 250
-    return F.array(*(one(c) for c in range(labels)))
+    one = lambda c: (F.when(hit(c), 300).otherwise(-300) + (base + (c + offset) * 104729) % 1201 - 600).cast("double") / 250
+    if labels <= ACTIONS:
+        return F.array(*(one(c) for c in range(labels)))
+    # spelled out, many labels make a method that is too long to be compiled
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(labels - 1).cast("long")), one)
+
+
+def action_hit(c: int) -> Column:
+    return (F.lit(c) == F.col("digit") - 1) | ((F.col("sample_ix") * 7 + c * 3) % 11 == 0)
+
+
+def rationale_hit(c: int) -> Column:
+    return (F.col("sample_ix") * 31 + c * 17) % 100 < 12
 
 
 def action_target() -> Column:
-    one = lambda c: ((F.lit(c) == F.col("digit") - 1) | ((F.col("sample_ix") * 7 + c * 3) % 11 == 0)).cast("int")
-    return F.array(*(one(c) for c in range(ACTIONS)))
+    return F.array(*(action_hit(c).cast("int") for c in range(ACTIONS)))
 
 
 def rationale_target() -> Column:
-    return F.array(*(((F.col("sample_ix") * 31 + c * 17) % 100 < 12).cast("int") for c in range(RATIONALES)))
+    return F.array(*(rationale_hit(c).cast("int") for c in range(RATIONALES)))
 
 
 def actions(
@@ -57,9 +67,9 @@ def actions(
     rows = samples(spark, sf_dir) if rows is None else rows
     rows = rows.withColumn("target", action_target() if head == "action" else rationale_target())
     rows = rows.withColumn("cell", F.explode(_product(seeds, models, families, levels))).select("sample_ix", "cluster_key", "digit", "target", "cell.*")
-    labels, offset = (ACTIONS, 0) if head == "action" else (RATIONALES, 100)
-    out = rows.withColumn("logit", _logits(labels, F.col("target"), offset))
-    return out.withColumn("clean_logit", _logits(labels, F.col("target"), offset, True)) if clean else out
+    labels, hit, offset = (ACTIONS, action_hit, 0) if head == "action" else (RATIONALES, rationale_hit, 100)
+    out = rows.withColumn("logit", _logits(labels, hit, offset))
+    return out.withColumn("clean_logit", _logits(labels, hit, offset, True)) if clean else out
 
 
 #: Draws are squares modulo this prime, so any engine makes the same ones.
