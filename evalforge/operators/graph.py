@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir. Where that is unset a local session gets a temporary one, and
-    any other is an error: executors would write where nobody else can read."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
+    """Cut the lineage: write df as Parquet to the folder of spark.checkpoint.dir and read it back (a checkpoint would work
+    it out twice). Where that is unset a local session gets a temporary folder, and any other is an error: executors would
+    write where nobody else can read."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evalforge-"))
-    return df.checkpoint()
+        base = tempfile.mkdtemp(prefix="evalforge-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/evalforge-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
