@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, ngram_join, pii, quality, token_counts, token_store, url_filter, warc
+from . import alignment, byte_bpe, chat_format, conversation_repair, decontaminate, language_id, ngram_join, pii, quality, token_counts, token_store, url_filter, warc
 from .shared import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,8 @@ TOKEN_LIMIT = 1024
 END_ID = 2
 #: Payloads of fewer bytes are never revisits.
 LEAST_PAYLOAD = 0
+#: A conversation that is all control strings: it must come back as it went in.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
 
 
@@ -64,6 +66,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(tables(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(tables(spark, sf_dir, "conversations"))).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(chat_format.ASSISTANT).alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat_format.read_back(chat_format.render(chat_format.log(rows.union(own))), arranged=True)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -82,6 +98,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN items USING (r) LEFT JOIN hit_words USING (r)"""
 
 
+def _chat_sql() -> str:
+    """Lengths as escaping makes them: an escape character more for each one and for each control string (none overlaps)."""
+    t = chat_format.Template()
+    quoted = lambda c: "'" + c.replace("'", "''") + "'"
+    held = lambda x, c: f"(length({x}) - length(replace({x}, {quoted(c)}, ''))) // {len(c)}"
+    size = lambda x: f"length({x}) + " + " + ".join(held(x, c) for c in (t.escape, *t.controls))
+    frame = len(t.start + t.middle + t.end)
+    loss = f"coalesce(string_agg(CASE WHEN role = '{chat_format.ASSISTANT}' THEN text ELSE '' END, '' ORDER BY turn), '')"
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', {quoted(CONTROL_TEXT)}), (-1, 1, '{chat_format.ASSISTANT}', {quoted(CONTROL_TEXT)})))
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(length({loss}) AS BIGINT) AS loss_chars, sha256({loss}) AS loss_sha256,
+    CAST(sum({frame} + {size("role")} + {size("text")}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+
+CHAT_SQL = _chat_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can say on whole tables; tests hold the others against brute force."""
-    return {"op1_decontaminate": DECONTAMINATE_SQL}
+    return {"op1_decontaminate": DECONTAMINATE_SQL, "op13_chat_format": CHAT_SQL}
