@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -107,7 +108,7 @@ def test_alignment_equals_whole_texts(spark):
 def test_alignment_beyond_the_table_of_frequent_pairs(spark, monkeypatch):
     monkeypatch.setattr(alignment, "TOP", 40)
     monkeypatch.setattr(alignment, "HELD", 100)
-    monkeypatch.setattr(alignment.Cache, "LIMIT", 2000)
+    monkeypatch.setattr(alignment, "AT_ONCE", 100)
     assert key(alignment.alignment(aligned_frame(spark), A_PATH, B_PATH).collect(), *NAMES) == plain_table(SHORT)
     monkeypatch.setattr(alignment, "TOP", 0)
     assert key(alignment.alignment(aligned_frame(spark), A_PATH, B_PATH).collect(), *NAMES) == plain_table(SHORT)
@@ -134,23 +135,16 @@ def test_aligned_tokens(spark):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab's tz \n\t12!?é  　 ▁漢²½»。\"'😀<|>")), max_size=40), min_size=1, max_size=6))
-def test_segments_give_the_tokens_of_whole_texts(texts):
-    import numpy as np
-
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab's tz \n\t12!?é\u00a0\u3000 \u2028▁漢²½»。\"'😀<|>")), max_size=40), min_size=1, max_size=6))
+def test_parts_give_the_tokens_of_whole_texts(texts):
     raw = [t.encode() for t in texts]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    spaced, at, first = alignment.cuts(data, offsets)
-    held = spaced.tobytes()
-    for k, t in enumerate(texts):
-        own = [held[at[i] : at[i + 1]] for i in range(first[k], first[k + 1])]
-        assert b"".join(own) == ((" " + t).encode() if t else b"")
-        if own:
-            found = alignment.align(alignment.byte_level(A_PATH), alignment.pieces(B_PATH), own)
-            a, b, links, groups = plain_alignment(t)
-            assert bool(found.ok.all()) == bool(a)
-            if a:
-                assert (found.ids_a.tolist(), found.ids_b.tolist(), list(zip(found.link_a.tolist(), found.link_b.tolist())), int(found.n_groups.sum())) == (a, b, links, len(groups))
+    ids_a, ends_a, ids_b, ends_b = alignment.both_ids(A_PATH, B_PATH, data, offsets)
+    size_a, size_b = alignment.sizes(A_PATH, B_PATH)
+    for t, a, b in zip(texts, np.split(ids_a, ends_a[:-1]), np.split(ids_b, ends_b[:-1])):
+        found = alignment.align(size_a[a], size_b[b])
+        want_a, want_b, links, groups = plain_alignment(t)
+        assert (a.tolist(), b.tolist(), list(zip(found.link_a.tolist(), found.link_b.tolist())), len(found.ends)) == (want_a, want_b, links, len(groups))
 
 
 # -- conversation repair ----------------------------------------------------------------------------------------------
