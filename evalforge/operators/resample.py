@@ -1,18 +1,29 @@
-"""Bootstrap evaluation: draws as weights on clusters, sufficient statistics summed before the draws are joined."""
+"""Bootstrap evaluation: statistics are summed by unit before they are weighed, and weights are made where the units are.
+
+Units (clusters, components) get positions; a task holds a range of positions with the sums of all cells and multiplies them by
+the weights that `draws` gives for that range, blocks of replicates at a time. All cells share one pass of draws, no table of
+draws is joined, and a cell is spread over as many tasks as there are ranges.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.adapters import PRIME, cluster_draws
+from . import draws as D
+from .graph import cut
+from .maps import ranked
 
-def weighted(stats: DataFrame, draws: DataFrame, cluster: str, keys: list[str], columns: list[str]) -> DataFrame:
-    """Sums of the statistics by (rep, keys), each cluster as often as it was drawn. For some dozens of replicates."""
-    joined = stats.join(draws, cluster)
-    return joined.groupBy("rep", *keys).agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns))
+#: Bytes of the table that a task multiplies, and positions of a range where that leaves room.
+TABLE, RANGE = 32 << 20, 1024
+#: Replicates and positions whose weights are multiplied at once.
+REP_BLOCK, POSITIONS = 1000, 1024
 
 
 def interval(rows: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -22,55 +33,188 @@ def interval(rows: DataFrame, keys: list[str], value: str, level: float = 0.95)
     return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), q(tail).alias("low"), q(1 - tail).alias("high"), F.count("*").alias("n_reps"))
 
 
-#: Replicates whose weights a task holds at once, in draws.
-DRAWS = 1 << 22
-
-
-def draws(n: int, rep: np.ndarray) -> np.ndarray:
-    """Positions drawn in each of these replicates, n of n: the same numbers as `adapters.draw_hash`."""
-    x = (np.arange(n, dtype=np.int64)[None, :] * 1103 + rep[:, None] * 7919 + 17) % PRIME
-    return x * x % PRIME * 48271 % PRIME % n
-
+def positions(units: DataFrame, unit: str) -> tuple[DataFrame, int]:
+    """(unit, _position) in order of the units, written, and how many there are."""
+    named = cut(ranked(units.select(unit).distinct(), [unit], F.floor(F.col(unit) / 4096), "_position"))
+    return named, named.count()
+
+
+def head_table(spark: SparkSession, n: int, reps: int, stream: int) -> np.ndarray:
+    """Draws of each replicate by block, worked out by tasks: a row a replicate, one number for each bit of n at most."""
+    blocks = len(D.blocks(n))
+    if blocks < 2:
+        return np.full((reps, blocks), n)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            rep = f["id"].to_numpy()
+            yield pd.DataFrame({"rep": rep, "m": list(D.heads(n, rep, stream))})
+
+    rows = spark.range(0, reps, 1, min(reps, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "rep long, m array<long>").collect()
+    out = np.zeros((reps, blocks), np.int64)
+    for r in rows:
+        out[r["rep"]] = r["m"]
+    return out
+
+
+def _sums(n: int, reps: int, stream: int, shared, width: int, cells: int, columns: int):
+    """(rep, _cell, columns) summed over a range of positions, from rows (_range, _position, _cell, columns) sorted by range."""
+
+    def out(at: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        head, low, high = shared.value, at * width, min(n, (at + 1) * width)
+        for a in range(0, reps, REP_BLOCK):
+            rep = np.arange(a, min(reps, a + REP_BLOCK))
+            total = np.zeros((len(rep), table.shape[1]))
+            for s in range(low, high, POSITIONS):
+                e = min(high, s + POSITIONS)
+                total += D.weights(n, rep, stream, head[rep], s, e).astype(float) @ table[s - low : e - low]
+            flat = total.reshape(-1, columns)
+            own = [pa.array(np.repeat(rep, cells)), pa.array(np.tile(np.arange(cells, dtype=np.int32), len(rep)))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(columns))], ["rep", "_cell", *(f"c{k}" for k in range(columns))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, table = None, None
+        for b in batches:
+            values = [np.asarray(c) for c in b.columns]
+            for at in np.unique(values[0]).tolist():
+                if at != current:
+                    if table is not None:
+                        yield from out(current, table)
+                    current, table = at, np.zeros((min(n, (at + 1) * width) - at * width, cells * columns))
+                own = values[0] == at
+                row, first = values[1][own] - at * width, values[2][own] * columns
+                for k in range(columns):
+                    table[row, first + k] = values[3 + k][own]
+        if table is not None:
+            yield from out(current, table)
 
-def weights(n: int, rep: np.ndarray) -> np.ndarray:
-    """How often each of n positions is drawn in each replicate."""
-    at = draws(n, rep) + np.arange(len(rep))[:, None] * n
-    return np.bincount(at.ravel(), minlength=n * len(rep)).reshape(len(rep), n)
+    return run
 
 
-def _cell(columns: list[str], keys: list[str], reps: int):
-    """Sums of one cell's statistics over all replicates, blocks of replicates at a time, as a matrix product."""
+def vectorised(stats: DataFrame, unit: str, keys: list[str], columns: list[str], reps: int, stream: int = D.CLUSTERS, named: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """(rep, keys, columns): sums of the statistics over the units of each replicate's draw, from one row a unit and key.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(frame["_n"].iloc[0])
-        table = np.zeros((n, len(columns)))
-        table[frame["_position"].to_numpy()] = frame[columns].to_numpy(float)
-        step = max(1, DRAWS // n)
-        sums = np.concatenate([weights(n, np.arange(a, min(reps, a + step))) @ table for a in range(0, reps, step)])
-        out = pd.DataFrame({"rep": np.arange(reps), **{k: frame[k].iloc[0] for k in keys}})
-        out[columns] = sums
-        return out
+    A draw takes as many units, with replacement, as there are; all keys share it. The distinct keys, the cells of a study,
+    are few and listed on the driver. `named` are the units' positions, where they aren't those of stats."""
+    spark = stats.sparkSession
+    stats = cut(stats.select(unit, *keys, *(F.col(c).cast("double").alias(c) for c in columns)))
+    named, n = named or positions(stats, unit)
+    kinds = {f.name: f.dataType for f in stats.schema.fields}
+    found = [tuple(r) for r in stats.select(*keys).distinct().collect()]
+    cells = spark.createDataFrame([(k, *v) for k, v in enumerate(sorted(found, key=str))], "_cell int, " + ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys))
+    width = max(1, min(RANGE if n <= RANGE * 64 else n // 64, TABLE // max(1, 8 * len(found) * len(columns))))
+    shared = spark.sparkContext.broadcast(head_table(spark, n, reps, stream))  # a number a replicate and bit of n
+    placed = stats.join(F.broadcast(cells), keys).join(named, unit).select(F.floor(F.col("_position") / width).cast("long").alias("_range"), "_position", "_cell", *columns)
+    dealt = placed.repartition(max(1, min(-(-n // width), 2000)), "_range").sortWithinPartitions("_range")
+    made = dealt.mapInArrow(_sums(n, reps, stream, shared, width, len(found), len(columns)), "rep long, _cell int, " + ", ".join(f"c{k} double" for k in range(len(columns))))
+    summed = made.groupBy("rep", "_cell").agg(*(F.sum(f"c{k}").alias(c) for k, c in enumerate(columns)))
+    return summed.join(F.broadcast(cells), "_cell").select("rep", *keys, *columns)
+
+
+def drawn(units: DataFrame, unit: str, reps: int, stream: int = D.CLUSTERS) -> DataFrame:
+    """rep, unit, weight: the draws themselves, a row a replicate and drawn unit. For some dozens of replicates."""
+    spark = units.sparkSession
+    named, n = positions(units, unit)
+    shared = spark.sparkContext.broadcast(head_table(spark, n, reps, stream))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for low in f["id"]:
+                w = D.weights(n, np.arange(reps), stream, shared.value, int(low), min(n, int(low) + POSITIONS))
+                rep, at = np.nonzero(w)
+                yield pd.DataFrame({"rep": rep, "_position": at + int(low), "weight": w[rep, at]})
+
+    rows = spark.range(0, n, POSITIONS).mapInPandas(run, "rep long, _position long, weight long")
+    return rows.join(named, "_position").select("rep", unit, "weight")
+
+
+def seed_slots(spark: SparkSession, reps: int, seeds: list[int]) -> DataFrame:
+    """rep, slot, seed: as many seeds a replicate as there are, drawn with replacement from a stream of their own."""
+    n = len(seeds)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            rep, slot = np.divmod(f["id"].to_numpy(), n)
+            yield pd.DataFrame({"rep": rep, "slot": slot, "seed": np.asarray(seeds)[D.choices(D.SEEDS, rep, slot, n)]})
+
+    return spark.range(reps * n).mapInPandas(run, "rep long, slot long, seed int")
+
+
+def seed_draws(spark: SparkSession, reps: int, seeds: list[int]) -> DataFrame:
+    """rep, seed, times: each replicate's seeds, counted."""
+    return seed_slots(spark, reps, seeds).groupBy("rep", "seed").agg(F.count("*").alias("times"))
+
+
+# -- AURC in each replicate ------------------------------------------------------------------------------------------------
+
+#: Rows (unit, confidence) of a cell that a task orders.
+SLICE_ROWS = 1 << 16
+EULER = 0.5772156649015329
+_EXACT = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, 257))])
+
+
+def _tail(n: np.ndarray) -> np.ndarray:
+    """H(n) - ln(n) - EULER for n of 256 or more."""
+    return 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4)
+
+
+def harmonic_span(before: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """H(before + n) - H(before): a table below 257, the logarithm of a ratio and a short series above."""
+    before, end = np.asarray(before, float), np.asarray(before, float) + n
+    low = np.where(before < 256, _EXACT[np.minimum(before, 256).astype(int)], 0.0)
+    start = np.maximum(before, 256)
+    far = np.log1p((np.maximum(end, 256) - start) / start) + _tail(np.maximum(end, 256)) - _tail(start)
+    near = _EXACT[np.minimum(end, 256).astype(int)] - low
+    return np.where(before >= 256, far, np.where(end <= 256, near, _EXACT[256] - low + far))
+
+
+def _curve(n: int, reps: int, stream: int, shared, keys: list[str]):
+    """Contributions of a slice of a cell to its AURC, by replicate, from its rows and what stands before it."""
+
+    def run(rows: pd.DataFrame, prior: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("conf", ascending=False, kind="stable")
+        conf, at = rows["conf"].to_numpy(), rows["_position"].to_numpy()
+        count, wrong = rows["n"].to_numpy(), rows["z"].to_numpy()
+        first = np.flatnonzero(np.append(True, conf[1:] != conf[:-1]))
+        prior = prior.sort_values("rep")
+        base, lost = prior["before"].to_numpy(float), prior["lost"].to_numpy(float)
+        value, step = np.empty(reps), max(1, (4 << 20) // max(n, len(at)))
+        for a in range(0, reps, step):
+            rep = np.arange(a, min(reps, a + step))
+            own = D.weights(n, rep, stream, shared.value[rep])[:, at]
+            k, z = np.add.reduceat(own * count, first, 1), np.add.reduceat(own * wrong, first, 1)
+            before = base[rep, None] + np.cumsum(k, 1) - k
+            errors = lost[rep, None] + np.cumsum(z, 1) - z
+            span = harmonic_span(before, k)
+            share = np.divide(z, k, out=np.zeros(k.shape), where=k > 0)
+            value[rep] = (errors * span + share * (k - before * span)).sum(1)
+        return pd.DataFrame({"rep": np.arange(reps), **{c: rows[c].iloc[0] for c in keys}, "value": value})
 
     return run
 
 
-def vectorised(stats: DataFrame, cluster: str, keys: list[str], columns: list[str], reps: int, limit: int = 256 << 20) -> DataFrame:
-    """(rep, keys, columns): sums of the statistics over the clusters of each replicate's draw, one row a cluster and key.
-
-    A draw takes as many clusters, with replacement, as there are; all keys share it. Where a cell's table (a row a
-    cluster) is measured to have at most `limit` bytes, each cell is a task that makes the draws itself and multiplies, so
-    nothing is broadcast; beyond it the same draws are joined with the statistics. The size decides the plan only."""
-    from .graph import cut
-    from .maps import ranked
-
-    spark = stats.sparkSession
-    named = cut(ranked(stats.select(cluster).distinct(), [cluster], F.floor(F.col(cluster) / 4096), "_position"))
-    n = named.count()
-    kinds = {f.name: f.dataType.simpleString() for f in stats.schema.fields}
-    if n * len(columns) * 8 <= limit:
-        schema = ", ".join(["rep long", *(f"{k} {kinds[k]}" for k in keys), *(f"{c} double" for c in columns)])
-        placed = stats.join(named, cluster).select(*keys, "_position", F.lit(n).alias("_n"), *columns)
-        return placed.groupBy(*keys).applyInPandas(_cell(columns, keys, reps), schema)
-    sums = weighted(stats, cluster_draws(stats, cluster, reps, spark), cluster, keys, columns)
-    grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(F.broadcast(stats.select(*keys).distinct()))  # a row a replicate and cell
-    return grid.join(sums, ["rep", *keys], "left").select("rep", *keys, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
+def aurc(rows: DataFrame, unit: str, keys: list[str], reps: int, stream: int = D.CLUSTERS, named: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """(rep, keys, value): tie-averaged AURC of each cell in each replicate, from samples (unit, keys, conf, error).
+
+    A cell is cut by confidence into parts of SLICE_ROWS rows or one tie. What stands before a part in a replicate is a sum
+    that `vectorised` makes; given it, each part's share of the area stands alone, and shares are added up."""
+    from .ranking import _slice
+
+    spark = rows.sparkSession
+    grouped = rows.groupBy(*keys, unit, "conf").agg(F.count("*").alias("n"), F.sum(F.col("error").cast("long")).alias("z"))
+    grouped = cut(grouped.withColumn("_slice", _slice()))
+    named, n = named or positions(grouped, unit)
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)  # thousands of slices a cell at most
+    parts = grouped.groupBy(*keys, "_slice").agg(F.count("*").alias("_k")).select(*keys, "_slice", F.floor(F.sum("_k").over(before) / SLICE_ROWS).alias("_part"))
+    placed = cut(grouped.join(parts, [*keys, "_slice"]).join(named, unit).drop("_slice"))
+    sums = placed.groupBy(*keys, "_part", unit).agg(F.sum("n").alias("n"), F.sum("z").alias("z"))
+    by = cut(vectorised(sums, unit, [*keys, "_part"], ["n", "z"], reps, stream, (named, n)))
+    earlier = W.partitionBy("rep", *keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    prior = by.select("rep", *keys, "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0.0)).alias("before"), F.coalesce(F.sum("z").over(earlier), F.lit(0.0)).alias("lost"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    shared = spark.sparkContext.broadcast(head_table(spark, n, reps, stream))
+    schema = ", ".join(["rep long", *(f"{k} {kinds[k]}" for k in keys), "value double"])
+    own = placed.select(*keys, "_part", "_position", "conf", "n", "z").groupBy(*keys, "_part").cogroup(prior.groupBy(*keys, "_part"))
+    shares = own.applyInPandas(_curve(n, reps, stream, shared, keys), schema)
+    size = by.groupBy("rep", *keys).agg(F.sum("n").alias("_all"))
+    return shares.groupBy("rep", *keys).agg(F.sum("value").alias("value")).join(size, ["rep", *keys]).select("rep", *keys, (F.col("value") / F.col("_all")).alias("value"))

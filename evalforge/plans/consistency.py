@@ -65,6 +65,20 @@ DELTAS = [(f"delta_{m}::joint-action", f"{m}::joint", f"{m}::action") for m in (
 DELTAS += [(f"advantage_action_flip_rate_{k}::action-joint", f"action_flip_rate_{k}::action", f"action_flip_rate_{k}::joint") for k in (*KINDS, "mean_three")]
 
 
+
+def _derived() -> dict[str, list[tuple[str, float]]]:
+    """Each derived metric as shares of measured ones: means of three perturbations, differences of two metrics."""
+    third = lambda names: [(n, 1 / 3) for n in names]
+    out = {f"action_flip_rate_mean_three::{x}": third([f"action_flip_rate_{k}::{x}" for k in KINDS]) for x in MODELS}
+    out["rationale_jaccard_mean_three::joint"] = third([f"rationale_jaccard_{k}_unconditional::joint" for k in KINDS])
+    for n, a, b in DELTAS:
+        out[n] = [*out.get(a, [(a, 1.0)]), *((m, -share) for m, share in out.get(b, [(b, 1.0)]))]
+    return out
+
+
+DERIVED = _derived()
+
+
 def _long(wide: DataFrame, names: dict[str, str]) -> DataFrame:
     """(seed, metric, estimate) from columns of wide; a row of wide is a seed and what the name says."""
     return wide.select("seed", F.inline(F.array(*(F.struct(F.expr(n).alias("metric"), F.col(c).cast("double").alias("estimate")) for c, n in names.items()))))
@@ -98,13 +112,12 @@ def bundle(spark, sf, seeds=(43,)) -> DataFrame:
     long = parts[0]
     for p in parts[1:]:
         long = long.union(p)
-    m = cut(long.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("metric", "estimate"))).alias("m")))  # 29 entries a seed
-    mean = lambda names: sum(F.col("m")[n] for n in names) / len(names)
-    threes = {f"action_flip_rate_mean_three::{x}": mean([f"action_flip_rate_{k}::{x}" for k in KINDS]) for x in MODELS}
-    threes["rationale_jaccard_mean_three::joint"] = mean([f"rationale_jaccard_{k}_unconditional::joint" for k in KINDS])
-    m = m.withColumn("m", F.map_concat("m", F.create_map(*(x for n, v in threes.items() for x in (F.lit(n), v)))))
-    m = m.withColumn("m", F.map_concat("m", F.create_map(*(x for n, a, b in DELTAS for x in (F.lit(n), F.col("m")[a] - F.col("m")[b])))))
-    return m.select("seed", F.explode("m").alias("metric", "estimate"))
+    long = cut(long)  # 29 rows a seed
+    terms = [(n, source, share) for n, parts in DERIVED.items() for source, share in parts]
+    of = F.array(*(F.struct(F.lit(n).alias("derived"), F.lit(source).alias("metric"), F.lit(share).alias("share")) for n, source, share in terms))
+    shares = spark.range(1).select(F.inline(of))
+    more = long.join(F.broadcast(shares), "metric").groupBy("seed", F.col("derived").alias("metric")).agg(F.sum(F.col("share") * F.col("estimate")).alias("estimate"))
+    return long.select("seed", "metric", "estimate").union(more.select("seed", "metric", "estimate"))
 
 
 def bundle_sql(seeds=(43,)) -> str:
@@ -191,7 +204,7 @@ def contrast_draws(spark, sf) -> DataFrame:
     flips = perturbed(spark, sf, seeds=SEEDS, levels=(4,)).groupBy(*KEYS, "cluster_key").agg(*(F.sum(F.when(F.col("family") == k, flip).otherwise(0)).alias(f) for k, f in enumerate(FLIPS)))
     stats = rows.groupBy(*KEYS, "cluster_key").agg(*sums, F.count("*").alias("n")).join(flips, [*KEYS, "cluster_key"])
     out = B.vectorised(stats, "cluster_key", KEYS, [*SUMS, "n", *FLIPS], 5 * REPS).withColumn("slot", F.col("rep") % 5).withColumn("rep", F.floor(F.col("rep") / 5))
-    out = out.join(F.broadcast(A.seed_slots(spark, REPS)), ["rep", "slot", "seed"])
+    out = out.join(F.broadcast(B.seed_slots(spark, REPS, SEEDS)), ["rep", "slot", "seed"])
     macro = sum(E.f1(*(F.col(f"{k}{c}") for k in ("tp", "fp", "fn"))) for c in range(A.ACTIONS)) / A.ACTIONS
     at = lambda v, m: F.max(F.when(F.col("model") == m, v))
     rate = {k: F.col(f) / F.col("n") for k, f in zip(KINDS, FLIPS)}
@@ -394,7 +407,7 @@ def corruption_draws(spark, sf) -> DataFrame:
     rows = B.vectorised(stats, "cluster_key", keys, ["n", *columns], REPS)
     rate = [F.lit(0.0), *(F.col(c) / F.col("n") for c in columns)]
     least = rows.groupBy("rep", "seed", "family").agg(F.min(F.least(*(b - a for a, b in zip(rate[:-1], rate[1:])))).alias("b"))
-    mean = least.join(F.broadcast(A.seed_draws(spark, REPS)), ["rep", "seed"])
+    mean = least.join(F.broadcast(B.seed_draws(spark, REPS, SEEDS)), ["rep", "seed"])
     return mean.groupBy("rep", "family").agg((F.sum(F.col("b") * F.col("times")) / F.sum("times")).alias("v"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import consistency as C
+from ..operators import draws as D
 from ..operators import graph as G
 from ..operators import maps as P
 from ..operators import metrics as M
@@ -345,7 +346,7 @@ def cluster_sufficient_stats(spark, sf):
 @query(drawn_sql(reps=SHOWN) + " SELECT rep, cluster_key, weight FROM w")
 def expand_draw(spark, sf):
     """The draws themselves, of SHOWN replicates, a row a replicate and drawn cluster."""
-    return A.cluster_draws(A.samples(spark, sf), "cluster_key", SHOWN, spark)
+    return B.drawn(A.samples(spark, sf), "cluster_key", SHOWN)
 
 
 @query(ONE + f", {BOOT_SQL} SELECT rep, seed, model, round(v, 6) AS error_rate FROM boot")
@@ -388,7 +389,7 @@ CROSSED_SQL = "crossed AS (SELECT rep, model, sum(v * times) / sum(times) AS v F
 
 def over_seeds(rows: DataFrame, spark) -> DataFrame:
     """The mean over each replicate's drawn seeds, a seed as often as it was drawn."""
-    return rows.join(F.broadcast(A.seed_draws(spark, REPS)), ["rep", "seed"]).groupBy("rep", "model").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("v"))
+    return rows.join(F.broadcast(B.seed_draws(spark, REPS, A.SEEDS)), ["rep", "seed"]).groupBy("rep", "model").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("v"))
 
 
 @query(FIVE + f", {BOOT_SQL}, {CROSSED_SQL} SELECT model, {CI} FROM crossed GROUP BY ALL")
@@ -403,13 +404,13 @@ HIER_SQL = "hb AS (SELECT s.rep, s.slot, st.model, sum(weight * wrong) / CAST(su
 @query(FIVE + ", " + S.draws("SELECT count(*) FROM clusters", 5 * REPS, "drawn5") + f", {HIER_SQL} SELECT model, {CI} FROM hm GROUP BY ALL")
 def bootstrap_hier_seed_image(spark, sf):
     rows = boot(spark, sf, A.SEEDS, 5 * REPS).withColumn("slot", F.col("rep") % 5).withColumn("rep", F.floor(F.col("rep") / 5))
-    own = rows.join(F.broadcast(A.seed_slots(spark, REPS)), ["rep", "slot", "seed"]).groupBy("rep", "model").agg(F.avg("v").alias("v"))
+    own = rows.join(F.broadcast(B.seed_slots(spark, REPS, A.SEEDS)), ["rep", "slot", "seed"]).groupBy("rep", "model").agg(F.avg("v").alias("v"))
     return B.interval(own, ["model"], "v")
 
 
 #: Customers of one association component stay together.
 COMPONENT_SQL = COMP_SQL + ", " + ", ".join([S.SAMPLES, S.pred(seeds=A.SEEDS), S.PER, STAT_SQL]) + f""", ps AS (SELECT seed, model, component AS part, sum(n) AS n, sum(wrong) AS wrong FROM stats JOIN comp ON node = cluster_key GROUP BY ALL), pp AS (SELECT part, dense_rank() OVER (ORDER BY part) - 1 AS position FROM (SELECT DISTINCT part FROM ps)),
-  {S.draws("SELECT count(*) FROM pp", REPS)}, {S.seed_draws(REPS)}, boot AS (SELECT rep, seed, model, sum(weight * wrong) / CAST(sum(weight * n) AS DOUBLE) AS v FROM ps JOIN pp USING (part) JOIN drawn USING (position) GROUP BY ALL), {CROSSED_SQL}"""
+  {S.draws("SELECT count(*) FROM pp", REPS, stream=D.COMPONENTS)}, {S.seed_draws(REPS)}, boot AS (SELECT rep, seed, model, sum(weight * wrong) / CAST(sum(weight * n) AS DOUBLE) AS v FROM ps JOIN pp USING (part) JOIN drawn USING (position) GROUP BY ALL), {CROSSED_SQL}"""
 
 
 @query(COMPONENT_SQL + f" SELECT model, {CI} FROM crossed GROUP BY ALL")
@@ -417,18 +418,22 @@ def bootstrap_component(spark, sf):
     """One draw of components and one of seeds a replicate, shared by both models."""
     comp = connected_components(spark, sf).select(F.col("node").alias("cluster_key"), F.col("component").alias("part"))
     stats = cluster_stats(spark, sf, A.SEEDS).join(comp, "cluster_key").groupBy(*KEYS, "part").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
-    rows = B.vectorised(G.cut(stats), "part", KEYS, STATS, REPS).withColumn("v", F.col("wrong") / F.col("n"))
+    rows = B.vectorised(stats, "part", KEYS, STATS, REPS, D.COMPONENTS).withColumn("v", F.col("wrong") / F.col("n"))
     return B.interval(over_seeds(rows, spark), ["model"], "v")
 
 
+#: The labels that samples are drawn within, each with a stream of draws of its own.
+STRATA = (1, 2, 3, 4)
+
+
 @query(S.with_(S.SAMPLES, S.pred(), S.PER) + f""", st AS (SELECT seed, model, digit, cluster_key, count(*) AS n, sum(e) AS wrong FROM per JOIN samples USING (sample_ix, cluster_key) GROUP BY ALL), cl AS (SELECT digit, cluster_key, dense_rank() OVER (PARTITION BY digit ORDER BY cluster_key) - 1 AS position FROM (SELECT DISTINCT digit, cluster_key FROM samples)),
-  nn AS (SELECT digit, count(*) AS n FROM cl GROUP BY ALL HAVING count(*) >= 20), dr AS (SELECT digit, rep, {S.draw("slot", "rep")} % n AS position, count(*) AS weight FROM (SELECT digit, n, unnest(range(n)) AS slot FROM nn), range({REPS}) AS r(rep) GROUP BY ALL),
+  nn AS (SELECT digit, count(*) AS n FROM cl GROUP BY ALL HAVING count(*) >= 20), {", ".join(S.draws_of(f"SELECT rep, n FROM nn, range({REPS}) AS r(rep) WHERE digit = {d}", D.STRATA + d, f"dr{d}") for d in STRATA)}, dr AS ({" UNION ALL ".join(f"SELECT {d} AS digit, * FROM dr{d}" for d in STRATA)}),
   boot AS (SELECT rep, seed, model, digit, sum(weight * wrong) / CAST(sum(weight * n) AS DOUBLE) AS v FROM st JOIN cl USING (digit, cluster_key) JOIN dr USING (digit, position) GROUP BY ALL) SELECT seed, model, digit, {CI} FROM boot GROUP BY ALL""")
 def bootstrap_stratified(spark, sf):
     rows = clean(spark, sf).withColumn("error", E.any_mismatch(F.col("pred"), F.col("target")))
     stats = rows.groupBy(*KEYS, "digit", "cluster_key").agg(F.count("*").alias("n"), F.sum("error").alias("wrong"))
     sizes = {r["digit"]: r["n"] for r in A.samples(spark, sf).groupBy("digit").agg(F.countDistinct("cluster_key").alias("n")).collect()}  # the strata are the four labels
-    parts = [B.vectorised(stats.filter(F.col("digit") == d), "cluster_key", [*KEYS, "digit"], STATS, REPS) for d, n in sorted(sizes.items()) if n >= 20]
+    parts = [B.vectorised(stats.filter(F.col("digit") == d), "cluster_key", [*KEYS, "digit"], STATS, REPS, D.STRATA + d) for d, n in sorted(sizes.items()) if n >= 20]
     out = parts[0] if parts else spark.createDataFrame([], "rep long, seed int, model int, digit int, n double, wrong double")
     for p in parts[1:]:
         out = out.union(p)
@@ -513,7 +518,7 @@ def d_draws(spark, sf, seeds=A.SEEDS, reps=REPS) -> DataFrame:
     v = F.col("value") - F.col("base")
     at = lambda a, m: F.avg(F.when((F.col("axis") == a) & (F.col("model") == m), v))
     by = found.filter("level > 0").join(base, ["axis", *KEYS, "rep"]).groupBy("rep", "seed").agg((at("A", 1) - at("A", 0)).alias("d_a"), at("R", 1).alias("d_r"), (at("S", 0) - at("S", 1)).alias("d_s"), (at("C1", 0) - at("C1", 1)).alias("d_c1"))
-    drawn = by.join(F.broadcast(A.seed_draws(spark, reps, seeds)), ["rep", "seed"])
+    drawn = by.join(F.broadcast(B.seed_draws(spark, reps, seeds)), ["rep", "seed"])
     return drawn.groupBy("rep").agg(*((F.sum(F.col(d) * F.col("times")) / F.sum("times")).alias(d) for d in D_AXES))
 
 
@@ -605,8 +610,9 @@ MULTI_SQL = f"""WITH RECURSIVE {MAPS_SQL}, {ODD_SAMPLES}, {S.pred(seeds=A.SEEDS)
   ms AS (SELECT se.map_id, component, seed, model, CAST(count(*) / 5 AS BIGINT) AS n, {", ".join(f"sum(CASE WHEN q_ix = {q} THEN e ELSE 0 END) AS e{q}" for q in range(5))} FROM se JOIN odd USING (sample_ix) JOIN comp ON comp.map_id = se.map_id AND comp.node = odd.clip GROUP BY ALL)"""
 _LEAST = "min(least(" + ", ".join(f"e{q + 1} - e{q}" for q in range(4)) + ") / CAST(n AS DOUBLE))"
 POINT_SQL = f", mp AS (SELECT map_id, avg(b) AS b FROM (SELECT map_id, seed, {_LEAST} AS b FROM (SELECT map_id, seed, model, sum(n) AS n, {', '.join(f'sum({e}) AS {e}' for e in _E)} FROM ms GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"
-MAP_DRAWS_SQL = f""", occ AS (SELECT rep, occ, CAST({S.draw("(occ + 101)", "rep")} % {MAPS} AS INTEGER) AS map_id FROM range({REPS}) AS r(rep), range({MAPS}) AS o(occ)), {S.seed_draws(REPS)},
-  od AS (SELECT rep, occ, map_id, {S.draw("slot", f"(rep * {MAPS} + occ)")} % n_comp AS position, count(*) AS weight FROM (SELECT rep, occ, map_id, n_comp, unnest(range(n_comp)) AS slot FROM occ JOIN (SELECT DISTINCT map_id, n_comp FROM pos) USING (map_id)) GROUP BY ALL),
+MAP_DRAWS_SQL = f""", occ AS (SELECT rep, slot AS occ, CAST(x AS INTEGER) AS map_id FROM ({S.choices(D.MAPS, REPS, MAPS, MAPS)})), {S.seed_draws(REPS)},
+  {S.draws_of(f"SELECT rep * {MAPS} + occ AS rep, n_comp AS n FROM occ JOIN (SELECT DISTINCT map_id, n_comp FROM pos) USING (map_id)", D.MAP_COMPONENTS, "each_drawn")},
+  od AS (SELECT d.rep // {MAPS} AS rep, d.rep % {MAPS} AS occ, map_id, position, weight FROM each_drawn d JOIN occ ON occ.rep = d.rep // {MAPS} AND occ.occ = d.rep % {MAPS}),
   wide AS (SELECT map_id, position, {", ".join(f"sum(CASE WHEN seed = {s} AND model = {m} THEN {c} ELSE 0 END) AS {c}_{s}_{m}" for s in A.SEEDS for m in A.MODELS for c in ["n", *_E])} FROM ms JOIN pos USING (map_id, component) GROUP BY ALL),
   ow AS (SELECT rep, occ, {", ".join(f"sum(weight * {c}_{s}_{m}) AS {c}_{s}_{m}" for s in A.SEEDS for m in A.MODELS for c in ["n", *_E])} FROM od JOIN wide USING (map_id, position) GROUP BY ALL),
   ob AS ({" UNION ALL ".join(f"SELECT rep, occ, {s} AS seed, least({', '.join(f'(e{q + 1}_{s}_{m} - e{q}_{s}_{m}) / CAST(n_{s}_{m} AS DOUBLE)' for m in A.MODELS for q in range(4))}) AS b FROM ow" for s in A.SEEDS)}),
@@ -647,21 +653,18 @@ def _occurrences(reps: int):
     import numpy as np
     import pandas as pd
 
-    from ..operators.resample import DRAWS, weights
-
     def run(f: pd.DataFrame) -> pd.DataFrame:
         own, n = int(f["map_id"].iloc[0]), int(f["n_comp"].iloc[0])
         rep, occ = np.divmod(np.arange(reps * MAPS), MAPS)
-        x = ((occ + 101) * 1103 + rep * 7919 + 17) % A.PRIME
-        chosen = np.flatnonzero(x * x % A.PRIME * 48271 % A.PRIME % MAPS == own)
+        chosen = np.flatnonzero(D.choices(D.MAPS, rep, occ, MAPS) == own)
         cells = sorted(set(zip(f["seed"], f["model"])))
         table = np.zeros((n, len(cells), 6))
         at = {c: k for k, c in enumerate(cells)}
         table[f["position"], [at[c] for c in zip(f["seed"], f["model"])]] = f[["n", *_E]]
-        out, step = [], max(1, DRAWS // n)
+        out, step = [], max(1, D.HELD // n)
         for a in range(0, len(chosen), step):
             part = chosen[a : a + step]
-            sums = (weights(n, part) @ table.reshape(n, -1)).reshape(len(part), len(cells), 6)
+            sums = (D.weights(n, part, D.MAP_COMPONENTS) @ table.reshape(n, -1)).reshape(len(part), len(cells), 6)
             least = (np.diff(sums[:, :, 1:], axis=2).min(2)) / sums[:, :, 0]
             for s in sorted({c[0] for c in cells}):
                 b = least[:, [k for c, k in at.items() if c[0] == s]].min(1)
@@ -675,7 +678,7 @@ def multimap_draws(stats: DataFrame, reps: int = REPS) -> DataFrame:
     """rep, v: maps are drawn with replacement, components anew for every occurrence, seeds once a replicate. A task is a
     map with its components' sums."""
     each = stats.groupBy("map_id").applyInPandas(_occurrences(reps), "rep long, occ long, seed int, b double")
-    drawn = each.join(F.broadcast(A.seed_draws(stats.sparkSession, reps)), ["rep", "seed"])
+    drawn = each.join(F.broadcast(B.seed_draws(stats.sparkSession, reps, A.SEEDS)), ["rep", "seed"])
     by = drawn.groupBy("rep", "occ").agg((F.sum(F.col("b") * F.col("times")) / F.sum("times")).alias("v"))
     return by.groupBy("rep").agg(F.avg("v").alias("v"))
 

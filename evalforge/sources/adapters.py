@@ -24,6 +24,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_ix"), F.col("o_custkey").alias("cluster_key"), digit.alias("digit")).filter("digit between 1 and 4")
 
 
+def spread(rows: DataFrame, cells: int) -> DataFrame:
+    """rows dealt over the cluster's cores, if each makes several and the scan has fewer partitions than cores: a scan of one
+    file would make all that follows in one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores, "sample_ix") if cells > 2 and rows.rdd.getNumPartitions() < cores else rows
+
+
 def _product(seeds: Sequence[int], models: Sequence[int], families: Sequence[int], levels: Sequence[int]) -> Column:
     cells = [(s, m, f, v) for s in seeds for m in models for f in families for v in levels]
     return F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(c, ("seed", "model", "family", "level")))) for c in cells))
@@ -65,40 +72,8 @@ def actions(
     With `clean`, also clean_logit: what the same seed and model say of the unperturbed sample, beside it from the start,
     so that comparing with it needs no join. `rows` are other samples than all."""
     rows = samples(spark, sf_dir) if rows is None else rows
-    rows = rows.withColumn("target", action_target() if head == "action" else rationale_target())
+    rows = spread(rows, len(seeds) * len(models) * len(families) * len(levels)).withColumn("target", action_target() if head == "action" else rationale_target())
     rows = rows.withColumn("cell", F.explode(_product(seeds, models, families, levels))).select("sample_ix", "cluster_key", "digit", "target", "cell.*")
     labels, hit, offset = (ACTIONS, action_hit, 0) if head == "action" else (RATIONALES, rationale_hit, 100)
     out = rows.withColumn("logit", _logits(labels, hit, offset))
     return out.withColumn("clean_logit", _logits(labels, hit, offset, True)) if clean else out
-
-
-#: Draws are squares modulo this prime, so any engine makes the same ones.
-PRIME = 2147483647
-
-
-def draw_hash(slot: Column, rep: Column) -> Column:
-    x = (slot * 1103 + rep * 7919 + 17) % PRIME
-    return x * x % PRIME * 48271 % PRIME
-
-
-def cluster_draws(clusters: DataFrame, key: str, reps: int, spark: SparkSession) -> DataFrame:
-    """rep, key, weight: how often each cluster is drawn in each replicate; a draw takes as many as there are."""
-    from ..operators.maps import ranked
-
-    named = ranked(clusters.select(key).distinct(), [key], F.floor(F.col(key) / 4096), "position")
-    n = clusters.select(key).distinct().count()
-    slots = spark.range(n).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
-    drawn = slots.select("rep", (draw_hash(F.col("slot"), F.col("rep")) % n).alias("position")).groupBy("rep", "position").agg(F.count("*").alias("weight"))
-    return drawn.join(named, "position").select("rep", key, "weight")
-
-
-def seed_slots(spark: SparkSession, reps: int, seeds: Sequence[int] = SEEDS) -> DataFrame:
-    """rep, slot, seed: five seeds a replicate, drawn with replacement."""
-    slots = spark.range(reps * 5).select((F.col("id") % 5).alias("slot"), F.floor(F.col("id") / 5).cast("long").alias("rep"))
-    at = (draw_hash(F.col("slot"), F.col("rep")) % 5).cast("int")
-    return slots.select("rep", "slot", F.element_at(F.array(*map(F.lit, seeds)), at + 1).alias("seed"))
-
-
-def seed_draws(spark: SparkSession, reps: int, seeds: Sequence[int] = SEEDS) -> DataFrame:
-    """rep, seed, times: five seed positions a replicate, counted."""
-    return seed_slots(spark, reps, seeds).groupBy("rep", "seed").agg(F.count("*").alias("times"))
