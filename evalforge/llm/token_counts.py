@@ -27,13 +27,14 @@ from . import tokens
 from .shared import chunks, materialise, most_frequent, small_batches, take
 
 TOP_BYTES, ROW_BYTES = 16 << 20, 100
-#: Distinct pre-tokens that a task holds before it passes on what it has counted.
-HELD = 300_000
+#: Bytes of distinct pre-tokens, with what each costs, that a task holds before it passes on what it has counted.
+HELD_BYTES = 40 << 20
 
 
 def _count(path: str):
     def run(batches):
         held: Counter = Counter()
+        size = 0  # not less than what is held: pieces of two chunks are added twice until it is summed anew
 
         def out():
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["piece", "n"])
@@ -43,8 +44,12 @@ def _count(path: str):
             found = tokens.split(path, data, offsets)
             for piece, n in zip(found.distinct.to_numpy(zero_copy_only=False).tolist(), np.bincount(found.codes, minlength=len(found.distinct)).tolist()):
                 held[piece] += n
-            if len(held) > HELD:
-                yield from out()
+            size += len(found.distinct) * ROW_BYTES + found.distinct.nbytes
+            if size > HELD_BYTES:
+                size = sum(map(len, held)) + ROW_BYTES * len(held)
+                if size > HELD_BYTES // 2:
+                    yield from out()
+                    size = 0
         yield from out()
 
     return run

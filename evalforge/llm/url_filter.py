@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import BROADCAST_BYTES, materialise, most_frequent
 
 ORDER, WEIGHT, BINS, SPAN = 3, 4.0, 400, 4.0
 PARTS, CALIBRATING = 10, (7, 8)
 ALLOW, BLOCK = "allow", "block"
+#: Bytes that a gram and its ratio take in a broadcast table, at most.
+GRAM_BYTES = 128
 _PAD, _END = "\u0002", "\u0003"
 
 
@@ -81,9 +83,9 @@ def grams(text: Column) -> Column:
 
 
 def gram_ratios(counts: DataFrame, totals: dict[str, int]) -> DataFrame:
-    """(gram, ratio): log chance among accepted less that among rejected, from (gram, allow, block) counts."""
+    """(gram, n, ratio): log chance among accepted less that among rejected, from (gram, allow, block, n) counts."""
     size = ORDER + 1
-    out = counts.select("gram")
+    out = counts.select("gram", "n")
     chance = {k: F.lit(1 / 256) for k in (ALLOW, BLOCK)}
     for order in range(ORDER + 1):
         tail, context = F.substring("gram", size - order, order + 1), F.substring("gram", size - order, order)
@@ -95,17 +97,28 @@ def gram_ratios(counts: DataFrame, totals: dict[str, int]) -> DataFrame:
         for k in chance:
             n = F.col(f"{k}_c{order}") if order else F.lit(totals[k])
             chance[k] = (F.col(f"{k}_{order}") + WEIGHT * chance[k]) / (n + WEIGHT)
-    return out.select("gram", (F.log(chance[ALLOW]) - F.log(chance[BLOCK])).alias("ratio"))
+    return out.select("gram", "n", (F.log(chance[ALLOW]) - F.log(chance[BLOCK])).alias("ratio"))
+
+
+def rated(rows: DataFrame, ratios: DataFrame, most: int = BROADCAST_BYTES // GRAM_BYTES) -> DataFrame:
+    """rows (gram, ...) with their ratio, from (gram, ratio, n). Up to `most` grams are broadcast. Of more, the most frequent
+    ones are, among them those that start and end every URL, and the rest join by shuffle; each row is joined once."""
+    if ratios.count() <= most:
+        return rows.join(F.broadcast(ratios.drop("n")), "gram")
+    few = most_frequent(ratios, "n", most).select("gram", "ratio")
+    near = rows.join(F.broadcast(few), "gram", "left")
+    far = near.filter(F.col("ratio").isNull()).drop("ratio").join(ratios.drop("n"), "gram")
+    return near.filter(F.col("ratio").isNotNull()).unionByName(far)
 
 
 def scores(urls: DataFrame) -> DataFrame:
     """(key, verdict, part, score) of distinct (key, host, path, verdict), verdict being a rule's or null."""
     rows = urls.select("key", "verdict", part_of(F.col("host"), F.col("path")).alias("part"), F.explode(grams(F.concat("host", "path"))).alias("gram"))
     is_ = lambda k: F.sum(((F.col("verdict") == k) & (F.col("part") < CALIBRATING[0])).cast("long"))
-    counts = materialise(rows.groupBy("gram").agg(*(F.coalesce(is_(k), F.lit(0)).alias(k) for k in (ALLOW, BLOCK))), "grams")
+    counts = materialise(rows.groupBy("gram").agg(*(F.coalesce(is_(k), F.lit(0)).alias(k) for k in (ALLOW, BLOCK)), F.count("*").alias("n")), "grams")
     total = counts.agg(F.sum(ALLOW), F.sum(BLOCK)).first()
     ratios = materialise(gram_ratios(counts, {ALLOW: total[0] or 0, BLOCK: total[1] or 0}), "ratios")
-    return rows.join(ratios, "gram").groupBy("key").agg(F.max("verdict").alias("verdict"), F.max("part").alias("part"), F.round(F.sum("ratio") / F.count("*"), 9).alias("score"))
+    return rated(rows, ratios).groupBy("key").agg(F.max("verdict").alias("verdict"), F.max("part").alias("part"), F.round(F.sum("ratio") / F.count("*"), 9).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float | None:

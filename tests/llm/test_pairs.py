@@ -280,3 +280,12 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_grams_beyond_the_broadcast_are_rated_alike(spark):
+    from evalforge.llm import url_filter
+
+    rows = spark.createDataFrame([(k, g) for k in range(50) for g in ("hot", f"g{k % 7}", f"h{k}")], "key int, gram string")
+    ratios = spark.createDataFrame([("hot", 50, 0.5), *((f"g{k}", 8, k / 10) for k in range(7)), *((f"h{k}", 1, -k / 10) for k in range(50))], "gram string, n long, ratio double")
+    small, large = (sorted(map(tuple, url_filter.rated(rows, ratios, most).select("key", "gram", "ratio").collect())) for most in (1000, 5))
+    assert small == large and len(small) == 150

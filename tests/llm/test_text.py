@@ -345,3 +345,16 @@ def test_remove_cuts_the_passages_and_nothing_else(spark, docs, rows, monkeypatc
             assert by[i] == t[: -len(PASSAGE)]
         elif i is not None:
             assert by[i] == t
+
+
+def test_token_counts_hold_bytes_not_pieces(spark, monkeypatch):
+    """Long distinct pieces: a task passes on what it has counted by their bytes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_counts, "HELD_BYTES", 1 << 20)
+    texts = [" ".join(chr(97 + k % 26) * 3000 + "x" * (k % 97) for k in range(j, j + 60)) for j in range(0, 6000, 60)]
+    out = list(token_counts._count(JSON)([pa.RecordBatch.from_arrays([pa.array(texts[k : k + 10])], ["text"]) for k in range(0, len(texts), 10)]))
+    held = [sum(map(len, b.column(0).to_pylist())) for b in out]
+    assert len(out) > 1 and max(held) < 4 << 20  # a chunk more than the bound at most
+    got = sum((np.array([b.column(1).to_numpy().sum()]) for b in out), np.zeros(1))
+    assert got == sum(len(t.split(" ")) for t in texts)
