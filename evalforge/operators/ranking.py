@@ -69,9 +69,19 @@ def preceded(groups: DataFrame, keys: list[str], columns: dict[str, str]) -> Dat
     return out.select(*groups.columns, *((F.col(f"_{n}_base") + F.col(f"_{n}_in")).alias(n) for n in columns), *(f"{n}_all" for n in columns))
 
 
+#: Terms of a harmonic number that are added one by one; beyond, its series is exact to the last digits.
+HARMONIC = 256
+
+
 def harmonic_span(before, n):
-    """H(before + n) - H(before)."""
-    return F.aggregate(F.sequence(before + 1, before + n), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
+    """H(before + n) - H(before): terms up to HARMONIC one by one, beyond by the logarithm of a ratio and a short series, so no
+    array is longer than that, however large a tie group."""
+    end, edge = before + n, F.lit(HARMONIC).cast("long")
+    near = F.aggregate(F.sequence(before + 1, F.least(end, edge)), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
+    low, high = F.greatest(before, edge).cast("double"), F.greatest(end, edge).cast("double")
+    tail = lambda x: 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    far = F.log1p((high - low) / low) + tail(high) - tail(low)
+    return F.when(before < edge, near).otherwise(0.0) + F.when(end > edge, far).otherwise(0.0)
 
 
 def aurc_tie_averaged(df: DataFrame, keys: list[str], weight: str | None = None, name: str = "aurc") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as Q
 from ..operators import ranking as R
+from ..operators.digests import grouped
 from ..sources import adapters as A
 from .registry import query
 
@@ -293,5 +294,5 @@ def gate_verdict(spark, sf):
 
 @query("""SELECT o_orderkey % 64 AS shard, count(*) AS n_rows, upper(sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey))) AS sha256 FROM orders GROUP BY ALL""")
 def hash_manifest_check(spark, sf):
-    rows = A.table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 64).alias("shard")).agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list("o_orderkey")).alias("k"))
-    return rows.select("shard", "n_rows", F.upper(F.sha2(F.array_join(F.transform("k", lambda x: x.cast("string")), ","), 256)).alias("sha256"))
+    rows = A.table(spark, sf, "orders").select((F.col("o_orderkey") % 64).alias("shard"), "o_orderkey")
+    return grouped(rows, "shard", [F.col("o_orderkey")], F.col("o_orderkey"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accuracy, audits, consistency, inference, scenes  # noqa: F401
+from . import accuracy, audits, consistency, gates, inference, scenes  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

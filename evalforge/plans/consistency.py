@@ -263,6 +263,24 @@ def curve_crossings(spark, sf):
     return joint.groupBy("seed").agg(F.sum(F.coalesce("n", F.lit(0)) + F.coalesce((F.col("first") != F.col("prior")).cast("long"), F.lit(0))).alias("n_crossings"))
 
 
+#: Two strata have different numbers of samples, so their curves have different coverages.
+DOMINANCE_SQL = S.with_(S.SAMPLES, S.pred(), S.PER) + """, own AS (SELECT model, digit, sample_ix, e, round(conf, 9) AS conf FROM per JOIN samples USING (sample_ix)), cu AS (SELECT model, digit, sum(e) OVER w / CAST(row_number() OVER w AS DOUBLE) AS risk, row_number() OVER w / CAST(count(*) OVER (PARTITION BY model, digit) AS DOUBLE) AS cov FROM own WINDOW w AS (PARTITION BY model, digit ORDER BY conf DESC, sample_ix ROWS UNBOUNDED PRECEDING)),
+  sd AS (SELECT model, digit AS stratum, 0 AS side, cov, risk FROM cu WHERE digit < 4 UNION ALL SELECT model, digit - 1, 1, cov, risk FROM cu WHERE digit > 1), un AS (SELECT model, stratum, cov, max(CASE WHEN side = 0 THEN risk END) AS a, max(CASE WHEN side = 1 THEN risk END) AS b FROM sd GROUP BY ALL),
+  st AS (SELECT model, stratum, cov, first_value(a IGNORE NULLS) OVER f - first_value(b IGNORE NULLS) OVER f AS gap, cov - coalesce(lag(cov) OVER (PARTITION BY model, stratum ORDER BY cov), 0) AS w FROM un WINDOW f AS (PARTITION BY model, stratum ORDER BY cov ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  sg AS (SELECT *, CASE WHEN abs(gap) <= 1e-12 THEN 0 WHEN gap < 0 THEN -1 ELSE 1 END AS s FROM st), ch AS (SELECT *, lag(s) OVER (PARTITION BY model, stratum ORDER BY cov) AS was FROM sg)
+  SELECT model, stratum, round(sum(CASE WHEN s = -1 THEN w ELSE 0 END), 6) AS share_below, round(sum(CASE WHEN s = 1 THEN w ELSE 0 END), 6) AS share_above, round(sum(CASE WHEN s = 0 THEN w ELSE 0 END), 6) AS share_equal, CAST(sum(CASE WHEN s <> was THEN 1 ELSE 0 END) + 1 AS BIGINT) AS n_intervals FROM ch GROUP BY ALL"""
+
+
+@query(DOMINANCE_SQL)
+def curve_dominance(spark, sf):
+    """Over which shares of the coverage one stratum's risk curve lies below the next one's."""
+    rows = M.scored(A.actions(spark, sf)).withColumn("conf", F.round("conf", 9))
+    curve = R.risk_curve(rows, ["model", "digit"]).select("model", "digit", "coverage", "risk")
+    side = lambda n: curve.filter("digit < 4" if n == 0 else "digit > 1").select("model", (F.col("digit") - n).alias("stratum"), F.lit(n).alias("side"), "coverage", "risk")
+    out = V.dominance(side(0).union(side(1)), ["model", "stratum"])
+    return out.select("model", "stratum", *(E.r6(F.col(c)).alias(c) for c in ("share_below", "share_above", "share_equal")), "n_intervals")
+
+
 # -- dose-response over families and levels -----------------------------------------------------------------------------
 
 
@@ -496,9 +514,12 @@ def d_conditions(cells: DataFrame) -> DataFrame:
     return cells.agg((F.avg("d_c1") >= 0.01).alias("point")).join(F.broadcast(s)).join(F.broadcast(f))
 
 
-@query("SELECT seed, model, family, level FROM (VALUES (43), (44), (45), (46), (47)) AS s(seed), (VALUES (0), (1)) AS m(model), (VALUES (0), (1), (2)) AS f(family), (VALUES (0), (1), (2), (3), (4)) AS l(level)")
+@query("WITH p AS (SELECT DISTINCT o_orderpriority AS priority FROM orders), s AS (SELECT DISTINCT o_orderstatus AS status FROM orders), y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders), n AS (SELECT o_orderpriority AS priority, o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT priority, status, year, coalesce(n, 0) AS n, n IS NOT NULL AS found FROM (SELECT * FROM p, s, y) AS g LEFT JOIN n USING (priority, status, year)")
 def expected_grid(spark, sf):
-    one = spark.range(1).select(*(F.explode(F.array(*map(F.lit, A.SEEDS))).alias("seed"),))
-    for name, values in (("model", A.MODELS), ("family", A.FAMILIES), ("level", A.LEVELS)):
-        one = one.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return one
+    """Every cell that the levels of three columns allow, and whether the table has it. Levels are few: some dozens of rows are
+    crossed, never the table."""
+    rows = A.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"))
+    have = cut(rows.groupBy("priority", "status", "year").agg(F.count("*").alias("n")))
+    level = lambda c: F.broadcast(have.select(c).distinct())
+    grid = level("priority").crossJoin(level("status")).crossJoin(level("year"))
+    return grid.join(have, ["priority", "status", "year"], "left").select("priority", "status", "year", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("found"))

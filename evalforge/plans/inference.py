@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..operators import bootstrap as X
 from ..operators import consistency as C
 from ..operators import draws as D
 from ..operators import graph as G
@@ -14,6 +15,7 @@ from ..operators import maps as P
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import resample as B
+from ..operators.digests import grouped
 from ..sources import adapter_sql as S
 from ..sources import adapters as A
 from .accuracy import CLEAN, KEYS, PER, TIE_SQL, clean
@@ -306,8 +308,37 @@ def component_closure(spark, sf):
 
 @query(COMP_SQL + """ SELECT component, upper(sha256('["' || string_agg(CAST(node AS VARCHAR), '","' ORDER BY CAST(node AS VARCHAR)) || '"]')) AS group_id FROM comp GROUP BY ALL""")
 def group_id(spark, sf):
-    members = F.array_join(F.sort_array(F.collect_list(F.col("node").cast("string"))), '","')
-    return connected_components(spark, sf).groupBy("component").agg(F.upper(F.sha2(F.concat(F.lit('["'), members, F.lit('"]')), 256)).alias("group_id"))
+    """The digest of each component's members as a list of strings, hashed as they pass in order."""
+    rows = connected_components(spark, sf).withColumn("name", F.col("node").cast("string"))
+    return grouped(rows, "component", [F.col("name")], F.col("name"), '["', '","', '"]').select("component", F.col("sha256").alias("group_id"))
+
+
+CLOSURE_SQL = f"""WITH RECURSIVE {GRADED_SQL}, ce AS (SELECT DISTINCT a.clip AS a, b.clip AS b FROM maps JOIN odd a ON a.sample_ix = dst_ix JOIN odd b ON b.sample_ix = src_ix WHERE q_ix = 4), both_ AS (SELECT a, b FROM ce UNION SELECT b, a FROM ce),
+  reach AS (SELECT DISTINCT a AS node, a AS root FROM both_ UNION SELECT b.b, r.root FROM reach r JOIN both_ b ON b.a = r.node WHERE r.root < b.b), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY ALL),
+  m AS (SELECT q_ix, dst_ix, src_ix, x.component AS c, y.component AS d FROM maps JOIN odd a ON a.sample_ix = dst_ix JOIN comp x ON x.node = a.clip JOIN odd b ON b.sample_ix = src_ix JOIN comp y ON y.node = b.clip),
+  k AS (SELECT component, count(*) AS n_clips FROM comp GROUP BY ALL)"""
+
+
+@query(CLOSURE_SQL + " SELECT c AS component, CAST(q_ix AS INTEGER) AS q_ix, n_clips, count(*) AS n_samples, true AS partitioned, bool_and(c = d) AS closed, count(DISTINCT src_ix) = count(*) AND bool_and(c = d) AS bijective FROM m JOIN k ON k.component = m.c GROUP BY ALL")
+def component_audit(spark, sf):
+    """Of each association component and severity: whether its clips are in no other component, whether its samples' sources
+    are its own, and whether the map restricted to it is a bijection.
+
+    The last is proved without gathering a component: its samples and their sources, as multisets, have the same count and the
+    same order-free fingerprints (two sums and an exclusive or of 64-bit hashes), which those of two different multisets
+    have by a chance of some 2^-120."""
+    maps, names = G.cut(graded_source_maps(spark, sf)), odd_names(spark, sf)[0].select("sample_ix", "clip")
+    clip = lambda ix, c: names.select(F.col("sample_ix").alias(ix), F.col("clip").alias(c))
+    ends = maps.filter("q_ix = 4").join(clip("dst_ix", "a"), "dst_ix").join(clip("src_ix", "b"), "src_ix")
+    comp = G.cut(G.components(ends.select("a", "b"), names.select(F.col("clip").alias("node"))))
+    at = lambda ix, c: names.join(comp, names["clip"] == comp["node"]).select(F.col("sample_ix").alias(ix), F.col("component").alias(c))
+    rows = maps.join(at("dst_ix", "component"), "dst_ix").join(at("src_ix", "source"), "src_ix")
+    small = lambda ix, salt: F.pmod(F.xxhash64(ix, F.lit(salt)), F.lit(2**31 - 1))
+    prints = lambda ix: F.struct(F.bit_xor(F.xxhash64(ix)), F.sum(small(ix, 1)), F.sum(small(ix, 2)))
+    closed = F.every(F.col("component") == F.col("source"))
+    per = rows.groupBy("component", "q_ix").agg(F.count("*").alias("n_samples"), closed.alias("closed"), (prints("dst_ix") == prints("src_ix")).alias("same"))
+    clips = comp.groupBy("node").agg(F.count("*").alias("n"), F.first("component").alias("component")).groupBy("component").agg(F.count("*").alias("n_clips"), F.every(F.col("n") == 1).alias("partitioned"))
+    return per.join(clips, "component").select("component", "q_ix", "n_clips", "n_samples", "partitioned", "closed", (F.col("same") & F.col("closed")).alias("bijective"))
 
 
 # -- resampling -----------------------------------------------------------------------------------------------------------
@@ -446,69 +477,22 @@ def bootstrap_stratified(spark, sf):
 LOWER = 0.0125
 
 
-def _axis_cell(reps: int):
-    """(rep, value) of one cell from its samples, for all replicates: macro-F1, tie-averaged AURC or flip rate."""
-    import numpy as np
-    import pandas as pd
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        n, axis = int(f["_n"].iloc[0]), f["axis"].iloc[0]
-        at = f["_position"].to_numpy()
-        out = np.empty(reps)
-        if axis == "S":
-            order = np.argsort(-f["conf"].to_numpy(), kind="stable")
-            conf, at, wrong = f["conf"].to_numpy()[order], at[order], f["wrong"].to_numpy()[order]
-            head = np.flatnonzero(np.append(True, conf[1:] != conf[:-1]))
-        else:
-            sums = np.stack(f["sums"].to_numpy()).astype(float)
-            table = np.zeros((n, sums.shape[1]))
-            np.add.at(table, at, sums)
-        step = max(1, B.DRAWS // max(n, len(at)))
-        for a in range(0, reps, step):
-            w = B.weights(n, np.arange(a, min(reps, a + step)))
-            if axis == "S":
-                own = w[:, at]
-                k, z = np.add.reduceat(own, head, 1), np.add.reduceat(own * wrong, head, 1)
-                before, lost = np.cumsum(k, 1) - k, np.cumsum(z, 1) - z
-                h = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, int(k.sum(1).max()) + 1))])
-                span = h[before + k] - h[before]
-                share = np.divide(z, k, out=np.zeros(k.shape), where=k > 0)
-                out[a : a + step] = (lost * span + share * (k - before * span)).sum(1) / k.sum(1)
-            else:
-                s = w @ table
-                if axis == "C1":
-                    out[a : a + step] = s[:, 1] / s[:, 0]
-                else:
-                    tp, fp, fn = np.split(s, 3, 1)
-                    low = 2 * tp + fp + fn
-                    out[a : a + step] = np.divide(2 * tp, low, out=np.zeros(low.shape), where=low > 0).mean(1)
-        return pd.DataFrame({"axis": axis, "seed": f["seed"].iloc[0], "model": f["model"].iloc[0], "family": f["family"].iloc[0], "level": f["level"].iloc[0], "rep": np.arange(reps), "value": out})
-
-    return run
-
-
 def axis_draws(spark, sf, seeds=A.SEEDS, reps=REPS) -> DataFrame:
-    """axis, seed, model, family, level, rep, value: every axis in every cell over the same draws of clusters. A task is a
-    cell: its clusters' sums, or its samples for the risk axis, whose order no sum holds."""
-    named = G.cut(P.ranked(A.samples(spark, sf).select("cluster_key").distinct(), ["cluster_key"], F.floor(F.col("cluster_key") / 4096), "_position"))
-    n = named.count()
+    """axis, seed, model, family, level, rep, value: every axis in every cell over the same draws of clusters. Flips and F1
+    are sums of one pass; the risk axis has its order spread over slices of the confidence. J is the rationales' overlap
+    with the clean ones, of the joint model."""
+    named = B.positions(A.samples(spark, sf), "cluster_key")
 
     def rows(head, models=A.MODELS):
         own = lambda f, v: M.predicted(A.actions(spark, sf, seeds, models, f, v, head, clean=True))
-        return own((0,), (0,)).union(own(A.FAMILIES, A.LEVELS[1:]))
-
-    def counted(df, axis, columns):
-        sums = df.groupBy(*CELL, "cluster_key").agg(*(c.alias(f"c{k}") for k, c in enumerate(columns)))
-        return sums.select(F.lit(axis).alias("axis"), *CELL, "cluster_key", F.array(*(F.col(f"c{k}").cast("long") for k in range(len(columns)))).alias("sums"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("int").alias("wrong"))
-
-    is_ = lambda c, t, p: F.sum(((F.get("target", F.lit(c)) == t) & (F.get("pred", F.lit(c)) == p)).cast("long"))
-    tally = lambda labels: [is_(c, t, p) for t, p in ((1, 1), (0, 1), (1, 0)) for c in range(labels)]
-    acts = rows("action")
-    flips = [F.count("*"), F.sum(E.any_mismatch(F.col("pred"), E.hard(F.col("clean_logit"))))]
-    risk = acts.select(F.lit("S").alias("axis"), *CELL, "cluster_key", F.lit(None).cast("array<bigint>").alias("sums"), E.sigmoid(F.array_max("logit")).alias("conf"), E.any_mismatch(F.col("pred"), F.col("target")).alias("wrong"))
-    parts = counted(acts, "A", tally(A.ACTIONS)).union(counted(rows("rationale", (1,)), "R", tally(A.RATIONALES))).union(counted(acts, "C1", flips)).union(risk)
-    placed = parts.join(named, "cluster_key").withColumn("_n", F.lit(n)).drop("cluster_key")
-    return placed.groupBy("axis", *CELL).applyInPandas(_axis_cell(reps), "axis string, seed int, model int, family int, level int, rep long, value double")
+        return own((0,), (0,)).union(own(A.FAMILIES, A.LEVELS[1:])).withColumn("clean", E.hard(F.col("clean_logit")))
+
+    acts, why = rows("action"), C.overlaps(rows("rationale", (1,)))
+    flip = X.mean("C1", E.any_mismatch(F.col("pred"), F.col("clean")))
+    risk = X.Curve("S", E.sigmoid(F.array_max("logit")), E.any_mismatch(F.col("pred"), F.col("target")))
+    first = X.evaluate(acts, "cluster_key", CELL, [X.macro_f1("A", A.ACTIONS), flip, risk], reps, named=named)
+    second = X.evaluate(why, "cluster_key", CELL, [X.macro_f1("R", A.RATIONALES), X.mean("J", E.jaccard(F.col("common"), F.col("joint")))], reps, named=named)
+    return first.union(second).select(F.col("metric").alias("axis"), *CELL, "rep", "value")
 
 
 def d_draws(spark, sf, seeds=A.SEEDS, reps=REPS) -> DataFrame:

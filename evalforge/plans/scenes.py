@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
+from ..operators import maps as P
 from ..operators import worlds as O
+from ..operators.stretches import best_stretch
 from ..sources import adapters as A
 from .registry import query
 
@@ -141,7 +142,8 @@ def frame_pairs(spark, sf):
   w AS (SELECT a.user_id, a.k AS s, b.k + 1 AS e, count(*) AS n, median(c.hamming) AS mh, median(c.ssim) AS ms FROM isl a JOIN isl b ON b.user_id = a.user_id AND b.island = a.island AND b.run = a.run AND b.k >= a.k + 5 JOIN isl c ON c.user_id = a.user_id AND c.island = a.island AND c.run = a.run AND c.k BETWEEN a.k AND b.k GROUP BY ALL),
   best AS (SELECT user_id, min((-n, mh, -ms, s, e)) AS x FROM w WHERE mh <= 4 AND ms >= 0.92::DOUBLE GROUP BY ALL) SELECT user_id, CAST(x[4] AS BIGINT) AS start_pair, CAST(x[5] AS BIGINT) AS end_pair, CAST(-x[1] AS BIGINT) AS pair_count, round(x[2], 6) AS median_hamming, round(-x[3], 6) AS median_ssim FROM best""")
 def aligned_window_edge(spark, sf):
-    """The longest, then best, stretch of six or more consecutive pairs in each user's series.
+    """The longest, then best, stretch of six or more consecutive pairs in each user's series. Pairs that follow each other
+    do so by half a second on both sides, so the time scale's slope is 1, within its bounds, wherever there is no gap.
 
     Runs are islands without gaps or far pairs; a task looks for the best window of a run, so no window becomes a row."""
     near = frame_pairs(spark, sf).withColumn("island", F.sum("gap").over(W.partitionBy("user_id").orderBy("k"))).filter("hamming <= 7")
@@ -151,30 +153,9 @@ def aligned_window_edge(spark, sf):
     return best.select("user_id", F.col("x.s").alias("start_pair"), F.col("x.e").alias("end_pair"), (-F.col("x.n")).alias("pair_count"), F.round("x.mh", 6).alias("median_hamming"), F.round(-F.col("x.ms"), 6).alias("median_ssim"))
 
 
-def best_window(hamming: list[float], ssim: list[float], least: int = 6) -> tuple[int, int, float, float] | None:
-    """(start, length, median hamming, median ssim) of the longest stretch of `least` or more pairs whose medians are at most
-    4 and at least 0.92; of equal ones the nearest, then the most alike, then the first. Lengths are tried from the
-    longest, a window slides by one pair, and its values are kept sorted."""
-    middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2.0
-    for length in range(len(hamming), least - 1, -1):
-        h, v = sorted(hamming[:length]), sorted(ssim[:length])
-        fits = []
-        for at in range(len(hamming) - length + 1):
-            if at:
-                for held, values in ((h, hamming), (v, ssim)):
-                    del held[bisect_left(held, values[at - 1])]
-                    insort(held, values[at + length - 1])
-            if middle(h) <= 4 and middle(v) >= 0.92:
-                fits.append((middle(h), -middle(v), at))
-        if fits:
-            mh, ms, at = min(fits)
-            return at, length, mh, -ms
-    return None
-
-
 def _window_of_run(f: pd.DataFrame) -> pd.DataFrame:
     f = f.sort_values("k")
-    best = best_window(f["hamming"].tolist(), f["ssim"].tolist())
+    best = best_stretch(f["hamming"].tolist(), f["ssim"].tolist(), 4, 0.92)
     names = ["user_id", "n", "mh", "ms", "s", "e"]
     if best is None:
         return pd.DataFrame({n: [] for n in names})
@@ -251,33 +232,43 @@ RULE_SQL = {
     "mixed": f"greatest({_b(0)} * {_b(1)}, {_b(2)} * (1 - {_b(3)}))",
     "wide": f"((CASE WHEN {_b(0)} + {_b(1)} + {_b(2)} + {_b(3)} + {_b(4)} >= 3 THEN 1 ELSE 0 END) + {_b(9)}) % 2",
 }
-ROWS_SQL = "r AS (SELECT CAST(range AS BIGINT) AS row FROM range(1024))"
-WORLDS = 32
+#: Assignments of ten bits are those of the orders' keys, so work and weights come from the table.
+ROWS_SQL = "r AS (SELECT o_orderkey * 7919 % 1024 AS row, o_custkey * 104729 % 1024 AS mask FROM orders)"
+
 
+def assignments(spark, sf):
+    """row, mask: ten bits of an order, and ten more that tell which of them are flipped."""
+    bits = lambda c, k: (F.col(c).cast("long") * k % (1 << O.BITS)).cast("int")
+    return A.table(spark, sf, "orders").select(bits("o_orderkey", 7919).alias("row"), bits("o_custkey", 104729).alias("mask"))
 
-def rule_rows(spark):
-    """row, rule, y over all assignments."""
-    r = O.rows(spark)
+
+def rule_rows(spark, sf):
+    """row, rule, y of every order's assignment."""
+    r = assignments(spark, sf)
     return r.select("row", F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), O.compile_rule(v, F.col("row")).alias("y")) for k, v in RULES.items()))))
 
 
 @query(f"WITH {ROWS_SQL} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, CAST(sum({v}) AS BIGINT) AS n_true, round(avg({v}), 6) AS prevalence FROM r" for k, v in RULE_SQL.items()))
 def rule_prevalence(spark, sf):
-    return rule_rows(spark).groupBy("rule").agg(F.sum("y").alias("n_true"), F.round(F.avg("y"), 6).alias("prevalence"))
+    return rule_rows(spark, sf).groupBy("rule").agg(F.sum("y").alias("n_true"), F.round(F.avg("y"), 6).alias("prevalence"))
 
 
-@query("WITH f AS (SELECT w.world, k.bit, sha256('world|' || w.world || '|' || k.bit) AS h FROM range(32) AS w(world), range(10) AS k(bit)), o AS (SELECT *, row_number() OVER (PARTITION BY world ORDER BY h, bit) - 1 AS rk FROM f) SELECT world, CAST(bit AS INTEGER) AS bit, CASE WHEN rk < 4 THEN 'causal' WHEN rk < 7 THEN 'proxy' ELSE 'nuisance' END AS role FROM o")
+@query("WITH f AS (SELECT c_custkey AS world, k.bit, sha256('world|' || c_custkey || '|' || k.bit) AS h FROM customer, range(10) AS k(bit)), o AS (SELECT *, row_number() OVER (PARTITION BY world ORDER BY h, bit) - 1 AS rk FROM f) SELECT world, CAST(bit AS INTEGER) AS bit, CASE WHEN rk < 4 THEN 'causal' WHEN rk < 7 THEN 'proxy' ELSE 'nuisance' END AS role FROM o")
 def boolean_worlds(spark, sf):
-    rows = spark.range(WORLDS).select(F.col("id").alias("world"), F.explode(F.sequence(F.lit(0), F.lit(O.BITS - 1))).alias("bit"))
+    """A world a customer: which of its ten bits are causal, proxies or nuisance, by the order of their hashes."""
+    rows = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("world"), F.explode(F.sequence(F.lit(0), F.lit(O.BITS - 1))).alias("bit"))
     rows = rows.withColumn("h", F.sha2(F.concat_ws("|", F.lit("world"), "world", "bit"), 256)).withColumn("rk", F.row_number().over(W.partitionBy("world").orderBy("h", "bit")) - 1)
     return rows.select("world", "bit", F.when(F.col("rk") < 4, "causal").when(F.col("rk") < 7, "proxy").otherwise("nuisance").alias("role"))
 
 
-@query(f"WITH {ROWS_SQL}, o AS (SELECT w.world, row, row_number() OVER (PARTITION BY w.world ORDER BY sha256('replace|' || w.world || '|' || row), row) AS rk FROM r, range(32) AS w(world)) SELECT world, d.dose, count(*) AS n, CAST(sum(row) AS BIGINT) AS checksum FROM o, (VALUES (1), (2), (3), (4)) AS d(dose) WHERE rk <= floor(d.dose * 0.25::DOUBLE * 1024) GROUP BY ALL")
+@query("WITH o AS (SELECT c_nationkey AS world, c_custkey AS row, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('replace|' || c_nationkey || '|' || c_custkey), c_custkey) AS rk, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer) SELECT world, d.dose, count(*) AS n, CAST(sum(row) AS BIGINT) AS checksum FROM o, (VALUES (1), (2), (3), (4)) AS d(dose) WHERE rk <= floor(d.dose * 0.25::DOUBLE * size) GROUP BY ALL")
 def replacement_prefix(spark, sf):
-    o = O.rows(spark).withColumn("world", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WORLDS - 1).cast("long"))))
-    o = o.withColumn("rk", F.row_number().over(W.partitionBy("world").orderBy(F.sha2(F.concat_ws("|", F.lit("replace"), "world", "row"), 256), "row")))
-    rows = o.withColumn("dose", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).filter(F.col("rk") <= F.floor(F.col("dose") * 0.25 * 1024))
+    """A world a nation: at each dose the first share of its customers in the order of their hashes. Places come from slices
+    of the hash, so no task orders a nation."""
+    rows = A.table(spark, sf, "customer").select(F.col("c_nationkey").alias("world"), F.col("c_custkey").alias("row"))
+    rows = rows.withColumn("h", F.sha2(F.concat_ws("|", F.lit("replace"), "world", "row"), 256))
+    o = P.ranked(rows, ["h", "row"], F.substring("h", 1, 3), "rk", ["world"]).join(F.broadcast(rows.groupBy("world").agg(F.count("*").alias("size"))), "world")  # a row a nation
+    rows = o.withColumn("dose", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).filter(F.col("rk") < F.floor(F.col("dose") * 0.25 * F.col("size")))
     return rows.groupBy("world", "dose").agg(F.count("*").alias("n"), F.sum("row").alias("checksum"))
 
 
@@ -286,7 +277,7 @@ def _auc(insert: bool):
 
     def run(spark, sf):
         masks = [(1 << k) - 1 for k in range(O.BITS + 1)]
-        r = O.rows(spark)
+        r = assignments(spark, sf)
         step = lambda m: F.col("row").bitwiseAND(F.lit(m if insert else 1023 & ~m))
         cells = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(i).alias("step"), O.compile_rule(v, step(m)).alias("y")) for k, v in RULES.items() for i, m in enumerate(masks)))
         curve = r.select(F.inline(cells)).groupBy("rule", "step").agg(F.avg("y").alias("v"))
@@ -310,48 +301,52 @@ query(_auc_sql(True), "insertion_auc")(_auc(True))
 #: The rules whose mean is the scalar that attributions explain.
 ACTION_RULES = ("and", "or_xor", "majority", "parity")
 _SCALAR_SQL = "(" + " + ".join(RULE_SQL[k] for k in ACTION_RULES) + f") / {len(ACTION_RULES)}.0::DOUBLE"
-ATTRIBUTION_SQL = f"WITH {ROWS_SQL}, f AS (SELECT row, {_SCALAR_SQL} AS f FROM r), g AS (SELECT a.row, j.j, a.f - b.f AS g FROM f a, range({O.BITS}) AS j(j) JOIN f b ON b.row = xor(a.row, CAST(1 << j.j AS BIGINT)))"
+ATTRIBUTION_SQL = f"WITH {ROWS_SQL}, every AS (SELECT CAST(range AS BIGINT) AS row FROM range(1024)), f AS (SELECT row, {_SCALAR_SQL} AS f FROM every AS r), g AS (SELECT a.row, j.j, a.f - b.f AS g FROM f a, range({O.BITS}) AS j(j) JOIN f b ON b.row = xor(a.row, CAST(1 << j.j AS BIGINT)))"
+
 
+def scalar(row):
+    """The mean of ACTION_RULES at an assignment."""
+    return sum(O.compile_rule(RULES[k], row) for k in ACTION_RULES) / float(len(ACTION_RULES))
 
-def attributions(spark):
-    """row, f and g: the mean of ACTION_RULES at each assignment, and by how much it exceeds that with each bit flipped."""
-    scalar = lambda row: sum(O.compile_rule(RULES[k], row) for k in ACTION_RULES) / float(len(ACTION_RULES))
+
+def attributions(rows):
+    """rows (row, ...) with f and g: the scalar, and by how much it exceeds that with each bit flipped."""
     row = F.col("row")
-    return O.rows(spark).select("row", scalar(row).alias("f"), F.array(*(scalar(row) - scalar(row.bitwiseXOR(F.lit(1 << j).cast("long"))) for j in range(O.BITS))).alias("g"))
+    return rows.withColumn("f", scalar(row)).withColumn("g", F.transform(F.array(*(scalar(row.bitwiseXOR(F.lit(1 << j))) for j in range(O.BITS))), lambda v: F.col("f") - v))
 
 
-@query(ATTRIBUTION_SQL + f", d AS (SELECT g.row, m.row AS mask, sum(CASE WHEN (m.row >> j) & 1 = 1 THEN g ELSE 0 END) AS dot FROM g, r m GROUP BY ALL) SELECT round(avg((dot - (a.f - b.f)) ** 2), 6) AS infidelity FROM d JOIN f a ON a.row = d.row JOIN f b ON b.row = xor(d.row, d.mask)")
+@query(ATTRIBUTION_SQL + ", k AS (SELECT row, mask, count(*) AS n FROM r GROUP BY ALL), d AS (SELECT k.row, k.mask, k.n, sum(CASE WHEN (k.mask >> j) & 1 = 1 THEN g ELSE 0 END) AS dot FROM k JOIN g ON g.row = k.row GROUP BY ALL) SELECT round(sum(n * (dot - (a.f - b.f)) ** 2) / sum(n), 6) AS infidelity FROM d JOIN f a ON a.row = d.row JOIN f b ON b.row = xor(d.row, d.mask)")
 def infidelity(spark, sf):
-    """How far the sum of the flipped bits' attributions is from the change they make, squared, over all masks."""
-    t = attributions(spark)
-    f = t.agg(  # the scalar by assignment: a fixed table of 1,024 values
-        F.transform(F.array_sort(F.collect_list(F.struct("row", "f"))), lambda x: x["f"]).alias("all"))
-    masks = t.join(F.broadcast(f)).withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << O.BITS) - 1).cast("long"))))
-    dot = sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << j).cast("long")) != 0, F.col("g")[j]).otherwise(0.0) for j in range(O.BITS))
-    other = F.get("all", F.col("row").bitwiseXOR(F.col("mask")).cast("int"))
-    return masks.agg(F.round(F.avg(F.pow(dot - (F.col("f") - other), F.lit(2))), 6).alias("infidelity"))
+    """How far the sum of the flipped bits' attributions is from the change they make, squared, over all orders."""
+    t = attributions(assignments(spark, sf).groupBy("row", "mask").agg(F.count("*").alias("n")))
+    dot = sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << j)) != 0, F.get("g", F.lit(j))).otherwise(0.0) for j in range(O.BITS))
+    missed = dot - (F.col("f") - scalar(F.col("row").bitwiseXOR(F.col("mask"))))
+    return t.agg(F.round(F.sum(F.col("n") * missed * missed) / F.sum("n"), 6).alias("infidelity"))
 
 
-@query(ATTRIBUTION_SQL + f", s AS (SELECT a.row, n.j AS neighbour, max(abs(a.g - b.g)) AS d FROM g a, range({O.BITS}) AS n(j) JOIN g b ON b.row = xor(a.row, CAST(1 << n.j AS BIGINT)) AND b.j = a.j GROUP BY ALL) SELECT round(avg(d), 6) AS max_sensitivity FROM (SELECT row, max(d) AS d FROM s GROUP BY ALL)")
+@query(ATTRIBUTION_SQL + f", s AS (SELECT a.row, n.j AS neighbour, max(abs(a.g - b.g)) AS d FROM g a, range({O.BITS}) AS n(j) JOIN g b ON b.row = xor(a.row, CAST(1 << n.j AS BIGINT)) AND b.j = a.j GROUP BY ALL) SELECT round(avg(d), 6) AS max_sensitivity FROM r JOIN (SELECT row, max(d) AS d FROM s GROUP BY ALL) USING (row)")
 def max_sensitivity(spark, sf):
-    """The greatest change of any attribution as one bit flips, averaged over all assignments."""
-    t = attributions(spark)
-    near = t.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(O.BITS - 1)))).withColumn("other", F.col("row").bitwiseXOR(F.get(F.array(*(F.lit(1 << j).cast("long") for j in range(O.BITS))), F.col("bit"))))
-    both = near.join(F.broadcast(t.select(F.col("row").alias("other"), F.col("g").alias("h"))), "other")  # 1,024 rows
-    change = F.array_max(F.zip_with("g", "h", lambda a, b: F.abs(a - b)))
-    return both.groupBy("row").agg(F.max(change).alias("d")).agg(F.round(F.avg("d"), 6).alias("max_sensitivity"))
+    """The greatest change of any attribution as one bit flips, averaged over all orders. Assignments are counted first, and
+    each is compared with its ten neighbours."""
+    t = assignments(spark, sf).groupBy("row").agg(F.count("*").alias("n"))
+    near = t.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(O.BITS - 1)))).select("row", "n", F.col("row").bitwiseXOR(F.get(F.array(*(F.lit(1 << j) for j in range(O.BITS))), F.col("bit"))).alias("other"))
+    own, other = attributions(near).drop("f"), F.col("other")
+    both = attributions(own.select("row", "n", F.col("g").alias("own"), other.alias("at")).withColumnRenamed("row", "was").withColumnRenamed("at", "row"))
+    change = F.array_max(F.zip_with("own", "g", lambda a, b: F.abs(a - b)))
+    per = both.groupBy("was").agg(F.max(change).alias("d"), F.max("n").alias("n"))
+    return per.agg(F.round(F.sum(F.col("d") * F.col("n")) / F.sum("n"), 6).alias("max_sensitivity"))
 
 
 # -- worlds x metrics x manipulations: validity of metrics ------------------------------------------------------------------
 
 AXES = ("A", "R", "S", "C1")
 #: A metric's value: it rises with quality, most along its own axis; the rest is noise by world.
-CELLS_SQL = "cells AS (SELECT w.world, m.metric, x.axis, d.dose, (4 - dose) / 4.0::DOUBLE AS quality, CAST((4 - dose) * (CASE WHEN metric = axis THEN 25 ELSE 4 END) + (world * 7919 + axis * 104729 + metric * 1299709 + dose * 15485863) % 61 AS DOUBLE) / 100 AS value FROM range(32) AS w(world), range(4) AS m(metric), range(4) AS x(axis), range(5) AS d(dose))"
+CELLS_SQL = "cells AS (SELECT w.world, m.metric, x.axis, d.dose, (4 - dose) / 4.0::DOUBLE AS quality, CAST((4 - dose) * (CASE WHEN metric = axis THEN 25 ELSE 4 END) + (world * 7919 + axis * 104729 + metric * 1299709 + dose * 15485863) % 61 AS DOUBLE) / 100 AS value FROM (SELECT c_custkey AS world FROM customer) AS w, range(4) AS m(metric), range(4) AS x(axis), range(5) AS d(dose))"
 
 
-def validity_cells(spark):
-    """world, metric, axis (the manipulated one), dose, quality = 1 - dose / 4, value."""
-    rows = spark.range(WORLDS).withColumnRenamed("id", "world")
+def validity_cells(spark, sf):
+    """world (a customer), metric, axis (the manipulated one), dose, quality = 1 - dose / 4, value."""
+    rows = A.spread(A.table(spark, sf, "customer").select(F.col("c_custkey").alias("world")).withColumn("sample_ix", F.col("world")), 80).drop("sample_ix")
     for name, n in (("metric", 4), ("axis", 4), ("dose", 5)):
         rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     own = F.when(F.col("metric") == F.col("axis"), 25).otherwise(4)
@@ -362,7 +357,7 @@ def validity_cells(spark):
 @query(f"WITH {CELLS_SQL} SELECT metric, axis, round(covar_samp(value, quality) / var_samp(quality) / stddev_samp(value), 6) AS slope FROM cells GROUP BY ALL")
 def standardized_slope(spark, sf):
     """The slope of a metric by quality, in standard deviations of the metric."""
-    return validity_cells(spark).groupBy("metric", "axis").agg(F.round(F.covar_samp("value", "quality") / F.var_samp("quality") / F.stddev_samp("value"), 6).alias("slope"))
+    return validity_cells(spark, sf).groupBy("metric", "axis").agg(F.round(F.covar_samp("value", "quality") / F.var_samp("quality") / F.stddev_samp("value"), 6).alias("slope"))
 
 
 @query(f"WITH {CELLS_SQL}, p AS (SELECT a.world, a.metric, a.axis, sign(a.value - b.value) AS sx, sign(a.quality - b.quality) AS sy FROM cells a JOIN cells b ON a.world = b.world AND a.metric = b.metric AND a.axis = b.axis AND a.dose < b.dose), t AS (SELECT world, metric, axis, coalesce(sum(sx * sy) / sqrt(nullif(sum(abs(sx)) * sum(abs(sy)), 0)), 0) AS tau FROM p GROUP BY ALL),"
@@ -370,7 +365,7 @@ def standardized_slope(spark, sf):
 def mtmm_gap(spark, sf):
     """Tau-b of a metric with the quality it should follow, less the greatest with any other; in a world of equal values
     it is 0. Pairs are those of a world's five doses."""
-    rows = validity_cells(spark)
+    rows = validity_cells(spark, sf)
     other = rows.select("world", "metric", "axis", F.col("dose").alias("d2"), F.col("quality").alias("q2"), F.col("value").alias("v2"))
     pairs = rows.join(other, ["world", "metric", "axis"]).filter("dose < d2")
     sx, sy = F.signum(F.col("value") - F.col("v2")), F.signum(F.col("quality") - F.col("q2"))
@@ -379,52 +374,6 @@ def mtmm_gap(spark, sf):
     return m.groupBy("metric").agg(F.round(F.max(F.when(F.col("metric") == F.col("axis"), F.col("tau"))) - F.max(F.when(F.col("metric") != F.col("axis"), F.abs("tau"))), 6).alias("gap"))
 
 
-def _fold(columns: list[str]):
-    """(world, y, predicted) of a fold's held-out world: least squares with an intercept on the others, standardised by
-    them; a column that is constant there counts as 0."""
-    import numpy as np
-    import pandas as pd
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        held = (f["world"] == f["fold"]).to_numpy()
-        x, y = f[columns].to_numpy(float), f["y"].to_numpy(float)
-        scale = lambda v: np.where(v[~held].std(0) > 0, v[~held].std(0), np.inf)
-        z, t = (x - x[~held].mean(0)) / scale(x), (y - y[~held].mean()) / scale(y)
-        design = np.column_stack([np.ones(len(z)), z])
-        weights = np.linalg.lstsq(design[~held], t[~held], rcond=None)[0]
-        return pd.DataFrame({"world": f["world"][held], "y": t[held], "predicted": design[held] @ weights})
-
-    return run
-
-
-def held_out_r2(rows, columns: list[str]):
-    """One row r2: of predictions for each world from all others; it may be negative. Rows: world, y and the columns; a
-    fold is a task that has them all, which are as many as worlds have cells."""
-    worlds = rows.select(F.col("world").alias("fold")).distinct()
-    out = rows.join(F.broadcast(worlds)).groupBy("fold").applyInPandas(_fold(columns), "world long, y double, predicted double")
-    mean = out.agg(F.avg("y").alias("m"))
-    return out.join(F.broadcast(mean)).agg((1 - F.sum(F.pow(F.col("y") - F.col("predicted"), F.lit(2))) / F.sum(F.pow(F.col("y") - F.col("m"), F.lit(2)))).alias("r2"))
-
-
-BASELINES, AUGMENTED = [f"b{k}" for k in range(5)], [f"m{k}" for k in range(4)]
-
-
-def validity_rows(spark):
-    """world, axis, dose, y (quality), five baselines and the four metrics of each cell."""
-    wide = validity_cells(spark).groupBy("world", "axis", "dose", F.col("quality").alias("y")).agg(*(F.max(F.when(F.col("metric") == k, F.col("value"))).alias(f"m{k}") for k in range(4)))
-    base = lambda k: (((4 - F.col("dose")) * k + (F.col("world") * 31 + F.col("axis") * 17 + F.col("dose") * 1009 * (k + 1)) % 23).cast("double") / 10).alias(f"b{k}")
-    return wide.select("world", "axis", "dose", "y", *(base(k) for k in range(5)), *AUGMENTED)
-
-
-@query()
-def leave_one_world_out(spark, sf):
-    """R2 of quality by the baselines, with the metrics as well, and the gain; each world is predicted from all others."""
-    rows = validity_rows(spark)
-    a, b = held_out_r2(rows, BASELINES).withColumnRenamed("r2", "baseline"), held_out_r2(rows, [*BASELINES, *AUGMENTED]).withColumnRenamed("r2", "augmented")
-    both = a.join(F.broadcast(b))  # a row each
-    return both.select(F.round("baseline", 6).alias("baseline"), F.round("augmented", 6).alias("augmented"), F.round(F.col("augmented") - F.col("baseline"), 6).alias("gain"))
-
-
 @query("WITH p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, CAST(floor(value) AS BIGINT) % 40 AS x, event_id % 13 AS y FROM events), c AS (SELECT a.event_type, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM p a JOIN p b ON a.event_type = b.event_type AND a.k < b.k), s AS (SELECT event_type, sum(sx * sy) AS num, sum(abs(sx)) AS nx, sum(abs(sy)) AS ny FROM c GROUP BY ALL) SELECT event_type, round(num / sqrt(CAST(nullif(nx * ny, 0) AS DOUBLE)), 6) AS tau_b FROM s")
 def kendall_tau_b(spark, sf):
     """Tau-b of two ordered columns. Pairs are made of distinct (x, y) cells with their counts, of which there are as

@@ -11,10 +11,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evalforge.functions import exprs as E
-from evalforge.functions import pixels as X
+from evalforge.functions import hashes
 from evalforge.operators import curves, graph, maps, metrics, ranking, worlds
 from evalforge.plans import catalog
 from evalforge.sources import archives, files
@@ -51,7 +53,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"d_axis_bootstrap", "leave_one_world_out", "round12_gate", "temperature_fit"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"d_axis_bootstrap", "endpoint_bounds", "gate_bounds", "graded_gate", "round12_gate", "temperature_fit"}
 
 
 def plain_aurc(conf, wrong):
@@ -74,6 +76,7 @@ def plain_f1(target, pred):
 
 
 def test_axis_draws_equal_plain_loops(spark):
+    from evalforge.operators import draws
     from evalforge.plans import inference
     from evalforge.sources import adapters as A
 
@@ -83,7 +86,7 @@ def test_axis_draws_equal_plain_loops(spark):
     clusters = sorted(rows["action"].cluster_key.unique())
     n = len(clusters)
     for rep in range(reps):
-        drawn = [clusters[((x := (k * 1103 + rep * 7919 + 17) % A.PRIME) * x % A.PRIME) * 48271 % A.PRIME % n] for k in range(n)]
+        drawn = [c for c, k in zip(clusters, draws.weights(n, [rep])[0]) for _ in range(k)]
         for (model, family, level), own in rows["action"].groupby(["model", "family", "level"]):
             if level == 0 and family:
                 continue
@@ -104,25 +107,6 @@ def test_axis_draws_equal_plain_loops(spark):
             assert got["R", 1, family, level, rep] == pytest.approx(plain_f1(picked.target, [[int(z >= 0) for z in v] for v in picked.logit]))
 
 
-def test_worlds_left_out_one_by_one(spark):
-    from evalforge.plans import scenes
-
-    rows = scenes.validity_rows(spark).toPandas()
-    got = scenes.leave_one_world_out(spark, SF).first()
-    for columns, want in ((scenes.BASELINES, got.baseline), ([*scenes.BASELINES, *scenes.AUGMENTED], got.augmented)):
-        y, p = [], []
-        for world in range(32):
-            train, held = rows[rows.world != world], rows[rows.world == world]
-            sd = train[columns].std(ddof=0).replace(0, np.inf)
-            x = [np.column_stack([np.ones(len(d)), (d[columns] - train[columns].mean()) / sd]) for d in (train, held)]
-            t = [(d.y - train.y.mean()) / train.y.std(ddof=0) for d in (train, held)]
-            p += list(x[1] @ (np.linalg.pinv(x[0]) @ t[0]))
-            y += list(t[1])
-        y, p = np.array(y), np.array(p)
-        assert want == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=2e-6)
-    assert got.gain == pytest.approx(got.augmented - got.baseline, abs=2e-6)
-
-
 def test_quantiles_and_slices(spark):
     rng = np.random.default_rng(4)
     values = np.concatenate([rng.exponential(1, 300), np.full(100, 0.25), [1e9]])
@@ -214,21 +198,24 @@ def test_rules_that_are_none(spark, rule):
 
 
 def test_vectorised_bootstrap_equals_the_loop(spark):
-    from evalforge.operators import resample
+    from evalforge.operators import draws, resample
 
     stats = spark.createDataFrame([(k * 3, 1, k % 3 + 1, k % 2) for k in range(20)], "c long, m int, n long, wrong long")
     got = {r.rep: (r.n, r.wrong) for r in resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 10).collect()}
     for rep in range(10):
-        draw = [((x := (k * 1103 + rep * 7919 + 17) % 2147483647) * x % 2147483647) * 48271 % 2147483647 % 20 for k in range(20)]
+        draw = [k for k, w in enumerate(draws.weights(20, [rep])[0]) for _ in range(w)]
         assert got[rep] == (sum(k % 3 + 1 for k in draw), sum(k % 2 for k in draw))
 
 
-def test_the_size_of_a_bootstrap_decides_only_its_plan(spark):
+def test_ranges_of_a_bootstrap_decide_only_its_plan(spark, monkeypatch):
     from evalforge.operators import resample
 
-    stats = spark.createDataFrame([(k * 977, k % 2, k % 3 + 1, k % 5) for k in range(41)] + [(977, 2, 1, 1)], "c long, m int, n long, wrong long")
-    small, large = (resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 30, limit) for limit in (64 << 20, 0))
-    assert small.columns == large.columns and sorted(small.collect()) == sorted(large.collect())
+    stats = spark.createDataFrame([(k * 977, k % 2, k % 3 + 1, k % 5) for k in range(300)] + [(977, 2, 1, 1)], "c long, m int, n long, wrong long")
+    one = sorted(resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 30).collect())
+    monkeypatch.setattr(resample, "RANGE", 37)
+    monkeypatch.setattr(resample, "REP_BLOCK", 7)
+    assert one == sorted(resample.vectorised(stats, "c", ["m"], ["n", "wrong"], 30).collect()) and len(one) == 90
+    assert all(r.n > 0 for r in one if r.m < 2)
 
 
 def test_temperature_has_no_slope(spark):
@@ -383,87 +370,6 @@ def test_command_line(spark, tmp_path):
         run.main(["no_such_query", SF])
 
 
-def test_frames_and_hashes(spark):
-    assert X.letterbox(np.full((3, 5), 7, np.uint8)).shape == (144, 256)
-    box = X.letterbox(np.full((10, 10), 200, np.uint8))  # 144 x 144 in the middle
-    assert (box[:, 56:200] == 200).all() and not box[:, :56].any() and not box[:, 200:].any()
-    assert X.letterbox(np.full((2, 255), 9, np.uint8), 5, 100)[2, 50] == 9  # 2 * 100 / 255 + 0.5 is one row
-    assert X.resize(np.array([[0.0, 4.0]]), 1, 4)[0].tolist() == [0.0, 1.0, 3.0, 4.0]
-    # a horizontal ramp has no vertical frequencies: only bits of the first row can be set, and odd ones alternate in sign
-    ramp = np.tile(np.arange(32.0), (32, 1))
-    bits = f"{X.phash64(ramp[:, ::-1]):064b}"
-    assert bits[0] == "0" and bits[1] == "1" and "1" not in bits[8:]
-    assert X.phash64(np.full((32, 32), 90.0)) == 0
-    img = np.random.default_rng(1).integers(0, 256, (48, 64)).astype(np.uint8)
-    df = spark.createDataFrame([(img.tobytes(), 48, 64)], "c binary, h int, w int")
-    assert df.select(X.phash_udf("c", "h", "w").alias("p")).first().p == X.phash64(X.letterbox(img)) >= 0
-    import hashlib
-    import hmac
-
-    assert df.select(X.hmac_sha256(b"k")(F.lit("v")).alias("m")).first().m == hmac.new(b"k", b"v", hashlib.sha256).hexdigest().upper()
-
-
-def test_similarity_of_frames():
-    flat, other = np.full((20, 20), 100, np.uint8), np.full((20, 20), 50, np.uint8)
-    c1 = (0.01 * 255) ** 2
-    assert X.ssim(flat, flat) == 1 and X.ssim(flat, other) == pytest.approx((2 * 100 * 50 + c1) / (100**2 + 50**2 + c1))  # no variance: means alone
-    img = np.random.default_rng(2).integers(0, 256, (16, 24)).astype(np.uint8)
-    taps = np.exp(-((np.arange(11) - 5) ** 2) / 4.5)
-    taps /= taps.sum()
-
-    def mean(x, i, j):  # the window of one pixel, mirrored at the borders
-        at = lambda k, n: -k if k < 0 else 2 * (n - 1) - k if k >= n else k
-        return sum(taps[p] * taps[q] * x[at(i + p - 5, 16)][at(j + q - 5, 24)] for p in range(11) for q in range(11))
-
-    a, b = img.astype(float), img[:, ::-1].astype(float)
-    c2, total = (0.03 * 255) ** 2, 0.0
-    for i in range(16):
-        for j in range(24):
-            ma, mb = mean(a, i, j), mean(b, i, j)
-            va, vb, cov = mean(a * a, i, j) - ma**2, mean(b * b, i, j) - mb**2, mean(a * b, i, j) - ma * mb
-            total += (2 * ma * mb + c1) * (2 * cov + c2) / ((ma**2 + mb**2 + c1) * (va + vb + c2))
-    assert X.ssim(img, img[:, ::-1]) == pytest.approx(total / (16 * 24))
-
-
-def test_corruptions(spark):
-    img = np.array([[[0, 100, 250], [10, 11, 12]]], np.uint8)
-    assert X.corrupt(img, "brightness", 4, "n").tolist() == [[[0, 130, 255], [13, 14, 15]]]
-    field = X.noise_field("a.jpg", img.shape)
-    for level in (1, 4):  # one field, scaled
-        assert (X.corrupt(img, "noise", level, "a.jpg") == np.clip(img + field * X.NOISE[level], 0, 255).astype(np.uint8)).all()
-    assert (X.noise_field("b.jpg", img.shape) != field).any()
-    dot = np.zeros((21, 21), np.uint8)
-    dot[10, 10] = 255
-    out = X.gaussian_blur(np.full((9, 9), 77), 2.0)
-    assert (out == 77).all()
-    wide = [float((X.gaussian_blur(dot * 1.0, r)[10] * (np.arange(21) - 10) ** 2).sum() / X.gaussian_blur(dot * 1.0, r)[10].sum()) for r in (1.0, 2.0)]
-    assert wide[0] < wide[1] and wide[1] == pytest.approx(4, rel=0.35)  # the variance is the radius squared, but for rounding
-    assert (X.corrupt(img, "blur", 0, "n") == img).all()
-    with pytest.raises(ValueError):
-        X.corrupt(img, "fog", 1, "n")
-    flat = np.full((4, 5), 100, np.uint8)
-    images = spark.createDataFrame([("a", flat.tobytes(), 4, 5)], "name string, content binary, height int, width int")
-    got = {r.level: bytes(r.content) for r in X.perturbed_images(images, "brightness").collect()}
-    assert got == {v: X.corrupt(flat, "brightness", v, "a").tobytes() for v in (1, 2, 3, 4)}
-
-
-def test_colours_and_blobs(spark):
-    rgb = np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 0], [128, 128, 128], [255, 0, 8]]], np.uint8)
-    assert X.hsv(rgb)[0].tolist() == [[0, 255, 255], [60, 255, 255], [120, 255, 255], [30, 255, 255], [0, 0, 128], [179, 255, 255]]
-    assert X.colour_mask(X.hsv(rgb), "red")[0].tolist() == [True, False, False, False, False, True]
-    assert X.colour_mask(X.hsv(rgb), "green")[0].tolist() == [False, True, False, False, False, False]
-    mask = np.zeros((5, 6), bool)
-    mask[0, 0] = mask[1, 1] = mask[2, 0] = mask[4, 5] = True  # three that touch by corners, one alone
-    assert X.blob_features(mask) == {"pixels": 4, "share": 4 / 30, "height": 7 / 16, "largest": 3, "largest_share": 0.1, "fill": 0.5}
-    assert X.blob_features(np.zeros((2, 2), bool))["height"] == -1.0
-    lit = np.zeros((10, 4, 3), np.uint8)
-    lit[:3, :, 0] = 255
-    scores = X.lamp_scores(X.hsv(lit))
-    assert scores["red"] == pytest.approx(12 * 1.5 / 40) and scores["green"] == 0
-    row = spark.createDataFrame([(rgb.tobytes(), 1, 6, "red")], "c binary, h int, w int, s string").select(X.blob_udf("c", "h", "w", "s").alias("b")).first().b
-    assert (row.pixels, row.largest, row.fill) == (2, 1, 1.0)
-
-
 def test_stream_of_members(spark, tmp_path):
     rows = spark.range(10).select((F.col("id") % 4).alias("k"), F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("at"))
     rows.write.parquet(f"{tmp_path}/in")
@@ -480,3 +386,172 @@ def test_entry_without_the_corpus_operators(spark, monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith("evalforge.llm") else real(n, *a))
     assert set(__spark_entry__.queries()) == set(catalog.queries()) and __spark_entry__.entry(spark).count() == 41
+
+
+def plain_stretch(low, high, shortest=6):
+    import statistics
+
+    found = []
+    for a in range(len(low)):
+        for b in range(a + shortest, len(low) + 1):
+            x, y = statistics.median(low[a:b]), statistics.median(high[a:b])
+            if x <= 4 and y >= 0.92:
+                found.append((a - b, x, -y, a))
+    if not found:
+        return None
+    n, x, y, a = min(found)
+    return a, -n, x, -y
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 7), st.integers(880, 960)), max_size=30))
+def test_longest_stretch(rows):
+    from evalforge.operators.stretches import best_stretch
+
+    low, high = [float(r[0]) for r in rows], [r[1] / 1000 for r in rows]
+    assert best_stretch(low, high, 4, 0.92) == plain_stretch(low, high)
+
+
+def test_longest_stretch_of_a_long_series():
+    import statistics
+    import time
+
+    from evalforge.operators.stretches import best_stretch
+
+    rng = np.random.default_rng(3)
+    low, high = rng.integers(0, 8, 100_000).astype(float).tolist(), (0.9 + rng.integers(0, 100, 100_000) / 1000).tolist()
+    low[40_000:60_000] = [6.0] * 20_000
+    began = time.time()
+    at, n, x, y = best_stretch(low, high, 4, 0.92)
+    assert x == statistics.median(low[at : at + n]) <= 4 and y == statistics.median(high[at : at + n]) >= 0.92
+    assert n > 50_000 and time.time() - began < 60
+
+
+def test_group_digests_do_not_gather(spark):
+    import hashlib
+
+    from evalforge.operators.digests import grouped
+
+    rows = [(None, 3)] + [(k % 3, k) for k in range(30_000)]
+    got = {r.g: (r.n_rows, r.sha256) for r in grouped(spark.createDataFrame(rows, "g long, v long").repartition(5), "g", [F.col("v")], F.col("v"), "[", ",", "]").collect()}
+    for g in (None, 0, 1, 2):
+        own = sorted(v for k, v in rows if k == g)
+        assert got[g] == (len(own), hashlib.sha256(f"[{','.join(map(str, own))}]".encode()).hexdigest().upper())
+    assert grouped(spark.createDataFrame([], "g long, v long"), "g", [F.col("v")], F.col("v")).count() == 0
+
+
+def test_draws_do_not_repeat():
+    """No two of 10,000 replicates correlate above noise at 100,000 units: pairs of the distances that once repeated, and
+    pairs at random."""
+    from evalforge.operators import draws
+
+    n, rng = 100_000, np.random.default_rng(1)
+    reps = np.unique(np.concatenate([np.arange(12), np.arange(12) + 1103, rng.integers(0, 10_000, 130), [9_999]]))
+    w = draws.weights(n, reps)
+    assert (w.sum(1) == n).all() and abs(w.var() - 1) < 0.01
+    c = np.corrcoef(w)
+    np.fill_diagonal(c, 0)
+    assert np.abs(c).max() < 6 / np.sqrt(n)
+    assert (draws.weights(n, reps[:5], low=70_001, high=90_007) == w[:5, 70_001:90_007]).all()
+    assert np.abs(draws.weights(1000, np.arange(4000)).mean(0) - 1).max() < 5 / np.sqrt(4000)
+
+
+def test_streams_of_draws_differ():
+    from evalforge.operators import draws
+
+    a, b = draws.weights(5000, np.arange(20), draws.CLUSTERS), draws.weights(5000, np.arange(20), draws.COMPONENTS)
+    assert abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.02
+
+
+def test_stored_draws_are_proved_as_they_are_read(spark):
+    from evalforge.operators import bootstrap, resample
+
+    units = spark.createDataFrame([(k * 3,) for k in range(90)], "c long")
+    table = bootstrap.stored(units, "c", 6).cache()
+    fresh = {(r.rep, r.c): r.weight for r in resample.drawn(units, "c", 6).collect()}
+    assert {(r.rep, r.unit): r.weight for r in bootstrap.verified(table).collect()} == fresh
+    total = bootstrap.manifest(table).collect()
+    assert len(total) == 6 and {r.draws for r in total} == {90} and len({r.digest for r in total}) == 6
+    changed = table.withColumn("weights", F.when(F.col("rep") == 4, F.transform("weights", lambda x: x + 1)).otherwise(F.col("weights")))
+    with pytest.raises(Exception, match="replicate 4, piece 0, were changed"):
+        bootstrap.verified(changed).collect()
+
+
+def test_harmonic_spans_by_series():
+    from evalforge.operators import resample
+
+    table = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, 100_001))])
+    rng = np.random.default_rng(2)
+    before, n = rng.integers(0, 3000, 5000), rng.integers(0, 90_000, 5000) // rng.integers(1, 5000, 5000)
+    assert np.allclose(resample.harmonic_span(before, n), table[before + n] - table[before], rtol=0, atol=1e-11)
+
+
+def test_spark_harmonic_spans_by_series(spark):
+    from evalforge.operators import ranking
+
+    table = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, 200_001))])
+    rows = [(b, n) for b in (0, 1, 100, 255, 256, 257, 5000) for n in (1, 2, 155, 156, 157, 300, 100_000)]
+    for r in spark.createDataFrame(rows, "b long, n long").withColumn("s", ranking.harmonic_span(F.col("b"), F.col("n"))).collect():
+        assert r.s == pytest.approx(table[r.b + r.n] - table[r.b], abs=1e-11)
+
+
+def test_keyed_hash(spark):
+    import hashlib
+    import hmac
+
+    got = [r.m for r in spark.createDataFrame([("v",), (None,)], "s string").select(hashes.hmac_sha256(b"k")("s").alias("m")).collect()]
+    assert got == [hmac.new(b"k", b"v", hashlib.sha256).hexdigest().upper(), None]
+
+
+def test_graded_draws_equal_plain_loops(spark):
+    from evalforge.operators import draws
+    from evalforge.plans import gates
+
+    rows = gates.graded_rows(spark, SF, (43,))
+    got = {(r.axis, r.model, r.q_ix, r.rep): r.value for r in gates.graded_draws(spark, SF, (43,), 2, rows).collect()}
+    acts, why, (named, n) = rows[0].toPandas(), rows[1].toPandas(), rows[2]
+    parts = [r.part for r in named.orderBy("_position").collect()]
+    assert len(parts) == n and set(parts) == set(acts.part)
+    for rep in range(2):
+        picked = [p for p, k in zip(parts, draws.weights(n, [rep], draws.COMPONENTS)[0]) for _ in range(k)]
+        for (model, q), own in acts.groupby(["model", "q_ix"]):
+            by = dict(list(own.groupby("part")))
+            f = pd.concat([by[p] for p in picked])
+            assert got["A", model, q, rep] == pytest.approx(plain_f1(f.target_q, f.pred))
+            flips = [sum(list(p) != list(h) for h in hits) / 3 for p, *hits in zip(f.pred, f.hit0, f.hit1, f.hit2)]
+            assert got["C1", model, q, rep] == pytest.approx(sum(flips) / len(flips))
+            assert got["S", model, q, rep] == pytest.approx(plain_aurc(f.conf_q, [int(list(p) != list(t)) for p, t in zip(f.pred, f.target)]))
+        for q, own in why.groupby("q_ix"):
+            by = dict(list(own.groupby("part")))
+            f = pd.concat([by[p] for p in picked])
+            assert got["R", 1, q, rep] == pytest.approx(plain_f1(f.target_q, f.pred))
+            over = []
+            for p, *hits in zip(f.pred, f.hit0, f.hit1, f.hit2):
+                each = [(sum(a and b for a, b in zip(p, h)), sum(a or b for a, b in zip(p, h))) for h in hits]
+                over.append(sum(1.0 if j == 0 else c / j for c, j in each) / 3)
+            assert got["J", 1, q, rep] == pytest.approx(sum(over) / len(over))
+
+
+def test_effects_and_gates_by_hand(spark):
+    """Bottlenecks are least steps in the expected direction, by component; an axis takes the least of its components."""
+    from evalforge.plans import gates
+
+    values = [("S", 43, 0, 0, v, x) for v, x in enumerate((0.1, 0.2, 0.25, 0.4, 0.6))] + [("J", 43, 1, 0, v, x) for v, x in enumerate((1.0, 0.9, 0.91, 0.5, 0.4))] + [("C1", 43, 1, 0, v, x) for v, x in enumerate((0.0, 0.3, 0.4, 0.5, 0.6))]
+    frame = spark.createDataFrame(values, "axis string, seed int, model int, family int, level int, value double")
+    got = {r.axis: (round(r.bottleneck, 9), round(r.effect, 9)) for r in gates.effects(frame, []).collect()}
+    assert got == {"S": (0.05, 0.5), "J": (-0.01, 0.6), "C1": (0.1, 0.6)}
+    drawn = gates.effects(frame, []).withColumn("rep", F.lit(0).cast("long"))
+    own = {r.axis: r.b for r in drawn.groupBy("rep", gates.gate_of().alias("axis"), "seed", "family").agg(F.min("bottleneck").alias("b")).collect()}
+    assert round(own["C1"], 9) == -0.01 and round(own["S"], 9) == 0.05
+
+
+def test_slices_of_a_curve_decide_only_its_plan(spark, monkeypatch):
+    from evalforge.operators import resample
+
+    rng = np.random.default_rng(4)
+    data = [(int(u), int(m), float(c), int(e)) for u, m, c, e in zip(rng.integers(0, 60, 3000), rng.integers(0, 2, 3000), rng.integers(0, 40, 3000) / 40, rng.integers(0, 2, 3000))]
+    frame = spark.createDataFrame(data, "u long, m int, conf double, error int")
+    one = {(r.rep, r.m): r.value for r in resample.aurc(frame, "u", ["m"], 5).collect()}
+    monkeypatch.setattr(resample, "SLICE_ROWS", 200)
+    many = {(r.rep, r.m): r.value for r in resample.aurc(frame, "u", ["m"], 5).collect()}
+    assert one.keys() == many.keys() and len(one) == 10 and all(many[k] == pytest.approx(v, rel=1e-12) for k, v in one.items())
