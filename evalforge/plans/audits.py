@@ -9,6 +9,7 @@ from ..operators import audit as Q
 from ..operators import ranking as R
 from ..operators.digests import grouped
 from ..sources import adapters as A
+from ..streaming.inventory import inventory_counts
 from .registry import query
 
 # orders stand for images, lineitem for annotations: digit 5 has no action label, quantities stand for label counts
@@ -296,3 +297,13 @@ def gate_verdict(spark, sf):
 def hash_manifest_check(spark, sf):
     rows = A.table(spark, sf, "orders").select((F.col("o_orderkey") % 64).alias("shard"), "o_orderkey")
     return grouped(rows, "shard", [F.col("o_orderkey")], F.col("o_orderkey"))
+
+
+@query("""WITH m AS (SELECT coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS archive, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS member FROM pages), k AS (SELECT archive, member, lower(member) AS folded, count(*) AS n FROM m GROUP BY ALL), f AS (SELECT archive, folded, count(*) AS names, sum(n) AS n FROM k GROUP BY ALL)
+  SELECT archive, count(*) AS n_new, CAST(sum(n - names) AS BIGINT) AS n_duplicate, CAST(sum(names - 1) AS BIGINT) AS n_collision FROM f GROUP BY ALL""")
+def member_inventory(spark, sf):
+    """Of each host's pages how many paths are new, repeated, or differ from another in case alone; a stream with state gives
+    the same counts (`inventory.inventory`)."""
+    part = lambda p: F.regexp_extract("url", p, 1)
+    rows = A.table(spark, sf, "pages").select(part("://([^/?#]*)").alias("host"), part("://[^/?#]*([^?#]*)").alias("path"))
+    return inventory_counts(rows, "host", "path")

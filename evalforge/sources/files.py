@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import cut
+
 MANIFEST = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("actions", T.ArrayType(T.IntegerType())), T.StructField("rationales", T.ArrayType(T.IntegerType()))])
 
 
@@ -63,6 +65,29 @@ def segments(files: DataFrame, most: int) -> DataFrame:
     return rows.select("path", F.col("ix").cast("long").alias("ix"), F.when(F.length(whole) <= most, whole).otherwise(long).alias("line"), complete.alias("complete")).filter("complete or length(line) > 0")
 
 
+#: Blocks of files up to which their places are broadcast; of more, lines are joined with them by shuffle.
+BLOCKS = 100_000
+
+
+def lines(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """(path, ix, line, complete) of files of any size: lines as bytes without their newline, numbered from 0; what stands after
+    a file's last newline is a line that isn't complete. A line of more than `most` bytes fails the job.
+
+    Files are read in byte ranges by many tasks, each of which reads on to the end of a line that starts in its range. A range's
+    first number is the sum of the lines of those before it, a row a range. Whether the last line is complete is seen from the
+    bytes: lines and newlines add up to the file's size or to one more. A UTF-8 byte order mark at the start is left out."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("line"))
+    blocks = raw.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size"))
+    order, whole = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("path")
+    blocks = cut(blocks.select("path", "start", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("all"), (F.col("size") - F.sum("bytes").over(whole)).alias("left")))
+    held = F.broadcast(blocks) if blocks.count() <= BLOCKS else blocks
+    rows = raw.drop("size").join(held, ["path", "start"]).withColumn("ix", F.col("base") + F.col("id") - F.col("first"))
+    long = F.raise_error(F.concat(F.lit("a line is too long: "), "path")).cast("binary")
+    complete = (F.col("ix") < F.col("all") - 1) | F.col("left").isin(0, 3)
+    return rows.select("path", "ix", F.when(F.octet_length("line") <= most, F.col("line")).otherwise(long).alias("line"), complete.alias("complete"))
+
+
 def images(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """manifest (file_name, ...) with content: the bytes of each named file of the folder; null where there is none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), "content")

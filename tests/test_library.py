@@ -555,3 +555,48 @@ def test_slices_of_a_curve_decide_only_its_plan(spark, monkeypatch):
     monkeypatch.setattr(resample, "SLICE_ROWS", 200)
     many = {(r.rep, r.m): r.value for r in resample.aurc(frame, "u", ["m"], 5).collect()}
     assert one.keys() == many.keys() and len(one) == 10 and all(many[k] == pytest.approx(v, rel=1e-12) for k, v in one.items())
+
+
+def test_lines_of_files_larger_than_a_range(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    bodies = {"a.txt": b"".join(bytes(rng.integers(32, 255, rng.integers(0, 300)).astype(np.uint8)) + b"\n" for _ in range(3000)), "b.txt": b"one\ntwo\n\nlast\r", "c.txt": b"", "d.txt": b"\n", "e.txt": b"whole\n", "f.txt": "\ufeffx\ny".encode()}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        table = files.lines(spark, str(tmp_path / "*.txt"), 400)
+        assert table.rdd.getNumPartitions() > 10
+        got = {}
+        for r in table.collect():
+            got.setdefault(r.path.rsplit("/", 1)[1], {})[r.ix] = (bytes(r.line), r.complete)
+        for name, body in bodies.items():
+            parts = body.removeprefix(b"\xef\xbb\xbf").split(b"\n")
+            want = {k: (p, k < len(parts) - 1) for k, p in enumerate(parts) if k < len(parts) - 1 or p}
+            assert got.get(name, {}) == want, name
+        with pytest.raises(Exception, match="too long"):
+            files.lines(spark, str(tmp_path / "a.txt"), 100).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_stream_with_state_equals_the_batch(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path"))
+    few = pages.withColumn("path", F.when(F.col("path").endswith("1"), F.upper("path")).otherwise(F.substring("path", 1, 4)))
+    few.repartition(6).write.parquet(str(tmp_path / "in"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = inventory.stream(spark, str(tmp_path / "in"), few.schema, 2)
+        inventory.write_once(inventory.inventory(rows, "host", "path"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+        out = spark.read.parquet(str(tmp_path / "out"))
+        assert out.select("batch").distinct().count() > 1
+        got = {r.archive: (r.new, r.duplicate, r.collision) for r in out.groupBy("archive").pivot("kind", ["new", "duplicate", "collision"]).count().fillna(0).collect()}
+        want = {r.archive: (r.n_new, r.n_duplicate, r.n_collision) for r in inventory.inventory_counts(few, "host", "path").collect()}
+        assert got == want and any(v[1] for v in want.values())
+        most = max(v[0] + v[2] for v in want.values())
+        with pytest.raises(Exception, match="more than"):
+            inventory.write_once(inventory.inventory(rows, "host", "path", most - 1), str(tmp_path / "no"), str(tmp_path / "nomark")).awaitTermination()
+    finally:
+        spark.conf.set(provider, old)
