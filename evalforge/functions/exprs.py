@@ -16,8 +16,11 @@ def probabilities(logits: Column, temperature: float = 1.0) -> Column:
     return F.transform(logits, lambda z: sigmoid(z, temperature))
 
 
-def hard(logits: Column, threshold: float = 0.0) -> Column:
-    """1 where a logit (or probability) reaches the threshold."""
+def hard(logits: Column, threshold: float = 0.0, labels: int | None = None) -> Column:
+    """1 where a logit (or probability) reaches the threshold. With the number of labels, a few of them, the expression is spelled
+    out and compiled; a lambda isn't."""
+    if labels is not None:
+        return F.array(*((F.get(logits, F.lit(c)) >= threshold).cast("int") for c in range(labels)))
     return F.transform(logits, lambda z: (z >= threshold).cast("int"))
 
 
@@ -30,8 +33,8 @@ def mismatches(a: Column, b: Column) -> Column:
 
 
 def any_mismatch(a: Column, b: Column) -> Column:
-    """1 if any label differs."""
-    return (mismatches(a, b) > 0).cast("int")
+    """1 if any label differs: arrays of as many labels are compared as a whole, which is compiled."""
+    return (a != b).cast("int")
 
 
 def state_probability(p: Column, predicted: Column) -> Column:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 
 
-def predicted(df: DataFrame, threshold: float = 0.0) -> DataFrame:
-    return df.withColumn("pred", E.hard(F.col("logit"), threshold))
+def predicted(df: DataFrame, threshold: float = 0.0, labels: int | None = None) -> DataFrame:
+    return df.withColumn("pred", E.hard(F.col("logit"), threshold, labels))
 
 
 def confusion(df: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:

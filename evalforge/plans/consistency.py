@@ -24,7 +24,13 @@ SEEDS = A.SEEDS
 def perturbed(spark, sf, head="action", seeds=(43,), levels=A.LEVELS, models=A.MODELS) -> DataFrame:
     """Perturbed rows with pred and, as `clean`, the clean prediction of the same seed, model and sample."""
     rows = A.actions(spark, sf, seeds=seeds, models=models, families=A.FAMILIES, levels=[v for v in levels if v], head=head, clean=True)
-    return M.predicted(rows).withColumn("clean", E.hard(F.col("clean_logit")))
+    return compared(rows, head)
+
+
+def compared(rows: DataFrame, head: str = "action") -> DataFrame:
+    """rows with pred and clean, of logit and clean_logit."""
+    labels = A.ACTIONS if head == "action" else None  # the few labels are compiled
+    return M.predicted(rows, labels=labels).withColumn("clean", E.hard(F.col("clean_logit"), labels=labels))
 
 
 def pairs_sql(head="action", seeds=(43,), levels=A.LEVELS, name="pred", models=A.MODELS) -> str:
@@ -37,7 +43,7 @@ def pairs_sql(head="action", seeds=(43,), levels=A.LEVELS, name="pred", models=A
 @query(S.with_(S.SAMPLES, pairs_sql()) + "SELECT seed, model, family, level, round(avg(flip), 6) AS flip_rate FROM pred_pair GROUP BY ALL")
 def action_flip_rate(spark, sf):
     """As stored predictions have it: clean rows and perturbed ones are tables, paired by a join."""
-    rows = M.predicted(A.actions(spark, sf, families=A.FAMILIES, levels=A.LEVELS))
+    rows = M.predicted(A.actions(spark, sf, families=A.FAMILIES, levels=A.LEVELS), labels=A.ACTIONS)
     return C.flips(C.against_clean(rows, KEYS), CELL).withColumn("flip_rate", E.r6(F.col("flip_rate")))
 
 
@@ -90,7 +96,7 @@ def bundle(spark, sf, seeds=(43,)) -> DataFrame:
     hot, model = A.actions(spark, sf, seeds=seeds), f"element_at(array{MODELS}, model + 1)"
     kind = f"element_at(array{KINDS}, family + 1)"
     top = F.array_max("logit")
-    rows = M.predicted(hot).withColumn("error", E.any_mismatch(F.col("pred"), F.col("target")))
+    rows = M.predicted(hot, labels=A.ACTIONS).withColumn("error", E.any_mismatch(F.col("pred"), F.col("target")))
     risks = rows.select(*KEYS, "sample_ix", "error", E.sigmoid(top).alias("raw"), E.sigmoid(top / F.element_at(F.array(*map(F.lit, TEMPERATURES)), F.col("model") + 1)).alias("conf"))
     risks = cut(risks)  # read three times: risk curve, two calibrations
     counts = cut(M.confusion(rows, KEYS))
@@ -197,7 +203,7 @@ CONTRAST_SQL = (
 def contrast_draws(spark, sf) -> DataFrame:
     """contrast, rep, v: the models' differences, averaged over each replicate's five drawn seeds, each with clusters of
     its own draw."""
-    rows = M.predicted(A.actions(spark, sf, seeds=SEEDS))
+    rows = M.predicted(A.actions(spark, sf, seeds=SEEDS), labels=A.ACTIONS)
     is_ = lambda c, t, p: F.sum(((F.get("target", F.lit(c)) == t) & (F.get("pred", F.lit(c)) == p)).cast("long"))
     sums = [is_(c, t, p).alias(f"{k}{c}") for k, t, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0)) for c in range(A.ACTIONS)]
     flip = E.any_mismatch(F.col("pred"), F.col("clean"))
@@ -287,7 +293,7 @@ def curve_dominance(spark, sf):
 def dose(spark, sf, seeds=SEEDS) -> DataFrame:
     """seed, model, family, level, error_rate and flip_rate at all levels; flips are 0 at the clean one. A row a cell, made
     in one pass and written, as all that follow read it several times."""
-    rows = M.predicted(A.actions(spark, sf, seeds=seeds, families=A.FAMILIES, levels=A.LEVELS, clean=True)).withColumn("clean", E.hard(F.col("clean_logit")))
+    rows = compared(A.actions(spark, sf, seeds=seeds, families=A.FAMILIES, levels=A.LEVELS, clean=True))
     rate = lambda a, b: F.avg(E.any_mismatch(F.col(a), F.col(b)).cast("double"))
     return cut(rows.groupBy(*CELL).agg(rate("pred", "target").alias("error_rate"), rate("pred", "clean").alias("flip_rate")))
 
@@ -334,13 +340,13 @@ def axes(spark, sf, seeds=SEEDS) -> DataFrame:
         return clean.select(*CELL, "value").union(build(families=A.FAMILIES, levels=A.LEVELS[1:]).select(*CELL, "value"))
 
     def actions(families, levels):
-        return M.macro_f1(M.confusion(M.predicted(A.actions(spark, sf, seeds=seeds, families=families, levels=levels)), CELL), CELL, "value")
+        return M.macro_f1(M.confusion(M.predicted(A.actions(spark, sf, seeds=seeds, families=families, levels=levels), labels=A.ACTIONS), CELL), CELL, "value")
 
     def reasons(families, levels):
         return M.macro_f1(M.confusion(M.predicted(A.actions(spark, sf, seeds, (1,), families, levels, "rationale")), CELL), CELL, "value")
 
     def risk(families, levels):
-        rows = M.predicted(A.actions(spark, sf, seeds=seeds, families=families, levels=levels)).withColumn("error", E.any_mismatch(F.col("pred"), F.col("target")))
+        rows = M.predicted(A.actions(spark, sf, seeds=seeds, families=families, levels=levels), labels=A.ACTIONS).withColumn("error", E.any_mismatch(F.col("pred"), F.col("target")))
         return R.aurc_tie_averaged(rows.withColumn("conf", E.sigmoid(F.array_max("logit"))), CELL, name="value")
 
     flips = dose(spark, sf, seeds).select(*CELL, F.col("flip_rate").alias("value"))

@@ -20,7 +20,7 @@ from ..sources import adapter_sql as S
 from ..sources import adapters as A
 from .accuracy import CLEAN, KEYS, PER, TIE_SQL, clean
 from .audits import CLIP_SQL, named
-from .consistency import CELL, CLUSTERS_SQL, D_AXES, REPS, axes, d_cells, d_conditions, pairs_sql, perturbed
+from .consistency import CELL, CLUSTERS_SQL, D_AXES, REPS, axes, compared, d_cells, d_conditions, pairs_sql, perturbed
 from .registry import query
 
 N_SQL = "(SELECT count(*) FROM orders)"
@@ -360,7 +360,7 @@ CI = "round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(
 
 
 def cluster_stats(spark, sf, seeds=(43,)) -> DataFrame:
-    rows = clean(spark, sf) if seeds == (43,) else M.predicted(A.actions(spark, sf, seeds=seeds))
+    rows = M.predicted(A.actions(spark, sf, seeds=seeds), labels=A.ACTIONS)
     return rows.withColumn("error", E.any_mismatch(F.col("pred"), F.col("target"))).groupBy(*KEYS, "cluster_key").agg(F.count("*").alias("n"), F.sum("error").alias("wrong"))
 
 
@@ -484,8 +484,8 @@ def axis_draws(spark, sf, seeds=A.SEEDS, reps=REPS) -> DataFrame:
     named = B.positions(A.samples(spark, sf), "cluster_key")
 
     def rows(head, models=A.MODELS):
-        own = lambda f, v: M.predicted(A.actions(spark, sf, seeds, models, f, v, head, clean=True))
-        return own((0,), (0,)).union(own(A.FAMILIES, A.LEVELS[1:])).withColumn("clean", E.hard(F.col("clean_logit")))
+        own = lambda f, v: compared(A.actions(spark, sf, seeds, models, f, v, head, clean=True), head)
+        return own((0,), (0,)).union(own(A.FAMILIES, A.LEVELS[1:]))
 
     acts, why = rows("action"), C.overlaps(rows("rationale", (1,)))
     flip = X.mean("C1", E.any_mismatch(F.col("pred"), F.col("clean")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Window as W
@@ -122,11 +123,22 @@ def frame_schedule(spark, sf):
     return rows.select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") * 2 - 1)).alias("j")).select("o_orderkey", "j", ((1 + 2 * F.col("j")) / 4.0).alias("at"))
 
 
-@query("WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) SELECT page_id, regexp_matches(path, '(^|/)\\.\\.(/|$)') AS traversal, regexp_matches(path, '//') AS empty_part, regexp_matches(path, '[\\x00-\\x1f\\x7f]') AS control, regexp_matches(path, '(?i)(^|/)(con|prn|aux|nul|com[0-9]|lpt[0-9])(\\.|/|$)') AS device, strlen(path) > 255 AS too_long FROM p")
+@query("WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) SELECT page_id, regexp_matches(path, '(^|/)\\.\\.(/|$)') AS traversal, regexp_matches(path, '//') AS empty_part, regexp_matches(path, '[\\x00-\\x1f\\x7f]') AS control, regexp_matches(path, '(?i)(^|/)(con|prn|aux|nul|com[0-9]|lpt[0-9])(\\.|/|$)') AS device, strlen(path) > 255 AS too_long, regexp_matches(path, '/[^/]*:') AS stream, path <> nfc_normalize(path) AS not_composed FROM p")
 def path_safety(spark, sf):
     p = F.regexp_replace("url", "^[a-z]+://", "")
     checks = {"traversal": r"(^|/)\.\.(/|$)", "empty_part": "//", "control": r"[\x00-\x1f\x7f]", "device": r"(?i)(^|/)(con|prn|aux|nul|com[0-9]|lpt[0-9])(\.|/|$)"}
-    return A.table(spark, sf, "pages").select("page_id", *(p.rlike(v).alias(k) for k, v in checks.items()), (F.octet_length(p) > 255).alias("too_long"))
+    checks_ = [p.rlike(v).alias(k) for k, v in checks.items()]
+    return A.table(spark, sf, "pages").select("page_id", *checks_, (F.octet_length(p) > 255).alias("too_long"), p.rlike("/[^/]*:").alias("stream"), (p != composed(p)).alias("not_composed"))
+
+
+def composed(text):
+    """Text in its composed form (NFC), which no built-in function makes."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+
+    return run(text)
 
 
 PAIRS_SQL = "pairs AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, event_id, (event_id * 7919) % 9 AS hamming, 0.9::DOUBLE + ((event_id * 31) % 100) / 1000.0::DOUBLE AS ssim, CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS gap FROM events), "
@@ -192,11 +204,13 @@ def hash_split(spark, sf):
     return rows.groupBy(split.alias("split")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.vec_id AS id, CAST(bit_count(xor(a.vec_id * 2654435761 % 4294967296, (a.vec_id + 1) * 2654435761 % 4294967296)) AS INTEGER) AS distance FROM embeddings a")
+@query("SELECT a.vec_id AS id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def phash_hamming(spark, sf):
-    k = F.col("vec_id")
-    mult = F.lit(2654435761)
-    return A.table(spark, sf, "embeddings").select(k.alias("id"), F.bit_count((k * mult % 4294967296).bitwiseXOR((k + 1) * mult % 4294967296)).cast("int").alias("distance"))
+    """Bits that differ between the 64-bit hash of a vector, the signs of its components, and that of the vector after it."""
+    bit = lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.element_at(F.array(*(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64))), i + 1)
+    own = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.aggregate(F.transform("embedding", bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("hash"))
+    other = own.select((F.col("id") - 1).alias("id"), F.col("hash").alias("next"))
+    return own.join(other, "id").select("id", F.bit_count(F.col("hash").bitwiseXOR(F.col("next"))).cast("int").alias("distance"))
 
 
 @query("WITH o AS (SELECT o_orderpriority AS stratum, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders), g AS (SELECT DISTINCT stratum, k, CAST(round_even(k * (n - 1) / 9.0::DOUBLE, 0) AS BIGINT) AS pos FROM o, range(10) AS r(k)) SELECT stratum, k, o_orderkey FROM o JOIN g USING (stratum, pos)")
