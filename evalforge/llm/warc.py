@@ -3,7 +3,8 @@ r"""WARC archives: written from pages, read back, and assembled into one nested
 Each page is a transaction of three records: a request and a metadata record, which name the response or revisit
 record in WARC-Concurrent-To. Pages of equal payloads are one response (the largest page_id) and revisits of it.
 Archives are gzip files of up to PAGES pages, fewer where pages are long: as many as have ARCHIVE_BYTES bytes of html by
-the mean of all. They are written by Spark's text writer: a record is text (its payload UTF-8) and the writer's commit
+the mean of all. Pages of more than LONG bytes have archives of their own, of as many as have LONG_ARCHIVE bytes if all were
+as long as the longest, so no archive grows beyond what a reader takes, however skewed lengths are. They are written by Spark's text writer: a record is text (its payload UTF-8) and the writer's commit
 protocol drops what lost tasks have written. Reading verifies each response's payload digest.
 Record ids are made from the page's id and its place in the scan; each is written once, so a retried task's own ids
 are the only ones that are read.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_BYTES, materialise, new_path, small_batches, take
 
 PAGES, ARCHIVE_BYTES = 2048, 64 << 20
+#: Bytes of html from which a page is long (PAGES pages of fewer are an archive that can be read), and of long pages' archives.
+LONG, LONG_ARCHIVE = 256 << 10, 512 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -59,17 +62,18 @@ def _record(block: Column, *pairs: tuple[str, Column | str]) -> Column:
     return F.concat(_headers(*pairs, ("Content-Length", F.octet_length(block).cast("string"))), F.lit(_NL), block, F.lit(_NL * 2))
 
 
-def transactions(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, int]:
-    """One column `value`: the records of each page as text; and how many pages an archive holds. Payloads of at least
-    `least_bytes` bytes are deduplicated."""
+def transactions(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, int, int]:
+    """`value`, the records of each page as text, and `long`, whether the page is; how many other pages an archive holds, and how
+    many long ones, 0 if there are none. Payloads of at least `least_bytes` bytes are deduplicated."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     raw = F.encode("html", "UTF-8")
     key = F.unhex(F.sha2(raw, 256))
     seen = Observation("pages")  # measured in the pass that digests them
-    measured = pages.observe(seen, F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
+    measured = pages.observe(seen, F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"), F.max(F.octet_length("html")).alias("longest"))
     large = measured.filter(F.octet_length("html") >= least_bytes).select("page_id", key.alias("key"))
     several = materialise(large.groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("key", "first"), "payloads")
-    size = {"n": 1, "bytes": 1} if pages.isEmpty() else seen.get  # a plan that is known to be empty measures nothing
+    size = {"n": 1, "bytes": 1, "longest": 0} if pages.isEmpty() else seen.get  # a plan that is known to be empty measures nothing
+    longest = size["longest"] or 0
     per_archive = max(1, min(PAGES, ARCHIVE_BYTES * size["n"] // max(1, size["bytes"] or 1)))
     held = F.broadcast(several) if several.count() * 48 <= BROADCAST_BYTES else several
     joined = pages.withColumn("key", F.when(F.octet_length("html") >= least_bytes, key)).join(held, "key", "left")
@@ -93,12 +97,15 @@ def transactions(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, int
     refers = F.when(revisit, F.concat(F.lit("refers-to-page: "), F.col("first").cast("string"), F.lit(_NL))).otherwise("")
     notes = F.concat(F.lit("page: "), page, F.lit(f"{_NL}payload-length: "), size, F.lit(_NL), refers)
     metadata = _record(notes, ("WARC-Type", "metadata"), ("WARC-Record-ID", name("metadata")), *common, ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields"))
-    return rows.select(F.concat(request, F.when(revisit, again).otherwise(response), metadata).alias("value")), per_archive
+    told = rows.select(F.concat(request, F.when(revisit, again).otherwise(response), metadata).alias("value"), (F.octet_length("html") > LONG).alias("long"))
+    return told, per_archive, max(1, min(per_archive, LONG_ARCHIVE // longest)) if longest > LONG else 0
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    rows, per_archive = transactions(pages, least_bytes)
-    rows.write.options(lineSep="\n", compression="gzip", maxRecordsPerFile=per_archive).text(path)
+    rows, per_archive, long = transactions(pages, least_bytes)
+    for name, n, own in (("pages", per_archive, rows.filter(~F.col("long")) if long else rows), ("long", long, rows.filter("long"))):
+        if n:
+            own.select("value").write.options(lineSep="\n", compression="gzip", maxRecordsPerFile=n).text(f"{path}/{name}")
 
 
 def records(stream: io.BufferedIOBase):

@@ -289,3 +289,20 @@ def test_grams_beyond_the_broadcast_are_rated_alike(spark):
     ratios = spark.createDataFrame([("hot", 50, 0.5), *((f"g{k}", 8, k / 10) for k in range(7)), *((f"h{k}", 1, -k / 10) for k in range(50))], "gram string, n long, ratio double")
     small, large = (sorted(map(tuple, url_filter.rated(rows, ratios, most).select("key", "gram", "ratio").collect())) for most in (1000, 5))
     assert small == large and len(small) == 150
+
+
+def test_long_pages_have_archives_of_their_own(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "LONG", 1000)
+    monkeypatch.setattr(warc, "LONG_ARCHIVE", 9000)
+    rows = [(k, f"http://a.net/{k}", "x" * (40 + k % 7) if k % 10 else "y" * (1500 + 30 * k)) for k in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "skewed")
+    warc.write(pages, path)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "skewed" / "long").glob("*.gz")]
+    assert len(sizes) >= 5 and max(sizes) < 2 * 9000 + 4000
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.round_trip(pages).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: len(h) for k, _, h in rows} and len(got) == 100
+    ids = [r.record_id for r in warc.read(spark, path).select("record_id").collect()]
+    assert len(ids) == len(set(ids)) == 300
