@@ -27,7 +27,7 @@ from .shared import chunks, new_path, partitions, small_batches, take
 
 SCHEMA = "part long, doc_id long, local_start long, n_tokens long, ids array<int>"
 ORC = {
-    "orc.compress": "ZLIB",
+    "orc.compress": "ZSTD",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),

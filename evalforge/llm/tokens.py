@@ -127,7 +127,7 @@ def split(path: str, data: np.ndarray, offsets: np.ndarray) -> Pieces:
 class PieceCache:
     """Ids of pieces seen so far, encoded once each; emptied when they hold too many bytes, so memory stays bounded."""
 
-    LIMIT = 64 << 20
+    LIMIT = 128 << 20
 
     def __init__(self, path: str):
         self.path = path
