@@ -6,10 +6,21 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that `cut` wrote in this process, once the results that read them are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet to the folder of spark.checkpoint.dir and read it back (a checkpoint would work
     it out twice). Where that is unset a local session gets a temporary folder, and any other is an error: executors would
@@ -25,6 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
         base = tempfile.mkdtemp(prefix="evalforge-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/evalforge-cut-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -30,7 +30,8 @@ def ranked(df: DataFrame, order: list[str], slice_of: Column, name: str = "rk",
     before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)  # a row a slice
     base = part.groupBy(*keys, "_s").agg(F.count("*").alias("_k")).select(*keys, "_s", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_b"))
     inside = F.row_number().over(W.partitionBy(*keys, "_s").orderBy(*order))
-    return part.withColumn("_r", inside).join(F.broadcast(base), [*keys, "_s"]).withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_s", "_r", "_b")
+    # the window has dealt and sorted the rows by the join's keys: no table of slices, which grow with the rows, is broadcast
+    return part.withColumn("_r", inside).join(base, [*keys, "_s"]).withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_s", "_r", "_b")
 
 
 def salted(df: DataFrame, name: str, salt: str | Column, keys: Sequence[str] = ()) -> DataFrame:

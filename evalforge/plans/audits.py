@@ -72,7 +72,7 @@ def clip_membership(spark, sf):
     c = named(spark, sf).groupBy("clip").agg(F.min("o_orderkey").alias("first"), F.count("*").alias("size")).withColumn("part", F.floor(F.col("first") / 65536))
     before = c.groupBy("part").agg(F.count("*").alias("k")).withColumn("base", F.coalesce(F.sum("k").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("k")
     inside = F.row_number().over(W.partitionBy("part").orderBy("first"))
-    return c.withColumn("r", inside).join(F.broadcast(before), "part").select("clip", "size", (F.col("base") + F.col("r") - 1).alias("clip_id"))
+    return c.withColumn("r", inside).join(before, "part").select("clip", "size", (F.col("base") + F.col("r") - 1).alias("clip_id"))
 
 
 @query(f"WITH {CLIP_SQL}, c AS (SELECT clip, count(*) AS size FROM named GROUP BY ALL) SELECT size, count(*) AS n_clips FROM c GROUP BY ALL")

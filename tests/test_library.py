@@ -27,7 +27,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: A query of each kind; the driver compares all of them.
 CHOSEN = """confusion_counts micro_f1 ece risk_coverage_curve selective_bundle aurc_tie_averaged aurc_weighted threshold_grid causal_evidence_gap jaccard_components rq1_metrics bottleneck corruption_gate
 manifest_validation exclusion_flow cross_modal_join clip_membership partition_cover alignment_audit graded_source_maps connected_components bootstrap_clip bootstrap_stratified bootstrap_component paired_contrasts d_axis_cells box_overlap_antijoin aligned_window_edge
-stratified_sample rule_prevalence kendall_tau_b hash_split""".split()
+stratified_sample rule_prevalence kendall_tau_b hash_split bootstrap_metrics replayed_bootstrap curve_dominance component_audit group_id hash_manifest_check member_inventory phash_hamming path_safety infidelity expected_grid""".split()
 
 
 @pytest.fixture(scope="module")
@@ -365,7 +365,8 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_command_line(spark, tmp_path):
     from evalforge import run
 
-    assert run.main(["expected_grid", SF, "--out", f"{tmp_path}/grid"]) == 0 and spark.read.parquet(f"{tmp_path}/grid").count() == 150
+    levels = spark.read.parquet(f"{SF}/orders.parquet").agg(F.countDistinct("o_orderpriority"), F.countDistinct("o_orderstatus"), F.countDistinct(F.year("o_orderdate"))).first()
+    assert run.main(["expected_grid", SF, "--out", f"{tmp_path}/grid"]) == 0 and spark.read.parquet(f"{tmp_path}/grid").count() == math.prod(levels)
     with pytest.raises(SystemExit):
         run.main(["no_such_query", SF])
 
@@ -600,3 +601,15 @@ def test_stream_with_state_equals_the_batch(spark, tmp_path):
             inventory.write_once(inventory.inventory(rows, "host", "path", most - 1), str(tmp_path / "no"), str(tmp_path / "nomark")).awaitTermination()
     finally:
         spark.conf.set(provider, old)
+
+
+def test_scratch_tables_are_released(spark, tmp_path):
+    import os
+
+    rows = graph.cut(spark.range(5))
+    (path,) = {os.path.dirname(f).removeprefix("file:").replace("//", "/") for f in rows.inputFiles()}
+    assert os.path.isdir(path) and rows.count() == 5
+    held, graph._written[:] = graph._written[:-1], graph._written[-1:]  # only this one: others' results may be read yet
+    graph.release(spark)
+    graph._written[:] = held
+    assert not os.path.isdir(path)
