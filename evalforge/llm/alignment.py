@@ -95,7 +95,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, cut: bool = True) -> tuple[np.nd
 class Words:
     """Ids of B for segments seen so far; emptied when they hold too many bytes, so memory stays bounded."""
 
-    LIMIT = 40 << 20
+    LIMIT = 96 << 20
 
     def __init__(self, path: str):
         self.encode, self.entries, self.cuttable = pieces(path)
