@@ -69,6 +69,13 @@ def test_families_of_near_copies_over_many_blocks(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == len({r.component_id for r in got})
 
 
+def test_texts_of_more_shingles_than_a_byte_of_size_classes(spark):
+    words = [f"b{k}" for k in range(400_000)]
+    rows = [(1, " ".join(words[:300_000])), (2, " ".join(words[:290_000])), (3, " ".join(words)), (4, " ".join(words[:220_000]))]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert key(got, "doc_id", "n_shingles", "component_id") == text_rows(brute_components(rows))
+
+
 def test_a_long_path_of_random_ids_is_one_component(spark):
     ids = np.unique(np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 3000))
     np.random.default_rng(4).shuffle(ids)
