@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..operators import geometry as G
 from ..operators import maps as P
 from ..operators import worlds as O
@@ -379,11 +380,13 @@ def standardized_slope(spark, sf):
 def mtmm_gap(spark, sf):
     """Tau-b of a metric with the quality it should follow, less the greatest with any other; in a world of equal values
     it is 0. Pairs are those of a world's five doses."""
-    rows = validity_cells(spark, sf)
-    other = rows.select("world", "metric", "axis", F.col("dose").alias("d2"), F.col("quality").alias("q2"), F.col("value").alias("v2"))
-    pairs = rows.join(other, ["world", "metric", "axis"]).filter("dose < d2")
-    sx, sy = F.signum(F.col("value") - F.col("v2")), F.signum(F.col("quality") - F.col("q2"))
-    t = pairs.groupBy("world", "metric", "axis").agg(F.coalesce(F.sum(sx * sy) / F.sqrt(F.nullif(F.sum(F.abs(sx)) * F.sum(F.abs(sy)), F.lit(0.0))), F.lit(0.0)).alias("tau"))
+    rows = validity_cells(spark, sf).filter("world is not null")
+    doses = rows.groupBy("world", "metric", "axis").agg(F.collect_list(F.struct("dose", "quality", "value")).alias("doses"))  # five entries, so no join
+    later = lambda x: F.filter("doses", lambda y: x["dose"] < y["dose"])
+    pairs = F.flatten(F.transform("doses", lambda x: F.transform(later(x), lambda y: F.struct(F.signum(x["value"] - y["value"]).alias("x"), F.signum(x["quality"] - y["quality"]).alias("y")))))
+    total = lambda of: E.total(F.transform("pairs", of))
+    both = total(lambda p: F.abs(p["x"])) * total(lambda p: F.abs(p["y"]))
+    t = doses.select("metric", "axis", pairs.alias("pairs")).select("metric", "axis", F.coalesce(total(lambda p: p["x"] * p["y"]) / F.sqrt(F.nullif(both, F.lit(0.0))), F.lit(0.0)).alias("tau"))
     m = t.groupBy("metric", "axis").agg(F.avg("tau").alias("tau"))
     return m.groupBy("metric").agg(F.round(F.max(F.when(F.col("metric") == F.col("axis"), F.col("tau"))) - F.max(F.when(F.col("metric") != F.col("axis"), F.abs("tau"))), 6).alias("gap"))
 

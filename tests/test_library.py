@@ -613,3 +613,10 @@ def test_scratch_tables_are_released(spark, tmp_path):
     graph.release(spark)
     graph._written[:] = held
     assert not os.path.isdir(path)
+
+
+def test_doses_of_a_world_are_compared_without_a_join(spark):
+    from evalforge.plans import scenes
+
+    plan = scenes.mtmm_gap(spark, SF)._jdf.queryExecution().toString()
+    assert "Join" not in plan
