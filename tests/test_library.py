@@ -620,3 +620,31 @@ def test_doses_of_a_world_are_compared_without_a_join(spark):
 
     plan = scenes.mtmm_gap(spark, SF)._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("head", ["action", "rationale"])
+def test_profiles_stand_for_their_samples(spark, head):
+    from evalforge.sources import adapters as A
+
+    keys = [*range(-40, 40), *(k * 1201 * 1100 + r for k in range(4) for r in range(9)), *range(10_000, 10_400)]
+    rows = spark.createDataFrame([(k, k % 7, 1 + k % 3) for k in keys], "sample_ix long, cluster_key long, digit int")
+    cells = ["seed", "model", "family", "level", "target", "logit"]
+    of = lambda r: A.actions(spark, SF, (43, 47), families=A.FAMILIES, levels=A.LEVELS, head=head, rows=r)
+    want = of(rows).groupBy(*cells).count().collect()
+    alike = A.profiles(rows, head)
+    got = of(alike).groupBy(*cells).agg(F.sum("copies")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    assert alike.count() < len(keys)
+
+
+def test_axes_multiply_profiles_not_samples(spark, tmp_path):
+    from evalforge.plans import consistency
+    from evalforge.sources import adapters as A
+
+    orders = A.table(spark, SF, "orders")
+    period = 1201 * 1100
+    twice = orders.union(orders.withColumn("o_orderkey", F.col("o_orderkey") + period))
+    twice.write.parquet(f"{tmp_path}/orders.parquet")
+    assert A.profiles(A.samples(spark, str(tmp_path))).count() == A.profiles(A.samples(spark, SF)).count()
+    pick = lambda sf: {tuple(r)[:5]: round(r["value"], 9) for r in consistency.axes(spark, sf, (43,)).filter("axis <> 'S'").collect()}
+    assert pick(str(tmp_path)) == pick(SF)
