@@ -648,3 +648,14 @@ def test_axes_multiply_profiles_not_samples(spark, tmp_path):
     assert A.profiles(A.samples(spark, str(tmp_path))).count() == A.profiles(A.samples(spark, SF)).count()
     pick = lambda sf: {tuple(r)[:5]: round(r["value"], 9) for r in consistency.axes(spark, sf, (43,)).filter("axis <> 'S'").collect()}
     assert pick(str(tmp_path)) == pick(SF)
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    from evalforge.plans import inference
+    from evalforge.sources import adapters as A
+
+    rows = metrics.predicted(A.actions(spark, SF, families=A.FAMILIES, levels=(4,)))
+    got = maps.gather(rows, inference.moved(spark, SF), ["seed", "model", "family", "level"], ["pred"])
+    for df in (got, catalog.queries()["pairing_controls"](spark, SF)):
+        joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+        assert not [x for x in joins if "seed" in x or "dst_ix" in x]
