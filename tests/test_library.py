@@ -659,3 +659,13 @@ def test_exploded_rows_are_not_broadcast(spark):
     for df in (got, catalog.queries()["pairing_controls"](spark, SF)):
         joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in x]
         assert not [x for x in joins if "seed" in x or "dst_ix" in x]
+
+
+def test_moves_say_what_graded_maps_say(spark):
+    from evalforge.plans import inference
+
+    cycles, n = inference.cycle_rows(spark, SF)
+    long = maps.moves(cycles, n).withColumn("q_ix", F.explode(F.sequence(F.lit(0), F.lit(len(maps.SEVERITIES) - 1))))
+    got = long.select("q_ix", "dst_ix", F.when(F.col("q_ix") >= F.col("first"), F.col("src_ix")).otherwise(F.col("dst_ix")).alias("src_ix"))
+    want = maps.graded(cycles, n)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and long.count() == 5 * n
