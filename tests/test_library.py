@@ -457,6 +457,47 @@ def test_draws_do_not_repeat():
     assert np.abs(draws.weights(1000, np.arange(4000)).mean(0) - 1).max() < 5 / np.sqrt(4000)
 
 
+def test_draws_of_a_range_are_made_once(monkeypatch):
+    """Four times the units take about four times the random numbers: a range doesn't go down from the top for each stretch."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from evalforge.operators import draws, resample
+
+    made, mix = [0], draws.mix
+
+    def counted(x):
+        made[0] += x.size
+        return mix(x)
+
+    monkeypatch.setattr(resample, "POSITIONS", 64)
+    took = []
+    for n in (1 << 14, 1 << 16):
+        head = SimpleNamespace(value=draws.heads(n, np.arange(4), draws.CLUSTERS))
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(n, int), np.arange(n), np.zeros(n, int), np.ones(n))], ["r", "p", "c", "v"])
+        monkeypatch.setattr(draws, "mix", counted)
+        made[0] = 0
+        out = list(resample._sums(n, 4, draws.CLUSTERS, head, n, 1, 1)([rows]))
+        took.append(made[0])
+        monkeypatch.setattr(draws, "mix", mix)
+        assert out[0].column(2).to_pylist() == [n] * 4
+    assert took[1] < 5 * took[0], took
+
+
+def test_stretches_of_draws_are_the_draws():
+    from evalforge.operators import draws
+
+    for n in (1, 64, 90, 5000, 70_001):
+        rep = np.array([0, 3, 1999])
+        head, w = draws.heads(n, rep, draws.MAPS), draws.weights(n, rep, draws.MAPS)
+        low, high = n // 3, n - n // 5
+        got = list(draws.runs(n, rep, draws.MAPS, head, low, high, 100))
+        assert (w.sum(1) == n).all() and (np.concatenate([c for _, c in got], 1) == w[:, low:high]).all()
+        assert [a for a, _ in got] == [low + sum(c.shape[1] for _, c in got[:k]) for k in range(len(got))]
+        assert head.shape[1] == len(draws.tops(n)) <= 2 * draws.TOPS + draws.LEAF
+
+
 def test_streams_of_draws_differ():
     from evalforge.operators import draws
 
