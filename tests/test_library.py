@@ -498,6 +498,29 @@ def test_stretches_of_draws_are_the_draws():
         assert head.shape[1] == len(draws.tops(n)) <= 2 * draws.TOPS + draws.LEAF
 
 
+def test_parts_of_a_curve_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Each part makes the draws of all units, so there are as many as keep the cores busy, not one for so many rows."""
+    from evalforge.operators import resample
+
+    monkeypatch.setattr(resample, "SLICE_ROWS", 20)
+    made, curve = [], resample.vectorised
+    monkeypatch.setattr(resample, "vectorised", lambda stats, *a: made.append(stats.select("_part").distinct().count()) or curve(stats, *a))
+    rows = spark.range(6000).selectExpr("id % 50 as u", "1 as m", "(id * 7919 % 6007) / 6007.0D as conf", "cast(id % 3 = 0 as int) as error")
+    assert resample.aurc(rows, "u", ["m"], 2).count() == 2
+    assert made[0] <= 8 * spark.sparkContext.defaultParallelism, made
+
+
+def test_rows_are_added_to_the_sums_of_their_group():
+    from evalforge.operators import resample
+
+    rng = np.random.default_rng(2)
+    group, at, count, drawn = np.sort(rng.integers(0, 40, 500)), rng.integers(0, 90, 500), rng.integers(1, 4, 500), rng.integers(0, 5, (90, 150)).astype(np.int32)
+    total, plain = np.zeros((40, 150), np.int32), np.zeros((40, 150), np.int64)
+    np.add.at(plain, group, drawn[at] * count[:, None])
+    resample._add(total, group, drawn, at, count)
+    assert (total == plain).all()
+
+
 def test_streams_of_draws_differ():
     from evalforge.operators import draws
 
