@@ -521,6 +521,17 @@ def test_rows_are_added_to_the_sums_of_their_group():
     assert (total == plain).all()
 
 
+def test_weighted_flips_and_overlaps_are_those_of_repeated_rows(spark):
+    from evalforge.operators import consistency
+
+    rows = [(k % 2, k % 5, (k * 3) % 4, [k % 2, 1], [k // 2 % 2, 1], k % 3 + 1) for k in range(24)]
+    frame = spark.createDataFrame(rows, "m int, joint long, common long, pred array<int>, clean array<int>, copies long").withColumn("common", F.least("common", "joint"))
+    every = frame.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    for f in (consistency.flips, consistency.jaccard_parts):
+        one, other = (sorted(map(tuple, x.collect())) for x in (f(frame, ["m"], F.col("copies")), f(every, ["m"])))
+        assert len(one) == 2 and all(a == pytest.approx(b) for a, b in zip(one, other))
+
+
 def test_streams_of_draws_differ():
     from evalforge.operators import draws
 
