@@ -36,7 +36,8 @@ def without_overlap(candidates: DataFrame, boxes: DataFrame, key: str, size: int
     """Candidates (key, cl, ct, cr, cb) that no box (dl, dt, dr, db) meets.
 
     Both sides are dealt by the grid cells they cover, so only boxes of one cell are compared: an equi-join, no
-    product of the tables."""
-    c, d = cells(candidates, "c", size), cells(boxes, "d", size)
-    hit = c.join(d, ["cx", "cy"]).filter(overlaps("c", "d")).select(key).distinct()
-    return candidates.join(hit, key, "left_anti")
+    product of the tables. Boxes in the same place are compared once, and a frame has so many places, however many boxes."""
+    place = lambda p: [p + x for x in (L, T, R, B)]
+    c, d = (cells(df.select(*place(p)).distinct(), p, size) for df, p in ((candidates, "c"), (boxes, "d")))
+    hit = c.join(d, ["cx", "cy"]).filter(overlaps("c", "d")).select(*place("c")).distinct()
+    return candidates.join(hit, place("c"), "left_anti")

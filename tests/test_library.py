@@ -532,6 +532,19 @@ def test_weighted_flips_and_overlaps_are_those_of_repeated_rows(spark):
         assert len(one) == 2 and all(a == pytest.approx(b) for a, b in zip(one, other))
 
 
+def test_boxes_in_one_place_are_compared_once(spark, monkeypatch):
+    from evalforge.operators import geometry
+
+    boxes = [(k, 10 * (k % 3), 0, 10 * (k % 3) + 8, 8) for k in range(60)] + [(60, None, 0, 8, 8), (61, 5, 5, 5, 9)]
+    c = spark.createDataFrame(boxes, "id long, cl int, ct int, cr int, cb int")
+    d = spark.createDataFrame([(11, 1, 15, 4)] * 50, "dl int, dt int, dr int, db int")
+    seen, cells = [], geometry.cells
+    monkeypatch.setattr(geometry, "cells", lambda df, p, size: seen.append(df.count()) or cells(df, p, size))
+    left = {r.id for r in geometry.without_overlap(c, d, "id").collect()}
+    assert left == {k for k in range(60) if k % 3 != 1} | {60, 61}
+    assert seen == [5, 1]
+
+
 def test_streams_of_draws_differ():
     from evalforge.operators import draws
 
