@@ -566,6 +566,36 @@ def test_stored_draws_are_proved_as_they_are_read(spark):
         bootstrap.verified(changed).collect()
 
 
+def test_stored_draws_are_replayed_without_a_row_a_draw(spark, monkeypatch):
+    from evalforge.operators import bootstrap, resample
+
+    monkeypatch.setattr(bootstrap, "PIECE", 64)
+    monkeypatch.setattr(bootstrap, "REPLAYED", 4)
+    monkeypatch.setattr(resample, "REP_BLOCK", 3)
+    stats = spark.createDataFrame([(k * 3, m, float(k % 5), 1.5 * m) for k in range(300) for m in range(2) if (k + m) % 7], "c long, m int, x double, y double")
+    table = bootstrap.written(bootstrap.stored(stats.select("c"), "c", 10))
+    got = bootstrap.replayed(stats, "c", ["m"], ["x", "y"], table)
+    assert "weight#" not in got._jdf.queryExecution().toString()  # a row a draw
+    want = resample.vectorised(stats, "c", ["m"], ["x", "y"], 10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert table.filter("units is not null").count() == 5 and table.count() == 50  # names once a piece
+    assert {(r.pieces, r.draws) for r in bootstrap.manifest(table).collect()} == {(5, 300)}
+    other = table.withColumn("units", F.transform("units", lambda x: x + 1))
+    with pytest.raises(Exception, match="were changed"):
+        bootstrap.replayed(stats, "c", ["m"], ["x", "y"], other).collect()
+
+
+@pytest.mark.parametrize(("most", "bits"), [(0, 4), (15, 4), (16, 8), (256, 16), (1 << 16, 32), ((1 << 32) - 1, 32)])
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 4096])
+def test_packed_counts(most, bits, n):
+    from evalforge.operators import bootstrap
+
+    w = np.arange(n, dtype=np.int64) % 16 * (most >= 15)
+    w[-1] = most
+    found, packed = bootstrap._pack(w)
+    assert found == bits and packed.dtype == np.int64 and bootstrap._unpack(found, packed, n).tolist() == w.tolist()
+
+
 def test_harmonic_spans_by_series():
     from evalforge.operators import resample
 
