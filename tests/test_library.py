@@ -779,6 +779,41 @@ def test_exploded_rows_are_not_broadcast(spark):
         assert not [x for x in joins if "seed" in x or "dst_ix" in x]
 
 
+def test_invariants_of_moves_are_those_of_graded_maps(spark):
+    from evalforge.plans import inference
+
+    rng = np.random.default_rng(5)
+    rows = [(m, k, int(rng.integers(0, 40)) if m == 2 else (k + m) % 40, int(rng.integers(1, 5))) for m in range(4) for k in range(40)]
+    names = spark.createDataFrame([(k, f"c{k // 3}", f"n{k % 37}") for k in range(40)], "sample_ix long, clip string, name string")
+    moves = spark.createDataFrame(rows, "map_id int, dst_ix long, src_ix long, first int")
+    side = lambda ix, x: names.select(F.col("sample_ix").alias(ix), F.col("clip").alias(f"clip_{x}"), F.col("name").alias(f"name_{x}"))
+    beside = moves.join(side("dst_ix", "a"), "dst_ix").join(side("src_ix", "b"), "src_ix").withColumn("same_clip", F.expr("clip_a = clip_b")).withColumn("same_name", F.expr("name_a = name_b"))
+    found = inference.move_invariants(beside)
+    long = moves.withColumn("q_ix", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("src_ix", F.expr("if(first <= q_ix, src_ix, dst_ix)")).drop("first")
+    want = inference.invariants(inference.stepped(long, ["map_id"]), names, ["map_id", "q_ix"])
+    assert sorted(map(tuple, found.drop("p").select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert len({r.bijective for r in want.collect()}) == 2
+
+
+def test_rows_of_map_stacks_hold_no_names_and_no_severities(spark):
+    """They are a row a sample and map; names, clips and digests are made where they are compared."""
+    from evalforge.plans import inference
+
+    moves = inference.map_moves(spark, SF)
+    plan = moves._jdf.queryExecution().sparkPlan().toString()
+    assert "q_ix" not in plan and moves.count() == inference.MAPS * inference.odd_names(spark, SF)[1]
+    rows = spark.createDataFrame([(i, f"c{i % 60}_{i}.jpg", f"c{i % 60}") for i in range(101)], "sample_ix long, name string, clip string")
+    made = maps.cycles(rows.select("sample_ix"), lambda c: F.concat(F.lit("c"), c("sample_ix") % 60, F.lit("_"), c("sample_ix"), F.lit(".jpg")), lambda c: c("sample_ix") % 60, "salt")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, maps.cycles(rows, "name", "clip", "salt").collect()))
+
+
+def test_rotations_that_are_looked_at_first_decide_only_the_plan(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"c{i % 60}_{i}.jpg", f"c{i % 60}") for i in range(301)], "sample_ix long, name string, clip string")
+    want = sorted(map(tuple, maps.cycles(rows, "name", "clip", "salt-7").collect()))
+    monkeypatch.setattr(maps, "ROTATIONS", 1)
+    assert sorted(map(tuple, maps.cycles(rows, "name", "clip", "salt-7").collect())) == want
+
+
 def test_moves_say_what_graded_maps_say(spark):
     from evalforge.plans import inference
 
