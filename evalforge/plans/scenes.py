@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -158,23 +161,62 @@ def aligned_window_edge(spark, sf):
     """The longest, then best, stretch of six or more consecutive pairs in each user's series. Pairs that follow each other
     do so by half a second on both sides, so the time scale's slope is 1, within its bounds, wherever there is no gap.
 
-    Runs are islands without gaps or far pairs; a task looks for the best window of a run, so no window becomes a row."""
-    near = frame_pairs(spark, sf).withColumn("island", F.sum("gap").over(W.partitionBy("user_id").orderBy("k"))).filter("hamming <= 7")
-    runs = near.withColumn("run", F.col("k") - F.row_number().over(W.partitionBy("user_id", "island").orderBy("k")))
-    found = runs.select("user_id", "island", "run", "k", "hamming", "ssim").groupBy("user_id", "island", "run").applyInPandas(_window_of_run, "user_id long, n long, mh double, ms double, s long, e long")
-    best = found.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "mh", (-F.col("ms")).alias("ms"), "s", "e")).alias("x"))
-    return best.select("user_id", F.col("x.s").alias("start_pair"), F.col("x.e").alias("end_pair"), (-F.col("x.n")).alias("pair_count"), F.round("x.mh", 6).alias("median_hamming"), F.round(-F.col("x.ms"), 6).alias("median_ssim"))
-
-
-def _window_of_run(f: pd.DataFrame) -> pd.DataFrame:
-    f = f.sort_values("k")
-    best = best_stretch(f["hamming"].tolist(), f["ssim"].tolist(), 4, 0.92)
-    names = ["user_id", "n", "mh", "ms", "s", "e"]
-    if best is None:
-        return pd.DataFrame({n: [] for n in names})
-    at, length, mh, ms = best
-    first = int(f["k"].iloc[at])
-    return pd.DataFrame([(f["user_id"].iloc[0], length, mh, ms, first, first + length)], columns=names)
+    Runs are stretches without gaps or far pairs. A task goes through its users' near pairs in order and looks for the best
+    window of a run, so neither a window nor a run becomes a row, and only runs that may beat the user's best are searched."""
+    near = frame_pairs(spark, sf).filter("hamming <= 7 and user_id is not null").select("user_id", "k", "hamming", "ssim", "gap")
+    best = near.repartition("user_id").sortWithinPartitions("user_id", "k").mapInArrow(_windows, "user_id long, s long, e long, n long, mh double, ms double")
+    return best.select("user_id", F.col("s").alias("start_pair"), F.col("e").alias("end_pair"), F.col("n").alias("pair_count"), F.round("mh", 6).alias("median_hamming"), F.round("ms", 6).alias("median_ssim"))
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(user, first pair, hamming, ssim) of each run of near pairs: pairs of one user that follow each other, where none but the
+    first has a gap before it. What is held is a batch, and a run that goes on in the next one."""
+    held = []  # columns of an open run, a batch each
+    whole = lambda: (int(held[0][0][0]), int(held[0][1][0]), *(np.concatenate([c[k] for c in held]) for k in (2, 3)))
+    for b in batches:
+        user, k, hamming, ssim, gap = (np.asarray(c) for c in b.columns)
+        if not len(user):
+            continue
+        start = np.append(True, (user[1:] != user[:-1]) | (k[1:] != k[:-1] + 1)) | (gap == 1)
+        if held and not gap[0] and (user[0], k[0]) == (held[-1][0][-1], held[-1][1][-1] + 1):
+            start[0] = False
+        cuts = [*np.flatnonzero(start).tolist(), len(user)]
+        part = lambda a, e: (user[a:e], k[a:e], hamming[a:e], ssim[a:e])  # noqa: B023, E731
+        if cuts[0]:
+            held.append(part(0, cuts[0]))  # the open run goes on
+        for a, e in zip(cuts[:-1], cuts[1:]):
+            if held:
+                yield whole()
+            held = [part(a, e)]
+    if held:
+        yield whole()
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best window of each user that has one."""
+    names = ["user_id", "s", "e", "n", "mh", "ms"]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 4 else pa.float64()) for n, c in enumerate(zip(*rows))], names)
+    current, best, rows = None, None, []
+    for user, first, hamming, ssim in _runs(batches):
+        if user != current:
+            if best is not None:
+                rows.append((current, best[3], best[4], -best[0], best[1], -best[2]))
+            current, best = user, None
+            if len(rows) >= 1024:
+                yield made(rows)
+                rows = []
+        shortest = 6 if best is None else -best[0]
+        if len(hamming) < shortest:
+            continue
+        found = best_stretch(hamming.tolist(), ssim.tolist(), 4, 0.92, shortest)
+        if found is not None:
+            at, n, mh, ms = found
+            own = (-n, mh, -ms, first + at, first + at + n)
+            best = own if best is None else min(best, own)
+    if best is not None:
+        rows.append((current, best[3], best[4], -best[0], best[1], -best[2]))
+    if rows:
+        yield made(rows)
 
 
 @query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), t AS (SELECT user_id, event_id, k - (n - 3) AS i FROM e WHERE k >= n - 3 AND n >= 3), h AS (SELECT user_id, event_id, k AS i FROM e WHERE k < 3),

@@ -428,6 +428,34 @@ def test_longest_stretch_of_a_long_series():
     assert n > 50_000 and time.time() - began < 60
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_runs_go_on_in_the_next_batch(size):
+    """Whatever the batches, users' best windows are those of all their runs; none but users' rows come out."""
+    import pyarrow as pa
+
+    from evalforge.operators.stretches import best_stretch
+    from evalforge.plans import scenes
+
+    rng = np.random.default_rng(9)
+    rows = [(u, k, int(h), 0.9 + int(s) / 1000, int(g)) for u in range(12) for k, (h, s, g) in enumerate(zip(rng.integers(0, 9, 90), rng.integers(0, 100, 90), rng.integers(0, 23, 90) == 0)) if h <= 7]
+    names = ["user_id", "k", "hamming", "ssim", "gap"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[a : a + size]]) for a in range(0, len(rows), size)]
+    runs = []
+    for r in rows:
+        if runs and runs[-1][-1][0] == r[0] and runs[-1][-1][1] + 1 == r[1] and not r[4]:
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    assert [(u, k, h.tolist()) for u, k, h, _ in scenes._runs(iter(batches))] == [(run[0][0], run[0][1], [r[2] for r in run]) for run in runs]
+    want = {}
+    for run in runs:
+        if (x := best_stretch([r[2] for r in run], [r[3] for r in run], 4, 0.92)) is not None:
+            own = (-x[1], x[2], -x[3], run[0][1] + x[0], run[0][1] + x[0] + x[1])
+            want[run[0][0]] = min(want.get(run[0][0], own), own)
+    found = [tuple(r.values()) for b in scenes._windows(iter(batches)) for r in b.to_pylist()]
+    assert found == [(u, s, e, -n, mh, -ms) for u, (n, mh, ms, s, e) in sorted(want.items())]
+
+
 def test_group_digests_do_not_gather(spark):
     import hashlib
 
