@@ -842,6 +842,28 @@ def test_rotations_that_are_looked_at_first_decide_only_the_plan(spark, monkeypa
     assert sorted(map(tuple, maps.cycles(rows, "name", "clip", "salt-7").collect())) == want
 
 
+def test_answers_of_profiles_are_those_of_samples(spark):
+    """Severities and sources are no rows: a sample's answers, made once a profile, stand beside its source's as bits."""
+    from evalforge.plans import inference
+    from evalforge.sources import adapters as A
+
+    keys = [*range(-20, 20), *(k * 1201 * 1100 + r for k in (1, 2) for r in range(9)), *range(5000, 5200)]
+    rows = spark.createDataFrame([(k, k % 7, 1 + k % 5) for k in keys], "sample_ix long, cluster_key long, digit int")
+    got = {r.sample_ix: r for r in inference.answered(rows).collect()}
+    number = lambda labels: int("".join(map(str, labels)), 2)
+    for head, name, count, models in (("action", "act", A.ACTIONS, A.MODELS), ("rationale", "why", A.RATIONALES, (1,))):
+        cells = metrics.predicted(A.actions(spark, SF, models=models, families=A.FAMILIES, levels=(4,), head=head, clean=True, rows=rows)).withColumn("clean", E.hard(F.col("clean_logit")))
+        for r in cells.withColumn("conf", F.array_max(E.probabilities(F.col("clean_logit")))).collect():
+            own, m = got[r.sample_ix], r.model if head == "action" else 0
+            field = lambda x, k: x >> k * count & (1 << count) - 1  # noqa: B023, E731
+            assert field(own[name], m) == number(r.clean) and field(own[name], 8 if head == "action" else 1) == number(r.target)
+            hit = field(own.act, 2 + 3 * m + r.family) if head == "action" else field(own.why_hit, r.family)
+            assert hit == number(r.pred) and (head != "action" or own.conf[m] == r.conf)
+    assert len(got) == len(keys)
+    plan = catalog.queries()["graded_curves"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "logit" not in plan and not [x for x in plan.splitlines() if "Join" in x and "q_ix" in x and "src_ix" in x]
+
+
 def test_moves_say_what_graded_maps_say(spark):
     from evalforge.plans import inference
 
