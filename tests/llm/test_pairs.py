@@ -133,6 +133,32 @@ def test_prefixes_of_sets_that_link_share_enough(n, seed):
         assert len(pa & pb) >= least
 
 
+def test_sets_that_share_a_frequent_shingle_are_tied_only_where_sizes_allow_a_link():
+    sizes = [400] * 40 + [5000] + [430, 560, 740]
+    nodes, classes = np.arange(len(sizes)) * 7 - 50, np.array([ngram_join.size_class(n) for n in sizes])
+    ties = [(a, b) for r in ngram_join._tied(np.zeros(len(sizes), np.uint32), nodes, classes) for a, b, n, least in zip(*(c.to_pylist() for c in r.columns)) if n >= least]
+    union, of = ngram_join.Union(len(sizes)), {int(n): k for k, n in enumerate(nodes)}
+    for a, b in ties:
+        union.join(of[a], of[b])
+    roots = [union.find(k) for k in range(len(sizes))]
+    assert len({roots[k] for k in range(len(sizes)) if k != 40}) == 1 and roots.count(roots[40]) == 1
+
+
+def test_a_family_of_copies_has_its_own_shingles_before_those_of_all_texts():
+    code = np.arange(1, 41, dtype=np.int64)
+    place = np.where(code <= 12, 40 + code, code)  # the first ones are a passage of many texts
+    assert ngram_join.prefix(code, code, place).min() > 12
+
+
+def test_one_passage_does_not_tie_short_texts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**63, 30, dtype=np.uint64), np.arange(4, dtype=np.uint64)])) for _ in range(9)]
+    parts = [ngram_join.prefix(ngram_join.codes(s, 1), np.zeros(0, np.int64)) for s in sets]
+    k, n = np.concatenate(parts), np.repeat(np.arange(9), [len(p) for p in parts])
+    found = list(ngram_join._tied(k.astype(np.uint32), n, np.repeat([ngram_join.size_class(len(s)) for s in sets], [len(p) for p in parts])))
+    assert found and not any(n >= least for r in found for n, least in zip(r.column(2).to_pylist(), r.column(3).to_pylist()))
+
+
 # -- WARC -----------------------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, type string, first string"
