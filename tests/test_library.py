@@ -796,6 +796,35 @@ def test_axes_multiply_profiles_not_samples(spark, tmp_path):
     assert pick(str(tmp_path)) == pick(SF)
 
 
+def test_replicates_draw_the_samples_of_a_profile(spark, monkeypatch):
+    """Counts by profile are the draws' product with who is of it, whatever the ranges of units and the kinds of numbers."""
+    from evalforge.operators import draws, profiled
+
+    monkeypatch.setattr(profiled, "ROWS", 100)
+    rng = np.random.default_rng(3)
+    units, places = rng.integers(0, 300, 900), rng.integers(0, 40, 900)
+    table = np.zeros((300, 40), int)
+    np.add.at(table, (units, places), 1)
+    table[7, 3] = 90
+    rows = [(5 * u, p, int(table[u, p])) for u, p in zip(*map(np.ndarray.tolist, np.nonzero(table)))]
+    named = spark.createDataFrame([(5 * u, u) for u in range(300)], "c long, _position long")
+    found = profiled.drawn_counts(spark.createDataFrame(rows, "c long, place long, n long"), "c", 40, 120, named=(named, 300)).toPandas()
+    got = {b: sum(np.frombuffer(r.counts, r.kind).reshape(40, -1).astype(int) for r in f.itertuples()) for b, f in found.groupby("block")}
+    want = draws.weights(300, np.arange(120)) @ table
+    assert len(found) > 3 and [got[b].shape[1] for b in range(3)] == [50, 50, 20] and {len(np.dtype(k).str) for k in found.kind} == {3}
+    assert np.concatenate([got[b] for b in range(3)], 1).T.tolist() == want.tolist()
+
+
+def test_cells_of_profiles_are_those_of_samples(spark, monkeypatch):
+    from evalforge.operators import profiled
+    from evalforge.plans import inference
+
+    pick = lambda: {tuple(r)[:6]: r.value for r in inference.axis_draws(spark, SF, (43,), 3).collect()}
+    found = pick()
+    monkeypatch.setattr(profiled, "MOST", 0)
+    assert pick() == pytest.approx(found) and len(found) == 3 * (26 * 3 + 13 * 2)
+
+
 def test_exploded_rows_are_not_broadcast(spark):
     from evalforge.plans import inference
     from evalforge.sources import adapters as A
