@@ -825,6 +825,33 @@ def test_cells_of_profiles_are_those_of_samples(spark, monkeypatch):
     assert pick() == pytest.approx(found) and len(found) == 3 * (26 * 3 + 13 * 2)
 
 
+def test_draws_of_a_map_are_made_by_ranges_of_its_components(spark, monkeypatch):
+    from evalforge.operators import draws, resample
+    from evalforge.plans import inference
+    from evalforge.sources import adapters as A
+
+    reps, size = 3, 150
+    monkeypatch.setattr(inference, "COMPONENT_RANGE", 64)
+    rng = np.random.default_rng(1)
+    values = {m: rng.integers(1, 9, (size + m, len(A.SEEDS), 2, 6)) for m in range(inference.MAPS)}
+    rows = [(m, p, size + m, s, k, *map(int, v[p, i, k])) for m, v in values.items() for p in range(size + m) for i, s in enumerate(A.SEEDS) for k in A.MODELS]
+    stats = spark.createDataFrame(rows, "map_id int, position long, n_comp long, seed int, model int, n long, e0 long, e1 long, e2 long, e3 long, e4 long").cache()
+    seeds = {(r.rep, r.seed): r.times for r in resample.seed_draws(spark, reps, A.SEEDS).collect()}
+    tasks, plain = [], inference._range_sums
+    monkeypatch.setattr(inference, "_range_sums", lambda *a: tasks.append(a) or plain(*a))
+    got = {r.rep: r.v for r in inference.multimap_draws(stats, reps).collect()}
+    assert tasks and len(got) == reps
+    for rep in range(reps):
+        of = []
+        for occ in range(inference.MAPS):
+            m = int(draws.choices(draws.MAPS, np.array([rep]), np.array([occ]), inference.MAPS)[0])
+            sums = np.tensordot(draws.weights(size + m, [rep * inference.MAPS + occ], draws.MAP_COMPONENTS)[0], values[m], 1)
+            least = (np.diff(sums[..., 1:], axis=2).min(2) / sums[..., 0]).min(1)
+            times = [seeds.get((rep, s), 0) for s in A.SEEDS]
+            of.append(float(least @ times) / sum(times))
+        assert got[rep] == pytest.approx(sum(of) / len(of))
+
+
 def test_exploded_rows_are_not_broadcast(spark):
     from evalforge.plans import inference
     from evalforge.sources import adapters as A
