@@ -852,6 +852,22 @@ def test_draws_of_a_map_are_made_by_ranges_of_its_components(spark, monkeypatch)
         assert got[rep] == pytest.approx(sum(of) / len(of))
 
 
+def test_overlaps_of_points_multiply_profiles(spark, monkeypatch):
+    from evalforge.operators import consistency as C
+    from evalforge.plans import consistency, gates
+    from evalforge.sources import adapters as A
+
+    asked, plain = [], A.actions
+    monkeypatch.setattr(gates, "SEEDS", (43,))
+    monkeypatch.setattr(gates, "axes", lambda spark, sf: spark.createDataFrame([], "axis string, seed int, model int, family int, level int, value double"))
+    monkeypatch.setattr(A, "actions", lambda *a, **k: asked.append(k.get("rows")) or plain(*a, **k))
+    got = {(r.family, r.level): r.value for r in gates.points(spark, SF).collect()}
+    assert asked and all(r is not None and "copies" in r.columns for r in asked)
+    monkeypatch.undo()
+    own = C.jaccard_parts(C.overlaps(consistency.perturbed(spark, SF, "rationale", (43,), (2, 4), (1,))), ["family", "level"]).collect()
+    assert {(r.family, r.level): r.jaccard for r in own} == pytest.approx({k: v for k, v in got.items() if k[1] in (2, 4)}) and len(got) == 15
+
+
 def test_exploded_rows_are_not_broadcast(spark):
     from evalforge.plans import inference
     from evalforge.sources import adapters as A
